@@ -341,3 +341,30 @@ SCORE_THRESHOLDS = {"baja": 900.0, "media": 1800.0}
 SCORE_WEEKS = {"baja": 1, "media": 2, "alta": 3}
 HOURS_PER_POINT = 0.035
 REUSE_FACTOR = 0.15
+
+# Section a path belongs to, by its first segment.
+SECTION_BY_SEGMENT = {
+    "datosgenerales": "LUGAR Y FECHA DE SOLICITUD", "datostomador": "DATOS DEL TOMADOR",
+    "datospoliza": "DATOS DE LA PÓLIZA", "datosasegurado": "DATOS DEL SOLICITANTE",
+    "datossolicitante": "DATOS DEL SOLICITANTE", "datosobjetointeres": "DATOS DEL OBJETO DE INTERÉS",
+    "datosbeneficiarios": "BENEFICIARIOS", "datosvigencia": "PLAZO DE VIGENCIA",
+    "datosnotificacion": "NOTIFICACIONES", "datosnotificaciones": "NOTIFICACIONES", "datosfirma": "FIRMA",
+}
+
+# Catalog a group or a label stands for, in order.
+GROUP_CATALOGS = {
+    "tipo_identificacion": "tipo identificación", "parentesco": "parentesco", "estado_civil": "estado civil",
+    "moneda": "moneda", "tipo_persona": "tipo persona", "tipo_tramite": "tipotramite",
+    "tipo_formulario": "tipo formulario", "nacionalidad": "nacionalidad",
+}
+LABEL_CATALOGS = [
+    (r"(?i)tipo\s+(de\s+)?identificaci", "tipo identificación"),
+    ("(?i)parentesco", "parentesco"),
+    (r"(?i)estado\s+civil", "estado civil"),
+    ("(?i)nacionalidad", "nacionalidad"),
+    ("(?i)moneda", "moneda"),
+    (r"(?i)tipo\s+(de\s+)?persona", "tipo persona"),
+    (r"(?i)tipo\s+(de\s+)?tr[aá]mite", "tipotramite"),
+    (r"(?i)tipo\s+(de\s+)?formulario", "tipo formulario"),
+]
+SYNTHETIC_CATALOGS = {"sexo": ("Sexo (sintético)", [("M", "Masculino"), ("F", "Femenino")])}

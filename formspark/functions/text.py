@@ -37,6 +37,11 @@ def replace(c: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(by))
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once; without it a lambda would evaluate the expression per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trim(c: Column | str) -> Column:
     return F.btrim(col(c), F.lit(_SPACES))
 
@@ -125,10 +130,9 @@ def camel_to_snake(c: Column | str, style: str = "every") -> Column:
 def simplify_slug(slug: Column, limit: int = K.MAX_SLUG) -> Column:
     """a slug over the limit loses its stop words; still too long, it keeps three words"""
     kept = F.filter(F.split(slug, "_"), lambda w: ~w.isin(*K.SLUG_STOP_WORDS))
-    joined = F.array_join(kept, "_")
-    return (F.when(F.length(slug) <= limit, slug)
-            .when(F.length(joined) <= limit, joined)
-            .otherwise(F.array_join(F.slice(kept, 1, 3), "_")))
+    short = let(kept, lambda k: let(F.array_join(k, "_"), lambda j: F.when(F.length(j) <= limit, j).otherwise(
+        F.array_join(F.slice(k, 1, 3), "_"))))
+    return F.when(F.length(slug) <= limit, slug).otherwise(short)
 
 
 def sanitize_name(c: Column | str, size: int = 80, default: str = "unnamed") -> Column:
@@ -189,27 +193,32 @@ def _bigrams(c: Column) -> Column:
 
 def dice_bigrams(a: Column | str, b: Column | str) -> Column:
     """Dice coefficient over bigram multisets of the normalised texts"""
-    na, nb = norm_words(a), norm_words(b)
-    ga, gb = _bigrams(na), _bigrams(nb)
-
     def count(grams: Column, gram: Column) -> Column:
         return F.size(F.filter(grams, lambda x: x == gram))
 
-    shared = F.aggregate(F.array_distinct(ga), F.lit(0),
-                         lambda acc, g: acc + F.least(count(ga, g), count(gb, g)))
-    total = F.size(ga) + F.size(gb)
-    return (F.when((na == "") | (nb == ""), F.lit(0.0)).when(na == nb, F.lit(1.0))
-            .when(total == 0, F.lit(0.0)).otherwise(F.lit(2.0) * shared / total))
+    def shared(g: Column) -> Column:
+        return F.aggregate(F.array_distinct(g.ga), F.lit(0),
+                           lambda acc, x: acc + F.least(count(g.ga, x), count(g.gb, x)))
+
+    def score(n: Column) -> Column:
+        grams = F.struct(_bigrams(n.a).alias("ga"), _bigrams(n.b).alias("gb"))
+        ratio = let(grams, lambda g: F.lit(2.0) * shared(g) / F.greatest(F.size(g.ga) + F.size(g.gb), F.lit(1)))
+        return F.when((n.a == "") | (n.b == ""), F.lit(0.0)).when(n.a == n.b, F.lit(1.0)).otherwise(ratio)
+
+    return let(F.struct(norm_words(a).alias("a"), norm_words(b).alias("b")), score)
 
 
 def token_overlap(a: Column | str, b: Column | str, distinct: bool = False) -> Column:
     """shared tokens over the shorter token count; repeated tokens count unless distinct"""
-    na, nb = norm_words(a), norm_words(b)
-    ta, tb = F.split(na, " "), F.split(nb, " ")
-    if distinct:
-        ta, tb = F.array_distinct(ta), F.array_distinct(tb)
-    shared = F.size(F.filter(ta, lambda t: F.array_contains(tb, t)))
-    return F.when((na == "") | (nb == ""), F.lit(0.0)).otherwise(shared / F.least(F.size(ta), F.size(tb)))
+    def tokens(c: Column | str) -> Column:
+        words = F.filter(F.split(norm_words(c), " "), lambda w: w != "")
+        return F.array_distinct(words) if distinct else words
+
+    def score(t: Column) -> Column:
+        shared = F.size(F.filter(t.a, lambda x: F.array_contains(t.b, x)))
+        return shared / F.greatest(F.least(F.size(t.a), F.size(t.b)), F.lit(1))
+
+    return let(F.struct(tokens(a).alias("a"), tokens(b).alias("b")), score)
 
 
 def name_words(c: Column | str) -> Column:
@@ -220,8 +229,8 @@ def name_words(c: Column | str) -> Column:
 
 
 def name_affinity(a: Column | str, b: Column | str) -> Column:
-    words = name_words(b)
-    return F.size(F.filter(name_words(a), lambda w: F.array_contains(words, w)))
+    return let(F.struct(name_words(a).alias("a"), name_words(b).alias("b")),
+               lambda w: F.size(F.filter(w.a, lambda x: F.array_contains(w.b, x))))
 
 
 # ---- vocabulary fixes -------------------------------------------------------------
