@@ -17,14 +17,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def spark_table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run an adapter on Spark; ``{part}`` etc. name the given tables."""
-    names = set(re.findall(r"\{(\w+)\}", sql))
-    return spark.sql(sql, **{n: read(spark, sf_dir, n) for n in names})
+    """Run an adapter on Spark; ``@part`` etc. name the given tables."""
+    names = set(re.findall(r"@(\w+)", sql))
+    text = re.sub(r"@(\w+)", r"{\1}", sql.replace("{", "{{").replace("}", "}}"))
+    return spark.sql(text, **{n: read(spark, sf_dir, n) for n in names})
 
 
 def duck(sql: str) -> str:
     """The same adapter as a DuckDB subquery."""
-    return "(" + re.sub(r"\{(\w+)\}", r"\1", sql) + ")"
+    return "(" + re.sub(r"@(\w+)", r"\1", sql) + ")"
 
 
 # Field matrix: one row per part. Form = brand; the texts are derived from the columns.
@@ -53,7 +54,7 @@ SELECT p_brand AS form_id, p_partkey AS ord, p_name, p_size,
     '.', lower(p_type), upper(substring(p_name, 1, 1)), substring(replace(p_name, ' ', 'De'), 2)) AS json_name,
   concat(replace(p_name, ' ', '_'), CASE WHEN p_partkey % 4 = 0 THEN concat('_', p_size) WHEN p_partkey % 4 = 1 THEN concat('Row', p_size)
     WHEN p_partkey % 4 = 2 THEN concat('[', p_size, ']') ELSE '_Row_2_3' END) AS pdf_field_name
-FROM {part}
+FROM @part
 """
 
 
@@ -67,3 +68,15 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINES = """(SELECT doc_id, source, lang, unnest(generate_series(1, len(string_split(text, chr(10)))))::INT AS line_no,
   unnest(string_split(text, chr(10))) AS line FROM documents)"""
+
+
+# JSON documents: one nested payload per order, of three shapes. Family = order priority.
+PAYLOADS = """
+SELECT o_orderkey AS doc_id, o_orderpriority AS family, o_orderstatus AS status, concat(
+  '{"order":{"id":', o_orderkey, ',"customer":{"id":', o_custkey, ',"tags":["', lower(o_orderstatus), '","', o_custkey % 7, '"]}',
+  CASE WHEN o_orderstatus = 'F' THEN concat(',"total":', o_custkey % 100, ',"dates":[{"kind":"made","day":"', o_custkey % 28, '"},{"kind":"paid"}]')
+       WHEN o_orderstatus = 'O' THEN concat(',"total":{"amount":', o_custkey % 50, '},"billing":{"dates":[{"kind":"due","day":"1"}]}')
+       ELSE ',"dates":[],"note":null' END,
+  '},"meta":{"priority":"', o_orderpriority, '","k', o_custkey % 5, '":[[', o_custkey % 3, ',2],[]]}}') AS body
+FROM @orders
+"""
