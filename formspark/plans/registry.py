@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FAMILIES = ["text_queries", "classify_queries", "json_queries"]
+FAMILIES = ["text_queries", "classify_queries", "json_queries", "rule_queries"]
 
 
 class Family:

@@ -80,3 +80,43 @@ SELECT o_orderkey AS doc_id, o_orderpriority AS family, o_orderstatus AS status,
   '},"meta":{"priority":"', o_orderpriority, '","k', o_custkey % 5, '":[[', o_custkey % 3, ',2],[]]}}') AS body
 FROM @orders
 """
+
+# Form fields: one per order. Form = customer; ids and paths repeat inside a form.
+FORM_FIELDS = """
+SELECT concat('F', o_custkey) AS form_id, o_orderkey AS ord, k5 AS field_order, CAST(substring(o_orderpriority, 1, 1) AS INT) AS section_ord,
+  concat('s', substring(o_orderpriority, 1, 1)) AS section_id,
+  CASE substring(o_orderpriority, 1, 1) WHEN '3' THEN 'Declaraciones' WHEN '5' THEN NULL ELSE o_orderpriority END AS section_title,
+  CASE WHEN k11 = 10 AND k5 = 0 THEN 'field_' ELSE concat(CASE WHEN k11 = 10 THEN 'f_' ELSE 'field_' END, base) END AS id,
+  CASE k5 WHEN 0 THEN 'Informacion de la poliza' WHEN 1 THEN 'Género' WHEN 2 THEN 'Numeros' WHEN 3 THEN NULL ELSE o_orderpriority END AS label,
+  CASE k7 WHEN 0 THEN 'date' WHEN 1 THEN 'select' WHEN 4 THEN 'radio' WHEN 5 THEN 'checkbox' WHEN 6 THEN CASE WHEN k11 = 0 THEN 'signature' WHEN k11 < 4 THEN 'repeater' ELSE 'header' END ELSE 'text' END AS type,
+  CASE k3 WHEN 0 THEN base WHEN 1 THEN concat(upper(substring(base, 1, 1)), substring(base, 2), '.') ELSE CASE WHEN k5 = 0 THEN concat('otro', k11) WHEN k5 = 1 THEN NULL ELSE replace(base, '_', ' ') END END AS source_name,
+  CASE k5 WHEN 0 THEN 'Checkbox' WHEN 1 THEN 'RadioGroup' ELSE 'Tx' END AS native_type,
+  k3 = 0 AS hidden, k3 = 0 OR k5 = 4 AS hidden_effective, CASE WHEN k11 = 7 THEN 'field_rep' END AS in_repeater,
+  CASE WHEN k5 = 2 THEN NULL ELSE concat('personas[', k3, '].', leaf) END AS salida_json,
+  CASE WHEN k5 = 3 THEN NULL WHEN k5 = 4 THEN concat('personas[', k3, '].x.', leaf) WHEN k11 = 9 THEN '' ELSE concat('personas[', k3, '].', leaf) END AS json_output_path,
+  CASE WHEN k11 = 5 THEN concat('copia.', leaf) ELSE '' END AS secondary_path,
+  k11 = 3 AS exclude, CASE WHEN k5 = 1 THEN concat('cliente.', leaf, '==', k3) WHEN k11 = 6 THEN concat('cliente.', leaf) END AS prefill_key,
+  CASE WHEN k11 = 4 THEN 'api' ELSE 'optional' END AS prefill_mode, CASE k7 WHEN 5 THEN 'v' WHEN 4 THEN '' END AS default_value,
+  CASE WHEN k11 % 4 = 0 THEN 'A' WHEN k11 % 4 = 1 THEN concat('B', k5) END AS json_value, CASE k3 WHEN 0 THEN 'X' WHEN 1 THEN 'SI' END AS checked_pdf_value,
+  CASE WHEN k11 = 1 THEN concat('{"logic":"and","conditions":[{"fieldId":"field_x_', k5, '","operator":"equals","value":"', CASE WHEN k3 = 0 THEN 'Si' ELSE 'No' END, '"}]}')
+    WHEN k11 = 2 THEN concat('{"logic":"or","conditions":[{"fieldId":"field_NEVER_EXISTS","operator":"equals","value":"ASG"},{"fieldId":"benef_nombre","operator":"is","value":"', CASE k3 WHEN 0 THEN 'DME' WHEN 1 THEN 'JRD' ELSE 'zz' END, '"}]}')
+    WHEN k11 = 5 THEN 'oops' END AS condition_visibility,
+  CASE WHEN k11 = 8 THEN '{"logic":"and","conditions":[{"fieldId":"field_benef_nombre","operator":"equals","value":"Si"}]}' END AS condition_required,
+  CASE WHEN k11 = 9 THEN concat('field_benef_', k5) WHEN k11 = 0 THEN 'field_titular_x' END AS parent_id, CASE WHEN k11 = 9 AND k3 = 0 THEN 'field_titular_y' END AS grandparent_id,
+  k3 = 1 AS read_only,
+  CASE WHEN k7 IN (2, 3) AND k3 < 2 THEN concat('{"sourceFieldIds":["field_titular_fecha"],"parts":[{"kind":"field","fieldId":"field_titular_fecha","condition":{"fieldId":"field_',
+    CASE WHEN k5 = 0 THEN 'titular_fecha' ELSE concat('x_', k5) END, '","op":"equals","values":"Si"},"transforms":[{"kind":"substring","start":', k3 * 3, ',"end":', k3 * 3 + 2, '}]}]}') END AS concat,
+  CASE WHEN k7 = 4 THEN '["field_x_1","field_benef_nombre"]' END AS radio_fields, CASE WHEN k7 = 4 THEN 'genero y Genero' END AS radio_label,
+  CASE WHEN k7 = 6 AND k11 IN (1, 2) THEN concat('p[{i', k11 - 1, '}].{sub}') END AS slot_pattern, k7 = 6 AND k11 IN (1, 2, 3) AS has_repeater,
+  CASE WHEN k5 = 0 THEN 'YYYY-MM-DD' END AS pdf_date_format, CASE WHEN k5 = 1 THEN 'MM/DD/AAAA' END AS date_format,
+  CASE WHEN k7 = 1 THEN '[{"label":"Si","jsonValue":"1"},{"label":"No","jsonValue":"No"},{"label":"","jsonValue":"2"}]' END AS options
+FROM (SELECT *, CASE k7 WHEN 0 THEN 'titular_fecha' WHEN 1 THEN 'benef_nombre' WHEN 2 THEN 'titular_fecha_dia' WHEN 3 THEN 'benef_fecha_ano' WHEN 4 THEN 'género_1' ELSE concat('x_', k11) END AS base,
+    CASE k11 WHEN 0 THEN 'descripcionX' WHEN 1 THEN 'edad' WHEN 2 THEN 'nombreCompleto' WHEN 3 THEN 'codigo' ELSE concat('dato', k7) END AS leaf
+  FROM (SELECT *, o_orderkey % 3 AS k3, o_orderkey % 5 AS k5, o_orderkey % 7 AS k7, o_orderkey % 11 AS k11 FROM @orders) o1) o2
+"""
+
+# Widgets of the same forms: names, geometry and labels.
+FORM_WIDGETS = """
+SELECT concat('F', o_custkey) AS form_id, o_orderkey AS ord, CASE o_orderkey % 4 WHEN 0 THEN 'titular_fecha' WHEN 1 THEN concat('otro', o_orderkey % 11) WHEN 2 THEN concat('x ', o_orderkey % 9) ELSE concat('w', o_orderkey % 6) END AS name,
+  CASE WHEN o_custkey % 3 = 0 OR o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS label FROM @orders
+"""
