@@ -11,7 +11,7 @@ from formspark.functions import text as T
 from formspark.functions.classify import word
 from formspark.kernels import last_by
 from formspark.operators.json_paths import condition_ids, conditions_of, parse_concat
-from formspark.operators.rules.registry import Model, finding, register
+from formspark.operators.rules.registry import Model, finding, hit, hits, register, register_row
 
 E = T.text_or_empty
 
@@ -25,8 +25,8 @@ def _helper() -> Column:
     return F.coalesce("hidden", F.lit(False)) | F.col("concat").isNotNull()
 
 
-@register("R01")
-def id_matches_source(m: Model) -> DataFrame:
+@register_row("R01")
+def id_matches_source() -> Column:
     real, base = F.lower("id"), T.as_id("source_name")
     raw = F.concat(F.lit("field_"), F.lower("source_name"))
     good = F.lit(False)
@@ -34,8 +34,7 @@ def id_matches_source(m: Model) -> DataFrame:
         same = (real == want) | (T.strip_accents(real) == T.strip_accents(want)) | (
             _helper() & real.startswith(F.concat(want, F.lit("_"))))
         good = good | (ok & same)
-    bad = m.fields.where((E("source_name") != "") & ~good)
-    return finding(bad, "R01", subject=F.concat(F.lit("field_"), base))
+    return hit((E("source_name") != "") & ~good, F.concat(F.lit("field_"), base))
 
 
 @register("R02")
@@ -51,45 +50,41 @@ def broken_condition(m: Model) -> DataFrame:
     return finding(rows.join(m.ids(), ["form_id", "ref"], "left_anti"), "R03", subject=F.col("ref"))
 
 
-@register("R04")
-def output_mismatch(m: Model) -> DataFrame:
-    return finding(m.fields.where(~F.col("salida_json").eqNullSafe(F.col("json_output_path"))), "R04",
-                   subject=F.coalesce("json_output_path", F.lit("ninguna")))
+@register_row("R04")
+def output_mismatch() -> Column:
+    return hit(~F.col("salida_json").eqNullSafe(F.col("json_output_path")), F.coalesce("json_output_path", F.lit("ninguna")))
 
 
-def _repeaters(m: Model) -> DataFrame:
-    return m.fields.where(F.coalesce("has_repeater", F.lit(False)))
+def _repeater() -> Column:
+    return F.coalesce("has_repeater", F.lit(False))
 
 
-@register("R05")
-def repeater_with_path(m: Model) -> DataFrame:
-    return finding(_repeaters(m).where((E("json_output_path") != "") | (E("salida_json") != "")), "R05")
+@register_row("R05")
+def repeater_with_path() -> Column:
+    return hit(_repeater() & ((E("json_output_path") != "") | (E("salida_json") != "")))
 
 
-@register("R06")
-def repeater_without_pattern(m: Model) -> DataFrame:
-    return finding(_repeaters(m).where(E("slot_pattern") == ""), "R06")
+@register_row("R06")
+def repeater_without_pattern() -> Column:
+    return hit(_repeater() & (E("slot_pattern") == ""))
 
 
-@register("R07")
-def repeater_from_one(m: Model) -> DataFrame:
-    return finding(_repeaters(m).where(F.col("slot_pattern").contains("{i1}")), "R07", subject=F.col("slot_pattern"))
+@register_row("R07")
+def repeater_from_one() -> Column:
+    return hit(_repeater() & F.col("slot_pattern").contains("{i1}"), F.col("slot_pattern"))
 
 
-@register("R08")
-def undeclared_source(m: Model) -> DataFrame:
+@register_row("R08")
+def undeclared_source() -> Column:
     c = parse_concat(F.col("concat"))
     none = F.array().cast("array<string>")
     used = F.filter(F.coalesce(F.transform(c.parts, lambda p: p.condition.fieldId), none), lambda x: E(x) != "")
-    rows = m.fields.where(F.col("concat").isNotNull()).select(
-        "form_id", "id", F.explode(F.array_except(used, F.coalesce(c.sourceFieldIds, none))).alias("ref"))
-    return finding(rows, "R08", subject=F.col("ref"))
+    return hits(F.when(F.col("concat").isNotNull(), F.array_except(used, F.coalesce(c.sourceFieldIds, none))))
 
 
-@register("R09")
-def unused_checked_value(m: Model) -> DataFrame:
-    bad = m.fields.where(F.col("native_type").isin("Checkbox", "RadioGroup") & (F.col("checked_pdf_value") != "X"))
-    return finding(bad, "R09", subject=F.col("checked_pdf_value"))
+@register_row("R09")
+def unused_checked_value() -> Column:
+    return hit(F.col("native_type").isin("Checkbox", "RadioGroup") & (F.col("checked_pdf_value") != "X"), F.col("checked_pdf_value"))
 
 
 @register("R10")
@@ -113,12 +108,11 @@ def compared_by_label(m: Model) -> DataFrame:
     return finding(only, "R10", subject=F.concat("label", F.lit(" / "), "stored"))
 
 
-@register("R11")
-def phantom_person(m: Model) -> DataFrame:
+@register_row("R11")
+def phantom_person() -> Column:
     index = F.regexp_extract(F.coalesce(_effective(), F.lit("")), r"personas\[(\d+)\]", 1)
-    bad = m.fields.where(F.coalesce("hidden", F.lit(False)) & F.col("concat").isNull() & (E("default_value") != "")
-                         & (F.coalesce(index.try_cast("int"), F.lit(0)) > 0))
-    return finding(bad, "R11", path=F.col("json_output_path"))
+    return hit(F.coalesce("hidden", F.lit(False)) & F.col("concat").isNull() & (E("default_value") != "")
+               & (F.coalesce(index.try_cast("int"), F.lit(0)) > 0), path=F.col("json_output_path"))
 
 
 def path_writers(m: Model) -> DataFrame:
@@ -143,57 +137,51 @@ def shared_path(m: Model) -> DataFrame:
                    F.col("n"), F.col("path"))
 
 
-@register("R13")
-def hidden_without_value(m: Model) -> DataFrame:
-    bad = m.fields.where((E("source_name") != "") & (E("type") != "signature") & F.col("concat").isNull()
-                         & (E("prefill_key") == "") & (E("json_output_path") == "") & F.coalesce("hidden", F.lit(False)))
-    return finding(bad, "R13")
+@register_row("R13")
+def hidden_without_value() -> Column:
+    return hit((E("source_name") != "") & (E("type") != "signature") & F.col("concat").isNull() & (E("prefill_key") == "")
+               & (E("json_output_path") == "") & F.coalesce("hidden", F.lit(False)))
 
 
-@register("R14")
-def prefill_api(m: Model) -> DataFrame:
-    return finding(m.fields.where(F.col("prefill_mode") == "api"), "R14")
+@register_row("R14")
+def prefill_api() -> Column:
+    return hit(F.col("prefill_mode") == "api")
 
 
-def _visible(m: Model) -> DataFrame:
-    return m.fields.where(~F.coalesce("hidden_effective", F.lit(False)) & ~F.coalesce("hidden", F.lit(False)))
+def _visible() -> Column:
+    return ~F.coalesce("hidden_effective", F.lit(False)) & ~F.coalesce("hidden", F.lit(False))
 
 
-@register("R15")
-def missing_accents(m: Model) -> DataFrame:
+@register_row("R15")
+def missing_accents() -> Column:
     # one scan for any known word before the word-by-word fix
-    suspects = _visible(m).where(F.col("label").rlike(word("(?:" + "|".join(K.SPELLING) + ")")))
-    fixed = suspects.withColumn("fix", T.spell_fix("label"))
-    return finding(fixed.where(F.col("fix").isNotNull()), "R15", subject=F.col("fix"))
+    suspect = _visible() & F.coalesce(F.col("label").rlike(word("(?:" + "|".join(K.SPELLING) + ")")), F.lit(False))
+    return hits(F.filter(F.array(F.when(suspect, T.spell_fix("label"))), lambda x: x.isNotNull()))
 
 
-@register("R26")
-def agreed_terms(m: Model) -> DataFrame:
-    texts = _visible(m).select("form_id", "id", F.explode(F.array("label", "radio_label")).alias("text")).where(E("text") != "")
-    fixed = texts.withColumn("fix", T.term_fix("text"))
-    return finding(fixed.where(F.col("fix").isNotNull()), "R26", subject=F.col("fix"))
+@register_row("R26")
+def agreed_terms() -> Column:
+    fixes = F.transform(F.array("label", "radio_label"), T.term_fix)
+    return hits(F.when(_visible(), F.filter(fixes, lambda x: E(x) != "")))
 
 
-@register("R16")
-def description_without_source(m: Model) -> DataFrame:
-    bad = m.fields.where(E(_effective()).rlike(r"\.descripcion[A-Z]") & F.col("concat").isNull() & (E("prefill_key") == "")
-                         & F.col("default_value").isNull())
-    return finding(bad, "R16", path=F.col("json_output_path"))
+@register_row("R16")
+def description_without_source() -> Column:
+    return hit(E(_effective()).rlike(r"\.descripcion[A-Z]") & F.col("concat").isNull() & (E("prefill_key") == "")
+               & F.col("default_value").isNull(), path=F.col("json_output_path"))
 
 
-@register("R17")
-def age_without_formula(m: Model) -> DataFrame:
-    return finding(m.fields.where(E("json_output_path").rlike(r"\.edad$") & F.col("concat").isNull()), "R17")
+@register_row("R17")
+def age_without_formula() -> Column:
+    return hit(E("json_output_path").rlike(r"\.edad$") & F.col("concat").isNull())
 
 
-@register("R18")
-def foreign_parent(m: Model) -> DataFrame:
-    rows = m.fields.select("form_id", "id", F.explode(F.array("parent_id", "grandparent_id")).alias("parent")).where(E("parent") != "")
+@register_row("R18")
+def foreign_parent() -> Column:
+    def block(c: Column) -> Column:
+        return F.split(T.replace(c, "^field_", ""), "_")[0]
 
-    def block(c: str) -> Column:
-        return F.split(T.replace(F.col(c), "^field_", ""), "_")[0]
-
-    return finding(rows.where(block("id") != block("parent")), "R18", subject=F.col("parent"))
+    return hits(F.filter(F.array("parent_id", "grandparent_id"), lambda p: (E(p) != "") & (block(F.col("id")) != block(p))))
 
 
 @register("R19")
@@ -211,11 +199,10 @@ def date_cut(m: Model) -> DataFrame:
     return finding(bad, "R19", subject=F.concat(F.col("check.got"), F.lit(" / "), F.col("check.expected")))
 
 
-@register("R20")
-def unlocked_full_name(m: Model) -> DataFrame:
-    bad = m.fields.where(E("json_output_path").rlike(r"\.nombreCompleto$") & F.col("concat").isNotNull()
-                         & (~F.coalesce("read_only", F.lit(False)) | (E("prefill_key") != "")))
-    return finding(bad, "R20")
+@register_row("R20")
+def unlocked_full_name() -> Column:
+    return hit(E("json_output_path").rlike(r"\.nombreCompleto$") & F.col("concat").isNotNull()
+               & (~F.coalesce("read_only", F.lit(False)) | (E("prefill_key") != "")))
 
 
 @register("R21")
@@ -238,18 +225,23 @@ def declaration_not_last(m: Model) -> DataFrame:
     return finding(order.where(F.col("decl") < F.col("last")), "R23", None, F.col("decl"))
 
 
-@register("R24")
-def incomplete_person_group(m: Model) -> DataFrame:
+@register_row("R24")
+def incomplete_person_group() -> Column:
     """an "or" condition that names some codes of a person group but not all"""
     parsed = F.from_json("condition_visibility", "struct<logic:string,conditions:array<struct<value:string>>>")
-    codes = F.transform(parsed.conditions, lambda x: x.value)
-    for alias, code in K.PERSON_ALIASES.items():
-        codes = F.transform(codes, lambda v, a=alias, c=code: F.when(v == a, F.lit(c)).otherwise(v))
-    groups = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*[F.lit(x) for x in g]).alias("all")) for n, g in K.PERSON_GROUPS.items()])
-    rows = m.fields.where(parsed.logic == "or").select("form_id", "id", codes.alias("codes"), F.explode(groups).alias("g"))
-    rows = rows.select("form_id", "id", "g.name", F.array_intersect("g.all", "codes").alias("have"),
-                       F.array_except("g.all", "codes").alias("lack")).where((F.size("have") > 0) & (F.size("lack") > 0))
-    return finding(rows, "R24", subject=F.concat("name", F.lit(": "), F.array_join("lack", ", ")))
+
+    def code(c: Column) -> Column:
+        for alias, real in K.PERSON_ALIASES.items():
+            c = F.when(c == alias, F.lit(real)).otherwise(c)
+        return c
+
+    codes = F.transform(parsed.conditions, lambda x: code(x.value))
+    found = []
+    for name, group in K.PERSON_GROUPS.items():
+        members = F.array(*[F.lit(g) for g in group])
+        lack = F.array_except(members, codes)
+        found.append(F.when((F.size(lack) > 0) & (F.size(lack) < len(group)), F.concat(F.lit(f"{name}: "), F.array_join(lack, ", "))))
+    return hits(F.when(parsed.logic == "or", F.filter(F.array(*found), lambda x: x.isNotNull())))
 
 
 def unused_sources(m: Model) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 Rule = Callable[["Model"], DataFrame]
 RULES: dict[str, Rule] = {}
+ROW_RULES: dict[str, Callable[[], Column]] = {}
 
 # Severity and title of each rule.
 SEVERITY = {"error": 0, "aviso": 1, "nota": 2}
@@ -75,12 +76,54 @@ class Model:
 
 
 def register(rule: str) -> Callable[[Rule], Rule]:
+    """Register a rule over tables: ``Model -> findings``."""
     def add(fn: Rule) -> Rule:
         RULES[rule] = fn
         return fn
     return add
 
 
+_HIT = "array<struct<field_id:string,subject:string,path:string>>"
+
+
+def hit(when: Column, subject: Column | None = None, path: Column | None = None) -> Column:
+    """at most one finding about the row itself"""
+    none = F.lit(None).cast("string")
+    one = F.struct(F.col("id").alias("field_id"), (none if subject is None else subject.cast("string")).alias("subject"),
+                   (none if path is None else path).alias("path"))
+    return F.when(when, F.array(one)).otherwise(F.array().cast(_HIT))
+
+
+def hits(subjects: Column) -> Column:
+    """one finding per subject of an array of texts"""
+    return F.coalesce(F.transform(subjects, lambda s: F.struct(
+        F.col("id").alias("field_id"), s.alias("subject"), F.lit(None).cast("string").alias("path"))), F.array().cast(_HIT))
+
+
+def register_row(rule: str) -> Callable[[Callable[[], Column]], Rule]:
+    """Register a rule that needs nothing but the row: it returns an array of hits. All of
+    them together cost one pass over the fields."""
+    def add(fn: Callable[[], Column]) -> Rule:
+        def run(model: Model) -> DataFrame:
+            return row_findings(model.fields, {rule: fn()})
+        run.__name__ = fn.__name__
+        ROW_RULES[rule] = fn
+        RULES[rule] = run
+        return run
+    return add
+
+
+def row_findings(fields: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    tagged = [_tag(rule, c) for rule, c in columns.items()]
+    rows = fields.select("form_id", F.explode(F.concat(*tagged)).alias("f"))
+    return rows.select("form_id", "f.rule", "f.severity", "f.field_id", "f.subject", "f.path")
+
+
+def _tag(rule: str, found: Column) -> Column:
+    return F.transform(found, lambda h: F.struct(F.lit(rule).alias("rule"), F.lit(TITLES[rule][0]).alias("severity"),
+                                                 h.field_id.alias("field_id"), h.subject.alias("subject"), h.path.alias("path")))
+
+
 def finding(rows: DataFrame, rule: str, field: str | Column | None = "id", subject: Column | None = None,
             path: Column | None = None, form: str = "form_id") -> DataFrame:
     none = F.lit(None).cast("string")
@@ -91,20 +134,29 @@ def finding(rows: DataFrame, rule: str, field: str | Column | None = "id", subje
 
 
 def run_rules(model: Model, only: list[str] | None = None) -> DataFrame:
-    """All findings. A rule whose plan cannot be built (a missing column, say) leaves a
-    visible R00 finding and the others go on."""
-    parts, spark = [], model.fields.sparkSession
-    for rule, fn in RULES.items():
-        if only and rule not in only:
-            continue
+    """All findings: one pass for the rules about single rows, one plan for each of the
+    others. A rule that cannot be planned (a missing column, say) leaves a visible R00
+    finding and the others go on."""
+    spark = model.fields.sparkSession
+    wanted = [r for r in RULES if not only or r in only]
+    parts: list[DataFrame] = []
+    columns: dict[str, Column] = {}
+    for rule in wanted:
         try:
-            part = fn(model)
-            part.schema  # analyse now, so that a broken rule fails here
+            if rule in ROW_RULES:
+                column = ROW_RULES[rule]()
+                model.fields.select(column).schema  # analyse now, so that a broken rule fails here
+                columns[rule] = column
+            else:
+                part = RULES[rule](model)
+                part.schema
+                parts.append(part)
         except Exception as error:  # noqa: BLE001 - isolation is the feature
             name = (error.getCondition() if hasattr(error, "getCondition") else None) or type(error).__name__
-            part = finding(spark.range(1).select(F.lit(None).cast("string").alias("form_id")), "R00", None,
-                           F.lit(f"{rule}: {name}"))
-        parts.append(part)
+            parts.append(finding(spark.range(1).select(F.lit(None).cast("string").alias("form_id")), "R00", None,
+                                 F.lit(f"{rule}: {name}")))
+    if columns:
+        parts.insert(0, row_findings(model.fields, columns))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -41,7 +41,7 @@ _CMP = f"""(SELECT form_id, f AS id, v AS text FROM (SELECT form_id, unnest(json
 _WRITERS = f"(SELECT form_id, id, type, json_value, coalesce(json_output_path, salida_json) AS p FROM {_OWN} WHERE NOT exclude AND coalesce(json_output_path, salida_json, '') <> '')"
 _DATE = f"""SELECT form_id, id, CASE WHEN part = 'dia' THEN instr(fmt, 'DD') WHEN instr(fmt, 'YYYY') > 0 THEN instr(fmt, 'YYYY') ELSE instr(fmt, 'AAAA') END AS p, CASE part WHEN 'dia' THEN 2 ELSE 4 END AS n, s, e,
   replace(replace(replace(replace(fmt, 'YYYY', '2026'), 'AAAA', '2026'), 'DD', '28'), 'MM', '09') AS ex
-  FROM (SELECT form_id, id, CASE WHEN ends_with(id, '_dia') THEN 'dia' ELSE 'anio' END AS part, json_extract(concat, '$.parts[0].transforms[0].start')::INT AS s, json_extract(concat, '$.parts[0].transforms[0].end')::INT AS e FROM {FF} WHERE concat IS NOT NULL) c
+  FROM (SELECT form_id, id, CASE WHEN ends_with(id, '_dia') THEN 'dia' ELSE 'anio' END AS part, json_extract(concat, '$.parts[0].transforms[0].start')::INT AS s, json_extract(concat, '$.parts[0].transforms[0].end')::INT AS e FROM {FF} WHERE concat IS NOT NULL AND regexp_matches(id, '_(dia|ano)$')) c
   JOIN (SELECT form_id, arg_max(coalesce(pdf_date_format, date_format, 'DD/MM/YYYY'), ord) AS fmt FROM {_OWN} WHERE id = 'field_titular_fecha' GROUP BY 1) d USING (form_id)"""
 
 SQL = {

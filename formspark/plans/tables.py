@@ -92,8 +92,8 @@ SELECT concat('F', o_custkey) AS form_id, o_orderkey AS ord, k5 AS field_order,
   CASE k3 WHEN 0 THEN base WHEN 1 THEN concat(upper(substring(base, 1, 1)), substring(base, 2), '.') ELSE CASE WHEN k5 = 0 THEN concat('otro', k11) WHEN k5 = 1 THEN NULL ELSE replace(base, '_', ' ') END END AS source_name,
   CASE k5 WHEN 0 THEN 'Checkbox' WHEN 1 THEN 'RadioGroup' ELSE 'Tx' END AS native_type,
   k3 = 0 AS hidden, k3 = 0 OR k5 = 4 AS hidden_effective, CASE WHEN k11 = 7 THEN 'field_rep' END AS in_repeater,
-  CASE WHEN k5 = 2 THEN NULL ELSE concat('personas[', k3, '].', leaf) END AS salida_json,
-  CASE WHEN k5 = 3 THEN NULL WHEN k5 = 4 THEN concat('personas[', k3, '].x.', leaf) WHEN k11 = 9 THEN '' ELSE concat('personas[', k3, '].', leaf) END AS json_output_path,
+  CASE WHEN k5 = 2 THEN NULL ELSE concat('personas[', k5 % 3, '].', leaf) END AS salida_json,
+  CASE WHEN k5 = 3 THEN NULL WHEN k5 = 4 THEN concat('personas[', k5 % 3, '].x.', leaf) WHEN k11 = 9 THEN '' ELSE concat('personas[', k5 % 3, '].', leaf) END AS json_output_path,
   CASE WHEN k11 = 5 THEN concat('copia.', leaf) ELSE '' END AS secondary_path,
   k11 = 3 AS exclude, CASE WHEN k5 = 1 THEN concat('cliente.', leaf, '==', k3) WHEN k11 = 6 THEN concat('cliente.', leaf) END AS prefill_key,
   CASE WHEN k11 = 4 THEN 'api' ELSE 'optional' END AS prefill_mode, CASE k7 WHEN 5 THEN 'v' WHEN 4 THEN '' END AS default_value,
