@@ -154,9 +154,12 @@ def title_case(c: Column | str) -> Column:
     return F.array_join(F.transform(F.split(replace(text_or_empty(c), "_", " "), " "), cap), " ")
 
 
-def clean_label(c: Column | str) -> Column:
-    """drop a row suffix and a trailing colon, show ``_`` as a space"""
-    bare = replace(replace(text_or_empty(c), r"(?i)_Row_\d+$", ""), ":_?$", "")
+def clean_label(c: Column | str, drop_number: bool = False) -> Column:
+    """drop a row suffix (and a plain number) and a trailing colon, show ``_`` as a space"""
+    bare = replace(text_or_empty(c), r"(?i)_Row_\d+$", "")
+    if drop_number:
+        bare = replace(bare, r"_\d+$", "")
+    bare = replace(bare, ":_?$", "")
     return trim(F.translate(bare, "_", " "))
 
 

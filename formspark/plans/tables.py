@@ -120,3 +120,30 @@ FORM_WIDGETS = """
 SELECT concat('F', o_custkey) AS form_id, o_orderkey AS ord, CASE o_orderkey % 4 WHEN 0 THEN 'titular_fecha' WHEN 1 THEN concat('otro', o_orderkey % 11) WHEN 2 THEN concat('x ', o_orderkey % 9) ELSE concat('w', o_orderkey % 6) END AS name,
   CASE WHEN o_custkey % 3 = 0 OR o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS label FROM @orders
 """
+
+# Matrix rows and form fields of the same forms (form = brand), with names that differ.
+ROWS = """
+SELECT p_brand AS form_id, p_partkey AS ord, CASE WHEN p_size % 10 = 0 THEN 'No aplica' WHEN p_size % 10 = 1 THEN '' ELSE concat(replace(p_name, ' ', '_'), '_', p_size % 4) END AS pdf_field_name,
+  concat(upper(substring(p_name, 1, 1)), substring(p_name, 2), CASE p_size % 3 WHEN 0 THEN ':' WHEN 1 THEN ' (ó)' ELSE '' END) AS pdf_label,
+  concat(split_part(p_name, ' ', 2), ' de ', split_part(p_name, ' ', 1), CASE WHEN p_size % 2 = 0 THEN concat(' ', p_size) ELSE '' END) AS field_label,
+  concat('datos.', split_part(p_name, ' ', 2), '.', split_part(p_name, ' ', 1), 'Del', p_size % 5) AS json_name,
+  CASE WHEN p_size % 7 = 0 THEN concat('Lista: ', lower(p_type), ' ', p_size % 5, '|', p_name, '|x') ELSE '' END AS catalog_direct,
+  concat('W', p_partkey % 50) AS acro_actual, concat('P', p_partkey % 40) AS acro_proposed, CASE WHEN p_size % 5 = 0 THEN '' ELSE concat('S', p_partkey % 45) END AS source_name
+FROM @part
+"""
+FIELDS = """
+SELECT p_brand AS form_id, p_partkey AS ord, concat('field_', p_partkey % 60) AS id,
+  CASE p_partkey % 6 WHEN 0 THEN concat(replace(p_name, ' ', '_'), '_', p_size % 4) WHEN 1 THEN concat(replace(p_name, ' ', '_'), '_9_', p_size)
+    WHEN 2 THEN concat(split_part(p_name, ' ', 2), '_de_', split_part(p_name, ' ', 1), '_', p_size) WHEN 3 THEN concat(lower(p_type), '_', p_size % 5)
+    WHEN 4 THEN concat(split_part(p_name, ' ', 1), 'x_', split_part(p_name, ' ', 2), 'y') ELSE '' END AS source_name,
+  CASE p_size % 4 WHEN 0 THEN concat(split_part(p_name, ' ', 2), ' ', split_part(p_name, ' ', 1), '_Row_2') WHEN 1 THEN concat('zz ', p_type, ' ', p_size)
+    WHEN 2 THEN concat(replace(split_part(p_name, ' ', 2), 'e', 'o'), ' de ', split_part(p_name, ' ', 1)) ELSE p_name END AS label,
+  concat('S', p_partkey % 55) AS key_name
+FROM @part
+"""
+# Widgets on a page grid, and known positions next to some of them. Form = customer segment of the order.
+WIDGETS = """
+SELECT concat('F', l_suppkey) AS form_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS INT) AS ord,
+  concat('w', l_partkey) AS name, l_linenumber AS page, l_quantity * 12 + l_discount * 100 AS x, l_extendedprice / 100 + l_tax * 10 AS y, 20 + l_linenumber AS width, 8.0 + l_tax * 100 AS height,
+  l_returnflag AS flag FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_extendedprice, l_tax, l_returnflag FROM @lineitem) d
+"""
