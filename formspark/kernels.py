@@ -41,30 +41,35 @@ def ordered_scan(
     previous: dict[str, Column] | None = None,
     running: dict[str, Column] | None = None,
     carried: dict[str, Column] | None = None,
+    carried_before: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add ordered columns per key without sorting a whole key in one task.
 
     ``order`` lists ascending columns that give a total order inside a key (negate a
     number for descending); ``slice_by`` must never decrease along that order, e.g.
-    ``floor(ord / 65536)``, a page or a day. Keys must not be NULL.
+    ``floor(ord / 65536)``, a day, or a struct of page and band. Keys and slices must not be NULL.
 
     number    1-based row number
     previous  value of the column in the previous row (NULL on the first)
     running   inclusive running sum
     carried   last non-NULL value at or before the row
+    carried_before  last non-NULL value before the row
     """
     previous, running, carried = previous or {}, running or {}, carried or {}
+    earlier = carried_before or {}
+    carried_any = {**carried, **earlier}
     part = [*keys, "_slice"]
-    sliced = df.withColumn("_slice", F.coalesce(slice_by, F.lit(0)))
+    sliced = df.withColumn("_slice", slice_by)
     rank = F.struct(*order)
     inside = Window.partitionBy(*part).orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    past = inside.rowsBetween(Window.unboundedPreceding, -1)
 
     # Slice totals: partial aggregates over the narrow input, a tiny shuffle.
     totals = [F.count(F.lit(1)).alias("_n")]
     totals += [F.max_by(c, rank).alias(f"_p_{k}") for k, c in previous.items()]
     totals += [F.sum(c).alias(f"_r_{k}") for k, c in running.items()]
-    totals += [F.max_by(c, F.when(c.isNotNull(), rank)).alias(f"_c_{k}") for k, c in carried.items()]
+    totals += [F.max_by(c, F.when(c.isNotNull(), rank)).alias(f"_c_{k}") for k, c in carried_any.items()]
     across = Window.partitionBy(*keys).orderBy("_slice") if keys else Window.orderBy("_slice")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     offsets = sliced.groupBy(*part).agg(*totals).select(
@@ -72,21 +77,22 @@ def ordered_scan(
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"),
         *[F.lag(f"_p_{k}").over(across).alias(f"_p_{k}") for k in previous],
         *[F.sum(f"_r_{k}").over(before).alias(f"_r_{k}") for k in running],
-        *[F.last(f"_c_{k}", True).over(before).alias(f"_c_{k}") for k in carried],
+        *[F.last(f"_c_{k}", True).over(before).alias(f"_c_{k}") for k in carried_any],
     )
 
     local = sliced.select("*", F.row_number().over(inside).alias("_rn"),
                           *[F.lag(c).over(inside).alias(f"_lp_{k}") for k, c in previous.items()],
                           *[F.sum(c).over(so_far).alias(f"_lr_{k}") for k, c in running.items()],
-                          *[F.last(c, True).over(so_far).alias(f"_lc_{k}") for k, c in carried.items()])
+                          *[F.last(c, True).over(so_far).alias(f"_lc_{k}") for k, c in carried.items()],
+                          *[F.last(c, True).over(past).alias(f"_lc_{k}") for k, c in earlier.items()])
     joined = local.join(offsets, part, "left")
     out = []
     if number:
         out.append((F.col("_rn") + F.col("_n")).alias(number))
     out += [F.when(F.col("_rn") == 1, F.col(f"_p_{k}")).otherwise(F.col(f"_lp_{k}")).alias(k) for k in previous]
     out += [(F.coalesce(f"_lr_{k}", F.lit(0)) + F.coalesce(f"_r_{k}", F.lit(0))).alias(k) for k in running]
-    out += [F.coalesce(f"_lc_{k}", f"_c_{k}").alias(k) for k in carried]
-    made = {*([number] if number else []), *previous, *running, *carried}
+    out += [F.coalesce(f"_lc_{k}", f"_c_{k}").alias(k) for k in carried_any]
+    made = {*([number] if number else []), *previous, *running, *carried_any}
     return joined.select(*[F.col(c) for c in df.columns if c not in made], *out)
 
 

@@ -358,14 +358,18 @@ def resolve_name(widgets: DataFrame, rows: DataFrame, positions: DataFrame | Non
     else:
         named = near_point_join(named, positions)
 
-    def made(prefix: str) -> Column:
-        return name_from_row(F.col(f"{prefix}_pdf_field_name"), F.col(f"{prefix}_json_name"), F.col("name"), F.col("label"))
-
+    # the row that names the widget: by label, by similar label, by name (a label always gives a
+    # name, so only the last of them can fail to)
+    found = [F.when(F.col(r).isNotNull(), F.struct(F.lit(s).alias("source"), F.lit(k).alias("confidence"), F.col(f"{p}_pdf_field_name").alias("pdf"),
+                                                   F.col(f"{p}_json_name").alias("json")))
+             for r, s, k, p in (("r1", "excel-exact", 95, "l"), ("r2", "excel-fuzzy", 75, "f"), ("r3", "excel-field-name", 90, "n"))]
+    named = named.withColumn("_row", F.coalesce(*found)).withColumn("_made", F.when(
+        F.col("_row").isNotNull(), name_from_row(F.col("_row.pdf"), F.col("_row.json"), F.col("name"), F.col("label"))))
     derived = T.replace(T.norm_words("label"), " ", "_")
-    picks = [(F.when(F.col("r1").isNotNull(), made("l")), "excel-exact", 95), (F.when(F.col("r2").isNotNull(), made("f")), "excel-fuzzy", 75),
-             (F.when(F.col("r3").isNotNull(), made("n")), "excel-field-name", 90), (F.col("source_name"), "reference-json", 85),
-             (F.when((derived != "") & (derived != F.col("name")), derived), "derived", 50), (F.col("name"), "unchanged", 0)]
-    pick = F.coalesce(*[F.when(c.isNotNull(), F.struct(c.alias("new_name"), F.lit(s).alias("source"), F.lit(k).alias("confidence"))) for c, s, k in picks])
+    picks = [(F.col("_made"), F.col("_row.source"), F.col("_row.confidence")), (F.col("source_name"), F.lit("reference-json"), F.lit(85)),
+             (F.when((derived != "") & (derived != F.col("name")), derived), F.lit("derived"), F.lit(50)),
+             (F.col("name"), F.lit("unchanged"), F.lit(0))]
+    pick = F.coalesce(*[F.when(c.isNotNull(), F.struct(c.alias("new_name"), s.alias("source"), k.alias("confidence"))) for c, s, k in picks])
     return named.withColumn("_p", pick).select(*widgets.columns, "_p.*")
 
 
