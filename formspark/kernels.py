@@ -103,13 +103,39 @@ def islands(
     slice_by: Column,
     previous: dict[str, Column],
     starts: Column,
+    current: Sequence[str],
     name: str = "island",
 ) -> DataFrame:
-    """Number the runs of each key: a run starts on the first row and wherever
-    ``starts`` holds (it may use the ``previous`` columns, NULL on the first row)."""
-    seen = ordered_scan(df, keys, order, slice_by, previous={**previous, "_seen": F.lit(1)})
-    flagged = seen.withColumn("_start", F.when(F.col("_seen").isNull() | F.coalesce(starts, F.lit(False)), 1).otherwise(0))
-    return ordered_scan(flagged, keys, order, slice_by, running={name: F.col("_start")}).drop("_seen", "_start")
+    """Number the runs of each key: a run starts on the first row and wherever ``starts``
+    holds. ``starts`` may use the ``previous`` columns (NULL on the first row, kept in the
+    result) and the ``current`` columns of the row.
+
+    Rows are compared and counted inside their slice; only the first row of a slice meets
+    the last row of the slice before, in the small table of slice totals.
+    """
+    part = [*keys, "_slice"]
+    inside = Window.partitionBy(*part).orderBy(*order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = F.when(F.coalesce(starts, F.lit(False)), 1).otherwise(0)
+    local = df.withColumn("_slice", slice_by).select(
+        "*", F.row_number().over(inside).alias("_rn"), *[F.lag(c).over(inside).alias(k) for k, c in previous.items()])
+    local = local.withColumn("_start", F.when(F.col("_rn") == 1, 0).otherwise(begins))
+    local = local.withColumn("_runs", F.sum("_start").over(so_far))
+
+    across = Window.partitionBy(*keys).orderBy("_slice")
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    totals = local.groupBy(*part).agg(
+        F.sum("_start").alias("_sum"), *[F.max_by(c, F.col("_rn")).alias(f"_last_{k}") for k, c in previous.items()],
+        *[F.min_by(c, "_rn").alias(f"_now_{c}") for c in current])
+    firsts = totals.select(*part, "_sum", F.row_number().over(across).alias("_sn"), *[F.col(f"_now_{c}").alias(c) for c in current if c not in part],
+                           *[F.lag(f"_last_{k}").over(across).alias(k) for k in previous])
+    firsts = firsts.withColumn("_first", F.when(F.col("_sn") == 1, 1).otherwise(begins))
+    offsets = firsts.select(*part, *[F.col(k).alias(f"_prior_{k}") for k in previous],
+                            (F.coalesce(F.sum(F.col("_sum") + F.col("_first")).over(before), F.lit(0)) + F.col("_first")).alias("_base"))
+    out = local.join(offsets, part)
+    kept = [c for c in df.columns if c != name and c not in previous]
+    return out.select(*kept, *[F.when(F.col("_rn") == 1, F.col(f"_prior_{k}")).otherwise(F.col(k)).alias(k) for k in previous],
+                      (F.col("_base") + F.col("_runs")).alias(name))
 
 
 def ranked_join(

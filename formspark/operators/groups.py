@@ -12,6 +12,7 @@ from formspark.functions import classify as C
 from formspark.functions import paths as P
 from formspark.functions import text as T
 from formspark.kernels import SLICE, first_by, islands, ordered_scan
+from formspark.session import cut_lineage
 
 E = T.text_or_empty
 
@@ -61,6 +62,8 @@ def collapse_runs(rows: DataFrame, keys: Sequence[str] = ("form_id",), size: int
     # a run reaches the row above when its last start is not older than the last row that breaks
     marked = ordered_scan(marked, keys, [F.col("ord")], by_ord(size), carried_before={
         "_ps": F.when(F.col("_s"), F.col("ord")), "_pb": F.when(~F.col("_s") & ~F.col("_c"), F.col("ord"))})
+    # read twice by the numbering below: worked out once
+    marked = cut_lineage(marked)
     absorbed = F.col("_c") & F.col("_ps").isNotNull() & (F.col("_pb").isNull() | (F.col("_ps") > F.col("_pb")))
     heads = marked.withColumn("is_head", ~absorbed)
     out = ordered_scan(heads, keys, [F.col("ord")], by_ord(size), running={"run": F.when(F.col("is_head"), 1).otherwise(0)})
@@ -85,7 +88,7 @@ def collapse_logical(rows: DataFrame, keys: Sequence[str] = ("form_id",), size:
     """Consecutive rows of the same label with a value and no path are one logical row:
     adds run and is_head"""
     same = (T.norm_words("label") == F.col("_prev")) & (E("value") != "") & (E("path") == "")
-    runs = islands(rows, keys, [F.col("ord")], by_ord(size), {"_prev": T.norm_words("label")}, ~same, name="run")
+    runs = islands(rows, keys, [F.col("ord")], by_ord(size), {"_prev": T.norm_words("label")}, ~same, ["label", "value", "path"], name="run")
     first = F.col("_prev").isNull()
     return runs.withColumn("is_head", first | ~F.coalesce(same, F.lit(False))).drop("_prev")
 

@@ -16,6 +16,7 @@ from formspark import constants as K
 from formspark.functions import classify as C
 from formspark.functions import text as T
 from formspark.kernels import carry_above, islands, ordered_scan
+from formspark.session import cut_lineage
 
 E = T.text_or_empty
 BAND = 200
@@ -34,7 +35,7 @@ def visual_order(widgets: DataFrame, keys: Sequence[str] = ("form_id",), tol: fl
     """
     order = [F.col("page"), -F.col("y"), F.col("x"), F.col("ord")]
     starts = (F.col("_pp") != F.col("page")) | (F.col("_py") - F.col("y") > tol)
-    rows = islands(widgets, keys, order, page_slice(), {"_pp": F.col("page"), "_py": F.col("y")}, starts, name="visual_row").drop("_pp", "_py")
+    rows = islands(widgets, keys, order, page_slice(), {"_pp": F.col("page"), "_py": F.col("y")}, starts, ["page", "y"], name="visual_row").drop("_pp", "_py")
     return ordered_scan(rows, keys, [F.col("visual_row"), F.col("x"), F.col("ord")], F.floor(F.col("visual_row") / 1024), number="visual_ord")
 
 
@@ -42,10 +43,10 @@ def merge_adjacent(items: DataFrame, keys: Sequence[str] = ("form_id",), ytol: f
     """Text pieces of one line that touch (gap -2..12) become one piece."""
     order = [F.col("page"), -F.col("y"), F.col("x"), F.col("ord")]
     down = (F.col("_pp") != F.col("page")) | (F.col("_py") - F.col("y") > ytol)
-    lines = islands(items, keys, order, page_slice(), {"_pp": F.col("page"), "_py": F.col("y")}, down, name="line").drop("_pp", "_py")
+    lines = islands(items, keys, order, page_slice(), {"_pp": F.col("page"), "_py": F.col("y")}, down, ["page", "y"], name="line").drop("_pp", "_py")
     space = F.col("x") - F.col("_end")
     pieces = islands(lines, [*keys, "line"], [F.col("x"), F.col("ord")], F.floor(F.col("x") / 1000), {"_end": F.col("x") + F.col("width")},
-                     (space > gap) | (space < -2), name="piece").drop("_end")
+                     (space > gap) | (space < -2), ["x"], name="piece").drop("_end")
     at = F.struct("x", "ord")
     # a piece is a run of touching words on one line of a page: as wide as the page at most
     words = F.transform(F.array_sort(F.collect_list(F.struct("x", "ord", "str"))), lambda w: w["str"])
@@ -185,10 +186,12 @@ def date_groups(widgets: DataFrame, headings: DataFrame, texts: DataFrame, keys:
     parts = widgets.where(F.col("type") == "text").withColumn("part", date_label(F.col("label"))).where(F.col("part").isNotNull())
     by_page = [*keys, "page"]
     lines = islands(parts, by_page, [-F.col("y"), F.col("x"), F.col("ord")], F.floor(-F.col("y") / BAND), {"_py": F.col("y")},
-                    F.col("_py") - F.col("y") > 5, name="line").drop("_py")
+                    F.col("_py") - F.col("y") > 5, ["y"], name="line").drop("_py")
     runs = islands(lines, by_page, [F.col("line"), F.col("x"), F.col("ord")], F.floor(F.col("line") / 1024),
                    {"_pl": F.col("line"), "_end": F.col("x") + F.col("width")},
-                   (F.col("_pl") != F.col("line")) | (F.col("x") - F.col("_end") > 80), name="run").drop("_pl", "_end")
+                   (F.col("_pl") != F.col("line")) | (F.col("x") - F.col("_end") > 80), ["line", "x"], name="run").drop("_pl", "_end")
+    # the runs are read for their heads and again for the result: worked out once
+    runs = cut_lineage(runs)
     at = F.struct("line", "x", "ord")
     heads = runs.groupBy(*by_page, "run").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("ord", "y", "height"), at).alias("f")).where("n > 1")
     heads = heads.select(*by_page, "run", "f.ord", "f.y", "f.height")
@@ -275,7 +278,7 @@ def suffix_by_row(rows: DataFrame, keys: Sequence[str] = ("form_id",), tol: floa
     by = [*keys, "new_name"]
     starts = (F.col("_pp") != F.col("page")) | (F.abs(F.col("_py") - F.col("y")) > tol)
     order = [F.col("page"), -F.col("y"), F.col("ord")]
-    runs = islands(rows, by, order, page_slice(), {"_pp": F.col("page"), "_py": F.col("y")}, starts, name="row_no").drop("_pp", "_py")
+    runs = islands(rows, by, order, page_slice(), {"_pp": F.col("page"), "_py": F.col("y")}, starts, ["page", "y"], name="row_no").drop("_pp", "_py")
     n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     clash = F.col("_n") > 1
     return runs.join(n, by).withColumn("final_name", F.when(clash, F.concat("new_name", F.lit("_"), "row_no")).otherwise(F.col("new_name"))).withColumn(
@@ -347,7 +350,7 @@ def interleave_prefilled(rows: DataFrame, extra: DataFrame, keys: Sequence[str]
 
     rows, extra: form_id, ord, section. Gives (form_id, origin, ord, section, number).
     """
-    runs = islands(rows, keys, [F.col("ord")], F.floor(F.col("ord") / size), {"_prev": E("section")}, F.col("_prev") != E("section"), name="run").drop("_prev")
+    runs = islands(rows, keys, [F.col("ord")], F.floor(F.col("ord") / size), {"_prev": E("section")}, F.col("_prev") != E("section"), ["section"], name="run").drop("_prev")
     heads = runs.groupBy(*keys, "run").agg(F.min_by("section", "ord").alias("_sec")).withColumn("_n", T.norm_compact("_sec"))
     firsts = heads.where(F.col("_n") != "").groupBy(*keys, "_n").agg(F.min("run").alias("run"))
     # distinct section texts of a form meet each other: titles of one form, not its rows

@@ -65,7 +65,7 @@ WITH c AS (SELECT *, role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id
 SELECT conv_id, turn, role, sum(s::INT) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS run FROM c""")
 def speaker_runs(spark, sf):
     c = read(spark, sf, "conversations")
-    out = G.islands(c, ["conv_id"], [F.col("turn")], F.floor(F.col("turn") / 4), {"_prev": F.col("role")}, F.col("_prev") != F.col("role"), name="run")
+    out = G.islands(c, ["conv_id"], [F.col("turn")], F.floor(F.col("turn") / 4), {"_prev": F.col("role")}, F.col("_prev") != F.col("role"), ["role"], name="run")
     return out.select("conv_id", "turn", "role", "run")
 
 

@@ -63,8 +63,8 @@ c AS (SELECT f.form_id, f.page, f.ord AS fo, t.ord AS t_o, t.str, f.x AS fx, f.y
   CASE WHEN f.x - t.x - t.width > 0 AND f.x - t.x - t.width < 200 AND abs(t.y - f.y) < 4 + f.height * 0.5 THEN 'left' WHEN t.y - f.y - f.height > -2 AND t.y - f.y - f.height < 80 AND (abs(t.x - f.x) < 30 OR least(t.x + t.width, f.x + f.width) - greatest(t.x, f.x) > 0) THEN 'above' END AS side
   FROM f JOIN t ON f.form_id = t.form_id AND f.page = t.page WHERE side IS NOT NULL),
 d AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.form_id = c.form_id AND o.page = c.page AND o.ord <> c.fo AND CASE WHEN c.side = 'left' THEN abs(o.y - c.fy) <= c.fh + 4 AND o.x >= c.tx + c.tw AND o.x + o.width <= c.fx ELSE o.y > c.fy + c.fh AND o.y + o.height < c.ty AND abs(o.x - c.fx) < 30 END)),
-s AS (SELECT *, 100.0 - CASE side WHEN 'left' THEN (fx - tx - tw) * 0.4 ELSE greatest(0, ty - fy - fh) * 0.6 END + CASE side WHEN 'left' THEN 10 ELSE 0 END + CASE WHEN ends_with(trim(str), ':') THEN 15 ELSE 0 END - CASE WHEN len(trim(str)) <= 2 THEN 20 ELSE 0 END + CASE WHEN len(trim(str)) BETWEEN 3 AND 40 THEN 5 ELSE 0 END AS score FROM d)
-SELECT f.form_id, f.ord, b.label FROM f LEFT JOIN (SELECT form_id, fo AS ord, regexp_replace(arg_min(trim(str), (-round(score, 9), t_o)), ':$', '') AS label FROM s GROUP BY ALL) b USING (form_id, ord)""")
+s AS (SELECT *, 100::DOUBLE - CASE side WHEN 'left' THEN (fx - tx - tw) * 0.4::DOUBLE ELSE greatest(0, ty - fy - fh) * 0.6::DOUBLE END + CASE side WHEN 'left' THEN 10 ELSE 0 END + CASE WHEN ends_with(trim(str), ':') THEN 15 ELSE 0 END - CASE WHEN len(trim(str)) <= 2 THEN 20 ELSE 0 END + CASE WHEN len(trim(str)) BETWEEN 3 AND 40 THEN 5 ELSE 0 END AS score FROM d)
+SELECT f.form_id, f.ord, b.label FROM f LEFT JOIN (SELECT form_id, fo AS ord, regexp_replace(arg_min(trim(str), (-score, t_o)), ':$', '') AS label FROM s GROUP BY ALL) b USING (form_id, ord)""")
 def detect_labels(spark, sf):
     return L.detect_labels(page_fields(spark, sf).drop("label"), texts(spark, sf)).select("form_id", "ord", "label")
 
@@ -205,7 +205,7 @@ _EXTRA = "SELECT p_brand AS form_id, p_partkey AS ord, CASE p_size % 4 WHEN 0 TH
 WITH n AS (SELECT *, sum(s) OVER (PARTITION BY form_id ORDER BY ord) AS run FROM (SELECT *, CASE WHEN lag(section) OVER (PARTITION BY form_id ORDER BY ord) = section THEN 0 ELSE 1 END AS s FROM {duck(_PDFROWS)})),
 h AS (SELECT DISTINCT form_id, run, strip_accents(lower(section)) AS k FROM n WHERE section <> ''),
 e AS (SELECT x.form_id, x.ord, x.section, min(run) AS run FROM {duck(_EXTRA)} x LEFT JOIN h ON h.form_id = x.form_id AND (contains(k, x.section) OR contains(x.section, k)) GROUP BY ALL)
-SELECT form_id, origin, ord, section, row_number() OVER (PARTITION BY form_id ORDER BY run, z, ord) AS number FROM (SELECT form_id, 'pdf' AS origin, ord, section, run, 0 AS z FROM n UNION ALL SELECT form_id, 'matrix', ord, section, coalesce(run, 1 << 50), 1 FROM e)""")
+SELECT form_id, origin, ord, section, row_number() OVER (PARTITION BY form_id ORDER BY run, z, ord) AS number FROM (SELECT form_id, 'pdf' AS origin, ord, section, run, 0 AS z FROM n UNION ALL SELECT form_id, 'matrix', ord, section, coalesce(run, 1125899906842624), 1 FROM e)""")
 def interleave_prefilled(spark, sf):
     return L.interleave_prefilled(spark_table(spark, sf, _PDFROWS), spark_table(spark, sf, _EXTRA), size=256)
 
