@@ -368,3 +368,16 @@ LABEL_CATALOGS = [
     (r"(?i)tipo\s+(de\s+)?formulario", "tipo formulario"),
 ]
 SYNTHETIC_CATALOGS = {"sexo": ("Sexo (sintético)", [("M", "Masculino"), ("F", "Femenino")])}
+
+# Header patterns of the descriptive matrix layout, in order.
+FLEX_HEADERS = [
+    ("steps", "(?i)pasos"), ("section", "(?i)^secci[oó]n$"), ("pdf_label", r"(?i)nombre\s+en\s+pdf"),
+    ("label", r"(?i)nombre\s+del\s+campo\s+en\s+formulario"), ("data_type", r"(?i)tipo\s+de\s+dato"), ("value", "(?i)^valor$"),
+    ("rule", "(?i)^regla$"), ("required", "(?i)obligatori"), ("product_scope", r"(?i)formulario\s+a\s+visual"),
+    ("visualization", "(?i)visualizaci[oó]n"), ("obs", "(?i)observacion"), ("json_section", "(?i)nombre.*secci[oó]n.*json"),
+    ("json_name", "(?i)nombre.*campo.*json"), ("pdf_field_name", "(?i)nombre.*campo.*pdf$"),
+]
+# Header patterns of the source name column, by preference.
+SOURCE_HEADERS = [r"(?i)nombre\s+interno", "(?i)sourcename", r"(?i)source\s*name", r"(?i)acroform\s+propuesto",
+                  r"(?i)nombre\s+del\s+campo\s+en\s+el\s+pdf", r"(?i)nombre\s+del\s+campo\s+en\s+pdf", "(?i)propuesto",
+                  "(?i)acroform"]

@@ -147,3 +147,28 @@ SELECT concat('F', l_suppkey) AS form_id, CAST(row_number() OVER (PARTITION BY l
   concat('w', l_partkey) AS name, l_linenumber AS page, l_quantity * 12 + l_discount * 100 AS x, l_extendedprice / 100 + l_tax * 10 AS y, 20 + l_linenumber AS width, 8.0 + l_tax * 100 AS height,
   l_returnflag AS flag FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_extendedprice, l_tax, l_returnflag FROM @lineitem) d
 """
+
+# Sheet cells: the parts as rows of spreadsheets. Form = brand, file = type, four sheets each.
+_CELL_COLUMNS = [
+    ("Nombre del campo en formulario", "p_name"),
+    ("Tipo de dato", "CASE WHEN p_size % 2 = 0 THEN 'Texto' ELSE ' Combo ' END"),
+    ("Regla de negocio", "CASE p_size % 5 WHEN 0 THEN 'Si aplica' WHEN 1 THEN 'No aplica' WHEN 2 THEN concat('Máximo ', p_size) WHEN 3 THEN 'según caso' ELSE '' END"),
+    ("Obligatorio", "CASE p_partkey % 4 WHEN 0 THEN 'Sí' WHEN 1 THEN 'no' WHEN 2 THEN 'X' ELSE 'quizás' END"),
+    ("Valor", "CASE p_partkey % 5 WHEN 0 THEN 'Ver catálogo' WHEN 1 THEN '-' ELSE p_brand END"),
+    ("Visualización en formularios", "CASE p_size % 7 WHEN 0 THEN 'Visible si edad >= 18' WHEN 1 THEN '' ELSE 'Disabled' END"),
+    ("Observaciones", "CASE p_partkey % 6 WHEN 0 THEN 'Cuando sea menor' WHEN 1 THEN ' ' ELSE '' END"),
+    ("Formulario a visualizar", "p_type"),
+    ("Nombre del campo en Json", "concat('a.', p_name)"),
+    ("Nombre del campo en PDF", "CASE WHEN p_size % 3 = 0 THEN '' ELSE concat('w', p_partkey) END"),
+]
+_SHEET = """CASE p_size % 4 WHEN 0 THEN 'Campos' WHEN 1 THEN 'Catálogo X' WHEN 2 THEN 'Portada' ELSE 'Formulario Digital Vida' END"""
+_ROWS = f"""SELECT p.*, concat('matriz_', lower(p_type), '.xlsx') AS file, {_SHEET} AS sheet, p_size % 4 AS sheet_ord,
+  CAST(row_number() OVER (PARTITION BY p_brand, p_type, p_size % 4 ORDER BY p_partkey) + 1 AS INT) AS row_idx FROM @part p"""
+_COLUMN = "(SELECT CAST(n_nationkey AS INT) AS c FROM @nation WHERE n_nationkey < 10) k"
+CELLS = (
+    f"SELECT p_brand AS form_id, file, sheet, sheet_ord, 0 AS row_idx, 0 AS col_idx, concat('Matriz ', p_brand) AS value FROM ({_ROWS}) t0 WHERE row_idx = 2"
+    + f" UNION ALL SELECT p_brand, file, sheet, sheet_ord, 1, c, CASE c " + " ".join(f"WHEN {i} THEN '{head}'" for i, (head, _) in enumerate(_CELL_COLUMNS))
+    + f" END FROM ({_ROWS}) t1 JOIN {_COLUMN} ON true WHERE row_idx = 2"
+    + f" UNION ALL SELECT p_brand, file, sheet, sheet_ord, row_idx, c, CASE c " + " ".join(f"WHEN {i} THEN {expr}" for i, (_, expr) in enumerate(_CELL_COLUMNS))
+    + f" END FROM ({_ROWS}) t2 JOIN {_COLUMN} ON true"
+)
