@@ -381,3 +381,19 @@ FLEX_HEADERS = [
 SOURCE_HEADERS = [r"(?i)nombre\s+interno", "(?i)sourcename", r"(?i)source\s*name", r"(?i)acroform\s+propuesto",
                   r"(?i)nombre\s+del\s+campo\s+en\s+el\s+pdf", r"(?i)nombre\s+del\s+campo\s+en\s+pdf", "(?i)propuesto",
                   "(?i)acroform"]
+
+# The hidden header section every built form starts with.
+NEVER_VISIBLE = '{"logic":"and","conditions":[{"fieldId":"field_NEVER_EXISTS","operator":"not_empty"}]}'
+HEADER_SECTION = ("section_encabezado", "Encabezado (oculto)")
+HEADER_FIELDS = [
+    ("codigoTipoFormulario", "Tipo de Formulario", "select"),
+    ("descripcionTipoFormulario", "Descripción Tipo Formulario", "text"),
+    ("codigoTipoTramite", "Tipo de Trámite", "select"),
+    ("descripcionTipoTramite", "Descripción Tipo Trámite", "text"),
+    ("identificadorTransaccionInterno", "Identificador de Transacción", "text"),
+    ("correoElectronico", "Correo Electrónico", "text"),
+    ("codigoProducto", "Código de Producto", "text"),
+    ("descripcionProducto", "Descripción del Producto", "text"),
+    ("nombreCompletoCliente", "Nombre Completo del Cliente", "text"),
+    ("identificadorArchivo", "Identificador de Archivo", "text"),
+]

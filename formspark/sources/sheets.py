@@ -78,7 +78,7 @@ def detect_header(cells: DataFrame, synonyms: dict[str, list[str]] | None = None
     if fallback is None:
         return found
     lost = cells.select(*SHEET).distinct().join(header.select(*SHEET), SHEET, "left_anti")
-    roles = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(i).alias("col_idx")) for i, r in enumerate(fallback)])).alias("p")
+    roles = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(i).alias("col_idx")) for i, r in enumerate(fallback)])).alias("_p")
     return found.unionByName(lost.select(*SHEET, F.lit(0).alias("header_row"), roles).select(*SHEET, "header_row", "_p.role", "_p.col_idx"))
 
 
