@@ -177,19 +177,19 @@ def ranked_join(
 
 
 def carry_above(points: DataFrame, marks: DataFrame, keys: Sequence[str], at: str, slice_by: Column,
-                mark: Column, name: str, ties: Sequence[str] = ()) -> DataFrame:
-    """As-of join: for each point the mark with the greatest ``at`` strictly below the
-    point's ``at`` (``at`` ascends in reading order, so "strictly above on the page" is
-    ``-y``). Of marks at the same place the greatest in ``ties`` wins."""
+                values: dict[str, Column], ties: Sequence[str] = ()) -> DataFrame:
+    """As-of join: for each point and each of ``values`` the value (where it is not NULL) of the
+    mark with the greatest ``at`` strictly below the point's ``at``. (``at`` ascends in reading
+    order: strictly above on a page is a smaller ``-y``.) Of marks at the same place the greatest
+    in ``ties`` wins. All values are carried in one scan."""
     cols = points.columns
     tagged = points.select(*cols, F.lit(0).alias("_kind"), *[F.lit(None).cast(marks.schema[t].dataType).alias(f"_t_{t}") for t in ties])
-    flat = marks.select(*keys, F.col(at).alias(at), F.lit(1).alias("_kind"), *[F.col(t).alias(f"_t_{t}") for t in ties],
-                        mark.alias("_mark"))
+    flat = marks.select(*keys, at, F.lit(1).alias("_kind"), *[F.col(t).alias(f"_t_{t}") for t in ties], *[c.alias(f"_m_{n}") for n, c in values.items()])
     both = tagged.unionByName(flat, allowMissingColumns=True)
     # points sort before marks at the same place, which makes the comparison strict
     order = [F.col(at), F.col("_kind"), *[F.col(f"_t_{t}") for t in ties]]
-    scanned = ordered_scan(both, keys, order, slice_by, carried={name: F.col("_mark")})
-    return scanned.where(F.col("_kind") == 0).select(*cols, name)
+    scanned = ordered_scan(both, keys, order, slice_by, carried={n: F.col(f"_m_{n}") for n in values})
+    return scanned.where(F.col("_kind") == 0).select(*cols, *values)
 
 
 def ancestors(path: Column) -> Column:

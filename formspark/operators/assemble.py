@@ -1,7 +1,7 @@
 """Built form definitions.
 
-Fields stay rows to the end. A document is written as lines: (form_id, line_no, text), whose
-texts in line order are the JSON of the form. Every field and every option is a line of its
+Fields stay rows to the end. A document is written as lines with a sort key, whose texts in
+that order are the JSON of the form. Every field and every option is a line of its
 own, so a form of any size is never gathered in one row, one group or one task.
 """
 
@@ -31,38 +31,40 @@ def _comma(first: Column) -> Column:
     return F.when(first, F.lit("")).otherwise(F.lit(","))
 
 
-def document_lines(forms: DataFrame, sections: DataFrame, fields: DataFrame, options: DataFrame | None = None, tail: str = "",
-                   size: int = SLICE) -> DataFrame:
-    """Lines of the JSON documents of all forms.
+LINE_KEY = ["section_order", "part", "field_order", "item"]
+LAST_ITEM = 1 << 30
+LAST_SECTION = 1 << 60
+
+
+def document_lines(forms: DataFrame, sections: DataFrame, fields: DataFrame, options: DataFrame | None = None, tail: str = "") -> DataFrame:
+    """Lines of the JSON documents of all forms: (form_id, LINE_KEY, text).
 
     forms: form_id
     sections: form_id, section_order (from 1), body (struct of the section's own members)
     fields: form_id, section_order, field_order (from 1), body (struct)
     options: form_id, section_order, field_order, option_no (from 1), body (struct)
     tail: members that follow the sections, as JSON text that starts with a comma
-    """
-    zero, none = F.lit(0).cast("long"), F.lit(0).cast("long")
 
-    def line(df: DataFrame, part: int, section: Column, field: Column, item: Column, text: Column) -> DataFrame:
-        return df.select("form_id", section.cast("long").alias("s"), F.lit(part).alias("p"), field.cast("long").alias("f"), item.cast("long").alias("i"), text.alias("text"))
+    Each table is read once; the texts that open and close a node are two lines of one row.
+    """
+    def lines(df: DataFrame, *made: tuple[int, Column | int, Column | int, Column | int, Column]) -> DataFrame:
+        def number(c: Column | int) -> Column:
+            return (F.lit(c) if isinstance(c, int) else c).cast("long")
+        row = [F.struct(number(s).alias("section_order"), F.lit(p).alias("part"), number(f).alias("field_order"), number(i).alias("item"), t.alias("text"))
+               for p, s, f, i, t in made]
+        return df.select("form_id", F.explode(F.array(*row)).alias("_l")).select("form_id", "_l.*")
 
     sec, fld = F.col("section_order"), F.col("field_order")
-    last = F.lit(1 << 60)
-    head = _open_object(F.to_json("body", _KEEP_NULLS))
-    # parts of a section: 0 its opening, 1 its fields, 2 its closing; of a field: item 0 opens it,
-    # its options follow, the last item closes it
-    out = line(forms, 0, none, zero, zero, F.lit('{"sections":['))
-    out = out.unionAll(line(sections, 0, sec, zero, zero, F.concat(_comma(sec == 1), head, F.lit(',"fields":['))))
-    out = out.unionAll(line(sections, 2, sec, last, last, F.lit("]}")))
+    body = F.to_json("body", _KEEP_NULLS)
+    head = _open_object(body)
+    # parts of a section: 0 opens it, 1 its fields, 2 closes it
+    out = lines(forms, (0, 0, 0, 0, F.lit('{"sections":[')), (3, LAST_SECTION, 0, 0, F.lit("]" + tail + "}")))
+    out = out.unionAll(lines(sections, (0, sec, 0, 0, F.concat(_comma(sec == 1), head, F.lit(',"fields":['))), (2, sec, 0, 0, F.lit("]}"))))
     if options is None:
-        out = out.unionAll(line(fields, 1, sec, fld, zero, F.concat(_comma(fld == 1), F.to_json("body", _KEEP_NULLS))))
-    else:
-        out = out.unionAll(line(fields, 1, sec, fld, zero, F.concat(_comma(fld == 1), head, F.lit(',"options":['))))
-        out = out.unionAll(line(options, 1, sec, fld, F.col("option_no"), F.concat(_comma(F.col("option_no") == 1), F.to_json("body", _KEEP_NULLS))))
-        out = out.unionAll(line(fields, 1, sec, fld, last, F.lit("]}")))
-    out = out.unionAll(line(forms, 3, last, last, last, F.lit("]" + tail + "}")))
-    order = [F.col("s"), F.col("p"), F.col("f"), F.col("i")]
-    return ordered_scan(out, ["form_id"], order, F.struct("s", "p", F.floor(F.col("f") / size)), number="line_no").select("form_id", "line_no", "text")
+        return out.unionAll(lines(fields, (1, sec, fld, 0, F.concat(_comma(fld == 1), body))))
+    out = out.unionAll(lines(fields, (1, sec, fld, 0, F.concat(_comma(fld == 1), head, F.lit(',"options":['))), (1, sec, fld, LAST_ITEM, F.lit("]}"))))
+    no = F.col("option_no")
+    return out.unionAll(lines(options, (1, sec, fld, no, F.concat(_comma(no == 1), body))))
 
 
 # ---- the web form -----------------------------------------------------------------------------

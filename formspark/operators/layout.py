@@ -151,21 +151,28 @@ def detect_sections(texts: DataFrame, widgets: DataFrame, keys: Sequence[str] =
         (F.col("top") <= F.col("y") - 4) & (F.col("y") - F.col("top") <= 30)).groupBy(*keys, "ord").agg(F.max("n").alias("n")).where("n BETWEEN 2 AND 8")
     found = asked.join(over.select(*keys, "ord"), [*keys, "ord"], "left_semi").select(
         *cols, F.lit("").alias("prefix"), T.slugify(T.replace(text, ":$", "")).alias("group_name"), F.lit("fallback").alias("source"))
-    return headings, known.unionByName(found)
+    # both are few next to the texts and are met with the widgets by several operators
+    return cut_lineage(headings), cut_lineage(known.unionByName(found))
 
 
 def _above(points: DataFrame, marks: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
     """nearest mark strictly above the top of each point on its page; the first one on ties"""
     p = points.withColumn("_at", -(F.col("y") + F.col("height")))
     m = marks.withColumn("_at", -F.col("y")).withColumn("_tie", -F.col("ord"))
-    return carry_above(p, m, [*keys, "page"], "_at", F.floor(F.col("_at") / BAND), value, name, ties=["_tie"]).drop("_at")
+    return carry_above(p, m, [*keys, "page"], "_at", F.floor(F.col("_at") / BAND), {name: value}, ties=["_tie"]).drop("_at")
 
 
 def assign_section(widgets: DataFrame, headings: DataFrame, subheadings: DataFrame, keys: Sequence[str] = ("form_id",)) -> DataFrame:
     """Section and subheading of each widget: the nearest heading above it on its page; the
     nearest subheading, not above the heading, within 25 points (60 when it is a fallback)."""
-    h = _above(widgets, headings, keys, F.struct("str", "name", "prefix", "number", "repeatable", "y"), "_h")
-    s = _above(h, subheadings, keys, F.struct("str", "prefix", "group_name", "source", "y"), "_s")
+    # headings and subheadings are carried down the page in one scan
+    def mark(df: DataFrame, name: str, cols: Sequence[str]) -> DataFrame:
+        return df.select(*keys, "page", "ord", "y", F.struct(*cols).alias(name))
+    marks = mark(headings, "_h", ["str", "name", "prefix", "number", "repeatable", "y"]).unionByName(
+        mark(subheadings, "_s", ["str", "prefix", "group_name", "source", "y"]), allowMissingColumns=True)
+    marks = marks.withColumn("_at", -F.col("y")).withColumn("_tie", -F.col("ord"))
+    points = widgets.withColumn("_at", -(F.col("y") + F.col("height")))
+    s = carry_above(points, marks, [*keys, "page"], "_at", F.floor(F.col("_at") / BAND), {"_h": F.col("_h"), "_s": F.col("_s")}, ties=["_tie"]).drop("_at")
     top = F.col("y") + F.col("height")
     within = F.col("_s.y") - top <= F.when(F.col("_s.source") == "whitelist", 25).otherwise(60)
     use = F.col("_s").isNotNull() & (F.col("_h").isNull() | (F.col("_s.y") <= F.col("_h.y"))) & within

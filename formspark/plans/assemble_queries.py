@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from formspark.operators import assemble as A
 from formspark.plans.layout_queries import page_fields, texts
 from formspark.plans.registry import Family
-from formspark.plans.tables import WIDGETS, duck, read, spark_table
+from formspark.plans.tables import WIDGETS, duck, read, spark_table, stored
 
 family = Family()
 
@@ -26,7 +26,7 @@ UNION ALL SELECT form_id, row_number() OVER (PARTITION BY form_id ORDER BY o) +
 
 
 def mapping(spark, sf):
-    return spark_table(spark, sf, MAPPING)
+    return stored(spark_table(spark, sf, MAPPING))
 
 
 @family.query(f"SELECT * FROM {_ORDERED}")
@@ -61,21 +61,21 @@ _DOC = f"""(SELECT form_id, 0 AS s, 0 AS p, 0 AS f, 0 AS i, '{{"sections":[' AS
 UNION ALL SELECT form_id, section_order, 0, 0, 0, CASE WHEN section_order > 1 THEN ',' ELSE '' END || '{{"id":"' || section_id || '","title":"' || title || '","conditionalVisibility":' || {_q('condition')} || ',"order":' || section_order || ',"fields":[' FROM {_ORDERED}
 UNION ALL SELECT form_id, section_order, 2, 0, 0, ']}}' FROM {_ORDERED}
 UNION ALL SELECT f.form_id, section_order, 1, field_order, 0, CASE WHEN field_order > 1 THEN ',' ELSE '' END || '{{"id":"' || id || '","type":"' || type || '","label":"' || label || '","required":' || required || ',"prefillKey":' || {_q('prefill_key')} || ',"options":[' FROM {_FIELDS} f JOIN {_ORDERED} s ON f.form_id = s.form_id AND f.title = s.title
-UNION ALL SELECT f.form_id, section_order, 1, field_order, 100, ']}}' FROM {_FIELDS} f JOIN {_ORDERED} s ON f.form_id = s.form_id AND f.title = s.title
+UNION ALL SELECT f.form_id, section_order, 1, field_order, 1073741824, ']}}' FROM {_FIELDS} f JOIN {_ORDERED} s ON f.form_id = s.form_id AND f.title = s.title
 UNION ALL SELECT f.form_id, section_order, 1, field_order, k, CASE WHEN k > 1 THEN ',' ELSE '' END || '{{"value":"' || k || '","label":"' || k || '"}}' FROM {_FIELDS} f JOIN {_ORDERED} s ON f.form_id = s.form_id AND f.title = s.title, generate_series(1, 31) t(k) WHERE id LIKE '%\\_dia' ESCAPE '\\'
-UNION ALL SELECT form_id, 1000000, 3, 0, 0, '],"validationRules":[],"prefillMappings":[],"version":1}}' FROM {_SEC} GROUP BY 1)"""
+UNION ALL SELECT form_id, 1152921504606846976, 3, 0, 0, '],"validationRules":[],"prefillMappings":[],"version":1}}' FROM {_SEC} GROUP BY 1)"""
 
 
-@family.query(f"SELECT form_id, row_number() OVER (PARTITION BY form_id ORDER BY s, p, f, i) AS line_no, text FROM {_DOC}")
+@family.query(f"SELECT form_id, s AS section_order, p AS part, f AS field_order, i AS item, text FROM {_DOC}")
 def form_documents(spark, sf):
     m = mapping(spark, sf)
-    sections, fields = A.enriched_sections(m, size=2048), A.enriched_fields(m, size=2048)
-    placed = fields.join(sections.select("form_id", "title", "section_order"), ["form_id", "title"])
+    sections = stored(A.enriched_sections(m, size=2048))
+    placed = stored(A.enriched_fields(m, size=2048).join(sections.select("form_id", "title", "section_order"), ["form_id", "title"]))
     sec = sections.select("form_id", "section_order", F.struct(F.col("section_id").alias("id"), "title", F.col("condition").alias("conditionalVisibility"), F.col("section_order").alias("order")).alias("body"))
     fld = placed.select("form_id", "section_order", "field_order", F.struct("id", "type", "label", "required", F.col("prefill_key").alias("prefillKey")).alias("body"))
     opt = placed.select("form_id", "section_order", "field_order", F.posexplode(A.C.date_part_options(F.col("id"))).alias("pos", "o")).select(
         "form_id", "section_order", "field_order", (F.col("pos") + 1).alias("option_no"), F.struct("o.value", "o.label").alias("body"))
-    return A.document_lines(m.select("form_id").distinct(), sec, fld, opt, ',"validationRules":[],"prefillMappings":[],"version":1', size=2048)
+    return A.document_lines(m.select("form_id").distinct(), sec, fld, opt, ',"validationRules":[],"prefillMappings":[],"version":1')
 
 
 _WID = "SELECT concat(c_mktsegment, '-', o_orderstatus) AS form_id, o_orderkey AS ord, CASE o_orderkey % 4 WHEN 0 THEN concat('w.', o_orderkey) WHEN 1 THEN concat('otro', o_orderkey) ELSE concat('W', o_orderkey) END AS name, CASE WHEN o_orderkey % 8 = 1 THEN 'Button' ELSE 'Text' END AS type FROM @orders JOIN @customer ON o_custkey = c_custkey"

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from formspark.operators import layout as L
 from formspark.plans.registry import Family
-from formspark.plans.tables import WIDGETS, duck, read, spark_table
+from formspark.plans.tables import WIDGETS, duck, read, spark_table, stored
 
 family = Family()
 W = duck(WIDGETS)
 
 
 def widgets(spark, sf):
-    return spark_table(spark, sf, WIDGETS)
+    return stored(spark_table(spark, sf, WIDGETS))
 
 
 @family.query(f"""
@@ -33,7 +33,7 @@ T = duck(TEXTS)
 
 
 def texts(spark, sf):
-    return spark_table(spark, sf, TEXTS)
+    return stored(spark_table(spark, sf, TEXTS))
 
 
 @family.query(f"""
@@ -53,7 +53,7 @@ FD = duck(FIELDS)
 
 
 def page_fields(spark, sf):
-    return spark_table(spark, sf, FIELDS)
+    return stored(spark_table(spark, sf, FIELDS))
 
 
 @family.query(f"""
@@ -224,4 +224,4 @@ def events_after_signup(spark, sf):
     points = e.where("event_type <> 'signup'").select("event_id", "user_id", "ts")
     marks = e.where("event_type = 'signup'").select("user_id", "ts", F.col("event_id").alias("signup"))
     from formspark.kernels import carry_above
-    return carry_above(points, marks, ["user_id"], "ts", F.to_date("ts"), F.col("signup"), "heading").select("event_id", "user_id", "heading")
+    return carry_above(points, marks, ["user_id"], "ts", F.to_date("ts"), {"heading": F.col("signup")}).select("event_id", "user_id", "heading")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from formspark.operators import json_paths as J
 from formspark.operators.rules import RULES, Model, audit, checks, finding_order, form_rules, run_rules, with_titles
 from formspark.plans.registry import Family
-from formspark.plans.tables import FORM_FIELDS, FORM_WIDGETS, duck, spark_table
+from formspark.plans.tables import FORM_FIELDS, FORM_WIDGETS, duck, spark_table, stored
 
 family = Family()
 FF = duck(FORM_FIELDS)
@@ -18,6 +18,11 @@ def model(spark, sf) -> Model:
     return Model(spark_table(spark, sf, FORM_FIELDS), spark_table(spark, sf, FORM_WIDGETS))
 
 
+def stored_model(spark, sf) -> Model:
+    """for runs of many rules, which read the fields many times"""
+    return Model(stored(spark_table(spark, sf, FORM_FIELDS)), stored(spark_table(spark, sf, FORM_WIDGETS)))
+
+
 def _sql(rule: str, source: str, field: str = "id", subject: str = "NULL", path: str = "NULL") -> str:
     from formspark.operators.rules.registry import TITLES
     return (f"SELECT form_id, '{rule}' AS rule, '{TITLES[rule][0]}' AS severity, {field} AS field_id, {subject}::VARCHAR AS subject, {path}::VARCHAR AS path "
@@ -89,7 +94,7 @@ for _rule in SQL:
 
 @family.query("SELECT rule, severity, count(*) AS n FROM (" + " UNION ALL ".join(SQL.values()) + ") GROUP BY ALL")
 def rule_summary(spark, sf):
-    findings = run_rules(model(spark, sf))
+    findings = run_rules(stored_model(spark, sf))
     return with_titles(finding_order(findings)).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -99,14 +104,14 @@ _OUT = f"""(SELECT form_id, ord, main AS path, id AS field_id, false AS secondar
   UNION ALL SELECT form_id, ord, main || '[0].' || s, id || '.' || s, false, type, json_value FROM {_P}, unnest(['n', 'm']) t(s) WHERE has_repeater AND main IS NOT NULL)"""
 
 
-def _outputs(spark, sf):
+def _outputs(m: Model):
     subs = F.when(F.col("has_repeater"), F.array(F.lit("n"), F.lit("m")))
-    return J.output_paths(model(spark, sf).fields.withColumn("repeater_subfields", subs))
+    return J.output_paths(m.fields.withColumn("repeater_subfields", subs))
 
 
 @family.query(f"SELECT form_id, path, count(*) AS writers, bool_or(secondary) AS secondary, arg_min(field_id, (ord, field_id)) AS first_field, count(nullif(json_value, '')) AS n_values FROM {_OUT} GROUP BY ALL")
 def output_paths(spark, sf):
-    return J.path_summary(_outputs(spark, sf))
+    return J.path_summary(_outputs(model(spark, sf)))
 
 
 @family.query(f"""SELECT form_id, ord, id AS field_id, trim(CASE WHEN contains(k, '==') THEN split_part(k, '==', 1) ELSE k END) AS path, CASE WHEN contains(k, '==') THEN '==' || split_part(k, '==', 2) END AS condition
@@ -131,7 +136,8 @@ SELECT a.form_id, a.path, min(b.path) AS child FROM w a LEFT JOIN r ON a.form_id
 UNION ALL SELECT form_id, 'C1', 'critical', NULL, child, path FROM {_CONFLICT}
 UNION ALL SELECT form_id, 'C2', 'warning', id, NULL, NULL FROM {_P} WHERE main IS NULL AND NOT exclude AND type NOT IN ('header', 'paragraph')""")
 def form_audit(spark, sf):
-    m, outputs = model(spark, sf), _outputs(spark, sf)
+    m = stored_model(spark, sf)
+    outputs = _outputs(m)
     main = F.coalesce(F.nullif("salida_json", F.lit("")), F.nullif("json_output_path", F.lit("")))
     repeaters = m.fields.where(F.col("has_repeater") & main.isNotNull()).select("form_id", main.alias("path"))
     return audit(m, J.path_prefix_conflict(outputs, repeaters), J.no_output(m.fields))
@@ -154,7 +160,7 @@ UNION ALL SELECT form_id, 'V5', id, checked_pdf_value FROM {FF} WHERE type = 'ch
 UNION ALL SELECT form_id, 'V6', id || '.condition_visibility', 'invalid JSON' FROM {FF} WHERE condition_visibility = 'oops'
 UNION ALL SELECT form_id, 'V6', id || '.condition_visibility', 'benef_nombre' FROM {FF} WHERE condition_visibility LIKE '%"benef_nombre"%'""")
 def definition_checks(spark, sf):
-    m = model(spark, sf)
+    m = stored_model(spark, sf)
     return _union(checks.source_names_exist(m.fields, m.widgets), checks.id_convention(m.fields), checks.duplicate_ids(m.fields),
                   checks.unpainted_names(m.fields, m.widgets), checks.checkbox_values(m.fields), checks.condition_format(m.fields))
 

@@ -8,7 +8,7 @@ from formspark import constants as K
 from formspark.operators import scoring as S
 from formspark.plans.join_queries import slug
 from formspark.plans.registry import Family
-from formspark.plans.tables import CELLS, duck, read, spark_table
+from formspark.plans.tables import CELLS, duck, read, spark_table, stored
 from formspark.sources import files as FS
 from formspark.sources import sheets as SH
 
@@ -18,7 +18,7 @@ KEY = ["form_id", "file", "sheet"]
 
 
 def cells(spark, sf):
-    return spark_table(spark, sf, CELLS)
+    return stored(spark_table(spark, sf, CELLS))
 
 
 # ---- reading sheets --------------------------------------------------------------------

@@ -11,9 +11,18 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from formspark.session import cut_lineage, spread_scan
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread_scan(df, df.columns[0])
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """An adapter's rows as a table of their own, as the corpus tables would be: operators that
+    read a table several times then do not run the adapter several times."""
+    return cut_lineage(df)
 
 
 def spark_table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

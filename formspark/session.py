@@ -46,3 +46,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     return df.checkpoint(eager=True)
+
+
+def spread_scan(df: DataFrame, key: str, at_least: int = 1 << 20) -> DataFrame:
+    """Spread a scan with fewer splits than the cluster has cores.
+
+    A file of one row group is one split however long the work on its rows is. Nothing is
+    moved where the scan is wide enough already (the usual case on a cluster) or small.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < at_least or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)

@@ -50,7 +50,7 @@ def test_no_window_over_a_whole_key(rows):
 def test_carry_above_is_strict(spark, size):
     points = spark.createDataFrame([("f", 10.0, 1), ("f", 20.0, 2), ("f", 5.0, 3), ("g", 50.0, 4)], "k string, at double, id int")
     marks = spark.createDataFrame([("f", 10.0, "a", 1), ("f", 10.0, "b", 2), ("f", 4.0, "c", 3)], "k string, at double, m string, ord int")
-    got = carry_above(points, marks, ["k"], "at", F.floor(F.col("at") / size), F.col("m"), "m", ties=["ord"])
+    got = carry_above(points, marks, ["k"], "at", F.floor(F.col("at") / size), {"m": F.col("m")}, ties=["ord"])
     assert {r.id: r.m for r in got.collect()} == {1: "c", 2: "b", 3: "c", 4: None}
 
 
