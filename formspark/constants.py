@@ -397,3 +397,9 @@ HEADER_FIELDS = [
     ("nombreCompletoCliente", "Nombre Completo del Cliente", "text"),
     ("identificadorArchivo", "Identificador de Archivo", "text"),
 ]
+
+# Repeated blocks of an entity.
+ENTITY_REPEATERS = {
+    "dep": ("Dependiente", "Dependientes", 5, "datosFormulario.personas"),
+    "benef": ("Beneficiario", "Beneficiarios", 4, "datosFormulario.beneficiarios"),
+}

@@ -459,3 +459,38 @@ def condition_text(rule: Column, obs: Column) -> Column:
             .when(n.rlike(equals), F.concat(F.lit("Si "), cap(equals, 1), F.lit(" = "), cap(equals, 2))).otherwise(F.lit("")))
 
 
+
+
+# ---- rows of one PDF -------------------------------------------------------------------------
+
+_PRODUCTS = [(r"(?i)vida\s*colectiva", "vida colectiva"), (r"(?i)protecci.n\s*credit|(?i)creditic", "protección crediticia"), (r"(?i)vida\s*universal", "vida universal")]
+
+
+def product_of_file(name: Column | str) -> Column:
+    return first_match(F.lower(text_or_empty(name)), _PRODUCTS, F.lit(None).cast("string"))
+
+
+def name_for_product(pdf_label: Column | str, file: Column | str) -> Column:
+    """the part of "Product: name / Product: name" that is meant for the file's product; a
+    text without a part for it stays as it is"""
+    label, low = text_or_empty(pdf_label), F.lower(text_or_empty(file))
+    parts = F.split(label, "/")
+    rules = [r"(?i)vida\s*colectiva", r"(?i)protecci.n\s*credit", r"(?i)vida\s*universal"]
+
+    def own(p: Column) -> Column:
+        hit = F.lit(False)
+        for rx in rules:
+            hit = hit | (low.rlike(rx) & p.rlike(rx))
+        return hit
+
+    mine = F.get(F.filter(parts, own), F.lit(0))
+    return F.when(label.contains("/") & mine.isNotNull(), trim(replace(trim(mine), r"^.*?:\s*", ""))).otherwise(label)
+
+
+def printed_in(pdf_label: Column | str, scope: Column | str, file: Column | str) -> Column:
+    """whether a row is printed in the PDF of this name: for its product, and not marked as
+    left out"""
+    product, form = product_of_file(file), F.lower(text_or_empty(scope))
+    other = product.isNotNull() & (form != "") & (form != "todos") & ~form.contains(product)
+    name = name_for_product(pdf_label, file)
+    return ~F.coalesce(other, F.lit(False)) & (name != "") & ~name.rlike("(?i)no se llena")

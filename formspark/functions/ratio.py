@@ -1,0 +1,20 @@
+"""The one similarity Spark has no expression for. (Type hints here must be real types: Spark
+reads them to pick the Arrow batch format.)"""
+
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql.functions import pandas_udf
+
+from formspark.functions.text import norm_words
+
+
+@pandas_udf("double")
+def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left, right)])
+
+
+def seq_ratio(a: Column | str, b: Column | str) -> Column:
+    """share of matching blocks of the two normalised texts, 0 when either is blank"""
+    return _ratio(norm_words(a), norm_words(b))

@@ -251,3 +251,63 @@ def mapping_rows(widgets: DataFrame, texts: DataFrame, keys: Sequence[str] = ("f
     return out.select(*keys, "ord", F.coalesce("heading", F.lit("")).alias("section_pdf"), F.col("name").alias("acro_actual"), F.col("final_name").alias("acro_proposed"),
                       F.col("context_label").alias("label"), F.when(F.col("type") == "text", F.lit("Tx")).otherwise(F.lit("Btn")).alias("native_type"),
                       "group_name", (F.col("page") + 1).alias("page"))
+
+
+def group_fields(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """Form fields of name groups: a simple name is a field, each member of a radio group a
+    radio, an entity's repeaters one repeater, another repeater its own, a lookup a repeater
+    of its catalog and a check box per member.
+
+    groups: form_id, group_key, kind, group_name, entity, label, path, section, ord
+    members: form_id, group_key, ord, source_name
+    Gives form_id, ord, id, type, label, section, source_name, radio_group, slot_pattern,
+    json_pattern, max_items, lookup (what a check box looks up).
+    """
+    none = F.lit(None).cast("string")
+    named = members.join(groups.drop("ord"), ["form_id", "group_key"])
+    sn = F.col("source_name")
+    label = T.or_else(E("label"), F.col("group_name"))
+    path = T.or_else(E("path"), F.concat(F.lit("datosFormulario."), F.col("group_name")))
+    mark = P.option_suffix(sn)
+    needle = T.humanize(F.substring(P.strip_option(sn), F.length(C.lookup_prefix(sn)) + 1, F.length(sn)))
+    quoted = F.when(needle.rlike("[,()/]"), F.concat(F.lit('"'), needle, F.lit('"'))).otherwise(needle)
+    found = F.when(mark == "Si", F.lit("X")).otherwise(F.lit(""))
+    lost = F.when(mark == "Si", F.lit("")).otherwise(F.lit("X"))
+    lookup = F.to_json(F.struct(F.lit("repeaterLookup").alias("type"), F.concat(F.lit("field_"), "group_name").alias("repeaterId"), quoted.alias("needle"),
+                                found.alias("ifFound"), lost.alias("ifNotFound")))
+    one = F.lit(None).cast("int")
+    flat = named.where(F.col("kind") != "repeater").select(
+        "form_id", "ord", F.concat(F.lit("field_"), sn).alias("id"),
+        F.when(F.col("kind") == "radio", F.lit("radio")).when(F.col("kind") == "lookup", F.lit("checkbox")).otherwise(F.lit("text")).alias("type"),
+        F.when(F.col("kind") == "lookup", T.or_else(needle, label)).otherwise(label).alias("label"), "section", sn.alias("source_name"),
+        F.when(F.col("kind") == "radio", F.col("group_name")).alias("radio_group"), none.alias("slot_pattern"), none.alias("json_pattern"), one.alias("max_items"),
+        F.when(F.col("kind") == "lookup", lookup).alias("lookup"))
+    # repeaters: per entity, or alone
+    rep = named.where(F.col("kind") == "repeater").withColumn("_e", F.coalesce(*[F.when(F.col("group_name").startswith(e), F.lit(e)) for e in K.ENTITY_REPEATERS]))
+    top = rep.groupBy("form_id", F.coalesce("_e", "group_name").alias("_r"), "_e").agg(
+        F.min("ord").alias("ord"), F.max(P.index_of("source_name")).alias("_top"), F.min_by(F.struct("section", label.alias("label"), path.alias("path")), "ord").alias("_g"))
+    info = {e: (plural, most, where) for e, (_, plural, most, where) in K.ENTITY_REPEATERS.items()}
+
+    def known(i: int) -> Column:
+        return F.coalesce(*[F.when(F.col("_e") == e, F.lit(v[i])) for e, v in info.items()])
+
+    entity = F.col("_e").isNotNull()
+    repeaters = top.select(
+        "form_id", "ord", F.concat(F.lit("field_"), "_r").alias("id"), F.lit("repeater").alias("type"), F.coalesce(known(0), F.col("_g.label")).alias("label"),
+        F.col("_g.section").alias("section"), none.alias("source_name"), none.alias("radio_group"),
+        F.when(entity, F.concat("_r", F.lit("{sub}[{i0}]"))).otherwise(F.concat("_r", F.lit("[{i0}]"))).alias("slot_pattern"),
+        F.when(entity, F.concat(known(2), F.lit("[{i0}].{sub}"))).otherwise(F.concat(F.col("_g.path"), F.lit("[{i0}]"))).alias("json_pattern"),
+        F.coalesce(known(1), F.col("_top") + 1).cast("int").alias("max_items"), none.alias("lookup"))
+    catalogs = named.where(F.col("kind") == "lookup").groupBy("form_id", "group_name").agg(
+        F.min("ord").alias("ord"), F.count(F.lit(1)).cast("int").alias("_n"), F.min_by(F.struct("section", label.alias("label"), path.alias("path")), "ord").alias("_g")).select(
+        "form_id", "ord", F.concat(F.lit("field_"), "group_name").alias("id"), F.lit("repeater").alias("type"), F.col("_g.label").alias("label"), F.col("_g.section").alias("section"),
+        none.alias("source_name"), none.alias("radio_group"), none.alias("slot_pattern"), F.col("_g.path").alias("json_pattern"), F.col("_n").alias("max_items"), none.alias("lookup"))
+    return flat.unionByName(repeaters).unionByName(catalogs)
+
+
+def with_unused(fields: DataFrame, known: DataFrame) -> DataFrame:
+    """built fields and, hidden, the known source names none of them carries"""
+    used = fields.where(F.col("source_name").isNotNull()).select("form_id", "source_name").distinct()
+    rest = known.select("form_id", "source_name").distinct().join(used, ["form_id", "source_name"], "left_anti")
+    hidden = rest.select("form_id", F.concat(F.lit("field_"), "source_name").alias("id"), "source_name", F.lit(True).alias("hidden"))
+    return fields.withColumn("hidden", F.lit(False)).unionByName(hidden, allowMissingColumns=True)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from formspark.functions import paths as P
 from formspark.functions.text import replace, text_or_empty, trim
-from formspark.kernels import ancestors, suffixes
+from formspark.kernels import ancestors, ordered_scan, suffixes
 
 MAX_DEPTH = 12
 
@@ -331,3 +331,52 @@ def condition_ids(c: Column) -> Column:
 
 def parse_concat(c: Column) -> Column:
     return F.from_json(c, _CONCAT)
+
+
+# ---- sample documents -----------------------------------------------------------------------
+
+def _steps(path: Column) -> Column:
+    """A path as steps into containers: a key of an object, or an index of an array (an open
+    index is 0). Steps compare in document order."""
+    def of(seg: Column) -> Column:
+        key = F.when(seg["key"].isNotNull(), F.struct(F.lit("k").alias("kind"), seg["key"].alias("key"), F.lit(0).alias("at")))
+        index = F.when(seg["index"].isNotNull(), F.struct(F.lit("i").alias("kind"), F.lit("").alias("key"), F.greatest(seg["index"], F.lit(0)).alias("at")))
+        return F.array_compact(F.array(key, index))
+    return F.flatten(F.transform(P.parse_path(path), of))
+
+
+def sample_tree_lines(samples: DataFrame, keys: Sequence[str] = ("form_id",)) -> DataFrame:
+    """The sample document of a form as lines in document order: (keys, steps, text).
+
+    ``samples`` are (keys, path, value), one row per written path, without container
+    conflicts. Each line closes what the line before left open, opens what its own path needs
+    and writes its value; holes of arrays are null. A line only looks at the one before it, so
+    the document is never gathered.
+    """
+    rows = samples.select(*keys, _steps(F.col("path")).alias("steps"), "value").where(F.size("steps") > 0)
+    rows = rows.groupBy(*keys, "steps").agg(F.min("value").alias("value"))
+    seen = ordered_scan(rows, keys, [F.col("steps")], F.slice("steps", 1, 3), previous={"_prev": F.col("steps")})
+    joined = seen.withColumn("_same", F.when(F.col("_prev").isNull(), F.lit(0)).otherwise(F.aggregate(
+        F.sequence(F.lit(0), F.least(F.size("steps"), F.size("_prev")) - 1), F.lit(0),
+        lambda n, i: F.when((n == i) & (F.get("steps", i) == F.get("_prev", i)), n + 1).otherwise(n))))
+    same = F.col("_same")
+
+    def closers(steps: Column, down_to: Column) -> Column:
+        """ends of the containers entered by the steps after ``down_to``, innermost first"""
+        inner = F.slice(steps, down_to + 1, F.greatest(F.size(steps) - down_to, F.lit(0)))
+        return F.array_join(F.reverse(F.transform(inner, lambda s: F.when(s["kind"] == "k", F.lit("}")).otherwise(F.lit("]")))), "")
+
+    def label(step: Column, holes: Column) -> Column:
+        quoted = F.regexp_replace(F.to_json(F.array(step["key"])), r"^\[|\]$", "")
+        return F.when(step["kind"] == "k", F.concat(quoted, F.lit(":"))).otherwise(F.repeat(F.lit("null,"), holes))
+
+    first = F.get("steps", same)
+    holes = F.when(F.col("_prev").isNull(), first["at"]).otherwise(first["at"] - F.get("_prev", same)["at"] - 1)
+    deeper = F.slice("steps", same + 2, F.greatest(F.size("steps") - same - 1, F.lit(0)))
+    opened = F.array_join(F.transform(deeper, lambda s: F.concat(
+        F.when(s["kind"] == "k", F.lit("{")).otherwise(F.lit("[")), label(s, s["at"]))), "")
+    value = F.regexp_replace(F.to_json(F.array("value"), {"ignoreNullFields": "false"}), r"^\[|\]$", "")
+    start = F.when(F.col("_prev").isNull(), F.lit("{")).otherwise(F.concat(closers(F.col("_prev"), same + 1), F.lit(",")))
+    lines = joined.select(*keys, F.lit(0).alias("part"), "steps", F.concat(start, label(first, F.greatest(holes, F.lit(0))), opened, value).alias("text"))
+    ends = rows.groupBy(*keys).agg(F.max("steps").alias("steps"))
+    return lines.unionAll(ends.select(*keys, F.lit(1), "steps", closers(F.col("steps"), F.lit(0))))

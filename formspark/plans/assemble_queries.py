@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from formspark.operators import assemble as A
 from formspark.plans.layout_queries import page_fields, texts
+from formspark.operators import groups as G
+from formspark.plans.group_queries import _N, NAMES
 from formspark.plans.registry import Family
 from formspark.plans.tables import WIDGETS, duck, read, spark_table, stored
 
@@ -142,6 +144,32 @@ def web_sections(spark, sf):
     return A.web_section(s).select("form_id", "section_order", "body.id", "body.title")
 
 
+# Name groups of widgets, with labels and paths.
+_GM = f"(SELECT *, kind || ':' || CASE kind WHEN 'lookup' THEN 'enf' ELSE group_name END AS group_key FROM {_N})"
+
+
+@family.query(f"""
+WITH m AS (SELECT *, CASE WHEN group_name LIKE 'dep%' THEN 'dep' WHEN group_name LIKE 'benef%' THEN 'benef' END AS e, regexp_extract(source_name, '\\[(\\d+)\\]$', 1) AS i, regexp_extract(source_name, '(NoAplica|Si|No)$', 1) AS mark FROM {_GM})
+SELECT form_id, ord, 'field_' || source_name AS id, CASE kind WHEN 'radio' THEN 'radio' WHEN 'lookup' THEN 'checkbox' ELSE 'text' END AS type, CASE kind WHEN 'lookup' THEN replace(regexp_replace(source_name, '_?(NoAplica|Si|No)$', ''), 'enf', '') ELSE group_name END AS label, source_name,
+  CASE WHEN kind = 'radio' THEN group_name END AS radio_group, NULL AS slot_pattern, NULL AS json_pattern, NULL AS max_items,
+  CASE WHEN kind = 'lookup' THEN '{{"type":"repeaterLookup","repeaterId":"field_enfermedades","needle":"' || replace(regexp_replace(source_name, '_?(NoAplica|Si|No)$', ''), 'enf', '') || '","ifFound":"' || CASE mark WHEN 'Si' THEN 'X' ELSE '' END || '","ifNotFound":"' || CASE mark WHEN 'Si' THEN '' ELSE 'X' END || '"}}' END AS lookup FROM m WHERE kind <> 'repeater'
+UNION ALL SELECT form_id, min(ord), 'field_' || coalesce(e, group_name), 'repeater', CASE e WHEN 'dep' THEN 'Dependientes' WHEN 'benef' THEN 'Beneficiarios' ELSE coalesce(e, group_name) END, NULL, NULL, CASE WHEN e IS NULL THEN group_name || '[{{i0}}]' ELSE e || '{{sub}}[{{i0}}]' END,
+  CASE e WHEN 'dep' THEN 'datosFormulario.personas[{{i0}}].{{sub}}' WHEN 'benef' THEN 'datosFormulario.beneficiarios[{{i0}}].{{sub}}' ELSE 'datosFormulario.' || group_name || '[{{i0}}]' END, CASE e WHEN 'dep' THEN 5 WHEN 'benef' THEN 4 ELSE max(i::INT) + 1 END, NULL
+  FROM (SELECT * REPLACE (CASE WHEN e IS NULL THEN group_name END AS group_name) FROM m WHERE kind = 'repeater') GROUP BY form_id, e, group_name
+UNION ALL SELECT form_id, min(ord), 'field_enfermedades', 'repeater', 'enfermedades', NULL, NULL, NULL, 'datosFormulario.enfermedades', count(*), NULL FROM m WHERE kind = 'lookup' GROUP BY form_id""")
+def group_fields(spark, sf):
+    g = G.name_groups(stored(spark_table(spark, sf, NAMES)))
+    groups = G.canonical_groups(stored(spark_table(spark, sf, NAMES))).select("form_id", "group_key", "kind", "group_name", "entity", F.lit("").alias("label"), F.lit("").alias("path"), "section", "ord")
+    return A.group_fields(groups, g.select("form_id", "group_key", "ord", "source_name")).drop("section")
+
+
+@family.query(f"""SELECT form_id, 'field_' || source_name AS id, source_name, false AS hidden FROM {duck(NAMES)} WHERE ord % 3 = 0 UNION ALL SELECT DISTINCT form_id, 'field_' || source_name, source_name, true FROM {duck(NAMES)} WHERE (form_id, source_name) NOT IN (SELECT (form_id, source_name) FROM {duck(NAMES)} WHERE ord % 3 = 0)""")
+def unused_kept_hidden(spark, sf):
+    n = spark_table(spark, sf, NAMES)
+    built = n.where("ord % 3 = 0").select("form_id", F.concat(F.lit("field_"), "source_name").alias("id"), "source_name")
+    return A.with_unused(built, n)
+
+
 @family.query()
 def page_mapping_rows(spark, sf):
     """rows only: a composition of operators that each have their own SQL"""

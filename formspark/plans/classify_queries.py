@@ -334,3 +334,18 @@ def search_documents(spark, sf):
     return d.where(C.search_filter(F.concat_ws(" ", "source", "lang", "text"), " UND der ")).select("doc_id", "source", "lang")
 
 
+
+
+@family.query("""
+WITH c AS (SELECT *, c_custkey % 4 AS k, c_nationkey % 3 AS f FROM customer), d AS (SELECT *, CASE f WHEN 0 THEN 'vida colectiva' WHEN 1 THEN 'vida universal' END AS product,
+  CASE WHEN k = 0 AND f = 0 THEN c_name WHEN k = 0 AND f = 1 THEN 'no se llena' WHEN k = 0 THEN 'Vida Colectiva: ' || c_name || ' / Vida universal: no se llena' WHEN k = 1 THEN 'a/b' WHEN k = 2 THEN '' ELSE 'No se llena en PDF' END AS shown,
+  CASE c_custkey % 5 WHEN 0 THEN 'todos' WHEN 1 THEN 'vida universal' ELSE '' END AS scope FROM c)
+SELECT c_custkey, product, shown, NOT (product IS NOT NULL AND scope = 'vida universal' AND product <> scope) AND shown <> '' AND NOT shown ILIKE '%no se llena%' AS printed FROM d""")
+def rows_of_a_pdf(spark, sf):
+    k = F.col("c_custkey") % 4
+    label = (F.when(k == 0, F.concat(F.lit("Vida Colectiva: "), "c_name", F.lit(" / Vida universal: no se llena"))).when(k == 1, "a/b").when(k == 2, "").otherwise("No se llena en PDF"))
+    f = F.col("c_nationkey") % 3
+    file = F.when(f == 0, "1009052 Vida  Colectiva.pdf").when(f == 1, "VidaUniversal_2.pdf").otherwise("otro.pdf")
+    scope = F.when(F.col("c_custkey") % 5 == 0, "Todos").when(F.col("c_custkey") % 5 == 1, "Vida Universal").otherwise("")
+    return read(spark, sf, "customer").select("c_custkey", C.product_of_file(file).alias("product"), C.name_for_product(label, file).alias("shown"),
+                                              C.printed_in(label, scope, file).alias("printed"))

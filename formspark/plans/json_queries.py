@@ -198,3 +198,14 @@ def formdef_fields(spark, sf):
     return fields.select("form_id", F.array_join("section_path", " / ").alias("section_path"), "section_id", "in_repeater", "hidden_effective",
                          "id", "label", "type", F.col("salidaJSON").alias("salida"), F.col("jsonOutputPath").alias("output"), "source_name",
                          by_form.alias("pos"))
+
+
+# Sample values at the paths a form writes. Form = brand.
+SAMPLES = f"""SELECT form_id, concat('a', p_size % 3, '.b[', p_size % 4, '].', CASE WHEN p_size % 2 = 0 THEN 'x' ELSE 'y[]' END, '.', lower(substring(data_type, 1, 1)), '[', ord % 3, '][', p_size % 2, ']') AS path, concat('<', ord, '>') AS value FROM ({MATRIX}) m"""
+
+
+@family.query()
+def sample_tree(spark, sf):
+    """rows only: the lines are checked to be JSON with the values at their paths in the tests"""
+    return J.sample_tree_lines(spark_table(spark, sf, SAMPLES)).select(
+        "form_id", "part", F.to_json("steps").alias("steps"), "text")

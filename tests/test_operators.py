@@ -235,3 +235,52 @@ def test_written_documents_keep_their_lines(spark, tmp_path):
 def test_field_positions_round_half_up(spark):
     w = spark.createDataFrame([("f", "a", 0, 1.5, 2.5, 3.4, 0.5), ("f", "b", None, None, None, None, None)], "form_id string, name string, page int, x double, y double, width double, height double")
     assert rows(A.field_positions(w), "source_name", "page", "x_int", "y_int", "height_int") == [("a", 1, 2, 3, 1), ("b", 1, 0, 0, 0)]
+
+
+# ---- sample documents ------------------------------------------------------------------------------
+
+def put(node, steps, value):
+    """reference meaning of a sample path, on plain Python values"""
+    for i, s in enumerate(steps):
+        key = s["key"] if s["kind"] == "k" else s["at"]
+        while isinstance(node, list) and len(node) <= key:
+            node.append(None)
+        if i == len(steps) - 1:
+            node[key] = value
+            return
+        fresh = {} if steps[i + 1]["kind"] == "k" else []
+        if (node.get(key) if isinstance(node, dict) else node[key]) is None:
+            node[key] = fresh
+        node = node[key]
+
+
+def test_sample_tree_lines_are_the_document(spark):
+    paths = {"a.b[2].c": "1", "a.b[0].c": "2", "a.b[2].d[]": "3", "a.z": None, "q[1][0]": "4", "q[1][3]": "5", 'w"x.y': 'v"w', "a.b[0].a": "6"}
+    df = spark.createDataFrame([("f", p, v) for p, v in paths.items()], "form_id string, path string, value string")
+    lines = sorted(P.sample_tree_lines(df).collect(), key=lambda r: (r.part, [tuple(s) for s in r.steps]))
+    want = {}
+    for p, v in paths.items():
+        put(want, [s.asDict() for s in df.where(F.col("path") == p).select(P._steps(F.col("path")).alias("s")).first().s], v)
+    assert json.loads("".join(r.text for r in lines)) == want
+
+
+def test_registered_sample_tree(spark):
+    from formspark.plans.json_queries import family
+    forms = {}
+    for r in family.queries["sample_tree"](spark, SF).collect():
+        forms.setdefault(r.form_id, []).append((r.part, [(s["kind"], s["key"], s["at"]) for s in json.loads(r.steps)], r.text))
+    for lines in forms.values():
+        want = {}
+        for part, steps, text in lines:
+            if part == 0:
+                put(want, [dict(zip(("kind", "key", "at"), s)) for s in steps], text.rsplit('"', 2)[-2])
+        assert json.loads("".join(t for _, _, t in sorted(lines))) == want
+
+
+def test_sequence_ratio(spark):
+    from difflib import SequenceMatcher
+
+    from formspark.functions.ratio import seq_ratio
+    df = spark.createDataFrame([("Número de póliza", "poliza numero"), ("", "x"), ("abc", "abc")], "a string, b string")
+    got = [r.s for r in df.select(seq_ratio(F.col("a"), F.col("b")).alias("s")).collect()]
+    assert got == [SequenceMatcher(None, "numero de poliza", "poliza numero").ratio(), 0.0, 1.0]
