@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formspark.functions.text import edit_similarity
+from formspark.functions.text import edit_similarity, fold_upper
 from formspark.kernels import first_by
 
 _PAD = "\x01"
@@ -121,6 +121,31 @@ def typo_keys(names: DataFrame, known: DataFrame, scope: Sequence[str] = ()) ->
     probe = missing.select(*scope, "name", "low", F.explode(F.array_distinct(F.filter(pieces(F.col("low")), lambda x: x.isNotNull()))).alias("q")).select(
         *scope, "name", "low", "q.*")
     near = probe.join(blocks, [*scope, "size", "at", "part"]).where(F.levenshtein("low", "key_low", 2) >= 0).select(*scope, "name", "key")
-    from formspark.functions.text import fold_upper
     same = missing.withColumn("f", fold_upper("name")).join(keys.withColumn("f", fold_upper("key")), [*scope, "f"]).select(*scope, "name", "key")
     return near.unionByName(same).groupBy(*scope, "name").agg(F.min("key").alias("suggestion"))
+
+
+def containing_pairs(left: DataFrame, right: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Pairs (left_key, right_key) of distinct texts where one contains the other.
+
+    The shorter text occurs in the longer one with all of its bigrams, so it probes with its
+    rarest bigram only (a text of one letter with that letter).
+    """
+    lefts, rights = (df.select(*scope, "key").where(F.col("key") != "").distinct() for df in (left, right))
+
+    def pieces(df: DataFrame, size: int) -> DataFrame:
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("key") - (size - 1)), lambda i: F.substring("key", i, F.lit(size))))
+        return df.where(F.length("key") >= size).select(*scope, "key", F.explode(grams).alias("gram"))
+
+    def inside(short: DataFrame, long: DataFrame) -> DataFrame:
+        spread = pieces(long, 2).unionByName(pieces(long, 1).join(short.where(F.length("key") == 1).select(*scope, F.col("key").alias("gram")).distinct(),
+                                                                 [*scope, "gram"], "left_semi"))
+        frequency = spread.groupBy(*scope, "gram").agg(F.count(F.lit(1)).alias("n"))
+        own = pieces(short, 2).unionByName(short.where(F.length("key") == 1).withColumn("gram", F.col("key")))
+        probe = own.join(frequency, [*scope, "gram"], "left").groupBy(*scope, "key").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+        met = probe.withColumnRenamed("key", "short").join(spread.withColumnRenamed("key", "long"), [*scope, "gram"])
+        return met.where(F.col("long").contains(F.col("short"))).select(*scope, "short", "long")
+
+    a = inside(lefts, rights).select(*scope, F.col("short").alias("left_key"), F.col("long").alias("right_key"))
+    b = inside(rights, lefts).select(*scope, F.col("long").alias("left_key"), F.col("short").alias("right_key"))
+    return a.unionByName(b).distinct()

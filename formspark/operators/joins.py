@@ -316,19 +316,23 @@ def near_point_join(widgets: DataFrame, positions: DataFrame, tolerance: int = 8
 
 def name_from_row(name: Column, json_name: Column, field_name: Column, label: Column) -> Column:
     """new widget name told by a matrix row: its PDF name, the leaf of its path, the label"""
-    n = P.row_number_of(field_name)
-
-    def numbered(c: Column) -> Column:
+    def numbered(c: Column, n: Column) -> Column:
         block = T.replace(c, "(?i)beneficiario", "beneficiario")
         put = F.concat(F.substring_index(block, "beneficiario", 1), F.lit("beneficiario"), n,
                        F.substring(block, F.instr(block, "beneficiario") + 12, F.length(block)))
         return (F.when(n.isNull() | c.rlike(r"(?i)beneficiario\d"), c).when(c.rlike("(?i)beneficiario"), put)
                 .otherwise(F.concat(c, F.lit("_"), n)))
 
+    def told(r: Column) -> Column:
+        """the raw name: each part is worked out once and named here"""
+        keeps = r["name"].rlike(r"_\d+_") | r["name"].rlike(r"\d$")
+        return (F.when(~r["blank"], F.when(keeps, r["name"]).otherwise(numbered(r["name"], r["n"]))).when(r["leaf"] != "", numbered(r["leaf"], r["n"]))
+                .when(r["label"] != "", r["label"]))
+
     leaf = T.camel_to_snake(P.last_segment(T.trim(F.split(E(json_name), ",")[0])), "acronym")
-    own = F.when(name.rlike(r"_\d+_") | name.rlike(r"\d$"), name).otherwise(numbered(name))
-    return (F.when(~T.is_placeholder(name), T.sanitize_name(own)).when(E(leaf) != "", T.sanitize_name(numbered(leaf)))
-            .when(E(label) != "", T.sanitize_name(T.replace(T.norm_words(label), " ", "_"))))
+    row = F.struct(E(name).alias("name"), T.is_placeholder(name).alias("blank"), E(leaf).alias("leaf"), P.row_number_of(field_name).alias("n"),
+                   T.replace(T.norm_words(label), " ", "_").alias("label"))
+    return T.let(T.let(row, told), lambda c: F.when(c.isNotNull(), T.sanitize_name(c)))
 
 
 def resolve_name(widgets: DataFrame, rows: DataFrame, positions: DataFrame | None = None) -> DataFrame:
@@ -358,6 +362,8 @@ def resolve_name(widgets: DataFrame, rows: DataFrame, positions: DataFrame | Non
     else:
         named = near_point_join(named, positions)
 
+    # names are made from one long expression per row: kept out of the stage of the joins
+    named = cut_lineage(named)
     # the row that names the widget: by label, by similar label, by name (a label always gives a
     # name, so only the last of them can fail to)
     found = [F.when(F.col(r).isNotNull(), F.struct(F.lit(s).alias("source"), F.lit(k).alias("confidence"), F.col(f"{p}_pdf_field_name").alias("pdf"),

@@ -16,6 +16,7 @@ from formspark import constants as K
 from formspark.functions import classify as C
 from formspark.functions import text as T
 from formspark.kernels import carry_above, islands, ordered_scan
+from formspark.operators.fuzzy import containing_pairs
 from formspark.session import cut_lineage
 
 E = T.text_or_empty
@@ -106,25 +107,25 @@ def detect_labels(widgets: DataFrame, texts: DataFrame, keys: Sequence[str] = ("
 
 # ---- sections --------------------------------------------------------------------------------
 
-def match_heading(text: Column) -> Column:
-    """the first known heading a text contains: (prefix, name, repeatable)"""
-    n = T.strip_accents(F.lower(T.trim(text)))
+def _first(n: Column, entries: list[tuple[str, Column]]) -> Column:
     out = None
-    for words, prefix, name, repeat in K.HEADINGS:
-        value = F.struct(F.lit(prefix).alias("prefix"), F.lit(name).alias("name"), F.lit(repeat).alias("repeatable"))
-        test = n.rlike("|".join(words))
-        out = F.when(test, value) if out is None else out.when(test, value)
+    for pattern, value in entries:
+        out = F.when(n.rlike(pattern), value) if out is None else out.when(n.rlike(pattern), value)
     return out
 
 
+def match_heading(text: Column) -> Column:
+    """the first known heading a text contains: (prefix, name, repeatable)"""
+    entries = [("|".join(words), F.struct(F.lit(prefix).alias("prefix"), F.lit(name).alias("name"), F.lit(repeat).alias("repeatable")))
+               for words, prefix, name, repeat in K.HEADINGS]
+    return T.let(T.strip_accents(F.lower(T.trim(text))), lambda n: _first(n, entries))
+
+
 def match_subheading(text: Column) -> Column:
-    n = T.trim(T.replace(T.strip_accents(F.lower(T.trim(text))), "[:.]+$", ""))
-    out = None
-    for words, prefix, group in K.SUBHEADINGS:
-        test = n.rlike("^(.* )?(" + "|".join(words) + ")$|^(" + "|".join(words) + ") ")
-        value = F.struct(F.lit(prefix).alias("prefix"), F.lit(group).alias("group"))
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out
+    """the first known subheading a text is, begins or ends with: (prefix, group)"""
+    entries = [("^(.* )?(" + "|".join(words) + ")$|^(" + "|".join(words) + ") ", F.struct(F.lit(prefix).alias("prefix"), F.lit(group).alias("group")))
+               for words, prefix, group in K.SUBHEADINGS]
+    return T.let(T.trim(T.replace(T.strip_accents(F.lower(T.trim(text))), "[:.]+$", "")), lambda n: _first(n, entries))
 
 
 def detect_sections(texts: DataFrame, widgets: DataFrame, keys: Sequence[str] = ("form_id",)) -> tuple[DataFrame, DataFrame]:
@@ -132,27 +133,34 @@ def detect_sections(texts: DataFrame, widgets: DataFrame, keys: Sequence[str] =
     check boxes is a subheading as well."""
     cols = [*keys, "page", "ord", "str", "x", "y"]
     text = T.trim("str")
-    rows = texts.where(text != "").withColumn("_h", match_heading(F.col("str")))
-    is_heading = F.col("_h").isNotNull() & (F.length(text) >= 4)
+    # every text is looked at once; the few that may be headings are kept and read from there on
+    def entry(m: Column) -> Column:
+        known = F.when(m.h.isNotNull() & (m.n >= 4), F.lit("heading")).when((m.n <= 40) & m.s.isNotNull(), F.lit("known")).when((m.n <= 40) & m.colon, F.lit("asked"))
+        return T.let(known, lambda k: F.when(k.isNotNull(), F.struct(k.alias("_kind"), m.h.alias("_h"), m.s.alias("_s"))))
+
+    seen = F.struct(match_heading(F.col("str")).alias("h"), match_subheading(F.col("str")).alias("s"), F.length(text).alias("n"), text.endswith(":").alias("colon"))
+    rows = texts.where(text != "").select(*cols, F.explode(F.array_compact(F.array(T.let(seen, entry)))).alias("_e")).select(*cols, "_e.*")
+    rows = cut_lineage(rows)
     number = F.when(F.col("_h.repeatable"), C.extract(text, r"(\d+)").try_cast("int"))
-    headings = rows.where(is_heading).select(*cols, "_h.prefix", "_h.name", "_h.repeatable", number.alias("number"))
-    rest = rows.where(~is_heading & (F.length(text) <= 40)).drop("_h").withColumn("_s", match_subheading(F.col("str")))
-    known = rest.where(F.col("_s").isNotNull()).select(*cols, "_s.prefix", F.col("_s.group").alias("group_name"), F.lit("whitelist").alias("source"))
-    asked = rest.where(F.col("_s").isNull() & text.endswith(":"))
-    # check boxes of one line (6 points) below the text, at most 30 points down
-    boxes = widgets.where(F.col("type").isin("checkbox", "radio", "button")).select(*keys, "page", F.col("ord").alias("w_ord"), F.col("y").alias("wy"),
-                                                                                   (F.col("y") + F.col("height")).alias("top"))
-    near = boxes.withColumn("c", F.explode(F.array(*[F.floor(F.col("wy") / 6) + i for i in (-1, 0, 1)])))
-    same = near.join(boxes.select(*keys, "page", F.col("w_ord").alias("o_ord"), F.col("wy").alias("oy"), F.floor(F.col("wy") / 6).alias("c")), [*keys, "page", "c"])
-    line = same.where(F.abs(F.col("oy") - F.col("wy")) <= 6).groupBy(*keys, "page", "w_ord", "top").agg(F.count(F.lit(1)).alias("n"))
-    line = line.withColumn("c", F.floor(F.col("top") / 30))
-    spread = asked.withColumn("c", F.explode(F.array(*[F.floor(F.col("y") / 30) + i for i in (-1, 0)])))
-    over = spread.join(line.select(*keys, "page", "top", "n", "c"), [*keys, "page", "c"]).where(
-        (F.col("top") <= F.col("y") - 4) & (F.col("y") - F.col("top") <= 30)).groupBy(*keys, "ord").agg(F.max("n").alias("n")).where("n BETWEEN 2 AND 8")
+    headings = rows.where("_kind = 'heading'").select(*cols, "_h.prefix", "_h.name", "_h.repeatable", number.alias("number"))
+    known = rows.where("_kind = 'known'").select(*cols, "_s.prefix", F.col("_s.group").alias("group_name"), F.lit("whitelist").alias("source"))
+    asked = rows.where("_kind = 'asked'").select(*cols)
+    # check boxes of one line (6 points) below the text, at most 30 points down. Boxes are first
+    # counted per place, so a line of any number of boxes is met as a few heights with a count.
+    boxes = widgets.where(F.col("type").isin("checkbox", "radio", "button"))
+    places = boxes.groupBy(*keys, "page", "y").agg(F.count(F.lit(1)).alias("k"))
+    near = places.select(*keys, "page", F.col("y").alias("wy"), F.explode(F.array(*[F.floor(F.col("y") / 6) + i for i in (-1, 0, 1)])).alias("c"))
+    same = near.join(places.select(*keys, "page", F.col("y").alias("oy"), "k", F.floor(F.col("y") / 6).alias("c")), [*keys, "page", "c"])
+    lines = same.where(F.abs(F.col("oy") - F.col("wy")) <= 6).groupBy(*keys, "page", "wy").agg(F.sum("k").alias("n"))
+    tops = boxes.select(*keys, "page", F.col("y").alias("wy"), (F.col("y") + F.col("height")).alias("top")).distinct().join(lines, [*keys, "page", "wy"])
+    tops = tops.groupBy(*keys, "page", "top").agg(F.max("n").alias("n")).withColumn("c", F.floor(F.col("top") / 30))
+    spread = asked.select(*keys, "page", "ord", "y", F.explode(F.array(*[F.floor(F.col("y") / 30) + i for i in (-1, 0)])).alias("c"))
+    over = spread.join(tops, [*keys, "page", "c"]).where((F.col("top") <= F.col("y") - 4) & (F.col("y") - F.col("top") <= 30))
+    over = over.groupBy(*keys, "ord").agg(F.max("n").alias("n")).where("n BETWEEN 2 AND 8")
     found = asked.join(over.select(*keys, "ord"), [*keys, "ord"], "left_semi").select(
         *cols, F.lit("").alias("prefix"), T.slugify(T.replace(text, ":$", "")).alias("group_name"), F.lit("fallback").alias("source"))
-    # both are few next to the texts and are met with the widgets by several operators
-    return cut_lineage(headings), cut_lineage(known.unionByName(found))
+    # few next to the texts, and met with the widgets by several operators
+    return headings, cut_lineage(known.unionByName(found))
 
 
 def _above(points: DataFrame, marks: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
@@ -360,9 +368,9 @@ def interleave_prefilled(rows: DataFrame, extra: DataFrame, keys: Sequence[str]
     runs = islands(rows, keys, [F.col("ord")], F.floor(F.col("ord") / size), {"_prev": E("section")}, F.col("_prev") != E("section"), ["section"], name="run").drop("_prev")
     heads = runs.groupBy(*keys, "run").agg(F.min_by("section", "ord").alias("_sec")).withColumn("_n", T.norm_compact("_sec"))
     firsts = heads.where(F.col("_n") != "").groupBy(*keys, "_n").agg(F.min("run").alias("run"))
-    # distinct section texts of a form meet each other: titles of one form, not its rows
-    wanted = extra.withColumn("_e", T.norm_compact("section")).where(F.col("_e") != "").select(*keys, "_e").distinct()
-    hit = wanted.join(firsts, list(keys)).where(F.col("_e").contains(F.col("_n")) | F.col("_n").contains(F.col("_e"))).groupBy(*keys, "_e").agg(F.min("run").alias("run"))
+    wanted = extra.select(*keys, T.norm_compact("section").alias("key"))
+    pairs = containing_pairs(wanted, firsts.withColumnRenamed("_n", "key"), keys)
+    hit = pairs.select(*keys, F.col("left_key").alias("_e"), F.col("right_key").alias("_n")).join(firsts, [*keys, "_n"]).groupBy(*keys, "_e").agg(F.min("run").alias("run"))
     placed = extra.withColumn("_e", T.norm_compact("section")).join(hit, [*keys, "_e"], "left").drop("_e")
     last = F.lit(1 << 60)
     both = runs.select(*keys, F.lit("pdf").alias("origin"), "ord", "section", F.col("run").cast("long").alias("run"), F.lit(0).alias("_x")).unionByName(

@@ -104,3 +104,12 @@ def test_typo_keys_against_brute_force(spark):
         if hits:
             want[n] = min(hits)
     assert {r["name"]: r.suggestion for r in df.collect()} == want
+
+
+def test_containing_pairs_against_brute_force(spark):
+    rnd = random.Random(11)
+    def some(n):
+        return sorted({"".join(rnd.choices("abc ", k=rnd.randint(1, 6))).strip() for _ in range(n)} - {""})
+    a, b = some(80), some(80)
+    got = fuzzy.containing_pairs(spark.createDataFrame([("f", x) for x in a], "k string, key string"), spark.createDataFrame([("f", x) for x in b], "k string, key string"), ["k"])
+    assert {(r.left_key, r.right_key) for r in got.collect()} == {(x, y) for x in a for y in b if x in y or y in x}
