@@ -29,30 +29,39 @@ def read_json_lenient(c: Column | str) -> Column:
 def json_nodes(docs: DataFrame, ids: Sequence[str], body: str, depth: int = MAX_DEPTH, first_only: bool = False) -> DataFrame:
     """Every node below the root: (ids, ord, path, kind, value).
 
-    One narrow explode per level and no shuffle; ``depth`` is the deepest level walked.
-    ``ord`` is the position trail, so comparing it gives document order. With
-    ``first_only`` an array contributes its first element only.
+    The document is parsed once and opened level by level in one narrow chain, no shuffle and
+    no second read: each row is one deepest node with its containers beside it, and a container
+    is given by the row of its first descendant only. ``depth`` is the deepest level opened.
+    ``ord`` is the position trail, so comparing it gives document order. With ``first_only`` an
+    array contributes its first element only.
     """
-    spark = docs.sparkSession
-    level = docs.select(*ids, F.lit("").alias("path"), F.array().cast("array<int>").alias("ord"),
-                        read_json_lenient(body).alias("v"))
-    out = []
-    for _ in range(depth):
-        children = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-        step = F.when(F.col("key").isNull(), F.concat("path", F.lit("[]"))).when(
-            F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key"))
+    tvf = docs.sparkSession.tvf
+    cur = docs.select(*ids, read_json_lenient(body).alias("_v0"), F.lit("").alias("_path0"))
+    for j in range(1, depth + 1):
+        kept = cur.columns
+        cur = cur.lateralJoin(tvf.variant_explode_outer(F.col(f"_v{j - 1}").outer()))
+        above = F.col(f"_path{j - 1}")
+        step = F.when(F.col("pos").isNull(), F.lit(None)).when(F.col("key").isNull(), F.concat(above, F.lit("[]"))).when(
+            above == "", F.col("key")).otherwise(F.concat(above, F.lit("."), "key"))
         if first_only:
-            children = children.where(F.col("key").isNotNull() | (F.col("pos") == 0))
-        level = children.select(*ids, step.alias("path"), F.concat("ord", F.array("pos")).alias("ord"), F.col("value").alias("v"))
-        text = F.to_json("v")
-        head = F.substring(text, 1, 1)
-        kind = F.when(head == "{", "object").when(head == "[", "array").otherwise("leaf")
-        out.append(level.select(*ids, "ord", "path", kind.alias("kind"),
-                                F.when(kind == "leaf", F.try_variant_get("v", "$", "string")).alias("value")))
-    nodes = out[0]
-    for more in out[1:]:
-        nodes = nodes.unionByName(more)
-    return nodes
+            cur = cur.where(F.col("pos").isNull() | F.col("key").isNotNull() | (F.col("pos") == 0))
+        # of an opened container only its children are needed further down
+        cur = cur.select(*kept, F.col("pos").alias(f"_pos{j}"), F.col("key").isNull().alias(f"_array{j}"), F.col("value").alias(f"_v{j}"), step.alias(f"_path{j}"))
+    nodes = []
+    for j in range(1, depth + 1):
+        first = F.col(f"_pos{j}").isNotNull()
+        for k in range(j + 1, depth + 1):
+            first = first & (F.coalesce(f"_pos{k}", F.lit(0)) == 0)
+        head = F.substring(F.to_json(f"_v{j}"), 1, 1)
+        end = F.when(head == "{", F.lit("object")).when(head == "[", F.lit("array")).otherwise(F.lit("leaf"))
+        kind = end if j == depth else F.when(F.col(f"_pos{j + 1}").isNotNull(), F.when(F.col(f"_array{j + 1}"), F.lit("array")).otherwise(F.lit("object"))).otherwise(end)
+        value = F.try_variant_get(f"_v{j}", "$", "string")
+        if j < depth:
+            value = F.when(F.col(f"_pos{j + 1}").isNull(), value)
+        trail = F.array(*[F.col(f"_pos{k}") for k in range(1, j + 1)])
+        nodes.append(F.when(first, F.struct(trail.alias("ord"), F.col(f"_path{j}").alias("path"), kind.alias("kind"), value.alias("value"))))
+    out = cur.select(*ids, F.explode(F.array_compact(F.array(*nodes))).alias("_n")).select(*ids, "_n.*")
+    return out.withColumn("value", F.when(F.col("kind") == "leaf", F.col("value")))
 
 
 def flatten_paths(docs: DataFrame, ids: Sequence[str], body: str, depth: int = MAX_DEPTH) -> DataFrame:
