@@ -152,7 +152,7 @@ FROM @part
 """
 # Widgets on a page grid, and known positions next to some of them. Form = customer segment of the order.
 WIDGETS = """
-SELECT concat('F', l_suppkey) AS form_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS INT) AS ord,
+SELECT concat('F', l_suppkey) AS form_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag) AS INT) AS ord,
   concat('w', l_partkey) AS name, l_linenumber AS page, l_quantity * 12 + l_discount * 100 AS x, l_extendedprice / 100 + l_tax * 10 AS y, 20 + l_linenumber AS width, 8.0 + l_tax * 100 AS height,
   l_returnflag AS flag FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_extendedprice, l_tax, l_returnflag FROM @lineitem) d
 """

@@ -44,3 +44,12 @@ def test_lookups_plan_without_cross_joins(spark):
     for name in ("cascade_match", "path_conflicts", "fuzzy_names", "near_points"):
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+@pytest.mark.parametrize("name", ["collapse_runs", "visual_order", "merge_adjacent", "suffix_by_row", "resolve_collisions", "dedupe_across_docs", "sections_logical", "radio_groups",
+                                  "interleave_prefilled", "enriched_fields", "positional_pairs", "events_after_signup", "reading_order", "speaker_runs", "ficha_index", "sample_tree"])
+def test_ordered_work_stays_in_slices(spark, name):
+    """no window sorts a whole key: each one is cut by a slice, or runs over slice totals"""
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("_slice" in line for line in windows), [w for w in windows if "_slice" not in w]
