@@ -25,6 +25,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand Python workers small batches: texts may be long, and workers share memory with the JVM."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder, so that a lost executor costs no recomputation."""
     spark = df.sparkSession

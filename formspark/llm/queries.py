@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formspark.llm import bpe
+from formspark.llm import bpe, simhash
 from formspark.llm.common import read
+from formspark.llm.decontaminate import decontaminate
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -21,5 +22,16 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_byte_bpe,)}
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie inside a window of a benchmark item, and the items met."""
+    found = decontaminate(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the smallest document linked to it."""
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_byte_bpe, op8_decontaminate, op9_simhash)}
 ORACLE_SQL: dict[str, str] = {}
