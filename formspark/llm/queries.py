@@ -8,13 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formspark.llm import bpe, simhash
-from formspark.llm.common import read
+from formspark.llm import bpe, langid, quality, simhash
+from formspark.llm.common import read, remainder
 from formspark.llm.decontaminate import decontaminate
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from ``labels``."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of the bytes they decode to, for every document."""
     ids = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY).drop("text")
@@ -22,6 +29,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, and whether its text is unlike what that language shows."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.drop("lang"), langid.fit(langid.learnable(docs)))
+    return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie inside a window of a benchmark item, and the items met."""
     found = decontaminate(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
@@ -33,5 +47,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_byte_bpe, op8_decontaminate, op9_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality, op6_byte_bpe, op7_language, op8_decontaminate, op9_simhash)}
 ORACLE_SQL: dict[str, str] = {}

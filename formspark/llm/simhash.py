@@ -193,3 +193,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = linked.join(least, "label").select("fp", "group_first")
     by_value = materialise(values.join(found, "fp", "left").select("fp", F.coalesce("group_first", "first").alias("component")))
     return signed.join(by_value, "fp", "left").select(F.col("id").alias(doc_id), hexadecimal(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the one with the smallest id (a row with
+    an id before rows without, then the smaller fingerprint; equal rows count as one).
+
+    Columns stay as they are. The text is shuffled once: rows of one id and fingerprint are merged
+    before and after it, and the choice is joined on the same keys.
+    """
+    names = [c for c in docs.columns]
+    marked = fingerprints(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")), "text", "fp").drop("text")
+    signed = materialise(marked.select("id", "fp"))
+    values = materialise(signed.groupBy("fp").agg(F.min("id").alias("first")))
+    groups = components(links(values.select("fp"), tile)).withColumnRenamed("node", "fp")
+    linked = groups.join(values, "fp")
+    order = F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), F.col("fp"))
+    winners = linked.groupBy("label").agg(F.min(order).alias("best")).select("best.id", "best.fp")
+    alone = values.join(groups, "fp", "left_anti").select(F.col("first").alias("id"), "fp")
+    kept = winners.union(alone)
+    rows = marked.groupBy("id", "fp").agg(F.first("row").alias("row"))
+    return rows.join(kept.select(F.col("id").alias("__id"), F.col("fp").alias("__fp")), F.col("id").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp")), "left_semi").select("row.*")
