@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from formspark.llm.common import bounded_batches
+
 # The public pattern for texts up to U+02C1, whose letters, numbers and spaces are these.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ˁ", "0-9²³¹¼-¾", "\\t\\n\x0b\x0c\\r \x85\xa0"
 LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
@@ -44,8 +46,8 @@ ANY = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\P{{L}}{_X}]+| ?[^\P{{N}}{_X}
 
 NONE = np.int32(2**31 - 1)
 SHORT = 64          # bytes of the pieces that are merged many at a time
-MEMO = 200_000      # pieces a worker remembers
-PIECES = 150_000    # pieces that are in memory at a time
+MEMO = 150_000      # pieces a worker remembers
+PIECES = 100_000    # pieces that are in memory at a time
 
 
 def pieces(text: str) -> Iterator[str]:
@@ -95,17 +97,18 @@ class Pairs:
         return out
 
 
+def ranks_of(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
 class Codec:
-    """Ids of pieces by the ranks of one vocabulary file, and bytes of ids."""
+    """Ids of pieces by the ranks of one vocabulary file."""
 
     def __init__(self, path: str) -> None:
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.ranks = ranks_of(path)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.pairs = Pairs(self.ranks)
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
         self.memo: dict[str, bytes] = {}
 
     def merge_one(self, piece: bytes) -> bytes:
@@ -216,7 +219,7 @@ class Codec:
             else:
                 by_size.setdefault(1 << (len(raw) - 1).bit_length(), []).append((word, raw))
         for leaves, group in by_size.items():
-            step = max(64, (1 << 20) // leaves)
+            step = max(64, (1 << 18) // leaves)
             for at in range(0, len(group), step):
                 part = group[at:at + step]
                 self.memo.update(zip((w for w, _ in part), self.merge_many([r for _, r in part], leaves), strict=True))
@@ -250,16 +253,22 @@ class Codec:
                 group, held = [], 0
         return out + self.ids(group)
 
-    def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
-
-
 @functools.lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     """One codec for each worker process and vocabulary."""
     return Codec(path)
 
 
+@functools.lru_cache(maxsize=2)
+def tokens(path: str) -> list[bytes]:
+    """Bytes of each id."""
+    ranks = ranks_of(path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids``: the token ids of ``text``, packed as little-endian unsigned 32-bit integers.
 
@@ -268,6 +277,8 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
     empty value, not null). Rows keep their order, number and other columns; a column that is
     already named ``ids`` is replaced. Every piece is merged to the end, whatever its length.
     """
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("binary")
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(vocabulary)
@@ -279,11 +290,13 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add ``decoded``: the bytes that packed ``ids`` stand for; null ids give zero bytes."""
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("binary")
     def unpacked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(vocabulary)
+        token = tokens(vocabulary).__getitem__
         for rows in batches:
-            yield pd.Series([own.decode(row) if row else b"" for row in rows], dtype=object)
+            yield pd.Series([b"".join(map(token, np.frombuffer(row, "<u4").tolist())) if row else b"" for row in rows], dtype=object)
 
     return docs.withColumn(decoded, unpacked(F.col(f"`{ids}`")))
 
