@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formspark.llm import bpe, langid, quality, simhash
-from formspark.llm.common import read, remainder
+from formspark.llm import bpe, langid, quality, shards, simhash
+from formspark.llm.common import read, remainder, shared_folder
 from formspark.llm.decontaminate import decontaminate
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+ORDER_KEY = 20_011
+
+
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence of the documents' byte ids as read back from the shards: its slot, its number in the stream, its digest."""
+    folder = f"{shared_folder(spark)}/order-{uuid.uuid4().hex}"
+    order = shards.write_order(read(spark, sf_dir, "documents"), "text", folder, key=ORDER_KEY)
+    return shards.read_order(spark, order).select("slot", "shard", "place", "sequence", F.length("record").cast("long").alias("n_ids"), F.sha2("record", 256).alias("sha256"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,5 +56,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality, op6_byte_bpe, op7_language, op8_decontaminate, op9_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_training_order, op3_quality, op6_byte_bpe, op7_language, op8_decontaminate, op9_simhash)}
 ORACLE_SQL: dict[str, str] = {}
