@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formspark.llm import bpe, langid, quality, shards, simhash
+from formspark.llm import bpe, langid, quality, shards, simhash, wrapper
 from formspark.llm.common import read, remainder, shared_folder
 from formspark.llm.decontaminate import decontaminate
 
@@ -31,6 +31,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return wrapper.main_text(read(spark, sf_dir, "pages"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of the bytes they decode to, for every document."""
     ids = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY).drop("text")
@@ -56,5 +61,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_training_order, op3_quality, op6_byte_bpe, op7_language, op8_decontaminate, op9_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_training_order, op3_quality, op5_main_text, op6_byte_bpe, op7_language, op8_decontaminate, op9_simhash)}
 ORACLE_SQL: dict[str, str] = {}
