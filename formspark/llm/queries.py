@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formspark.llm import bpe, langid, quality, shards, simhash, wrapper
+from formspark.llm import bpe, langid, masked_lm, quality, shards, simhash, wrapper
 from formspark.llm.common import read, remainder, shared_folder
 from formspark.llm.decontaminate import decontaminate
 
@@ -17,6 +17,12 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 ORDER_KEY = 20_011
 
 
+def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum of the conditional log-probabilities of every document's words."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return masked_lm.score(docs, masked_lm.train(docs)).select("doc_id", "n_words", "log_likelihood", "per_word")
+
+
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sequence of the documents' byte ids as read back from the shards: its slot, its number in the stream, its digest."""
     folder = f"{shared_folder(spark)}/order-{uuid.uuid4().hex}"
@@ -61,5 +67,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_training_order, op3_quality, op5_main_text, op6_byte_bpe, op7_language, op8_decontaminate, op9_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pseudo_likelihood, op2_training_order, op3_quality, op5_main_text, op6_byte_bpe, op7_language, op8_decontaminate, op9_simhash)}
 ORACLE_SQL: dict[str, str] = {}
