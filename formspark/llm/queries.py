@@ -6,10 +6,10 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formspark.llm import bpe, langid, masked_lm, quality, shards, simhash, wrapper
+from formspark.llm import bpe, langid, masked_lm, preferences, quality, shards, simhash, wrapper
 from formspark.llm.common import read, remainder, shared_folder
 from formspark.llm.decontaminate import decontaminate
 
@@ -37,6 +37,16 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with its neighbour's last reply, as prompt and two masked completions."""
+    pairs = preferences.format_preferences(*preferences.swapped_replies(read(spark, sf_dir, "conversations")))
+
+    def spans(name: str) -> Column:
+        return F.array_join(F.transform(name, lambda s: F.concat_ws("-", s["start"], s["stop"])), ",").alias(name)
+
+    return pairs.select("pair_id", "part", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"), "prompt_turns")
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return wrapper.main_text(read(spark, sf_dir, "pages"))
@@ -67,5 +77,26 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pseudo_likelihood, op2_training_order, op3_quality, op5_main_text, op6_byte_bpe, op7_language, op8_decontaminate, op9_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pseudo_likelihood, op2_training_order, op3_quality, op4_preferences, op5_main_text, op6_byte_bpe, op7_language, op8_decontaminate, op9_simhash)}
+ORACLE_SQL: dict[str, str] = {
+    "op4_preferences": """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+l AS (SELECT conv_id, max({'turn': turn, 'text': text}) AS m FROM t WHERE role = 'assistant' GROUP BY conv_id),
+s AS (SELECT l.conv_id, l.m.turn AS last_turn, o.m.text AS reply FROM l LEFT JOIN l AS o ON o.conv_id = xor(l.conv_id, 1)),
+k AS (SELECT t.*, s.last_turn, s.reply, coalesce(t.turn = s.last_turn AND role = 'assistant', false) AS swapped FROM t LEFT JOIN s USING (conv_id) WHERE s.last_turn IS NULL OR t.turn <= s.last_turn),
+b AS (SELECT conv_id, turn, role, text, true AS c, false AS r FROM k
+  UNION ALL SELECT conv_id, turn, role, CASE WHEN swapped THEN reply ELSE text END, false, true FROM k WHERE NOT swapped OR reply IS NOT NULL),
+g AS (SELECT conv_id, turn, role, text, bool_or(c) AS c, bool_or(r) AS r FROM b GROUP BY ALL),
+f AS (SELECT conv_id, min(turn) AS low, min(turn) FILTER (WHERE NOT (c AND r)) AS cut FROM g GROUP BY conv_id),
+p AS (SELECT g.*, (turn - low) // 1000 AS part, coalesce(turn < cut, true) AS common, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS piece FROM g JOIN f USING (conv_id)),
+w AS (SELECT *, coalesce(sum(CASE WHEN NOT common AND c THEN length(piece) ELSE 0 END) OVER prior, 0)::BIGINT AS c_at, coalesce(sum(CASE WHEN NOT common AND r THEN length(piece) ELSE 0 END) OVER prior, 0)::BIGINT AS r_at
+  FROM p WINDOW prior AS (PARTITION BY conv_id, part ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id AS pair_id, part,
+  coalesce(string_agg(piece, '' ORDER BY turn, role, text) FILTER (WHERE common), '') AS prompt,
+  coalesce(string_agg(piece, '' ORDER BY turn, role, text) FILTER (WHERE NOT common AND c), '') AS chosen,
+  coalesce(string_agg(piece, '' ORDER BY turn, role, text) FILTER (WHERE NOT common AND r), '') AS rejected,
+  coalesce(string_agg((c_at + length(role) + 5) || '-' || (c_at + length(piece)), ',' ORDER BY turn, role, text) FILTER (WHERE NOT common AND c AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg((r_at + length(role) + 5) || '-' || (r_at + length(piece)), ',' ORDER BY turn, role, text) FILTER (WHERE NOT common AND r AND role = 'assistant'), '') AS rejected_mask,
+  count(*) FILTER (WHERE common)::INTEGER AS prompt_turns
+FROM w GROUP BY conv_id, part""",
+}
