@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formspark.llm import bpe, langid, masked_lm, preferences, quality, shards, simhash, wrapper
+from formspark.llm import audio, bpe, langid, masked_lm, preferences, quality, shards, simhash, wrapper
 from formspark.llm.common import read, remainder, shared_folder
 from formspark.llm.decontaminate import decontaminate
 
@@ -77,7 +78,27 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pseudo_likelihood, op2_training_order, op3_quality, op4_preferences, op5_main_text, op6_byte_bpe, op7_language, op8_decontaminate, op9_simhash)}
+@F.pandas_udf("binary")
+def _melody(vectors: pd.Series) -> pd.Series:
+    return pd.Series([audio.melody(v) for v in vectors], dtype=object)
+
+
+@F.pandas_udf("binary")
+def _clip(sounds: pd.Series, ids: pd.Series) -> pd.Series:
+    return pd.Series([audio.clip(x, 10 * audio.HOP, 54 * audio.HOP, int(k)) for x, k in zip(sounds, ids, strict=True)], dtype=object)
+
+
+def op10_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings made from the vectors of ``embeddings``: each one's class of equal fingerprints (kind
+    ``member``), and the classes that hold a noisy clip of every recording whose id is divisible by 50 (kind ``link``)."""
+    sounds = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), _melody("embedding").alias("pcm"))
+    clips = sounds.where(F.col("id") % 50 == 0).select("id", _clip("pcm", "id").alias("pcm"))
+    classes, links = audio.align(audio.fingerprints(clips), audio.fingerprints(sounds))
+    members = classes.select(F.lit("member").alias("kind"), "id", "class_id", *[F.lit(None).cast("bigint").alias(n) for n in ("offset", "votes", "bit_errors", "bits")])
+    return members.unionByName(links.withColumn("kind", F.lit("link")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pseudo_likelihood, op2_training_order, op3_quality, op4_preferences, op5_main_text, op6_byte_bpe, op7_language, op8_decontaminate, op9_simhash, op10_chroma)}
 ORACLE_SQL: dict[str, str] = {
     "op4_preferences": """
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
