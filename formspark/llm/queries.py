@@ -9,6 +9,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from formspark.llm import audio, bpe, langid, masked_lm, preferences, quality, shards, simhash, wrapper
 from formspark.llm.common import read, remainder, shared_folder
@@ -78,12 +79,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _melody(vectors: pd.Series) -> pd.Series:
     return pd.Series([audio.melody(v) for v in vectors], dtype=object)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _clip(sounds: pd.Series, ids: pd.Series) -> pd.Series:
     return pd.Series([audio.clip(x, 10 * audio.HOP, 54 * audio.HOP, int(k)) for x, k in zip(sounds, ids, strict=True)], dtype=object)
 
