@@ -403,3 +403,6 @@ ENTITY_REPEATERS = {
     "dep": ("Dependiente", "Dependientes", 5, "datosFormulario.personas"),
     "benef": ("Beneficiario", "Beneficiarios", 4, "datosFormulario.beneficiarios"),
 }
+
+# Fixed value: levels of nested sections that a form definition is read to.
+SECTION_LEVELS = 13

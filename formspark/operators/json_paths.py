@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from formspark.functions import paths as P
 from formspark.functions.text import replace, text_or_empty, trim
+from formspark.constants import SECTION_LEVELS
 from formspark.kernels import ancestors, ordered_scan, suffixes
+from formspark.session import cut_lineage
 
-MAX_DEPTH = 12
+LEVELS = 8  # levels that one chain opens
 
 
 def _parse(c: Column) -> Column:
@@ -26,68 +28,102 @@ def read_json_lenient(c: Column | str) -> Column:
     return F.coalesce(_parse(c), _parse(replace(c, r",(\s*[}\]])", "$1")))
 
 
-def json_nodes(docs: DataFrame, ids: Sequence[str], body: str, depth: int = MAX_DEPTH, first_only: bool = False) -> DataFrame:
-    """Every node below the root: (ids, ord, path, kind, value).
+def nesting(c: Column) -> Column:
+    """how deeply brackets nest in a JSON text, at least; those inside strings do not count"""
+    plain = replace(replace(replace(c, r"\\.", ""), '"[^"]*"', ""), r"[^\[\]{}]+", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
-    The document is parsed once and opened level by level in one narrow chain, no shuffle and
-    no second read: each row is one deepest node with its containers beside it, and a container
-    is given by the row of its first descendant only. ``depth`` is the deepest level opened.
-    ``ord`` is the position trail, so comparing it gives document order. With ``first_only`` an
-    array contributes its first element only.
+    def step(s: Column, x: Column) -> Column:
+        now = s["now"] + F.when(x.isin("[", "{"), 1).when(x.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    return F.aggregate(F.split(plain, ""), start, step, lambda s: s["most"])
+
+
+def json_nodes(docs: DataFrame, ids: Sequence[str], body: str, first_only: bool = False) -> DataFrame:
+    """Every node below the root: (ids, ord, path, kind, value), however deep it lies.
+
+    A document is parsed once and opened level by level in one narrow chain, no shuffle and no
+    second read. The deepest nesting of the texts (one number, from their brackets) says how many
+    levels there are; beyond ``LEVELS`` the containers still shut are written down and opened on
+    from there, again until none is left. ``ord`` is the position trail, so comparing it gives
+    document order. With ``first_only`` an array contributes its first element only.
     """
-    tvf = docs.sparkSession.tvf
-    cur = docs.select(*ids, read_json_lenient(body).alias("_v0"), F.lit("").alias("_path0"))
-    for j in range(1, depth + 1):
-        kept = cur.columns
+    left = docs.agg(F.max(nesting(F.col(body)))).first()[0] or 0
+    shut = docs.select(*ids, F.array().cast("array<int>").alias("_ord"), F.lit("").alias("_path"), read_json_lenient(body).alias("_value"))
+    out = None
+    while True:
+        nodes = _opened(shut, ids, max(1, min(left, LEVELS)), first_only)
+        found = nodes.drop("_shut")
+        out = found if out is None else out.unionAll(found)
+        left -= LEVELS
+        if left <= 0:
+            return out
+        shut = cut_lineage(nodes.where("_shut is not null").select(*ids, F.col("ord").alias("_ord"), F.col("path").alias("_path"), F.col("_shut").alias("_value")))
+        if shut.isEmpty():
+            return out
+
+
+def _opened(shut: DataFrame, ids: Sequence[str], levels: int, first_only: bool) -> DataFrame:
+    """The nodes of ``levels`` levels below the containers of ``shut``; ``_shut`` is a container with
+    something in it on the last of them. Each row of the chain is one deepest node; a container is
+    given by the row of its first descendant only, and its content is dropped once it is opened."""
+    tvf = shut.sparkSession.tvf
+    cur = shut.select(*ids, "_ord", F.col("_path").alias("_path0"), F.col("_value").alias("_v0"))
+    for j in range(1, levels + 1):
+        kept = [c for c in cur.columns if c != f"_v{j - 1}"]
         cur = cur.lateralJoin(tvf.variant_explode_outer(F.col(f"_v{j - 1}").outer()))
         above = F.col(f"_path{j - 1}")
         step = F.when(F.col("pos").isNull(), F.lit(None)).when(F.col("key").isNull(), F.concat(above, F.lit("[]"))).when(
             above == "", F.col("key")).otherwise(F.concat(above, F.lit("."), "key"))
         if first_only:
             cur = cur.where(F.col("pos").isNull() | F.col("key").isNotNull() | (F.col("pos") == 0))
-        # of an opened container only its children are needed further down
-        cur = cur.select(*kept, F.col("pos").alias(f"_pos{j}"), F.col("key").isNull().alias(f"_array{j}"), F.col("value").alias(f"_v{j}"), step.alias(f"_path{j}"))
+        rest = F.when(F.col("pos").isNull(), F.col(f"_v{j - 1}"))
+        cur = cur.select(*kept, rest.alias(f"_v{j - 1}"), F.col("pos").alias(f"_pos{j}"), F.col("key").isNull().alias(f"_array{j}"), F.col("value").alias(f"_v{j}"), step.alias(f"_path{j}"))
     nodes = []
-    for j in range(1, depth + 1):
+    for j in range(1, levels + 1):
         first = F.col(f"_pos{j}").isNotNull()
-        for k in range(j + 1, depth + 1):
+        for k in range(j + 1, levels + 1):
             first = first & (F.coalesce(f"_pos{k}", F.lit(0)) == 0)
-        head = F.substring(F.to_json(f"_v{j}"), 1, 1)
+        own = F.col(f"_v{j}")
+        head = F.substring(F.to_json(own), 1, 1)
         end = F.when(head == "{", F.lit("object")).when(head == "[", F.lit("array")).otherwise(F.lit("leaf"))
-        kind = end if j == depth else F.when(F.col(f"_pos{j + 1}").isNotNull(), F.when(F.col(f"_array{j + 1}"), F.lit("array")).otherwise(F.lit("object"))).otherwise(end)
-        value = F.try_variant_get(f"_v{j}", "$", "string")
-        if j < depth:
-            value = F.when(F.col(f"_pos{j + 1}").isNull(), value)
-        trail = F.array(*[F.col(f"_pos{k}") for k in range(1, j + 1)])
-        nodes.append(F.when(first, F.struct(trail.alias("ord"), F.col(f"_path{j}").alias("path"), kind.alias("kind"), value.alias("value"))))
+        kind, value, still = end, F.try_variant_get(own, "$", "string"), F.lit(None).cast("variant")
+        if j < levels:  # an opened container is known by its child
+            opened = F.col(f"_pos{j + 1}").isNotNull()
+            kind = F.when(opened, F.when(F.col(f"_array{j + 1}"), F.lit("array")).otherwise(F.lit("object"))).otherwise(end)
+        else:
+            still = F.when(head.isin("{", "["), own)
+        trail = F.concat("_ord", F.array(*[F.col(f"_pos{k}") for k in range(1, j + 1)]))
+        nodes.append(F.when(first, F.struct(trail.alias("ord"), F.col(f"_path{j}").alias("path"), kind.alias("kind"), value.alias("value"), still.alias("_shut"))))
     out = cur.select(*ids, F.explode(F.array_compact(F.array(*nodes))).alias("_n")).select(*ids, "_n.*")
     return out.withColumn("value", F.when(F.col("kind") == "leaf", F.col("value")))
 
 
-def flatten_paths(docs: DataFrame, ids: Sequence[str], body: str, depth: int = MAX_DEPTH) -> DataFrame:
+def flatten_paths(docs: DataFrame, ids: Sequence[str], body: str) -> DataFrame:
     """Known paths of a document: ``a.b``, arrays as ``a[]``, first elements only."""
-    nodes = json_nodes(docs, ids, body, depth, first_only=True)
+    nodes = json_nodes(docs, ids, body, first_only=True)
     path = F.when(F.col("kind") == "array", F.concat("path", F.lit("[]"))).otherwise(F.col("path"))
     keep = (F.col("kind") != "leaf") | F.col("value").isNotNull()
     return nodes.where(keep).select(*ids, path.alias("path")).distinct()
 
 
-def flatten_shape(docs: DataFrame, ids: Sequence[str], body: str, depth: int = MAX_DEPTH, per: Sequence[str] | None = None) -> DataFrame:
+def flatten_shape(docs: DataFrame, ids: Sequence[str], body: str, per: Sequence[str] | None = None) -> DataFrame:
     """Shape of the documents of each ``per`` key: path, kind (a container wins over a
     leaf) and position of first appearance."""
     per = list(per if per is not None else ids)
-    nodes = json_nodes(docs, ids, body, depth)
+    nodes = json_nodes(docs, ids, body)
     rank = F.struct((F.col("kind") == "leaf").alias("leaf"), *[i for i in ids if i not in per], "ord")
     first = F.struct(*[i for i in ids if i not in per], "ord")
     return nodes.groupBy(*per, "path").agg(F.min_by("kind", rank).alias("kind"), F.min(first).alias("first_seen"),
                                            F.count(F.lit(1)).alias("n"))
 
 
-def path_samples(docs: DataFrame, ids: Sequence[str], body: str, depth: int = MAX_DEPTH, k: int = 3,
+def path_samples(docs: DataFrame, ids: Sequence[str], body: str, k: int = 3,
                  per: Sequence[str] | None = None) -> DataFrame:
     """The first ``k`` leaf values of each path, one row each (limited map-side first)."""
     per = list(per if per is not None else ids)
-    nodes = json_nodes(docs, ids, body, depth).where(F.col("kind") == "leaf")
+    nodes = json_nodes(docs, ids, body).where(F.col("kind") == "leaf")
     order = Window.partitionBy(*per, "path").orderBy(*[i for i in ids if i not in per], "ord")
     return nodes.select("*", F.row_number().over(order).alias("sample_no")).where(F.col("sample_no") <= k).select(
         *per, "path", "sample_no", "value")
@@ -260,49 +296,54 @@ _FIELD = ("struct<id:string,label:string,type:string,hidden:boolean,salidaJSON:s
           "repeaterConfig:struct<jsonSlotPattern:string,fields:array<struct<id:string,label:string,type:string>>>>")
 
 
+_ENTRIES = f"array<struct<ord:array<int>,section_path:array<string>,section_id:string,hid:boolean,f:{_FIELD}>>"
+
+
 def _section_type(levels: int) -> str:
     below = f",subsections:array<{_section_type(levels - 1)}>" if levels > 1 else ""
     return f"struct<id:string,title:string,hidden:boolean,conditionalVisibility:string,fields:array<{_FIELD}>{below}>"
 
 
-def flatten_formdef(defs: DataFrame, ids: Sequence[str], body: str, levels: int = 3) -> DataFrame:
+def _entries(sections: Column, trail: Column, up: Column, hid: Column, levels: int) -> Column:
+    """the fields below these sections, as one array"""
+    none = F.array().cast(_ENTRIES)
+
+    def of(sec: Column, i: Column) -> Column:
+        here = F.concat(trail, F.array(i))
+        path = F.concat(up, F.array(F.coalesce(sec["title"], sec["id"])))
+        never = F.coalesce(sec["conditionalVisibility"].contains("NEVER_EXISTS"), F.lit(False))
+        off = hid | F.coalesce(sec["hidden"], F.lit(False)) | never
+        own = F.transform(sec["fields"], lambda f, k: F.struct(
+            F.concat(here, F.array(F.lit(-1), k)).alias("ord"), path.alias("section_path"), sec["id"].alias("section_id"), off.alias("hid"), f.alias("f")))
+        own = F.coalesce(own, none)
+        return own if levels == 1 else F.concat(own, _entries(sec["subsections"], here, path, off, levels - 1))
+
+    return F.coalesce(F.flatten(F.transform(sections, of)), none)
+
+
+def flatten_formdef(defs: DataFrame, ids: Sequence[str], body: str) -> DataFrame:
     """Fields of nested form definitions, in reading order.
 
-    Accepts the three root shapes; walks ``levels`` levels of sections, one explode each.
-    Subfields of repeaters follow their field. A hidden section (or one whose condition can
-    never hold) hides everything below it.
+    Accepts the three root shapes and as many levels of sections as a definition may have. A document
+    is parsed once into one array of fields, which is exploded once. Subfields of repeaters follow
+    their field. A hidden section (or one whose condition can never hold) hides everything below it.
     """
-    one = _section_type(levels)
+    one = _section_type(SECTION_LEVELS)
     schema = (f"struct<sections:array<{one}>,jsonDefinition:struct<sections:array<{one}>>,"
               f"data:struct<jsonDefinition:struct<sections:array<{one}>>>>")
     parsed = F.from_json(F.col(body), schema)
     sections = F.coalesce(parsed.sections, parsed.data.jsonDefinition.sections, parsed.jsonDefinition.sections)
-    level = defs.select(*ids, sections.alias("_s")).select(*ids, F.posexplode("_s").alias("p", "sec"))
-    level = level.select(*ids, F.array("p").alias("ord"), "sec", F.array().cast("array<string>").alias("up"), F.lit(False).alias("hid"))
-    out = []
-    for depth in range(levels):
-        title = F.coalesce("sec.title", "sec.id")
-        never = F.coalesce(F.col("sec.conditionalVisibility").contains("NEVER_EXISTS"), F.lit(False))
-        here = level.select(*ids, "ord", "sec", F.concat("up", F.array(title)).alias("up"),
-                            (F.col("hid") | F.coalesce("sec.hidden", F.lit(False)) | never).alias("hid"))
-        out.append(here.select(*ids, "ord", "up", "hid", F.col("sec.id").alias("section_id"), F.posexplode("sec.fields").alias("p", "f")).select(
-            *ids, F.concat("ord", F.array(F.lit(-1), "p")).alias("ord"), F.col("up").alias("section_path"), "section_id", "hid", "f"))
-        if depth < levels - 1:
-            level = here.select(*ids, "ord", "up", "hid", F.posexplode("sec.subsections").alias("p", "sub")).select(
-                *ids, F.concat("ord", F.array("p")).alias("ord"), F.col("sub").alias("sec"), "up", "hid")
-    fields = out[0]
-    for more in out[1:]:
-        fields = fields.unionByName(more)
-    own = fields.select(*ids, "ord", "section_path", "section_id", F.lit(None).cast("string").alias("in_repeater"),
-                        (F.col("hid") | F.coalesce("f.hidden", F.lit(False))).alias("hidden_effective"),
-                        "f.id", "f.label", "f.type", "f.salidaJSON", "f.jsonOutputPath", F.col("f.sourceMeta.sourceName").alias("source_name"))
-    subs = fields.select(*ids, "ord", "section_path", "section_id", "hid", "f", F.posexplode("f.repeaterConfig.fields").alias("p", "s"))
+    entries = _entries(F.col("_sections"), F.array().cast("array<int>"), F.array().cast("array<string>"), F.lit(False), SECTION_LEVELS)
+    fields = defs.select(*ids, sections.alias("_sections")).select(*ids, F.explode(entries).alias("_e")).select(*ids, "_e.*")
     none = F.lit(None).cast("string")
-    nested = subs.select(*ids, F.concat("ord", F.array("p")).alias("ord"),
-                         F.concat("section_path", F.array(F.coalesce("f.label", "f.id"))).alias("section_path"), "section_id",
-                         F.col("f.id").alias("in_repeater"), F.col("hid").alias("hidden_effective"), "s.id", "s.label", "s.type",
-                         none.alias("salidaJSON"), none.alias("jsonOutputPath"), none.alias("source_name"))
-    return own.unionByName(nested)
+    own = F.array(F.struct(F.col("ord").alias("ord"), F.col("section_path").alias("section_path"), none.alias("in_repeater"),
+                           (F.col("hid") | F.coalesce("f.hidden", F.lit(False))).alias("hidden_effective"), F.col("f.id").alias("id"), F.col("f.label").alias("label"), F.col("f.type").alias("type"),
+                           F.col("f.salidaJSON").alias("salidaJSON"), F.col("f.jsonOutputPath").alias("jsonOutputPath"), F.col("f.sourceMeta.sourceName").alias("source_name")))
+    subs = F.transform("f.repeaterConfig.fields", lambda s, k: F.struct(
+        F.concat("ord", F.array(k)).alias("ord"), F.concat("section_path", F.array(F.coalesce("f.label", "f.id"))).alias("section_path"), F.col("f.id").alias("in_repeater"),
+        F.col("hid").alias("hidden_effective"), s["id"].alias("id"), s["label"].alias("label"), s["type"].alias("type"), none.alias("salidaJSON"), none.alias("jsonOutputPath"), none.alias("source_name")))
+    rows = fields.select(*ids, "section_id", F.explode(F.when(subs.isNull(), own).otherwise(F.concat(own, subs))).alias("_r"))
+    return rows.select(*ids, "_r.ord", "_r.section_path", "section_id", "_r.in_repeater", "_r.hidden_effective", "_r.id", "_r.label", "_r.type", "_r.salidaJSON", "_r.jsonOutputPath", "_r.source_name")
 
 
 def field_refs(fields: DataFrame, per: Sequence[str] = ("form_id",)) -> DataFrame:

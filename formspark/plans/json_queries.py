@@ -9,7 +9,6 @@ from formspark.plans.registry import Family
 from formspark.plans.tables import MATRIX, PAYLOADS, duck, read, spark_table
 
 family = Family()
-DEPTH = 6
 
 NODES = f"""(SELECT d.doc_id, d.family, d.status, k.id AS node, k.fullkey, regexp_replace(substr(k.fullkey, 3), '\\[\\d+\\]', '[]', 'g') AS path,
   CASE k.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'leaf' END AS kind, json_extract_string(k.atom, '$') AS value
@@ -24,7 +23,7 @@ def payloads(spark, sf):
 SELECT DISTINCT doc_id, CASE kind WHEN 'array' THEN path || '[]' ELSE path END AS path FROM {NODES}
 WHERE NOT regexp_matches(fullkey, '\\[[1-9]') AND (kind <> 'leaf' OR value IS NOT NULL)""")
 def payload_paths(spark, sf):
-    return J.flatten_paths(payloads(spark, sf), ["doc_id"], "body", DEPTH)
+    return J.flatten_paths(payloads(spark, sf), ["doc_id"], "body")
 
 
 SHAPE = f"(SELECT family, status, path, coalesce(min(CASE WHEN kind <> 'leaf' THEN kind END), 'leaf') AS kind, count(*) AS n FROM {NODES} GROUP BY ALL)"
@@ -34,7 +33,7 @@ def shape(spark, sf, status: list[str] | None = None, per=("family",)):
     docs = payloads(spark, sf)
     if status:
         docs = docs.where(F.col("status").isin(*status))
-    return J.flatten_shape(docs, ["family", "status", "doc_id"], "body", DEPTH, per=list(per))
+    return J.flatten_shape(docs, ["family", "status", "doc_id"], "body", per=list(per))
 
 
 @family.query(f"SELECT * FROM {SHAPE}")
@@ -45,13 +44,13 @@ def payload_shape(spark, sf):
 @family.query(f"""SELECT family, path, sample_no, value FROM (SELECT *, row_number() OVER (PARTITION BY family, path ORDER BY doc_id, node) AS sample_no
   FROM {NODES} WHERE kind = 'leaf') WHERE sample_no <= 3""")
 def payload_samples(spark, sf):
-    return J.path_samples(payloads(spark, sf), ["family", "doc_id"], "body", DEPTH, per=["family"])
+    return J.path_samples(payloads(spark, sf), ["family", "doc_id"], "body", per=["family"])
 
 
 @family.query(f"""SELECT 'leaf' AS what, family, path AS name FROM (SELECT DISTINCT family, path FROM {NODES} WHERE kind = 'leaf')
 UNION ALL SELECT DISTINCT 'key', family, regexp_replace(list_last(string_split(path, '.')), '(\\[\\])+$', '') FROM {NODES} WHERE NOT ends_with(path, '[]')""")
 def payload_leaves_and_keys(spark, sf):
-    nodes = J.json_nodes(payloads(spark, sf), ["family"], "body", DEPTH)
+    nodes = J.json_nodes(payloads(spark, sf), ["family"], "body")
     leaves = J.flatten_leaves(nodes, ["family"]).select(F.lit("leaf").alias("what"), "family", F.col("path").alias("name"))
     return leaves.unionByName(J.sample_keys(nodes, ["family"]).select(F.lit("key").alias("what"), "family", F.col("key").alias("name")))
 
@@ -93,7 +92,7 @@ _WRITTEN = f"(SELECT DISTINCT family, path FROM {NODES} WHERE kind = 'leaf' AND
 
 def _leaves(spark, sf, statuses):
     docs = payloads(spark, sf).where(F.col("status").isin(*statuses))
-    return J.flatten_leaves(J.json_nodes(docs, ["family"], "body", DEPTH), ["family"])
+    return J.flatten_leaves(J.json_nodes(docs, ["family"], "body"), ["family"])
 
 
 @family.query(f"SELECT * FROM {_LEAVES} WHERE (family, path) NOT IN (SELECT (family, path) FROM {_WRITTEN})")
@@ -140,7 +139,7 @@ WITH known AS (SELECT DISTINCT CASE kind WHEN 'array' THEN path || '[]' ELSE pat
 forms AS (SELECT lower(replace(path, '[]', '')) AS f FROM known), leaves AS (SELECT lower(replace(list_last(string_split(path, '.')), '[]', '')) AS f FROM known)
 SELECT field_id, key FROM {duck(KEYS)} WHERE lower(replace(key, '[]', '')) NOT IN (SELECT f FROM forms) AND lower(key) NOT IN (SELECT f FROM leaves WHERE f <> '')""")
 def unknown_prefill_keys(spark, sf):
-    known = J.flatten_paths(payloads(spark, sf), ["doc_id"], "body", DEPTH).select("path").distinct()
+    known = J.flatten_paths(payloads(spark, sf), ["doc_id"], "body").select("path").distinct()
     return J.unknown_paths(spark_table(spark, sf, KEYS), known)
 
 
@@ -152,7 +151,7 @@ def paths_exist(spark, sf):
     wanted = spark_table(spark, sf, KEYS).select(
         F.concat(F.lit("f"), F.col("field_id") % 3).alias("form_id"), F.col("field_id").alias("ord"),
         F.when(F.col("field_id") % 2 == 0, F.replace("key", F.lit("[]"), F.lit("[3]"))).otherwise(F.col("key")).alias("path"))
-    known = J.json_nodes(payloads(spark, sf), [], "body", DEPTH).select("path").distinct()
+    known = J.json_nodes(payloads(spark, sf), [], "body").select("path").distinct()
     return J.path_exists(wanted, known, [])
 
 
@@ -193,13 +192,34 @@ UNION ALL SELECT form_id, t || ' / s2', 's2', NULL, h, 'field_b', NULL, 'date',
 UNION ALL SELECT form_id, t || ' / s2 / T', 's3', NULL, h OR never, 'field_c', NULL, 'text', NULL, NULL, NULL, 6 FROM c
 UNION ALL SELECT form_id, 'Fin', 's4', NULL, false, 'field_d', NULL, 'signature', NULL, NULL, NULL, 7 FROM c""")
 def formdef_fields(spark, sf):
-    fields = J.flatten_formdef(spark_table(spark, sf, FORMDEFS), ["form_id"], "body", 3)
+    fields = J.flatten_formdef(spark_table(spark, sf, FORMDEFS), ["form_id"], "body")
     by_form = F.row_number().over(J.Window.partitionBy("form_id").orderBy("ord"))
     return fields.select("form_id", F.array_join("section_path", " / ").alias("section_path"), "section_id", "in_repeater", "hidden_effective",
                          "id", "label", "type", F.col("salidaJSON").alias("salida"), F.col("jsonOutputPath").alias("output"), "source_name",
                          by_form.alias("pos"))
 
 
+# Documents nested up to 40 levels deep, and definitions of up to 13 levels of sections.
+DEEP = """SELECT o_orderkey AS doc_id, concat(repeat('{"a":[', CAST(o_orderkey % 20 AS INT)), '{"b":"', o_orderpriority, '","c":[]}', repeat(']}', CAST(o_orderkey % 20 AS INT))) AS body FROM @orders"""
+DEEPDEFS = """SELECT c_custkey AS form_id, concat('{"sections":[', repeat('{"id":"s","fields":[{"id":"f","type":"text"}],"subsections":[', CAST(c_custkey % 13 AS INT)),
+  '{"id":"last","title":"', c_mktsegment, '","fields":[{"id":"deep","type":"date","label":"', c_name, '"}]}', repeat(']}', CAST(c_custkey % 13 AS INT)), ']}') AS body FROM @customer"""
+
+
+@family.query(f"""SELECT d.doc_id, regexp_replace(substr(k.fullkey, 3), '\\[\\d+\\]', '[]', 'g') AS path, CASE k.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'leaf' END AS kind,
+  CASE WHEN k.type NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string(k.atom, '$') END AS value FROM {duck(DEEP)} d, json_tree(d.body) k WHERE k.fullkey <> '$'""")
+def deep_nodes(spark, sf):
+    return J.json_nodes(spark_table(spark, sf, DEEP), ["doc_id"], "body").drop("ord")
+
+
+@family.query("""
+WITH c AS (SELECT c_custkey AS form_id, (c_custkey % 13)::INT AS n, c_mktsegment, c_name FROM customer)
+SELECT form_id, repeat('s / ', d::INT - 1) || 's' AS section_path, 's' AS section_id, 'f' AS id, NULL AS label, 'text' AS type FROM c, generate_series(1, n) t(d)
+UNION ALL SELECT form_id, repeat('s / ', n) || c_mktsegment, 'last', 'deep', c_name, 'date' FROM c""")
+def deep_formdef_fields(spark, sf):
+    fields = J.flatten_formdef(spark_table(spark, sf, DEEPDEFS), ["form_id"], "body")
+    return fields.select("form_id", F.array_join("section_path", " / ").alias("section_path"), "section_id", "id", "label", "type")
+
+
 # Sample values at the paths a form writes. Form = brand.
 SAMPLES = f"""SELECT form_id, concat('a', p_size % 3, '.b[', p_size % 4, '].', CASE WHEN p_size % 2 = 0 THEN 'x' ELSE 'y[]' END, '.', lower(substring(data_type, 1, 1)), '[', ord % 3, '][', p_size % 2, ']') AS path, concat('<', ord, '>') AS value FROM ({MATRIX}) m"""
 
