@@ -267,7 +267,7 @@ def prefill_mode(source_name: Column | str, path: Column | str, group: Column |
     by_path = F.lit(False)
     for prefix in K.MANDATORY_PATHS:
         by_path = by_path | p.startswith(prefix)
-    rest = F.substring(s, 11, 1 << 20)
+    rest = F.substr(s, F.lit(11))
     insured = rest.isin(*K.MANDATORY_INSURED_FIELDS) | g.isin(*K.MANDATORY_INSURED_GROUPS) | rest.rlike(
         "^(" + "|".join(K.MANDATORY_INSURED_PREFIXES) + ")")
     must = by_path | F.when(s.startswith("asegurado_"), insured).otherwise(

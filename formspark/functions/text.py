@@ -94,9 +94,11 @@ def key_slug(c: Column | str, drop_index: bool = False) -> Column:
     return F.btrim(replace(plain, "[^a-z0-9]+", "_"), F.lit("_"))
 
 
-def slug_n(c: Column | str, size: int, default: Column | str = "x") -> Column:
+def slug_n(c: Column | str, size: int | None, default: Column | str = "x") -> Column:
+    """key slug, cut to ``size`` characters if one is given"""
     default = F.lit(default) if isinstance(default, str) else default
-    return F.coalesce(F.nullif(F.substring(key_slug(c), 1, size), F.lit("")), default)
+    slug = key_slug(c) if size is None else F.substring(key_slug(c), 1, size)
+    return F.coalesce(F.nullif(slug, F.lit("")), default)
 
 
 def slugify(c: Column | str) -> Column:

@@ -281,7 +281,7 @@ def section_two_level(fields: DataFrame, keys: Sequence[str] = ("form_id",), siz
     subs = ordered_scan(subs, [*keys, "_lost", "_sec"], [F.col("_first")], by_ord(size, "_first"), number="part_order")
 
     def key(c: str) -> Column:
-        return T.slug_n(c, 1 << 20, "otros")
+        return T.slug_n(c, None, "otros")
 
     def title(c: str) -> Column:
         return F.when(F.col("_lost") == 1, F.col(c)).otherwise(T.title_case(F.col(c)))

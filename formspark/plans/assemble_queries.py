@@ -101,13 +101,13 @@ _LINKS = "SELECT concat(c_mktsegment, '-', o_orderstatus) AS form_id, o_orderkey
 
 
 @family.query(f"""
-WITH l AS (SELECT * FROM {duck(_LINKS)} WHERE row_num IS NOT NULL), f AS (SELECT form_id, row_num, arg_min(source_name, ord) AS source_name, min(ord) AS o FROM l GROUP BY ALL), k AS (SELECT form_id, 's' || ord AS source_name FROM {M} WHERE ord % 3 > 0)
+WITH l AS (SELECT * FROM {duck(_LINKS)} WHERE row_num IS NOT NULL), f AS (SELECT form_id, row_num, arg_min(source_name, ord) AS source_name, min(ord) AS o FROM l GROUP BY ALL), k AS (SELECT form_id, CASE WHEN ord % 3 > 0 THEN 's' ELSE 'h' END || ord AS source_name FROM {M})
 SELECT m.form_id, f.source_name, m.row_num, CASE WHEN k.source_name IS NULL THEN 'new' ELSE 'linked' END AS state FROM {M} m JOIN f ON m.form_id = f.form_id AND m.row_num = f.row_num LEFT JOIN k ON k.form_id = f.form_id AND k.source_name = f.source_name
 UNION ALL SELECT form_id, source_name, NULL, 'hidden' FROM k WHERE (form_id, source_name) NOT IN (SELECT (form_id, source_name) FROM f)
 UNION ALL SELECT l.form_id, l.source_name, l.row_num, 'extra' FROM l JOIN f ON l.form_id = f.form_id AND l.row_num = f.row_num WHERE l.ord > f.o""")
 def linked_fields(spark, sf):
     m = mapping(spark, sf)
-    have = m.where("ord % 3 > 0").select("form_id", "ord", F.concat(F.lit("s"), "ord").alias("source_name"))
+    have = m.select("form_id", "ord", F.concat(F.when(F.col("ord") % 3 > 0, "s").otherwise("h"), "ord").alias("source_name"))
     out, extra = A.apply_links(m.select("form_id", "row_num"), spark_table(spark, sf, _LINKS), have)
     return out.unionByName(extra.withColumn("state", F.lit("extra")))
 
@@ -163,10 +163,12 @@ def group_fields(spark, sf):
     return A.group_fields(groups, g.select("form_id", "group_key", "ord", "source_name")).drop("section")
 
 
-@family.query(f"""SELECT form_id, 'field_' || source_name AS id, source_name, false AS hidden FROM {duck(NAMES)} WHERE ord % 3 = 0 UNION ALL SELECT DISTINCT form_id, 'field_' || source_name, source_name, true FROM {duck(NAMES)} WHERE (form_id, source_name) NOT IN (SELECT (form_id, source_name) FROM {duck(NAMES)} WHERE ord % 3 = 0)""")
+@family.query(f"""WITH b AS (SELECT form_id, CASE WHEN ord % 3 = 0 THEN source_name ELSE 'otro_' || source_name END AS source_name FROM {duck(NAMES)})
+SELECT form_id, 'field_' || source_name AS id, source_name, false AS hidden FROM b UNION ALL SELECT DISTINCT form_id, 'field_' || source_name, source_name, true FROM {duck(NAMES)} WHERE (form_id, source_name) NOT IN (SELECT (form_id, source_name) FROM b)""")
 def unused_kept_hidden(spark, sf):
     n = spark_table(spark, sf, NAMES)
-    built = n.where("ord % 3 = 0").select("form_id", F.concat(F.lit("field_"), "source_name").alias("id"), "source_name")
+    own = F.when(F.col("ord") % 3 == 0, F.col("source_name")).otherwise(F.concat(F.lit("otro_"), "source_name"))
+    built = n.select("form_id", F.concat(F.lit("field_"), own).alias("id"), own.alias("source_name"))
     return A.with_unused(built, n)
 
 

@@ -289,11 +289,11 @@ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, least(l_quantity, l_suppk
   floor(abs(l_linenumber - l_partkey / 10.0) + 0.5)::BIGINT AS h, CASE l_returnflag WHEN 'A' THEN 'boolean (solo true)' WHEN 'N' THEN 'string (fecha)' ELSE CASE l_linestatus WHEN 'O' THEN 'number' ELSE 'string' END END AS emitted,
   CASE WHEN l_linenumber = 1 THEN 'concat' WHEN l_linenumber = 2 THEN 'default' WHEN l_linenumber = 3 THEN 'prefill' ELSE 'usuario' END AS origin,
   CASE WHEN l_linenumber = 1 THEN NULL WHEN l_returnflag = 'A' THEN NULL WHEN l_returnflag = 'N' THEN 'p.' || l_partkey ELSE 's.' || l_suppkey END AS out_path,
-  CASE WHEN l_returnflag = 'R' THEN '<radio: ' || l_partkey || ' | ' || l_suppkey || CASE WHEN l_linenumber <> l_partkey AND l_linenumber <> l_suppkey THEN ' | ' || l_linenumber ELSE '' END || '>'
+  CASE WHEN l_returnflag = 'R' THEN '<radio: ' || l_partkey || CASE WHEN l_suppkey <> l_partkey THEN ' | ' || l_suppkey ELSE '' END || CASE WHEN l_linenumber <> l_partkey AND l_linenumber <> l_suppkey THEN ' | ' || l_linenumber ELSE '' END || '>'
     WHEN l_returnflag = 'N' THEN '<date dd/MM/yyyy>' ELSE '<select: 1 | 2 | 3 | 4 | 5 | 6' || CASE WHEN l_linenumber > 6 THEN ' | …' ELSE '' END || '>' END AS sample
-FROM lineitem WHERE l_partkey <> l_suppkey""")
+FROM lineitem""")
 def field_values(spark, sf):
-    li = read(spark, sf, "lineitem").where("l_partkey <> l_suppkey")
+    li = read(spark, sf, "lineitem")
     rf, ln = F.col("l_returnflag"), F.col("l_linenumber")
     rect = C.rect_norm(F.col("l_quantity"), F.col("l_partkey") / 10.0, F.col("l_suppkey"), ln)
     whole = C.rect_norm(F.col("l_quantity"), F.col("l_partkey") / 10.0, F.col("l_suppkey"), ln, rounded=True)

@@ -70,7 +70,7 @@ def find_catalog(spark, sf):
 
 
 @family.query(f"""
-WITH k AS (SELECT {slug('catalog')} AS k, min(catalog) AS c FROM {CAT} GROUP BY 1), combo AS (SELECT DISTINCT form_id, field_label FROM {CH} WHERE n_options = 2 AND ord % 9 = 0),
+WITH k AS (SELECT {slug('catalog')} AS k, min(catalog) AS c FROM {CAT} GROUP BY 1), combo AS (SELECT DISTINCT form_id, field_label FROM {CH} WHERE n_options = 2),
 f AS (SELECT c.*, combo.field_label IS NOT NULL AS has_combo, rule = 'Ver catálogo' AS by_rule, type IN ('select', 'radio') AS ok FROM {CH} c LEFT JOIN combo USING (form_id, field_label))
 SELECT form_id, ord, CASE WHEN NOT ok THEN NULL WHEN has_combo THEN 'combo' WHEN catalog_direct LIKE 'Moneda: (%' THEN 'direct_catalog' WHEN catalog_direct LIKE '%:%' THEN 'direct' WHEN rc IS NOT NULL THEN 'rule_catalog' WHEN kc IS NOT NULL THEN 'known_catalog' END AS origin,
   CASE WHEN NOT ok OR has_combo THEN NULL WHEN catalog_direct LIKE 'Moneda: (%' THEN 'Moneda' WHEN catalog_direct LIKE '%:%' THEN NULL ELSE coalesce(rc, kc) END AS catalog_name
@@ -78,7 +78,7 @@ FROM (SELECT f.*, CASE WHEN by_rule THEN coalesce(a.c, a2.c, b.c, b2.c) END AS r
   LEFT JOIN k b2 ON b2.k = {slug("regexp_replace(label, '(?i)^tipo de ', 'tipo ')")} LEFT JOIN k h ON h.k = {_HINT.format('field_label', chr(92) + 's*', chr(92) + 's*')})""")
 def resolve_options(spark, sf):
     c = spark_table(spark, sf, CHOICES)
-    combo = c.where("n_options = 2 AND ord % 9 = 0").select("form_id", F.col("field_label").alias("label"))
+    combo = c.where("n_options = 2").select("form_id", F.col("field_label").alias("label"))
     return J.resolve_options(c, combo, spark_table(spark, sf, CATALOGS)).select("form_id", "ord", "origin", "catalog_name")
 
 
@@ -232,7 +232,7 @@ def typo_keys(spark, sf):
     p = read(spark, sf, "part")
     k = F.col("p_size") % 4
     mark = F.when(k == 0, "").when(k == 1, "X").when(k == 2, "abc").otherwise(" ")
-    name = F.replace(F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 100)), F.lit(" "), mark)
+    name = F.replace(F.concat(F.upper(F.substring("p_name", 1, 1)), F.substr("p_name", F.lit(2))), F.lit(" "), mark)
     key = F.replace("p_name", F.lit(" "), F.when(F.col("p_size") % 2 == 0, "").otherwise("é"))
     return fuzzy.typo_keys(p.select(name.alias("name")), p.select(key.alias("key")))
 
@@ -352,12 +352,11 @@ def merge_business(spark, sf):
 @family.query(f"""
 WITH e AS (SELECT form_id, n, min_by(row_num, ord) AS r FROM (SELECT form_id, ord, row_num, {nw('x')} AS n FROM (SELECT *, unnest([source_name, acro_actual, label]) AS x FROM {duck(_FICHA)})) GROUP BY ALL),
 t AS (SELECT form_id, key, -1 AS rank, {nw('root')} AS n FROM {duck(_GROUPS)} UNION ALL SELECT form_id, key, ord, {nw('source_name')} FROM {duck(_MEMBERS)}), x AS (SELECT t.form_id, key, min_by(r, rank) AS r FROM t JOIN e USING (form_id, n) GROUP BY ALL),
-g AS (SELECT *, row_number() OVER (PARTITION BY form_id ORDER BY ord) AS i FROM {duck(_GROUPS)}), p AS (SELECT form_id, row_num, row_number() OVER (PARTITION BY form_id ORDER BY ord) AS i, count(*) OVER (PARTITION BY form_id) AS n FROM (SELECT * FROM {duck(_FICHA)} WHERE ord % 2 = 0)),
+g AS (SELECT *, row_number() OVER (PARTITION BY form_id ORDER BY ord) AS i FROM {duck(_GROUPS)}), p AS (SELECT form_id, row_num, row_number() OVER (PARTITION BY form_id ORDER BY ord) AS i, count(*) OVER (PARTITION BY form_id) AS n FROM {duck(_FICHA)}),
 l AS (SELECT form_id, max(n) AS n FROM p GROUP BY 1)
-SELECT g.form_id, g.key, coalesce(x.r, p.row_num) AS row_num, CASE WHEN x.r IS NOT NULL THEN 'exact' ELSE 'position' END AS kind FROM g LEFT JOIN x USING (form_id, key) LEFT JOIN l ON l.form_id = g.form_id LEFT JOIN p ON p.form_id = g.form_id AND p.i = least(g.i, l.n)"""
-              .replace(f"FROM {duck(_FICHA)})) GROUP BY ALL)", f"FROM {duck(_FICHA)} WHERE ord % 2 = 0)) GROUP BY ALL)"))
+SELECT g.form_id, g.key, coalesce(x.r, p.row_num) AS row_num, CASE WHEN x.r IS NOT NULL THEN 'exact' ELSE 'position' END AS kind FROM g LEFT JOIN x USING (form_id, key) LEFT JOIN l ON l.form_id = g.form_id LEFT JOIN p ON p.form_id = g.form_id AND p.i = least(g.i, l.n)""")
 def align_groups(spark, sf):
-    return J.align_groups(spark_table(spark, sf, _GROUPS), spark_table(spark, sf, _MEMBERS), spark_table(spark, sf, _FICHA).where("ord % 2 = 0"), size=64).select(
+    return J.align_groups(spark_table(spark, sf, _GROUPS), spark_table(spark, sf, _MEMBERS), spark_table(spark, sf, _FICHA), size=64).select(
         "form_id", "key", "row_num", "kind")
 
 

@@ -28,7 +28,7 @@ def visual_order(spark, sf):
 TEXTS = """SELECT concat('F', l_suppkey) AS form_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS INT) AS ord, l_linenumber AS page, CAST(l_orderkey % 60 * 10 AS DOUBLE) AS x, l_partkey % 80 * 8 + CAST(l_quantity AS INT) % 3 AS y,
   CASE l_partkey % 3 WHEN 0 THEN 8.0 WHEN 1 THEN 11.0 ELSE 20.0 END AS width, 6.0 + l_orderkey % 4 AS height,
   CASE l_orderkey % 23 WHEN 0 THEN 'DATOS DE LA POLIZA' WHEN 1 THEN concat('Beneficiario ', l_partkey % 5) WHEN 2 THEN 'Sexo:' WHEN 3 THEN 'Fecha de Nacimiento' WHEN 4 THEN 'VIGENCIA DEL SEGURO' WHEN 5 THEN 'desde:' WHEN 6 THEN 'Hasta' WHEN 7 THEN concat('Marque ', l_partkey % 9, ':')
-    WHEN 8 THEN 'Día' WHEN 9 THEN 'En calidad de' WHEN 10 THEN 'LUGAR Y FECHA DE SOLICITUD' WHEN 11 THEN 'x' ELSE concat('Texto ', l_partkey) END AS str FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity FROM @lineitem) d"""
+    WHEN 8 THEN 'Día' WHEN 9 THEN 'En calidad de' WHEN 10 THEN 'LUGAR Y FECHA DE SOLICITUD' WHEN 11 THEN 'x' ELSE concat('Texto ', l_partkey) END AS str FROM @lineitem"""
 T = duck(TEXTS)
 
 
@@ -48,7 +48,7 @@ def merge_adjacent(spark, sf):
 # Widgets on the same pages as the texts.
 FIELDS = """SELECT concat('F', l_suppkey) AS form_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS INT) AS ord, l_linenumber AS page, CAST(l_orderkey % 50 * 12 AS DOUBLE) AS x, CAST(l_partkey % 90 * 7 AS DOUBLE) AS y, 20.0 + l_linenumber AS width, 8.0 + l_partkey % 5 AS height,
   CASE l_orderkey % 3 WHEN 0 THEN 'checkbox' ELSE 'text' END AS type, CASE l_orderkey % 5 WHEN 0 THEN 'Día' WHEN 1 THEN 'mes:' WHEN 2 THEN 'AÑO' ELSE concat('Dato ', l_partkey % 30) END AS label, concat('w', l_partkey, CASE WHEN l_partkey % 6 = 0 THEN concat('Row', l_linenumber) ELSE '' END) AS name
-  FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, l_partkey FROM @lineitem) d WHERE l_partkey % 2 = 0"""
+  FROM @lineitem"""
 FD = duck(FIELDS)
 
 

@@ -41,7 +41,7 @@ def detect_header(spark, sf):
 @family.query(f"""SELECT DISTINCT form_id, file, sheet, 0 AS header_row, r AS role, i::INT - 1 AS col_idx FROM (SELECT form_id, file, sheet, unnest(['step', 'section', 'pdf_label', 'field_label', 'data_type', 'value', 'rule', 'required', 'product_scope', 'visualization', 'obs', 'json_name', 'pdf_field_name']) AS r,
   unnest(generate_series(1, 13)) AS i FROM {C})""")
 def detect_header_fallback(spark, sf):
-    return SH.detect_header(cells(spark, sf).where("row_idx <> 1"), fallback=K.MATRIX_FALLBACK)
+    return SH.detect_header(cells(spark, sf).withColumn("value", F.when(F.col("row_idx") == 1, F.concat(F.lit("x"), "col_idx")).otherwise(F.col("value"))), fallback=K.MATRIX_FALLBACK)
 
 
 @family.query(f"SELECT DISTINCT form_id, file, sheet, 1 AS header_row FROM {C}")
@@ -86,7 +86,7 @@ FICHA = """SELECT concat('S', s_suppkey) AS form_id, 'ficha.xlsx' AS file, CASE
   CASE WHEN r = 0 THEN concat('H', c) WHEN r = 3 AND s_nationkey % 7 = 2 AND c = 0 THEN 'No aplica para este  formulario' WHEN c = 0 THEN CASE WHEN r % 3 = 0 THEN '' WHEN r % 5 = 0 THEN 'Json' ELSE concat('Nodo ', r) END WHEN c = 1 THEN concat('Paso ', r)
     WHEN c = 2 THEN CASE WHEN s_nationkey % 6 = 0 THEN concat('Sec ', r) ELSE 'pdf' END WHEN c = 3 THEN CASE WHEN r % 4 = 0 THEN ' ' ELSE concat(' Label  ', r) END WHEN c = 4 THEN CASE WHEN r % 2 = 0 THEN 'Radio/Combo' ELSE 'Numérico' END WHEN c = 6 THEN CASE WHEN r = 7 THEN 'No aplica formulario' ELSE 'x' END
     WHEN c = 7 THEN CASE WHEN r % 5 = 1 THEN 'Web' ELSE 'Si' END WHEN c = 9 THEN CASE r % 3 WHEN 0 THEN 'No aplica' WHEN 1 THEN 'Disabled' ELSE 'Dato prellenado' END WHEN c = 12 THEN CASE WHEN r % 4 < 2 THEN '' ELSE concat('a.b', r, ', c.d') END WHEN c = 13 THEN CASE WHEN r % 8 = 0 THEN '' ELSE concat('s', r) END ELSE '' END AS value
-FROM (SELECT s_suppkey, s_nationkey, CAST(rr.n_nationkey % 12 AS INT) AS r, CAST(cc.n_nationkey AS INT) AS c FROM @supplier JOIN @nation rr ON rr.n_nationkey < 12 JOIN @nation cc ON cc.n_nationkey < 14) x"""
+FROM (SELECT s_suppkey, s_nationkey, CAST(rr AS INT) AS r, CAST(cc AS INT) AS c FROM @supplier, @each(0, 11) t1(rr), @each(0, 13) t2(cc)) x"""
 FC = duck(FICHA)
 
 
@@ -122,11 +122,11 @@ def ficha_index(spark, sf):
 
 
 # Mapping sheets: 22 columns, one row per order, one sheet per status and priority.
-MAP22 = """SELECT o_orderpriority AS form_id, concat(o_orderstatus, '.xlsx') AS file, 'Mapeo' AS sheet, 0 AS sheet_ord, CAST(o_orderkey + 1 AS INT) AS row_idx, CAST(n_nationkey AS INT) AS col_idx,
-  CASE n_nationkey WHEN 0 THEN CAST(o_orderkey AS STRING) WHEN 2 THEN CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE concat('W', o_orderkey) END WHEN 3 THEN CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 4 = 1 THEN concat('W', o_orderkey) ELSE concat('p', o_custkey) END
+MAP22 = """SELECT o_orderpriority AS form_id, concat(o_orderstatus, '.xlsx') AS file, 'Mapeo' AS sheet, 0 AS sheet_ord, CAST(o_orderkey + 1 AS INT) AS row_idx, CAST(n AS INT) AS col_idx,
+  CASE n WHEN 0 THEN CAST(o_orderkey AS STRING) WHEN 2 THEN CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE concat('W', o_orderkey) END WHEN 3 THEN CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 4 = 1 THEN concat('W', o_orderkey) ELSE concat('p', o_custkey) END
     WHEN 8 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE CAST(o_custkey % 7 AS STRING) END WHEN 11 THEN CASE o_orderkey % 3 WHEN 0 THEN 'Sí' WHEN 1 THEN '' ELSE '?' END WHEN 13 THEN CAST(o_custkey % 4 AS STRING) WHEN 15 THEN ' FECHA'
-    WHEN 18 THEN CASE o_orderkey % 6 WHEN 0 THEN concat('[{"value":"', o_custkey, '","label":"L"},{"value":"2"}]') WHEN 1 THEN '[{"value":' ELSE '' END ELSE concat('c', n_nationkey) END AS value
-FROM @orders JOIN @nation ON n_nationkey < 22"""
+    WHEN 18 THEN CASE o_orderkey % 6 WHEN 0 THEN concat('[{"value":"', o_custkey, '","label":"L"},{"value":"2"}]') WHEN 1 THEN '[{"value":' ELSE '' END ELSE concat('c', n) END AS value
+FROM @orders, @each(0, 21) t(n)"""
 _MAPD = MAP22.replace("AS STRING)", "AS VARCHAR)")
 M22 = duck(_MAPD)
 
@@ -143,7 +143,7 @@ def mapping_rows(spark, sf):
                                                           valid.alias("n_options"), "warning")
 
 
-_HEADS = "SELECT s_suppkey, CAST(n_nationkey AS INT) AS col_idx, CASE WHEN (s_suppkey + n_nationkey) % 5 = 0 THEN concat('otro ', s_suppkey) ELSE upper(concat('col', n_nationkey)) END AS value FROM @supplier JOIN @nation ON n_nationkey < 15 + s_nationkey % 10"
+_HEADS = "SELECT s_suppkey, CAST(n AS INT) AS col_idx, CASE WHEN (s_suppkey + n) % 5 = 0 THEN concat('otro ', s_suppkey) ELSE upper(concat('col', n)) END AS value FROM @supplier, @each(0, 14 + s_nationkey % 10) t(n)"
 
 
 @family.query(f"""
@@ -173,7 +173,7 @@ def sheet_layouts(spark, sf):
     return SH.detect_layout(c.withColumn("sheet", sheet))
 
 
-_CATC = """SELECT 'g' AS form_id, 'catalogos.xlsx' AS file, n_name AS sheet, n_nationkey AS sheet_ord, 0 AS row_idx, c AS col_idx, CASE c WHEN 0 THEN CASE n_nationkey % 3 WHEN 0 THEN 'Código' WHEN 1 THEN 'Nombre' ELSE 'Alfa' END WHEN 1 THEN CASE n_nationkey % 3 WHEN 0 THEN 'Descripción' WHEN 1 THEN 'Clave' ELSE 'Beta' END ELSE 'Otro' END AS value FROM @nation JOIN (SELECT CAST(r_regionkey AS INT) AS c FROM @region WHERE r_regionkey < 3) r ON true
+_CATC = """SELECT 'g' AS form_id, 'catalogos.xlsx' AS file, n_name AS sheet, n_nationkey AS sheet_ord, 0 AS row_idx, CAST(c AS INT) AS col_idx, CASE c WHEN 0 THEN CASE n_nationkey % 3 WHEN 0 THEN 'Código' WHEN 1 THEN 'Nombre' ELSE 'Alfa' END WHEN 1 THEN CASE n_nationkey % 3 WHEN 0 THEN 'Descripción' WHEN 1 THEN 'Clave' ELSE 'Beta' END ELSE 'Otro' END AS value FROM @nation, @each(0, 2) r(c)
 UNION ALL SELECT 'g', 'catalogos.xlsx', n_name, n_nationkey, CAST(c_custkey + 1 AS INT), 0, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE concat('A', c_custkey) END FROM @customer JOIN @nation ON n_nationkey = c_nationkey UNION ALL SELECT 'g', 'catalogos.xlsx', n_name, n_nationkey, CAST(c_custkey + 1 AS INT), 1, CASE WHEN c_custkey % 8 = 0 THEN ' ' ELSE concat(' B', c_custkey) END FROM @customer JOIN @nation ON n_nationkey = c_nationkey"""
 
 
@@ -264,7 +264,7 @@ SELECT project, file, (-n, file_ord) AS rank, n AS total, count(*) FILTER (first
 
 def _names(spark, sf):
     d = read(spark, sf, "documents")
-    words = d.select(F.col("lang").alias("project"), F.col("source").alias("file"), F.substring("source", 4, 9).cast("int").alias("file_ord"),
+    words = d.select(F.col("lang").alias("project"), F.col("source").alias("file"), F.substr("source", F.lit(4)).cast("int").alias("file_ord"),
                      F.explode(F.split(F.lower("text"), r"\s+")).alias("name")).distinct()
     sizes = words.groupBy("project", "file").agg(F.count(F.lit(1)).alias("size"))
     return words.join(sizes, ["project", "file"])
@@ -281,9 +281,9 @@ def reuse_pairs(spark, sf):
 
 
 @family.query(f"""SELECT project, sum(total)::BIGINT AS pdf_total, sum(shared)::BIGINT AS pdf_shared, (sum(total) - sum(shared))::BIGINT AS pdf_own, coalesce(any_value(e), 0) AS excel_total, 0 AS excel_shared, coalesce(any_value(e), 0) AS excel_own,
-  floor(sum(shared) * 100 / (sum(total) + coalesce(any_value(e), 0)) + 0.5)::INT AS percent FROM {_PER} LEFT JOIN (SELECT lang AS project, count(*) AS e FROM documents WHERE source = 'src1' GROUP BY 1) USING (project) GROUP BY project""")
+  floor(sum(shared) * 100 / (sum(total) + coalesce(any_value(e), 0)) + 0.5)::INT AS percent FROM {_PER} LEFT JOIN (SELECT lang AS project, count(*) AS e FROM documents GROUP BY 1) USING (project) GROUP BY project""")
 def reuse_totals(spark, sf):
-    d = read(spark, sf, "documents").where("source = 'src1'")
+    d = read(spark, sf, "documents")
     excel = S.reuse(d.select(F.col("lang").alias("project"), F.col("source").alias("file"), F.lit(0).alias("file_ord"), F.lit(0).alias("size"), F.col("doc_id").alias("name")))
     return S.reuse_totals(S.reuse(_names(spark, sf)), excel)
 
@@ -292,7 +292,7 @@ def reuse_totals(spark, sf):
 
 PDFS = "SELECT c_mktsegment AS project, concat('Solicitud ', CASE WHEN c_custkey % 3 = 0 THEN concat('nation', c_nationkey, ' vida ') ELSE '' END, c_custkey, '.pdf') AS file, c_custkey AS file_ord, c_custkey % 50 AS field_count, c_custkey % 4 AS pages, c_custkey % 3 AS repeater_groups, c_custkey % 20 AS unique_configs FROM @customer"
 EXCELS = "SELECT c_mktsegment AS project, concat('Ficha nation', c_nationkey, CASE WHEN c_nationkey % 2 = 0 THEN '' ELSE '_x' END, '.xlsx') AS file, c_nationkey AS file_ord, sum(c_custkey % 7) AS business_rules, sum(c_custkey % 3) AS conditional_rules, count(*) AS catalogs, 1 AS catalog_refs, sum(c_custkey % 11) AS catalog_items FROM @customer GROUP BY c_mktsegment, c_nationkey"
-DEFS = "SELECT c_mktsegment AS project, concat('def', c_custkey, '.json') AS file, c_custkey % 2 = 0 AS is_definition, c_custkey * 30 AS fields, c_custkey % 5 AS repeaters, 1 AS lookups, c_custkey % 90 AS conditionals, c_custkey % 70 AS rules FROM @customer WHERE c_custkey % 10 = 0"
+DEFS = "SELECT c_mktsegment AS project, concat('def', c_custkey, '.json') AS file, c_custkey % 2 = 0 AS is_definition, c_custkey * 30 AS fields, c_custkey % 5 AS repeaters, 1 AS lookups, c_custkey % 90 AS conditionals, c_custkey % 70 AS rules FROM @customer"
 P, X, D = duck(PDFS), duck(EXCELS), duck(DEFS)
 
 

@@ -11,12 +11,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formspark.session import cut_lineage, spread_scan
+from formspark.session import cut_lineage
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return spread_scan(df, df.columns[0])
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -25,8 +24,13 @@ def stored(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+# ``@each(low, high) t(c)``: a row for each whole number from low to high, beside every row so far
+_EACH = re.compile(r"@each\(((?:[^()]|\([^()]*\))*)\)\s+(\w+)\((\w+)\)")
+
+
 def spark_table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run an adapter on Spark; ``@part`` etc. name the given tables."""
+    sql = _EACH.sub(r"LATERAL explode(sequence(\1)) AS \2(\3)", sql)
     names = set(re.findall(r"@(\w+)", sql))
     text = re.sub(r"@(\w+)", r"{\1}", sql.replace("{", "{{").replace("}", "}}"))
     return spark.sql(text, **{n: read(spark, sf_dir, n) for n in names})
@@ -34,7 +38,7 @@ def spark_table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 def duck(sql: str) -> str:
     """The same adapter as a DuckDB subquery."""
-    return "(" + re.sub(r"@(\w+)", r"\1", sql) + ")"
+    return "(" + re.sub(r"@(\w+)", r"\1", _EACH.sub(r"generate_series(\1) \2(\3)", sql)) + ")"
 
 
 # Field matrix: one row per part. Form = brand; the texts are derived from the columns.
@@ -154,7 +158,7 @@ FROM @part
 WIDGETS = """
 SELECT concat('F', l_suppkey) AS form_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag) AS INT) AS ord,
   concat('w', l_partkey) AS name, l_linenumber AS page, l_quantity * 12 + l_discount * 100 AS x, l_extendedprice / 100 + l_tax * 10 AS y, 20 + l_linenumber AS width, 8.0 + l_tax * 100 AS height,
-  l_returnflag AS flag FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_extendedprice, l_tax, l_returnflag FROM @lineitem) d
+  l_returnflag AS flag FROM @lineitem
 """
 
 # Sheet cells: the parts as rows of spreadsheets. Form = brand, file = type, four sheets each.
@@ -172,12 +176,13 @@ _CELL_COLUMNS = [
 ]
 _SHEET = """CASE p_size % 4 WHEN 0 THEN 'Campos' WHEN 1 THEN 'Catálogo X' WHEN 2 THEN 'Portada' ELSE 'Formulario Digital Vida' END"""
 _ROWS = f"""SELECT p.*, concat('matriz_', lower(p_type), '.xlsx') AS file, {_SHEET} AS sheet, p_size % 4 AS sheet_ord,
-  CAST(row_number() OVER (PARTITION BY p_brand, p_type, p_size % 4 ORDER BY p_partkey) + 1 AS INT) AS row_idx FROM @part p"""
-_COLUMN = "(SELECT CAST(n_nationkey AS INT) AS c FROM @nation WHERE n_nationkey < 10) k"
+  CAST(p_partkey + 2 AS INT) AS row_idx FROM @part p"""
+_SHEETS = f"(SELECT DISTINCT p_brand, file, sheet, sheet_ord FROM ({_ROWS}) s0)"
+_COLUMN = "@each(0, 9) k(c)"
 CELLS = (
-    f"SELECT p_brand AS form_id, file, sheet, sheet_ord, 0 AS row_idx, 0 AS col_idx, concat('Matriz ', p_brand) AS value FROM ({_ROWS}) t0 WHERE row_idx = 2"
-    + f" UNION ALL SELECT p_brand, file, sheet, sheet_ord, 1, c, CASE c " + " ".join(f"WHEN {i} THEN '{head}'" for i, (head, _) in enumerate(_CELL_COLUMNS))
-    + f" END FROM ({_ROWS}) t1 JOIN {_COLUMN} ON true WHERE row_idx = 2"
-    + f" UNION ALL SELECT p_brand, file, sheet, sheet_ord, row_idx, c, CASE c " + " ".join(f"WHEN {i} THEN {expr}" for i, (_, expr) in enumerate(_CELL_COLUMNS))
-    + f" END FROM ({_ROWS}) t2 JOIN {_COLUMN} ON true"
+    f"SELECT p_brand AS form_id, file, sheet, sheet_ord, 0 AS row_idx, 0 AS col_idx, concat('Matriz ', p_brand) AS value FROM {_SHEETS} t0"
+    + f" UNION ALL SELECT p_brand, file, sheet, sheet_ord, 1, CAST(c AS INT), CASE c " + " ".join(f"WHEN {i} THEN '{head}'" for i, (head, _) in enumerate(_CELL_COLUMNS))
+    + f" END FROM {_SHEETS} t1, {_COLUMN}"
+    + f" UNION ALL SELECT p_brand, file, sheet, sheet_ord, row_idx, CAST(c AS INT), CASE c " + " ".join(f"WHEN {i} THEN {expr}" for i, (_, expr) in enumerate(_CELL_COLUMNS))
+    + f" END FROM ({_ROWS}) t2, {_COLUMN}"
 )

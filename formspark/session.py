@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # AQE splits skewed join partitions and coalesces small ones at run time, so the
@@ -14,11 +12,13 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # files of a checkpoint go when nothing refers to it any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A session for tests and benchmarks on one machine."""
+def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g", folder: str | None = None) -> SparkSession:
+    """A session for tests and benchmarks on one machine; ``folder`` takes checkpoints if the settings name none."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("formspark")
@@ -31,31 +31,22 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if folder and not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", folder)
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in reliable storage and forget how it was made.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
+    return folder
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a folder of
-    our own is used only where that is unset (local tests).
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and forget how it was made."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
-
-
-def spread_scan(df: DataFrame, key: str, at_least: int = 1 << 20) -> DataFrame:
-    """Spread a scan with fewer splits than the cluster has cores.
-
-    A file of one row group is one split however long the work on its rows is. Nothing is
-    moved where the scan is wide enough already (the usual case on a cluster) or small.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < at_least or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)

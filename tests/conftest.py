@@ -1,5 +1,6 @@
 import pathlib
 import sys
+import tempfile
 
 import pytest
 
@@ -10,7 +11,7 @@ from formspark.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("8", 4, "4g")
+    return local_session("8", 4, "4g", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
 
 
 @pytest.fixture
