@@ -159,9 +159,12 @@ def compare_counts(diff: DataFrame, per: Sequence[str]) -> DataFrame:
 STATUS_ORDER = {"forma": 0, "falta": 1, "sobra": 2, "ok": 3}
 
 
-def order_diff(diff: DataFrame) -> DataFrame:
+def order_diff(diff: DataFrame, per: Sequence[str]) -> DataFrame:
+    """the diff in reading order: other shape, missing, superfluous, right; then by path. ``place`` is
+    the row's number in that order, so that it outlives the sort"""
     rank = F.create_map(*[F.lit(x) for pair in STATUS_ORDER.items() for x in pair])[F.col("status")]
-    return diff.orderBy(rank, "path")
+    placed = ordered_scan(diff, per, [rank, F.col("path")], F.struct(rank.alias("rank"), F.substring("path", 1, 3).alias("head")), number="place")
+    return placed.orderBy(*per, "place")
 
 
 def suggest_path(diff: DataFrame, generated: DataFrame, per: Sequence[str]) -> DataFrame:

@@ -6,15 +6,19 @@ a single value however many fields share a path or an id.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from formspark.kernels import ordered_scan
+
 Rule = Callable[["Model"], DataFrame]
+RowRule = Callable[[], Column]
 RULES: dict[str, Rule] = {}
-ROW_RULES: dict[str, Callable[[], Column]] = {}
+ROW_RULES: dict[str, RowRule] = {}
+READABLE: dict[str, RowRule] = {}
 
 # Severity and title of each rule.
 SEVERITY = {"error": 0, "aviso": 1, "nota": 2}
@@ -100,27 +104,39 @@ def hits(subjects: Column) -> Column:
         F.col("id").alias("field_id"), s.alias("subject"), F.lit(None).cast("string").alias("path"))), F.array().cast(_HIT))
 
 
-def register_row(rule: str) -> Callable[[Callable[[], Column]], Rule]:
+def register_row(rule: str, readable: RowRule | None = None) -> Callable[[RowRule], Rule]:
     """Register a rule that needs nothing but the row: it returns an array of hits. All of
-    them together cost one pass over the fields."""
-    def add(fn: Callable[[], Column]) -> Rule:
+    them together cost one pass over the fields. ``readable`` says whether the rule can judge a row;
+    where it cannot, the row gets an R00 finding that names the rule instead of ending the audit."""
+    def add(fn: RowRule) -> Rule:
         def run(model: Model) -> DataFrame:
-            return row_findings(model.fields, {rule: fn()})
+            return row_findings(model.fields, [guarded(rule, fn, readable)])
         run.__name__ = fn.__name__
         ROW_RULES[rule] = fn
+        if readable is not None:
+            READABLE[rule] = readable
         RULES[rule] = run
         return run
     return add
 
 
-def row_findings(fields: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    tagged = [_tag(rule, c) for rule, c in columns.items()]
+def guarded(rule: str, fn: RowRule, readable: RowRule | None = None) -> Column:
+    """Tagged findings of a row rule; its expression is not evaluated on rows that it cannot read."""
+    found = _tag(rule, fn())
+    if readable is None:
+        return found
+    fault = F.array(F.struct(F.lit("R00").alias("rule"), F.lit(TITLES["R00"][0]).alias("severity"), F.col("id").alias("field_id"),
+                             F.lit(f"{rule}: unreadable row").alias("subject"), F.lit(None).cast("string").alias("path")))
+    return F.when(F.coalesce(readable(), F.lit(False)), found).otherwise(fault)
+
+
+def row_findings(fields: DataFrame, tagged: list[Column]) -> DataFrame:
     rows = fields.select("form_id", F.explode(F.concat(*tagged)).alias("f"))
     return rows.select("form_id", "f.rule", "f.severity", "f.field_id", "f.subject", "f.path")
 
 
 def _tag(rule: str, found: Column) -> Column:
-    return F.transform(found, lambda h: F.struct(F.lit(rule).alias("rule"), F.lit(TITLES[rule][0]).alias("severity"),
+    return F.transform(found, lambda h: F.struct(F.lit(rule).alias("rule"), F.lit(TITLES.get(rule, ("nota",))[0]).alias("severity"),
                                                  h.field_id.alias("field_id"), h.subject.alias("subject"), h.path.alias("path")))
 
 
@@ -133,20 +149,23 @@ def finding(rows: DataFrame, rule: str, field: str | Column | None = "id", subje
                        (none if path is None else path).alias("path"))
 
 
-def run_rules(model: Model, only: list[str] | None = None) -> DataFrame:
+def run_rules(model: Model, only: list[str] | None = None, more: Mapping[str, tuple[RowRule, RowRule | None]] | None = None) -> DataFrame:
     """All findings: one pass for the rules about single rows, one plan for each of the
-    others. A rule that cannot be planned (a missing column, say) leaves a visible R00
-    finding and the others go on."""
+    others. ``more`` are further row rules by name, each with what makes a row readable.
+
+    A rule that cannot be planned (a missing column, say) leaves a visible R00 finding and the
+    others go on; a row that a rule cannot read gets an R00 finding of its own."""
     spark = model.fields.sparkSession
-    wanted = [r for r in RULES if not only or r in only]
+    more = dict(more or {})
+    wanted = [r for r in RULES if only is None or r in only] + list(more)
     parts: list[DataFrame] = []
-    columns: dict[str, Column] = {}
+    columns: list[Column] = []
     for rule in wanted:
         try:
-            if rule in ROW_RULES:
-                column = ROW_RULES[rule]()
+            if rule in more or rule in ROW_RULES:
+                column = guarded(rule, *(more[rule] if rule in more else (ROW_RULES[rule], READABLE.get(rule))))
                 model.fields.select(column).schema  # analyse now, so that a broken rule fails here
-                columns[rule] = column
+                columns.append(column)
             else:
                 part = RULES[rule](model)
                 part.schema
@@ -161,9 +180,12 @@ def run_rules(model: Model, only: list[str] | None = None) -> DataFrame:
 
 
 def finding_order(findings: DataFrame) -> DataFrame:
-    """errors, warnings, notes; then by rule"""
+    """a form's errors, warnings, notes, each by rule; ``place`` is a finding's number in that order"""
     rank = F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])[F.col("severity")]
-    return findings.orderBy(rank, "rule", "form_id", "field_id")
+    rest = [F.coalesce(c, F.lit("")) for c in ("field_id", "subject", "path")]
+    known = findings.withColumn("form_id", F.coalesce("form_id", F.lit("")))
+    placed = ordered_scan(known, ["form_id"], [rank, F.col("rule"), *rest], F.struct(rank.alias("rank"), "rule"), number="place")
+    return placed.orderBy("form_id", "place")
 
 
 def with_titles(findings: DataFrame) -> DataFrame:

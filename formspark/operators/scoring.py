@@ -145,16 +145,15 @@ def classify_files(pdfs: DataFrame, excels: DataFrame, jsons: DataFrame, scores:
 
 
 def top_files(files: DataFrame, k: int = 5) -> DataFrame:
-    """the k files of most points per project, with a bar of 3 to 100 percent of the first
+    """the k files of most points per project, with a bar of 3 to 100 percent: the file's share of
+    all points. Files without points are left out.
 
     The limit is the report; Spark limits each partition before the rows are moved.
     """
     from pyspark.sql import Window
     order = Window.partitionBy("project").orderBy(F.desc("points"), "file")
-    top = files.select("*", F.row_number().over(order).alias("place")).where(F.col("place") <= k)
-    best = top.groupBy("project").agg(F.max("points").alias("_best"))
-    bar = F.greatest(F.lit(3), half_up(F.col("points") * 100 / F.greatest("_best", F.lit(0.1)))).cast("int")
-    return top.join(best, "project").withColumn("bar", F.least(F.lit(100), bar)).drop("_best")
+    top = files.where("points > 0").select("*", F.row_number().over(order).alias("place")).where(F.col("place") <= k)
+    return top.withColumn("bar", F.greatest(F.lit(3), F.least(F.lit(100), "share")))
 
 
 def name_affinity_best(excels: DataFrame, pdfs: DataFrame) -> DataFrame:

@@ -74,10 +74,10 @@ WITH gen AS (SELECT family, path AS suggestion, n, array_to_string(string_split(
 miss AS (SELECT family, path, n, array_to_string(string_split(path, '.')[len(string_split(path, '.')) - n + 1:], '.') AS suffix FROM {_DIFF}, generate_series(2, len(string_split(path, '.'))) t(n) WHERE status = 'falta'),
 best AS (SELECT miss.family, path, suggestion, miss.n AS segments, row_number() OVER (PARTITION BY miss.family, path ORDER BY miss.n DESC, suggestion) AS k
   FROM miss JOIN gen ON miss.family = gen.family AND miss.suffix = gen.suffix)
-SELECT d.family, d.path, status, kind, expected, found, suggestion, segments FROM {_DIFF} d LEFT JOIN best ON best.k = 1 AND d.family = best.family AND d.path = best.path""")
+SELECT d.family, d.path, status, kind, expected, found, suggestion, segments, row_number() OVER (PARTITION BY d.family ORDER BY CASE status WHEN 'forma' THEN 0 WHEN 'falta' THEN 1 WHEN 'sobra' THEN 2 ELSE 3 END, d.path) AS place FROM {_DIFF} d LEFT JOIN best ON best.k = 1 AND d.family = best.family AND d.path = best.path""")
 def contract_compare(spark, sf):
     diff, generated = _diff(spark, sf)
-    return J.suggest_path(J.order_diff(diff), generated, ["family"])
+    return J.order_diff(J.suggest_path(diff, generated, ["family"]), ["family"])
 
 
 @family.query(f"""SELECT *, CAST(floor(ok * 100 / (ok + falta + forma) + 0.5) AS INT) AS coverage FROM (SELECT family, count(*) FILTER (status = 'ok') AS ok,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from formspark.operators import json_paths as J
+from formspark.operators.rules.registry import hit
 from formspark.operators.rules import RULES, Model, audit, checks, finding_order, form_rules, run_rules, with_titles
 from formspark.plans.registry import Family
 from formspark.plans.tables import FORM_FIELDS, FORM_WIDGETS, duck, spark_table, stored
@@ -95,7 +96,20 @@ for _rule in SQL:
 @family.query("SELECT rule, severity, count(*) AS n FROM (" + " UNION ALL ".join(SQL.values()) + ") GROUP BY ALL")
 def rule_summary(spark, sf):
     findings = run_rules(stored_model(spark, sf))
-    return with_titles(finding_order(findings)).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return with_titles(findings).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+_X01 = f"""SELECT form_id, 'X01' AS rule, 'nota' AS severity, id AS field_id, NULL AS subject, NULL AS path FROM {FF} WHERE json_value LIKE 'B%' AND try_cast(substr(json_value, 2) AS INT) >= 3
+  UNION ALL SELECT form_id, 'R00', 'aviso', id, 'X01: unreadable row', NULL FROM {FF} WHERE json_value = 'A'"""
+
+
+@family.query(f"""SELECT *, row_number() OVER (PARTITION BY form_id ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'aviso' THEN 1 ELSE 2 END, rule, coalesce(field_id, ''), coalesce(subject, ''), coalesce(path, '')) AS place
+FROM ({SQL["R02"]} UNION ALL {SQL["R13"]} UNION ALL {SQL["R14"]} UNION ALL {_X01})""")
+def ordered_findings(spark, sf):
+    """findings in order, among them those of a rule that cannot read some of the rows"""
+    digits = F.substr("json_value", F.lit(2))
+    over = (lambda: hit(digits.cast("int") >= 3), lambda: F.col("json_value").isNull() | digits.try_cast("int").isNotNull())
+    return finding_order(run_rules(model(spark, sf), only=["R02", "R13", "R14"], more={"X01": over}))
 
 
 _P = f"(SELECT *, coalesce(nullif(salida_json, ''), nullif(json_output_path, '')) AS main FROM {FF})"

@@ -355,8 +355,8 @@ def classified_files(spark, sf):
 
 
 @family.query(f"""
-WITH t AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY points DESC, file) AS place FROM {_FILESC})
-SELECT project, file, kind, points, place, least(100, greatest(3, floor(points * 100 / max(points) OVER (PARTITION BY project) + 0.5)))::INT AS bar FROM t WHERE place <= 5""")
+WITH t AS (SELECT f.*, CASE WHEN kind = 'json' THEN 0 ELSE floor(f.points * 100 / s.points + 0.5) END::INT AS share, row_number() OVER (PARTITION BY f.project ORDER BY f.points DESC, file) AS place FROM {_FILESC} f JOIN {_SCORE} s ON f.project = s.project WHERE f.points > 0)
+SELECT project, file, kind, points, place, least(100, greatest(3, share)) AS bar FROM t WHERE place <= 5""")
 def top_files(spark, sf):
     return S.top_files(_files(spark, sf)).select("project", "file", "kind", "points", "place", "bar")
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from formspark.functions import text as T
-from formspark.functions.ratio import seq_ratio
 from formspark.plans.registry import Family
 from formspark.plans.tables import LINES, MATRIX, duck, lines, read, spark_table
 
@@ -173,10 +172,3 @@ def similarity_scores(spark, sf):
         "o_orderkey", F.round(T.edit_similarity(a, b), 6).alias("edit"), T.bounded_edit(a, b).alias("bounded"),
         F.round(T.dice_bigrams("a", "b"), 6).alias("dice"), F.round(T.token_overlap("a", "b"), 6).alias("overlap"),
         F.round(T.token_overlap("a", "b", distinct=True), 6).alias("overlap_set"), T.name_affinity(a, b).alias("affinity"))
-
-
-@family.query()
-def sequence_ratio(spark, sf):
-    """rows only: block matching has no SQL; compared with its definition in the tests"""
-    o = read(spark, sf, "part")
-    return o.select("p_partkey", F.round(seq_ratio(F.col("p_name"), F.concat("p_type", F.lit(" "), "p_name")), 6).alias("ratio"))
