@@ -31,6 +31,20 @@ def last_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], c
     return df.groupBy(*keys).agg(picked).select(*keys, "_row.*")
 
 
+def _dealt(df: DataFrame, part: Sequence[str]) -> tuple[DataFrame, Column]:
+    """``df`` dealt by ``part``, and an aggregate that looks at every column.
+
+    Rows and slice totals are two branches over the same rows. The aggregate makes both need the same
+    columns, so that Spark moves them once and reuses the exchange; without it the totals would read
+    and move their own narrow copy, and every scan on top of another would double what is below."""
+    plain = [c for c, kind in df.dtypes if "variant" not in kind and "map<" not in kind]
+    return df.repartition(*part), F.bit_xor(F.xxhash64(*plain)).alias("_seen")
+
+
+#: Holds for every row; it keeps the aggregate of ``_dealt`` alive.
+_SEEN = "_seen >= -9223372036854775807 OR _seen < 0"
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -59,21 +73,20 @@ def ordered_scan(
     earlier = carried_before or {}
     carried_any = {**carried, **earlier}
     part = [*keys, "_slice"]
-    sliced = df.withColumn("_slice", slice_by)
+    sliced, seen = _dealt(df.withColumn("_slice", slice_by), part)
     rank = F.struct(*order)
     inside = Window.partitionBy(*part).orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     past = inside.rowsBetween(Window.unboundedPreceding, -1)
 
-    # Slice totals: partial aggregates over the narrow input, a tiny shuffle.
-    totals = [F.count(F.lit(1)).alias("_n")]
+    totals = [seen, F.count(F.lit(1)).alias("_n")]
     totals += [F.max_by(c, rank).alias(f"_p_{k}") for k, c in previous.items()]
     totals += [F.sum(c).alias(f"_r_{k}") for k, c in running.items()]
     totals += [F.max_by(c, F.when(c.isNotNull(), rank)).alias(f"_c_{k}") for k, c in carried_any.items()]
     across = Window.partitionBy(*keys).orderBy("_slice") if keys else Window.orderBy("_slice")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     offsets = sliced.groupBy(*part).agg(*totals).select(
-        *part,
+        *part, "_seen",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"),
         *[F.lag(f"_p_{k}").over(across).alias(f"_p_{k}") for k in previous],
         *[F.sum(f"_r_{k}").over(before).alias(f"_r_{k}") for k in running],
@@ -85,7 +98,7 @@ def ordered_scan(
                           *[F.sum(c).over(so_far).alias(f"_lr_{k}") for k, c in running.items()],
                           *[F.last(c, True).over(so_far).alias(f"_lc_{k}") for k, c in carried.items()],
                           *[F.last(c, True).over(past).alias(f"_lc_{k}") for k, c in earlier.items()])
-    joined = local.join(offsets, part, "left")
+    joined = local.join(offsets, part).where(_SEEN)
     out = []
     if number:
         out.append((F.col("_rn") + F.col("_n")).alias(number))
@@ -117,7 +130,8 @@ def islands(
     inside = Window.partitionBy(*part).orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     begins = F.when(F.coalesce(starts, F.lit(False)), 1).otherwise(0)
-    local = df.withColumn("_slice", slice_by).select(
+    sliced, seen = _dealt(df.withColumn("_slice", slice_by), part)
+    local = sliced.select(
         "*", F.row_number().over(inside).alias("_rn"), *[F.lag(c).over(inside).alias(k) for k, c in previous.items()])
     local = local.withColumn("_start", F.when(F.col("_rn") == 1, 0).otherwise(begins))
     local = local.withColumn("_runs", F.sum("_start").over(so_far))
@@ -125,14 +139,14 @@ def islands(
     across = Window.partitionBy(*keys).orderBy("_slice")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     totals = local.groupBy(*part).agg(
-        F.sum("_start").alias("_sum"), *[F.max_by(c, F.col("_rn")).alias(f"_last_{k}") for k, c in previous.items()],
+        seen, F.sum("_start").alias("_sum"), *[F.max_by(c, F.col("_rn")).alias(f"_last_{k}") for k, c in previous.items()],
         *[F.min_by(c, "_rn").alias(f"_now_{c}") for c in current])
-    firsts = totals.select(*part, "_sum", F.row_number().over(across).alias("_sn"), *[F.col(f"_now_{c}").alias(c) for c in current if c not in part],
+    firsts = totals.select(*part, "_seen", "_sum", F.row_number().over(across).alias("_sn"), *[F.col(f"_now_{c}").alias(c) for c in current if c not in part],
                            *[F.lag(f"_last_{k}").over(across).alias(k) for k in previous])
     firsts = firsts.withColumn("_first", F.when(F.col("_sn") == 1, 1).otherwise(begins))
-    offsets = firsts.select(*part, *[F.col(k).alias(f"_prior_{k}") for k in previous],
+    offsets = firsts.select(*part, "_seen", *[F.col(k).alias(f"_prior_{k}") for k in previous],
                             (F.coalesce(F.sum(F.col("_sum") + F.col("_first")).over(before), F.lit(0)) + F.col("_first")).alias("_base"))
-    out = local.join(offsets, part)
+    out = local.join(offsets, part).where(_SEEN)
     kept = [c for c in df.columns if c != name and c not in previous]
     return out.select(*kept, *[F.when(F.col("_rn") == 1, F.col(f"_prior_{k}")).otherwise(F.col(k)).alias(k) for k in previous],
                       (F.col("_base") + F.col("_runs")).alias(name))
