@@ -41,12 +41,23 @@ def visual_order(widgets: DataFrame, keys: Sequence[str] = ("form_id",), tol: fl
 
 
 def merge_adjacent(items: DataFrame, keys: Sequence[str] = ("form_id",), ytol: float = 3.0, gap: float = 12.0) -> DataFrame:
-    """Text pieces of one line that touch (gap -2..12) become one piece."""
-    order = [F.col("page"), -F.col("y"), F.col("x"), F.col("ord")]
+    """Text pieces of one line that touch (gap -2..12) become one piece.
+
+    A line is what lies within ``ytol`` of its highest piece, so a slanting chain of pieces is cut
+    where it leaves that reach. Heights are folded once per page and chain of near heights: at most
+    as many as a page has positions.
+    """
+    heights = items.select(*keys, "page", "y").distinct()
     down = (F.col("_pp") != F.col("page")) | (F.col("_py") - F.col("y") > ytol)
-    lines = islands(items, keys, order, page_slice(), {"_pp": F.col("page"), "_py": F.col("y")}, down, ["page", "y"], name="line").drop("_pp", "_py")
+    chains = islands(heights, keys, [F.col("page"), -F.col("y")], page_slice(), {"_pp": F.col("page"), "_py": F.col("y")}, down, ["page", "y"], name="_chain").drop("_pp", "_py")
+    own = chains.groupBy(*keys, "_chain").agg(F.sort_array(F.collect_list(F.col("y").cast("double")), asc=False).alias("_ys"))
+    tops = F.aggregate("_ys", F.array().cast("array<double>"), lambda acc, y: F.when((F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1)) - y > ytol), F.concat(acc, F.array(y))).otherwise(acc))
+    # the line of a height: the lowest top at or above it
+    line = F.array_min(F.filter("_tops", lambda t: t >= F.col("y")))
+    placed = chains.join(own.select(*keys, "_chain", tops.alias("_tops")), [*keys, "_chain"]).select(*keys, "page", "y", line.alias("line"))
+    lines = items.join(placed, [*keys, "page", "y"])
     space = F.col("x") - F.col("_end")
-    pieces = islands(lines, [*keys, "line"], [F.col("x"), F.col("ord")], F.floor(F.col("x") / 1000), {"_end": F.col("x") + F.col("width")},
+    pieces = islands(lines, [*keys, "page", "line"], [F.col("x"), F.col("ord")], F.floor(F.col("x") / 1000), {"_end": F.col("x") + F.col("width")},
                      (space > gap) | (space < -2), ["x"], name="piece").drop("_end")
     at = F.struct("x", "ord")
     # a piece is a run of touching words on one line of a page: as wide as the page at most

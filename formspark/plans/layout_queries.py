@@ -25,7 +25,7 @@ def visual_order(spark, sf):
 
 
 # Text pieces: the words of every document laid out on lines and pages.
-TEXTS = """SELECT concat('F', l_suppkey) AS form_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS INT) AS ord, l_linenumber AS page, CAST(l_orderkey % 60 * 10 AS DOUBLE) AS x, l_partkey % 80 * 8 + CAST(l_quantity AS INT) % 3 AS y,
+TEXTS = """SELECT concat('F', l_suppkey) AS form_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS INT) AS ord, l_linenumber AS page, CAST(l_orderkey % 60 * 10 AS DOUBLE) AS x, CAST(l_partkey % 80 * 8 + CAST(l_quantity AS INT) % 3 * 2.5 AS DOUBLE) AS y,
   CASE l_partkey % 3 WHEN 0 THEN 8.0 WHEN 1 THEN 11.0 ELSE 20.0 END AS width, 6.0 + l_orderkey % 4 AS height,
   CASE l_orderkey % 23 WHEN 0 THEN 'DATOS DE LA POLIZA' WHEN 1 THEN concat('Beneficiario ', l_partkey % 5) WHEN 2 THEN 'Sexo:' WHEN 3 THEN 'Fecha de Nacimiento' WHEN 4 THEN 'VIGENCIA DEL SEGURO' WHEN 5 THEN 'desde:' WHEN 6 THEN 'Hasta' WHEN 7 THEN concat('Marque ', l_partkey % 9, ':')
     WHEN 8 THEN 'Día' WHEN 9 THEN 'En calidad de' WHEN 10 THEN 'LUGAR Y FECHA DE SOLICITUD' WHEN 11 THEN 'x' ELSE concat('Texto ', l_partkey) END AS str FROM @lineitem"""
@@ -36,11 +36,16 @@ def texts(spark, sf):
     return stored(spark_table(spark, sf, TEXTS))
 
 
-@family.query(f"""
-WITH l AS (SELECT *, page IS DISTINCT FROM lag(page) OVER o OR lag(y) OVER o - y > 3 AS s FROM {T} WINDOW o AS (PARTITION BY form_id ORDER BY page, y DESC, x, ord)),
-r AS (SELECT *, sum(s::INT) OVER (PARTITION BY form_id ORDER BY page, y DESC, x, ord) AS line FROM l),
-g AS (SELECT *, x - lag(x + width) OVER p AS gap FROM r WINDOW p AS (PARTITION BY form_id, line ORDER BY x, ord)), q AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 12 OR gap < -2 THEN 1 ELSE 0 END) OVER (PARTITION BY form_id, line ORDER BY x, ord) AS piece FROM g)
-SELECT form_id, page, string_agg(str, ' ' ORDER BY x, ord) AS str, arg_min(y, (x, ord)) AS y, min(x) AS x, arg_max(x + width, (x, ord)) - min(x) AS width, max(height) AS height, count(*) AS pieces, arg_min(ord, (x, ord)) AS ord FROM q GROUP BY form_id, page, line, piece""")
+# a line's top, then the highest piece out of its reach, and so on down the page
+MERGED = f"""
+WITH RECURSIVE h AS (SELECT DISTINCT form_id, page, y FROM {T}),
+top AS (SELECT form_id, page, max(y) AS line FROM h GROUP BY ALL UNION ALL SELECT h.form_id, h.page, max(h.y) FROM top JOIN h ON h.form_id = top.form_id AND h.page = top.page AND h.y < top.line - 3 GROUP BY h.form_id, h.page),
+r AS (SELECT t.*, k.line FROM {T} t ASOF JOIN top k ON t.form_id = k.form_id AND t.page = k.page AND t.y <= k.line),
+g AS (SELECT *, x - lag(x + width) OVER p AS gap FROM r WINDOW p AS (PARTITION BY form_id, page, line ORDER BY x, ord)), q AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 12 OR gap < -2 THEN 1 ELSE 0 END) OVER (PARTITION BY form_id, page, line ORDER BY x, ord) AS piece FROM g)
+SELECT form_id, page, string_agg(str, ' ' ORDER BY x, ord) AS str, arg_min(y, (x, ord)) AS y, min(x) AS x, arg_max(x + width, (x, ord)) - min(x) AS width, max(height) AS height, count(*) AS pieces, arg_min(ord, (x, ord)) AS ord FROM q GROUP BY form_id, page, line, piece"""
+
+
+@family.query(MERGED)
 def merge_adjacent(spark, sf):
     return L.merge_adjacent(texts(spark, sf))
 
@@ -57,7 +62,7 @@ def page_fields(spark, sf):
 
 
 @family.query(f"""
-WITH t AS (SELECT * FROM {T} WHERE NOT (len(trim(str)) >= 10 AND len(regexp_replace(trim(str), '[^A-Za-z\\s]', '', 'g')) >= 10 AND regexp_replace(trim(str), '[^A-Za-z\\s]', '', 'g') = upper(regexp_replace(trim(str), '[^A-Za-z\\s]', '', 'g')))),
+WITH t AS (SELECT * FROM ({MERGED}) WHERE NOT (len(trim(str)) >= 10 AND len(regexp_replace(trim(str), '[^A-Za-z\\s]', '', 'g')) >= 10 AND regexp_replace(trim(str), '[^A-Za-z\\s]', '', 'g') = upper(regexp_replace(trim(str), '[^A-Za-z\\s]', '', 'g')))),
 f AS (SELECT * FROM {FD}),
 c AS (SELECT f.form_id, f.page, f.ord AS fo, t.ord AS t_o, t.str, f.x AS fx, f.y AS fy, f.width AS fw, f.height AS fh, t.x AS tx, t.y AS ty, t.width AS tw,
   CASE WHEN f.x - t.x - t.width > 0 AND f.x - t.x - t.width < 200 AND abs(t.y - f.y) < 4 + f.height * 0.5 THEN 'left' WHEN t.y - f.y - f.height > -2 AND t.y - f.y - f.height < 80 AND (abs(t.x - f.x) < 30 OR least(t.x + t.width, f.x + f.width) - greatest(t.x, f.x) > 0) THEN 'above' END AS side
@@ -66,7 +71,7 @@ d AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.form_id = c.fo
 s AS (SELECT *, 100::DOUBLE - CASE side WHEN 'left' THEN (fx - tx - tw) * 0.4::DOUBLE ELSE greatest(0, ty - fy - fh) * 0.6::DOUBLE END + CASE side WHEN 'left' THEN 10 ELSE 0 END + CASE WHEN ends_with(trim(str), ':') THEN 15 ELSE 0 END - CASE WHEN len(trim(str)) <= 2 THEN 20 ELSE 0 END + CASE WHEN len(trim(str)) BETWEEN 3 AND 40 THEN 5 ELSE 0 END AS score FROM d)
 SELECT f.form_id, f.ord, b.label FROM f LEFT JOIN (SELECT form_id, fo AS ord, regexp_replace(arg_min(trim(str), (-score, t_o)), ':$', '') AS label FROM s GROUP BY ALL) b USING (form_id, ord)""")
 def detect_labels(spark, sf):
-    return L.detect_labels(page_fields(spark, sf).drop("label"), texts(spark, sf)).select("form_id", "ord", "label")
+    return L.detect_labels(page_fields(spark, sf).drop("label"), stored(L.merge_adjacent(texts(spark, sf)))).select("form_id", "ord", "label")
 
 
 _N = "strip_accents(lower(trim(str)))"
