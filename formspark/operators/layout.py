@@ -74,19 +74,30 @@ def merge_adjacent(items: DataFrame, keys: Sequence[str] = ("form_id",), ytol: f
 def detect_labels(widgets: DataFrame, texts: DataFrame, keys: Sequence[str] = ("form_id",)) -> DataFrame:
     """Best text next to a widget: to its left on its line, or above it.
 
-    Bounded range join: a text is listed in its cell and the neighbours within reach (200 left,
-    80 up), so widget and text meet by an equi-join on (page, cell). Texts hidden behind another
-    widget are taken out by the same join of the candidates with the widgets of their cells.
+    Bounded range join: widget and text meet by an equi-join on (page, height cell, way, width
+    cell). On the way "left" a text has the cell of its end and a widget the two that are within
+    200 of its start; on the way "above" both have the cells they cover, so that those that overlap
+    or start close share one. A pair that meets in several cells counts once, as the best text is
+    a minimum. Texts hidden behind another widget are taken out by a join with the widgets of
+    their cells.
     """
-    cell = 100
+    cell, wide = 100, 200
+
+    def ways(left: tuple[Column, Column], above: tuple[Column, Column]) -> Column:
+        def cells(way: str, ends: tuple[Column, Column]) -> Column:
+            return F.transform(F.sequence(F.floor(ends[0] / wide), F.floor(ends[1] / wide)), lambda c: F.struct(F.lit(way).alias("way"), c.alias("cx")))
+        return F.explode(F.concat(cells("left", left), cells("above", above)))
+
     cols = list(keys)
     w = widgets.select(*cols, "page", F.col("ord").alias("w_ord"), *[F.col(c).alias(f"w{c}") for c in ("x", "y", "width", "height")])
     t = texts.where(~T.is_section_header("str")).select(*cols, "page", F.col("ord").alias("t_ord"), "str", *[F.col(c).alias(f"t{c}") for c in ("x", "y", "width")])
     # the text's vertical reach: as high as the widget is tall at most, plus 80 above it
     wh = F.struct(F.floor(F.col("wy") / cell).alias("lo"), F.floor((F.col("wy") + F.col("wheight") + 80) / cell).alias("hi"))
     probe = w.withColumn("_r", wh).withColumn("cy", F.explode(F.sequence(F.floor((F.col("wy") - 4 - F.col("wheight") / 2) / cell), F.col("_r.hi")))).drop("_r")
-    texts_cell = t.withColumn("cy", F.floor(F.col("ty") / cell))
-    pairs = probe.join(texts_cell, [*cols, "page", "cy"])
+    end, far = F.col("tx") + F.col("twidth"), F.col("wx") + F.col("wwidth")
+    probe = probe.withColumn("at", ways((F.col("wx") - wide, F.col("wx")), (F.col("wx"), F.greatest(far, F.col("wx")))))
+    texts_cell = t.withColumn("cy", F.floor(F.col("ty") / cell)).withColumn("at", ways((end, end), (F.col("tx") - 30, F.greatest(end, F.col("tx")) + 30)))
+    pairs = probe.join(texts_cell, [*cols, "page", "cy", "at"]).drop("at")
     left = F.col("wx") - (F.col("tx") + F.col("twidth"))
     ydiff = F.abs(F.col("ty") - F.col("wy"))
     top = F.col("wy") + F.col("wheight")
