@@ -406,3 +406,7 @@ ENTITY_REPEATERS = {
 
 # Fixed value: levels of nested sections that a form definition is read to.
 SECTION_LEVELS = 13
+
+# Groups and labels of fields that should have a catalog.
+CATALOG_GROUPS = ["tipo_identificacion", "sexo"]
+CATALOG_LABELS = r"parentesco|tipo\s+(de\s+)?identificaci|estado\s+civil|nacionalidad|moneda|tipo\s+(de\s+)?persona"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from formspark import constants as K
+from formspark.functions import paths as P
 from formspark.functions import text as T
 from formspark.functions.classify import fix_condition
 from formspark.operators.json_paths import condition_ids, parse_concat
@@ -87,3 +89,19 @@ def low_label_coverage(widgets: DataFrame, share: float = 0.4) -> DataFrame:
     return n.where(F.col("bare") > F.col("n") * share).select(
         "form_id", F.lit("V10").alias("check"), F.lit("low_label_coverage").alias("item"),
         F.concat("bare", F.lit("/"), "n").alias("reason"))
+
+
+def run_warnings(rows: DataFrame, rename_errors: DataFrame, catalogs: DataFrame) -> DataFrame:
+    """Warnings about a whole run: (form_id, type, n).
+
+    No catalogs at all (without a form), names that were not renamed, paths of a person without an
+    index, and fields that should have a catalog and have none. ``rows``: form_id, section_prefix,
+    path, group_name, label, catalog_name; ``rename_errors``: form_id, one row per name.
+    """
+    expected = F.col("group_name").isin(*K.CATALOG_GROUPS) | F.lower(T.text_or_empty("label")).rlike(K.CATALOG_LABELS)
+    lacking = F.coalesce(expected, F.lit(False)) & (T.text_or_empty("catalog_name") == "")
+    bare = P.index_path(F.col("path"), F.col("section_prefix")).warning
+    kinds = F.filter(F.array(F.when(bare, F.lit("paths_sin_indice")), F.when(lacking, F.lit("sin_catalogo"))), lambda x: x.isNotNull())
+    found = rows.select("form_id", F.explode(kinds).alias("type")).unionByName(rename_errors.select("form_id", F.lit("rename_errors").alias("type")))
+    none = catalogs.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(None).cast("string").alias("form_id"), F.lit("no_catalogos").alias("type"), "n")
+    return found.groupBy("form_id", "type").agg(F.count(F.lit(1)).alias("n")).unionByName(none)

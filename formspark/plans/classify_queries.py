@@ -349,3 +349,25 @@ def rows_of_a_pdf(spark, sf):
     scope = F.when(F.col("c_custkey") % 5 == 0, "Todos").when(F.col("c_custkey") % 5 == 1, "Vida Universal").otherwise("")
     return read(spark, sf, "customer").select("c_custkey", C.product_of_file(file).alias("product"), C.name_for_product(label, file).alias("shown"),
                                               C.printed_in(label, scope, file).alias("printed"))
+
+
+# Widget types, notes, prefill modes and path lists of the orders.
+_TEXTS = """SELECT o_orderkey AS ord, CASE o_orderkey % 7 WHEN 0 THEN 'textfield' WHEN 1 THEN 'checkbox2' WHEN 2 THEN 'radiogroup' WHEN 3 THEN 'combobox' WHEN 4 THEN 'listbox' WHEN 5 THEN 'pushbutton' ELSE 'other' END AS widget,
+  CASE o_custkey % 4 WHEN 0 THEN concat('Concatenar automático ', o_custkey) WHEN 1 THEN 'concatena auto' WHEN 2 THEN concat('auto ', o_custkey) END AS obs,
+  CASE o_custkey % 5 WHEN 0 THEN 'Obligatorio' WHEN 1 THEN 'es OPCIONAL' WHEN 2 THEN 'No prellenar' WHEN 3 THEN '' END AS mode, o_orderkey % 2 = 0 AS required,
+  CASE o_orderkey % 3 WHEN 0 THEN concat('datos.personas.', lower(o_orderstatus)) WHEN 1 THEN 'datos.personas[3].x' ELSE 'cliente.x[12].y[]' END AS main,
+  CASE o_orderkey % 4 WHEN 0 THEN 'personas.z|cliente.w' WHEN 1 THEN 'cliente.w' ELSE '' END AS secondary, CASE o_orderkey % 5 WHEN 0 THEN 'asegurado_' WHEN 1 THEN 'beneficiario_3_' ELSE 'dme_' END AS prefix FROM @orders"""
+
+
+@family.query(f"""
+WITH t AS (SELECT *, CASE prefix WHEN 'asegurado_' THEN 'personas[0]' WHEN 'beneficiario_3_' THEN 'personas[3]' ELSE 'personas' END AS person FROM {duck(_TEXTS)})
+SELECT ord, CASE widget WHEN 'textfield' THEN 'text' WHEN 'checkbox2' THEN 'checkbox' WHEN 'radiogroup' THEN 'radio' WHEN 'combobox' THEN 'select' WHEN 'listbox' THEN 'select' WHEN 'pushbutton' THEN 'button' ELSE 'other' END AS widget_type,
+  coalesce(starts_with(obs, 'C') OR obs = 'concatena auto', false) AS computed,
+  CASE mode WHEN 'Obligatorio' THEN 'required' WHEN 'es OPCIONAL' THEN 'optional' WHEN 'No prellenar' THEN 'none' ELSE CASE WHEN required THEN 'required' ELSE 'optional' END END AS prefill,
+  CASE ord % 3 WHEN 0 THEN replace(main, 'personas', person) ELSE main END AS main, CASE ord % 4 WHEN 0 THEN person || '.z | cliente.w' WHEN 1 THEN 'cliente.w' ELSE '' END AS secondary,
+  person = 'personas' AND (ord % 3 = 0 OR ord % 4 = 0) AS warning, regexp_replace(main, '\\[\\d*\\]', '[]', 'g') AS plain FROM t""")
+def field_texts(spark, sf):
+    p = P.index_paths(F.col("main"), F.col("secondary"), F.col("prefix"))
+    return spark_table(spark, sf, _TEXTS).select("ord", C.simple_widget_type("widget").alias("widget_type"), C.computed_concat("obs").alias("computed"),
+                                                 C.prefill_mode_text("mode", F.col("required")).alias("prefill"), p.main.alias("main"), p.secondary.alias("secondary"),
+                                                 F.coalesce(p.warning, F.lit(False)).alias("warning"), P.normal_path("main").alias("plain"))

@@ -8,7 +8,7 @@ from formspark.operators import json_paths as J
 from formspark.operators.rules.registry import hit
 from formspark.operators.rules import RULES, Model, audit, checks, finding_order, form_rules, run_rules, with_titles
 from formspark.plans.registry import Family
-from formspark.plans.tables import FORM_FIELDS, FORM_WIDGETS, duck, spark_table, stored
+from formspark.plans.tables import FORM_FIELDS, FORM_WIDGETS, duck, read, spark_table, stored
 
 family = Family()
 FF = duck(FORM_FIELDS)
@@ -198,3 +198,18 @@ def label_coverage(spark, sf):
 @family.query(f"SELECT form_id, ord, name FROM {WW} WHERE (form_id, name) NOT IN (SELECT (form_id, source_name) FROM {FF} WHERE source_name IS NOT NULL)")
 def unused_sources(spark, sf):
     return form_rules.unused_sources(model(spark, sf)).select("form_id", "ord", "name")
+
+
+# Rows of a mapping, with sections, paths and catalogs that are partly missing. Form = brand.
+_RUN = """SELECT p_brand AS form_id, p_partkey AS ord, CASE p_size % 4 WHEN 0 THEN 'asegurado_' WHEN 1 THEN 'beneficiario_2_' WHEN 2 THEN 'dme_' ELSE '' END AS section_prefix,
+  CASE p_partkey % 4 WHEN 0 THEN concat('datos.personas.', p_type) WHEN 1 THEN 'datos.personas[0].x' WHEN 2 THEN concat('cliente.', p_type) END AS path,
+  CASE p_partkey % 5 WHEN 0 THEN 'sexo' WHEN 1 THEN 'otro' END AS group_name, CASE p_partkey % 3 WHEN 0 THEN 'Tipo de Identificación' WHEN 1 THEN 'Moneda' ELSE p_name END AS label,
+  CASE p_size % 3 WHEN 0 THEN 'Moneda' WHEN 1 THEN '' END AS catalog_name FROM @part"""
+
+
+@family.query(f"""SELECT form_id, type, count(*) AS n FROM (SELECT form_id, unnest([CASE WHEN path LIKE '%.personas.%' AND section_prefix IN ('dme_', '') THEN 'paths_sin_indice' END,
+  CASE WHEN (group_name = 'sexo' OR label IN ('Tipo de Identificación', 'Moneda')) AND coalesce(catalog_name, '') = '' THEN 'sin_catalogo' END]) AS type FROM {duck(_RUN)}
+  UNION ALL SELECT form_id, 'rename_errors' FROM {duck(_RUN)} WHERE label = 'Moneda' AND group_name IS NULL) WHERE type IS NOT NULL GROUP BY ALL""")
+def run_warnings(spark, sf):
+    rows = spark_table(spark, sf, _RUN)
+    return checks.run_warnings(rows, rows.where("label = 'Moneda' AND group_name IS NULL"), read(spark, sf, "nation"))
