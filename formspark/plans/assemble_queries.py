@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from formspark import constants as K
 from formspark.operators import assemble as A
-from formspark.plans.layout_queries import page_fields, texts
 from formspark.operators import groups as G
 from formspark.plans.group_queries import _N, NAMES
+from formspark.plans.layout_queries import _ASSIGN as ASSIGN
+from formspark.plans.layout_queries import DATE_GROUPS, page_fields, texts
 from formspark.plans.registry import Family
 from formspark.plans.tables import WIDGETS, duck, read, spark_table, stored
 
@@ -172,9 +174,23 @@ def unused_kept_hidden(spark, sf):
     return A.with_unused(built, n)
 
 
-@family.query()
+_TITLE = "CASE prefix " + " ".join(f"WHEN '{h[1]}' THEN '{h[2]}'" for h in K.HEADINGS) + " END"
+_GROUP = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.GROUP_LABELS.items()) + " END"
+
+
+@family.query(f"""
+WITH dd AS ({DATE_GROUPS}), aa AS ({ASSIGN} SELECT form_id, ord, page, name, type, label, h.str AS heading, h.prefix AS prefix, h.num AS num, coalesce(s.prefix, '') AS sub, s.g AS g FROM a),
+x AS (SELECT aa.*, part, date_prefix, date_group, {_TITLE} AS title, CASE WHEN regexp_matches(name, 'Row\\d+$') THEN regexp_extract(name, 'Row(\\d+)$', 1) END AS rn,
+  replace(replace(regexp_replace(strip_accents(lower(label)), '[^a-z0-9\\s_]', '', 'g'), ' ', '_'), '__', '_') AS slug FROM aa LEFT JOIN dd USING (form_id, ord)),
+n AS (SELECT *, trim(regexp_replace(CASE WHEN rn IS NOT NULL AND prefix = 'beneficiario_' THEN 'beneficiario_' || coalesce(nullif(num, 0)::VARCHAR, rn) || '_' WHEN rn IS NOT NULL THEN 'fila_' || rn || '_' ELSE coalesce(prefix, '') END
+  || CASE WHEN part IS NOT NULL THEN date_prefix || part ELSE sub || slug END, '_+', '_', 'g'), '_') AS proposed, CASE WHEN part IS NOT NULL THEN date_group WHEN sub <> '' THEN g END AS group_name FROM x),
+k AS (SELECT * FROM n WHERE NOT (len(proposed) >= 35 AND regexp_matches(proposed, '{K.NOISE_CONNECTORS}|{"|".join(K.NOISE_PHRASES)}'))),
+c AS (SELECT *, count(*) OVER w AS cn, count(*) FILTER (type = 'text') OVER w AS ct, row_number() OVER (PARTITION BY form_id, proposed ORDER BY ord) AS kk, count(*) OVER (PARTITION BY form_id, label) AS ln,
+  coalesce({_GROUP.format('date_group')}, {_GROUP.format('group_name')}, nullif(title, ''), nullif(group_name, '')) AS ctx FROM k WINDOW w AS (PARTITION BY form_id, proposed))
+SELECT form_id, ord, coalesce(heading, '') AS section_pdf, name AS acro_actual, CASE WHEN cn > 1 AND ct = 1 THEN CASE WHEN type = 'text' THEN proposed || '_texto' ELSE proposed END WHEN kk = 1 THEN proposed ELSE proposed || '_' || kk END AS acro_proposed,
+  CASE WHEN ln > 1 AND ctx IS NOT NULL THEN label || ' (' || ctx || ')' ELSE label END AS label, CASE type WHEN 'text' THEN 'Tx' ELSE 'Btn' END AS native_type, group_name, page + 1 AS page FROM c""")
 def page_mapping_rows(spark, sf):
-    """rows only: a composition of operators that each have their own SQL"""
+    """layout alone: sections, date groups, names free of collisions, labels"""
     return A.mapping_rows(page_fields(spark, sf), texts(spark, sf))
 
 

@@ -120,8 +120,11 @@ c AS (SELECT hp.*, h.v.str AS hs, strip_accents(lower(h.v.str)) AS hn, CASE WHEN
 d AS (SELECT *, CASE WHEN hs IS NULL OR hn LIKE '%fecha de solicitud%' OR m IS NULL THEN 'fecha_' WHEN lower(m) LIKE '%nacimiento%' THEN 'fecha_nacimiento_' WHEN lower(m) LIKE '%desde%' THEN 'fecha_desde_' WHEN lower(m) LIKE '%hasta%' THEN 'fecha_hasta_' ELSE 'fecha_' || replace(replace(lower(m), ':', ''), ' ', '_') || '_' END AS date_prefix FROM c)"""
 
 
-@family.query(f"""{_DATES} SELECT r.form_id, r.ord, part, date_prefix, CASE date_prefix WHEN 'fecha_nacimiento_' THEN 'fecha_nacimiento' WHEN 'fecha_desde_' THEN 'vigencia_desde' WHEN 'fecha_hasta_' THEN 'vigencia_hasta' ELSE CASE WHEN hn LIKE '%solicitud%' THEN 'fecha_solicitud' ELSE 'fecha' END END AS date_group, hs AS date_heading
-FROM r JOIN d ON r.form_id = d.form_id AND r.page = d.page AND r.run = d.run""")
+DATE_GROUPS = f"""{_DATES} SELECT r.form_id, r.ord, part, date_prefix, CASE date_prefix WHEN 'fecha_nacimiento_' THEN 'fecha_nacimiento' WHEN 'fecha_desde_' THEN 'vigencia_desde' WHEN 'fecha_hasta_' THEN 'vigencia_hasta' ELSE CASE WHEN hn LIKE '%solicitud%' THEN 'fecha_solicitud' ELSE 'fecha' END END AS date_group, hs AS date_heading
+FROM r JOIN d ON r.form_id = d.form_id AND r.page = d.page AND r.run = d.run"""
+
+
+@family.query(DATE_GROUPS)
 def date_groups(spark, sf):
     w, t = page_fields(spark, sf), texts(spark, sf)
     h, _ = L.detect_sections(t, w)
