@@ -117,16 +117,16 @@ def docs(spark, *bodies):
 
 def test_flatten_paths(spark):
     d = docs(spark, '{"Cliente":{"PrimerNombre":"","Telefonos":{"Telefono":[{"Numero":""}]}}}')
-    paths = {r.path for r in P.flatten_paths(d, ["doc_id"], "body", 6).collect()}
+    paths = {r.path for r in P.flatten_paths(d, ["doc_id"], "body").collect()}
     assert {"Cliente.PrimerNombre", "Cliente.Telefonos.Telefono[].Numero", "Cliente.Telefonos.Telefono[]"} <= paths
     keys = spark.createDataFrame([("a", "Cliente.PrimerNombre"), ("b", "Cliente.NoExiste"), ("c", "numero"), ("d", "cliente.telefonos.telefono.numero")], "field_id string, key string")
-    unknown = P.unknown_paths(keys, P.flatten_paths(d, ["doc_id"], "body", 6).select("path"))
+    unknown = P.unknown_paths(keys, P.flatten_paths(d, ["doc_id"], "body").select("path"))
     assert rows(unknown, "field_id") == [("b",)]
 
 
 def test_compare_counts_add_up(spark):
-    a = P.flatten_shape(docs(spark, '{"a":{"b":1},"l":[{"x":1}],"s":2}').withColumn("f", F.lit("f")), ["f", "doc_id"], "body", 4, per=["f"])
-    b = P.flatten_shape(docs(spark, '{"a":3,"z":{"l":[{"x":1}]}}').withColumn("f", F.lit("f")), ["f", "doc_id"], "body", 5, per=["f"])
+    a = P.flatten_shape(docs(spark, '{"a":{"b":1},"l":[{"x":1}],"s":2}').withColumn("f", F.lit("f")), ["f", "doc_id"], "body", per=["f"])
+    b = P.flatten_shape(docs(spark, '{"a":3,"z":{"l":[{"x":1}]}}').withColumn("f", F.lit("f")), ["f", "doc_id"], "body", per=["f"])
     diff = P.suggest_path(P.compare_shape(a, b, ["f"]), b, ["f"])
     counts = P.compare_counts(diff, ["f"]).first()
     assert counts.ok + counts.falta + counts.forma == a.count()
@@ -277,10 +277,50 @@ def test_registered_sample_tree(spark):
         assert json.loads("".join(t for _, _, t in sorted(lines))) == want
 
 
-def test_sequence_ratio(spark):
-    from difflib import SequenceMatcher
+# ---- depth, isolation, sinks -----------------------------------------------------------------------
 
-    from formspark.functions.ratio import seq_ratio
-    df = spark.createDataFrame([("Número de póliza", "poliza numero"), ("", "x"), ("abc", "abc")], "a string, b string")
-    got = [r.s for r in df.select(seq_ratio(F.col("a"), F.col("b")).alias("s")).collect()]
-    assert got == [SequenceMatcher(None, "numero de poliza", "poliza numero").ratio(), 0.0, 1.0]
+def test_documents_of_any_depth(spark):
+    deep = '{"a":[' * 7 + '{"b":"x","c":[],"d":{}}' + "]}" * 7
+    nodes = P.json_nodes(docs(spark, deep, '{"k":1}', "oops [[[[[[[[[[[[[[[[[[[[", None, '"[[[["', '{"t":"[[[[\\\\"}'), ["doc_id"], "body").collect()
+    first = [r for r in nodes if r.doc_id == 0]
+    assert len(first) == 17 and [(r.path.split(".")[-1], r.kind, r.value) for r in sorted(first, key=lambda r: r.ord)[-3:]] == [("b", "leaf", "x"), ("c", "array", None), ("d", "object", None)]
+    assert [(r.doc_id, r.path, r.value) for r in nodes if r.doc_id > 0] == [(1, "k", "1"), (5, "t", "[[[[\\")]
+
+
+def test_sections_of_any_level(spark):
+    body = {"id": "s0", "fields": [{"id": "f0"}]}
+    for k in range(1, 13):
+        body = {"id": f"s{k}", "fields": [{"id": f"f{k}"}], "subsections": [body]}
+    got = P.flatten_formdef(docs(spark, json.dumps({"sections": [body]}), None, "{}"), ["doc_id"], "body").collect()
+    assert [r.id for r in sorted(got, key=lambda r: r.ord)] == [f"f{k}" for k in range(12, -1, -1)]
+    assert max(len(r.section_path) for r in got) == 13
+
+
+def test_rows_a_rule_cannot_read(spark):
+    from formspark.operators.rules.registry import hit
+    m = field_rows(spark, {"default_value": "7", "prefill_mode": "api"}, {"default_value": "seven"}, {"default_value": None})
+    over = (lambda: hit(F.col("default_value").cast("int") > 3), lambda: F.col("default_value").isNull() | F.col("default_value").try_cast("int").isNotNull())
+    got = [(r.rule, r.subject) for r in run_rules(m, ["R14"], {"X01": over}).collect()]
+    assert sorted(got, key=str) == [("R00", "X01: unreadable row"), ("R14", None), ("X01", None)]
+
+
+def test_lines_end_at_the_reach_of_their_head(spark):
+    t = spark.createDataFrame([("f", 1, 0, "a", 10.0, 100.0, 10.0, 8.0), ("f", 2, 0, "b", 21.0, 97.5, 10.0, 8.0), ("f", 3, 0, "c", 32.0, 95.0, 10.0, 8.0)], TEXT)
+    assert rows(L.merge_adjacent(t), "str") == [("a b",), ("c",)]
+
+
+def test_top_files_show_their_share(spark):
+    from formspark.operators.scoring import top_files
+    files = spark.createDataFrame([("p", "a", 60.0, 60), ("p", "b", 1.0, 1), ("p", "c", 0.0, 0)], "project string, file string, points double, share int")
+    assert rows(top_files(files), "file", "place", "bar") == [("a", 1, 60), ("b", 2, 3)]
+
+
+def test_files_are_listed_and_written_by_form(spark, tmp_path):
+    from formspark.sources import files as S
+    items = spark.createDataFrame([("f", "Moneda", "1", "Colón"), ("g", "Moneda", "2", "Dólar")], "form_id string, catalog string, code string, label string")
+    S.write_partitioned(items, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").glob("form_id=*")) == ["form_id=f", "form_id=g"]
+    assert S.list_files(spark, str(tmp_path / "out")).where("path like '%.parquet'").count() == 2
+    assert S.catalog_view(items).columns == ["Catálogo", "Código", "Label"]
+    names = spark.createDataFrame([("f", "a", "a"), ("f", "b", "c")], "form_id string, name string, new_name string")
+    assert rows(S.rename_view(names), "old_name", "state") == [("a", "sin cambio"), ("b", "renombrado")]
