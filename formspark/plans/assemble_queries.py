@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from formspark import constants as K
+from formspark.functions import classify as C
 from formspark.operators import assemble as A
 from formspark.operators import groups as G
 from formspark.plans.group_queries import _N, NAMES
 from formspark.plans.layout_queries import _ASSIGN as ASSIGN
 from formspark.plans.layout_queries import DATE_GROUPS, page_fields, texts
 from formspark.plans.registry import Family
-from formspark.plans.tables import WIDGETS, duck, read, spark_table, stored
+from formspark.plans.tables import CELLS, WIDGETS, duck, read, spark_table, stored
+from formspark.sources import sheets as SH
 
 family = Family()
 
@@ -194,3 +196,33 @@ def page_mapping_rows(spark, sf):
     return A.mapping_rows(page_fields(spark, sf), texts(spark, sf))
 
 
+# From cells to documents: a document is a workbook of a form, its sections are the sheets.
+_SHEETROWS = f"""(SELECT form_id || '/' || file AS form_id, sheet, row_idx, trim(coalesce(max(value) FILTER (col_idx = 0), '')) AS label, trim(coalesce(max(value) FILTER (col_idx = 1), '')) AS data_type,
+  trim(coalesce(max(value) FILTER (col_idx = 3), '')) AS required, trim(coalesce(max(value) FILTER (col_idx = 4), '')) AS value, trim(coalesce(max(value) FILTER (col_idx = 8), '')) AS json_name FROM {duck(CELLS)} WHERE row_idx > 1 GROUP BY ALL)"""
+
+
+@family.query(f"""
+WITH f AS (SELECT *, dense_rank() OVER (PARTITION BY form_id ORDER BY sheet) AS s, row_number() OVER (PARTITION BY form_id, sheet ORDER BY row_idx) AS n FROM {_SHEETROWS})
+SELECT form_id, 0 AS section_order, 0 AS part, 0 AS field_order, '{{"sections":[' AS text FROM f GROUP BY 1
+UNION ALL SELECT form_id, s, 0, 0, CASE WHEN s = 1 THEN '' ELSE ',' END || '{{"id":"s' || s || '","title":"' || sheet || '","description":null,"order":' || s || ',"fields":[' FROM f GROUP BY form_id, s, sheet
+UNION ALL SELECT form_id, s, 1, n, CASE WHEN n = 1 THEN '' ELSE ',' END || '{{"id":"field_r' || row_idx || '","label":"' || label || '","type":"' || CASE data_type WHEN 'Combo' THEN 'select' ELSE 'text' END || '","required":' || (required = 'Sí') ||
+  ',"readOnly":false,"width":"full","validationPattern":null,"conditionalVisibility":null,"defaultValue":"' || value || '","sourceMeta":null,"prefillMode":"' || CASE WHEN required = 'Sí' THEN 'required' ELSE 'optional' END || '","prefillKey":"' || json_name || '"}}' FROM f
+UNION ALL SELECT form_id, s, 2, 0, ']}}' FROM f GROUP BY form_id, s
+UNION ALL SELECT form_id, {A.LAST_SECTION}, 3, 0, ']}}' FROM f GROUP BY 1""")
+def definition_lines(spark, sf):
+    """from sheet cells to definitions: header, rows, types, rules, sections, lines"""
+    cells = stored(spark_table(spark, sf, CELLS))
+    roles = ["field_label", "data_type", "rule", "required", "value", "json_name"]
+    rows = SH.pivot_rows(cells, SH.detect_header(cells), roles, ["field_label", "value"]).withColumn("form_id", F.concat_ws("/", "form_id", "file"))
+    # a workbook has a handful of sheets
+    sheets = rows.groupBy("form_id").agg(F.array_sort(F.collect_set("sheet")).alias("all")).select("form_id", F.posexplode("all").alias("at", "sheet"))
+    sheets = sheets.select("form_id", "sheet", (F.col("at") + 1).alias("section_order"))
+    placed = rows.join(sheets, ["form_id", "sheet"])
+    numbered = A.ordered_scan(placed, ["form_id", "section_order"], [F.col("row_idx")], F.floor(F.col("row_idx") / 2048), number="field_order")
+    none = {c: F.lit(None).cast(t) for c, t in (("n_options", "int"), ("depends_on", "string"), ("equals", "string"), ("source_name", "string"), ("page", "int"), ("x", "double"),
+                                                ("y", "double"), ("width", "double"), ("height", "double"), ("read_only", "boolean"))}
+    fields = numbered.select("form_id", "section_order", "field_order", F.concat(F.lit("r"), "row_idx").alias("id"), F.col("field_label").alias("label"), C.map_type("data_type").alias("type"),
+                             C.yes_no("required").alias("required"), C.parse_validation("rule", "data_type").pattern.alias("pattern"), "value", "json_name").withColumns(none)
+    sections = sheets.select("form_id", "section_order", F.concat(F.lit("s"), "section_order").alias("section_id"), F.col("sheet").alias("section_title"))
+    lines = A.document_lines(sheets.select("form_id").distinct(), A.web_section(sections), A.web_field(fields))
+    return lines.select("form_id", "section_order", "part", "field_order", "text")
