@@ -37,7 +37,7 @@ def mapping(spark, sf):
 
 @family.query(f"SELECT * FROM {_ORDERED}")
 def enriched_sections(spark, sf):
-    return A.enriched_sections(mapping(spark, sf), size=2048)
+    return A.enriched_sections(mapping(spark, sf))
 
 
 _FIELDS = f"""(SELECT form_id, title, k AS field_order, 'field_encabezado_' || n AS id, t AS type, l AS label, true AS required, true AS read_only, 'encabezado.' || n AS prefill_key, 'mandatory' AS prefill_mode, NULL AS help_text, NULL AS default_value, NULL AS max_length, NULL AS pattern
@@ -51,12 +51,12 @@ _FIELDS = f"""(SELECT form_id, title, k AS field_order, 'field_encabezado_' || n
 
 @family.query(f"SELECT * FROM {_FIELDS}")
 def enriched_fields(spark, sf):
-    return A.enriched_fields(mapping(spark, sf), size=2048)
+    return A.enriched_fields(mapping(spark, sf))
 
 
 @family.query(f"""SELECT form_id, count(*) AS fields, count(*) FILTER (required) AS required, count(prefill_key) AS with_prefill, count(help_text) AS with_help, count(*) FILTER (prefill_mode = 'mandatory') AS mandatory, count(*) FILTER (prefill_mode = 'optional') AS optional FROM {_FIELDS} GROUP BY 1""")
 def enriched_statistics(spark, sf):
-    return A.enriched_stats(A.enriched_fields(mapping(spark, sf), size=2048))
+    return A.enriched_stats(A.enriched_fields(mapping(spark, sf)))
 
 
 def _q(x: str) -> str:
@@ -75,8 +75,8 @@ UNION ALL SELECT form_id, 1152921504606846976, 3, 0, 0, '],"validationRules":[],
 @family.query(f"SELECT form_id, s AS section_order, p AS part, f AS field_order, i AS item, text FROM {_DOC}")
 def form_documents(spark, sf):
     m = mapping(spark, sf)
-    sections = stored(A.enriched_sections(m, size=2048))
-    placed = stored(A.enriched_fields(m, size=2048).join(sections.select("form_id", "title", "section_order"), ["form_id", "title"]))
+    sections = stored(A.enriched_sections(m))
+    placed = stored(A.enriched_fields(m).join(sections.select("form_id", "title", "section_order"), ["form_id", "title"]))
     sec = sections.select("form_id", "section_order", F.struct(F.col("section_id").alias("id"), "title", F.col("condition").alias("conditionalVisibility"), F.col("section_order").alias("order")).alias("body"))
     fld = placed.select("form_id", "section_order", "field_order", F.struct("id", "type", "label", "required", F.col("prefill_key").alias("prefillKey")).alias("body"))
     opt = placed.select("form_id", "section_order", "field_order", F.posexplode(A.C.date_part_options(F.col("id"))).alias("pos", "o")).select(
@@ -93,7 +93,7 @@ SELECT form_id, false AS orphan, 'field_' || sn AS id, CASE WHEN group_name <> '
   CASE WHEN group_name <> '' THEN row_number() OVER (PARTITION BY form_id, group_name ORDER BY ord) ELSE ord END AS field_order FROM (SELECT *, CASE WHEN source_name <> '' THEN source_name WHEN acro_proposed <> '' THEN acro_proposed ELSE acro_actual END AS sn FROM {M})
 UNION ALL SELECT form_id, true, 'field_' || name, CASE type WHEN 'Button' THEN 'checkbox' ELSE 'text' END, name, false, true, name, NULL, NULL, 0 FROM {duck(_WID)} WHERE ord % 4 = 1""")
 def matrix_fields(spark, sf):
-    return A.matrix_fields(mapping(spark, sf), spark_table(spark, sf, _WID), size=2048)
+    return A.matrix_fields(mapping(spark, sf), spark_table(spark, sf, _WID))
 
 
 @family.query(f"""SELECT form_id, ord, CASE WHEN ord % 35 = 0 THEN CASE WHEN label <> '' THEN 'no_' || substr(label, 4) ELSE 'campo' END || '_r' || row_num ELSE acro_proposed END AS acro_proposed FROM {M}""".replace("'no_' ||", "'n_' ||"))
@@ -135,7 +135,7 @@ SELECT form_id, section_order, n AS field_order, '{{"id":"field_' || id || '","l
   ',"defaultValue":null,"sourceMeta":null,"prefillMode":"' || CASE WHEN required THEN 'required' ELSE 'optional' END || '","prefillKey":' || CASE WHEN json_name = '' THEN 'null' ELSE '"' || split_part(json_name, ' ', 1) || '"' END || '}}' AS body FROM w""")
 def web_fields(spark, sf):
     f = spark_table(spark, sf, _WEB)
-    f = A.ordered_scan(f, ["form_id", "section_order"], [F.col("ord")], F.floor(F.col("ord") / 2048), number="field_order")
+    f = A.ordered_scan(f, ["form_id", "section_order"], [F.col("ord")], F.floor(F.col("ord") / A.SLICE), number="field_order")
     none = {c: F.lit(None).cast(t) for c, t in (("pattern", "string"), ("value", "string"), ("n_options", "int"), ("source_name", "string"), ("page", "int"), ("x", "double"),
                                                 ("y", "double"), ("width", "double"), ("height", "double"), ("read_only", "boolean"))}
     return A.web_field(f.withColumns(none)).withColumn("body", F.to_json("body", A._KEEP_NULLS))
@@ -218,7 +218,7 @@ def definition_lines(spark, sf):
     sheets = rows.groupBy("form_id").agg(F.array_sort(F.collect_set("sheet")).alias("all")).select("form_id", F.posexplode("all").alias("at", "sheet"))
     sheets = sheets.select("form_id", "sheet", (F.col("at") + 1).alias("section_order"))
     placed = rows.join(sheets, ["form_id", "sheet"])
-    numbered = A.ordered_scan(placed, ["form_id", "section_order"], [F.col("row_idx")], F.floor(F.col("row_idx") / 2048), number="field_order")
+    numbered = A.ordered_scan(placed, ["form_id", "section_order"], [F.col("row_idx")], F.floor(F.col("row_idx") / A.SLICE), number="field_order")
     none = {c: F.lit(None).cast(t) for c, t in (("n_options", "int"), ("depends_on", "string"), ("equals", "string"), ("source_name", "string"), ("page", "int"), ("x", "double"),
                                                 ("y", "double"), ("width", "double"), ("height", "double"), ("read_only", "boolean"))}
     fields = numbered.select("form_id", "section_order", "field_order", F.concat(F.lit("r"), "row_idx").alias("id"), F.col("field_label").alias("label"), C.map_type("data_type").alias("type"),

@@ -23,7 +23,7 @@ def group_by_form(spark, sf):
 
 @family.query(f"""SELECT *, row_number() OVER (PARTITION BY file ORDER BY first_ord) AS pos FROM (SELECT file, form_code, min(ord) AS first_ord FROM {duck(_CODED)} WHERE form_code <> '' GROUP BY file, form_code)""")
 def unique_codes(spark, sf):
-    return G.unique_codes(spark_table(spark, sf, _CODED), ["file"], "form_code", size=32)
+    return G.unique_codes(spark_table(spark, sf, _CODED), ["file"], "form_code")
 
 
 _CHOICE = """SELECT p_brand AS form_id, p_partkey AS ord, CASE WHEN p_size % 5 = 0 THEN '' ELSE concat('L', CAST(floor(p_partkey / 150) AS BIGINT)) END AS field_label,
@@ -41,13 +41,13 @@ x AS (SELECT r.*, w.run, w.is_head, w.head IS NOT NULL AND r.value <> '' AS has
 @family.query(f"""{_RUNS} SELECT form_id, ord, run, is_head, CASE WHEN has THEN CASE WHEN regexp_matches(value, '^A\\d+ - ') THEN regexp_extract(value, '^(A\\d+)', 1) ELSE value END END AS option_code,
   CASE WHEN has THEN regexp_replace(value, '^A\\d+ - ', '') END AS option_label FROM x""")
 def collapse_runs(spark, sf):
-    return G.collapse_runs(spark_table(spark, sf, _CHOICE), size=512).select("form_id", "ord", "run", "is_head", "option_code", "option_label")
+    return G.collapse_runs(spark_table(spark, sf, _CHOICE)).select("form_id", "ord", "run", "is_head", "option_code", "option_label")
 
 
 @family.query(f"""{_RUNS} SELECT form_id, run, min(ord) AS ord, arg_min(field_label, ord) AS field_label, arg_min(data_type, ord) AS data_type, count(*) FILTER (has) AS n_options,
   coalesce(arg_min(json_name, ord) FILTER (json_name <> ''), '') AS json_name, coalesce(arg_min(rule, ord) FILTER (rule <> ''), '') AS rule, '' AS obs, coalesce(arg_min(product_scope, ord) FILTER (product_scope <> ''), '') AS product_scope FROM x GROUP BY form_id, run""")
 def run_heads(spark, sf):
-    return G.run_heads(G.collapse_runs(spark_table(spark, sf, _CHOICE), size=512))
+    return G.run_heads(G.collapse_runs(spark_table(spark, sf, _CHOICE)))
 
 
 _LOGIC = "SELECT p_brand AS form_id, p_partkey AS ord, concat(CASE WHEN p_size % 2 = 0 THEN 'Á ' ELSE 'a  ' END, CAST(floor(p_partkey / 150) AS BIGINT)) AS label, CASE WHEN p_size % 7 = 0 THEN '' ELSE p_name END AS value, CASE WHEN p_size % 5 = 0 THEN 'x.y' ELSE '' END AS path FROM @part"
@@ -57,7 +57,7 @@ _LOGIC = "SELECT p_brand AS form_id, p_partkey AS ord, concat(CASE WHEN p_size %
 WITH l AS (SELECT *, {nw('label')} = lag({nw('label')}) OVER (PARTITION BY form_id ORDER BY ord) AND value <> '' AND path = '' AS same FROM {duck(_LOGIC)})
 SELECT form_id, ord, sum(CASE WHEN coalesce(same, false) THEN 0 ELSE 1 END) OVER (PARTITION BY form_id ORDER BY ord)::BIGINT AS run, NOT coalesce(same, false) AS is_head FROM l""")
 def collapse_logical(spark, sf):
-    return G.collapse_logical(spark_table(spark, sf, _LOGIC), size=512).select("form_id", "ord", "run", "is_head")
+    return G.collapse_logical(spark_table(spark, sf, _LOGIC)).select("form_id", "ord", "run", "is_head")
 
 
 @family.query("""
@@ -65,7 +65,7 @@ WITH c AS (SELECT *, role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id
 SELECT conv_id, turn, role, sum(s::INT) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS run FROM c""")
 def speaker_runs(spark, sf):
     c = read(spark, sf, "conversations")
-    out = G.islands(c, ["conv_id"], [F.col("turn")], F.floor(F.col("turn") / 4), {"_prev": F.col("role")}, F.col("_prev") != F.col("role"), ["role"], name="run")
+    out = G.islands(c, ["conv_id"], [F.col("turn")], F.floor(F.col("turn") / G.SLICE), {"_prev": F.col("role")}, F.col("_prev") != F.col("role"), ["role"], name="run")
     return out.select("conv_id", "turn", "role", "run")
 
 
@@ -185,18 +185,18 @@ _ME = f"CASE WHEN section <> '' THEN section ELSE {_MS} END"
 
 @family.query(_sections_sql(f"{_s40(_ST)} || '__' || {_s40(_SE)}", f"'sec_' || {_s40(_ST)} || '_' || {_s40(_SE)}", _SE))
 def sections_logical(spark, sf):
-    return G.section_group(spark_table(spark, sf, _SECT), "logical", size=512).select("form_id", "ord", "section_id", "section_title", "section_order")
+    return G.section_group(spark_table(spark, sf, _SECT), "logical").select("form_id", "ord", "section_id", "section_title", "section_order")
 
 
 @family.query(_sections_sql("page", "'sec_page_' || (page + 1)", "'Página ' || (page + 1)"))
 def sections_by_page(spark, sf):
-    return G.section_group(spark_table(spark, sf, _SECT), "pdf_page", size=512).select("form_id", "ord", "section_id", "section_title", "section_order")
+    return G.section_group(spark_table(spark, sf, _SECT), "pdf_page").select("form_id", "ord", "section_id", "section_title", "section_order")
 
 
 @family.query(_sections_sql(f"CASE WHEN matched THEN {_s40(_MS)} || '__' || {_s40(_ME)} ELSE '~' END", f"CASE WHEN matched THEN 'section_' || {_s40(_MS)} || '_' || {_s40(_ME)} ELSE 'section_sin_clasificar' END",
                             f"CASE WHEN matched THEN {_ME} ELSE 'Sin clasificar' END", "NOT matched"))
 def sections_matched(spark, sf):
-    return G.section_group(spark_table(spark, sf, _SECT), "matched", size=512).select("form_id", "ord", "section_id", "section_title", "section_order")
+    return G.section_group(spark_table(spark, sf, _SECT), "matched").select("form_id", "ord", "section_id", "section_title", "section_order")
 
 
 def _title(x: str) -> str:
@@ -212,7 +212,7 @@ SELECT p.form_id, 'section_' || {slug('p.s')} AS section_id, CASE WHEN p.matched
   CASE WHEN p.matched THEN 'subsection_' || {slug('p.s')} || '_' || {slug('p.p')} ELSE 'subsection_sistema_oculto' END AS part_id, CASE WHEN p.matched THEN {_title('p.p')} ELSE p.p END AS part_title,
   row_number() OVER (PARTITION BY p.form_id, p.matched, p.s ORDER BY p.o) AS part_order, NOT p.matched AS hidden, fields FROM p JOIN r ON p.form_id = r.form_id AND p.matched = r.matched AND p.s = r.s""")
 def sections_two_level(spark, sf):
-    return G.section_two_level(spark_table(spark, sf, _SECT), size=512)
+    return G.section_two_level(spark_table(spark, sf, _SECT))
 
 
 _NUMB = "SELECT p_brand AS form_id, concat('bloque ', p_type, CASE WHEN p_size % 3 = 0 THEN '' ELSE concat(' ', p_size % 4) END) AS name, min(p_partkey) AS first_ord FROM @part GROUP BY 1, 2"

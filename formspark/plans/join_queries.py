@@ -356,7 +356,7 @@ g AS (SELECT *, row_number() OVER (PARTITION BY form_id ORDER BY ord) AS i FROM
 l AS (SELECT form_id, max(n) AS n FROM p GROUP BY 1)
 SELECT g.form_id, g.key, coalesce(x.r, p.row_num) AS row_num, CASE WHEN x.r IS NOT NULL THEN 'exact' ELSE 'position' END AS kind FROM g LEFT JOIN x USING (form_id, key) LEFT JOIN l ON l.form_id = g.form_id LEFT JOIN p ON p.form_id = g.form_id AND p.i = least(g.i, l.n)""")
 def align_groups(spark, sf):
-    return J.align_groups(spark_table(spark, sf, _GROUPS), spark_table(spark, sf, _MEMBERS), spark_table(spark, sf, _FICHA), size=64).select(
+    return J.align_groups(spark_table(spark, sf, _GROUPS), spark_table(spark, sf, _MEMBERS), spark_table(spark, sf, _FICHA)).select(
         "form_id", "key", "row_num", "kind")
 
 
@@ -397,7 +397,7 @@ def positional_pairs(spark, sf):
     o = read(spark, sf, "orders").select(F.col("o_orderpriority").alias("form_id"), F.col("o_orderkey").alias("ord"), "o_orderstatus")
     left = o.where("o_orderstatus = 'F'").withColumn("row_key", F.col("ord"))
     right = o.where("o_orderstatus <> 'F'").withColumn("widget_key", F.col("ord"))
-    return J.positional_join(left, right, ["row_key"], ["widget_key"], size=1024)
+    return J.positional_join(left, right, ["row_key"], ["widget_key"])
 
 
 @family.query(f"""

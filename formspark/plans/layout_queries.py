@@ -158,7 +158,7 @@ _PROP = "SELECT p_brand AS form_id, p_partkey AS ord, p_name AS proposed, CASE W
 WITH c AS (SELECT *, count(*) OVER n AS n, count(*) FILTER (type = 'text') OVER n AS t, row_number() OVER (PARTITION BY form_id, proposed ORDER BY ord) AS k FROM {duck(_PROP)} WINDOW n AS (PARTITION BY form_id, proposed))
 SELECT form_id, ord, CASE WHEN n > 1 AND t = 1 THEN CASE WHEN type = 'text' THEN proposed || '_texto' ELSE proposed END WHEN k = 1 THEN proposed ELSE proposed || '_' || k END AS final_name FROM c""")
 def resolve_collisions(spark, sf):
-    return L.resolve_collisions(spark_table(spark, sf, _PROP), size=256).select("form_id", "ord", "final_name")
+    return L.resolve_collisions(spark_table(spark, sf, _PROP)).select("form_id", "ord", "final_name")
 
 
 @family.query(f"""
@@ -177,7 +177,7 @@ _SUF = "SELECT p_brand AS form_id, p_partkey AS ord, concat('a.', p_partkey % 90
 WITH f AS (SELECT form_id, old_name, min(ord) AS ord, arg_min(CASE WHEN new_name = old_name THEN replace(new_name, '.', '_') ELSE new_name END, ord) AS nn FROM {duck(_SUF)} GROUP BY ALL)
 SELECT form_id, ord, old_name, CASE WHEN count(*) OVER (PARTITION BY form_id, nn) > 1 THEN nn || '_' || row_number() OVER (PARTITION BY form_id, nn ORDER BY ord) ELSE nn END AS final_name FROM f""")
 def suffix_all(spark, sf):
-    return L.suffix_all(spark_table(spark, sf, _SUF), size=256).select("form_id", "ord", "old_name", "final_name")
+    return L.suffix_all(spark_table(spark, sf, _SUF)).select("form_id", "ord", "old_name", "final_name")
 
 
 _DUP = "SELECT p_brand AS form_id, p_partkey AS ord, p_size % 3 AS page, split_part(p_name, ' ', 2) AS name FROM @part"
@@ -187,12 +187,12 @@ _DUP = "SELECT p_brand AS form_id, p_partkey AS ord, p_size % 3 AS page, split_p
 WITH c AS (SELECT *, row_number() OVER (PARTITION BY form_id, name ORDER BY ord) AS k FROM {duck(_DUP)}), d AS (SELECT *, CASE WHEN k > 1 THEN row_number() OVER (PARTITION BY form_id, name, page, k > 1 ORDER BY ord) END AS j FROM c)
 SELECT form_id, ord, CASE WHEN k = 1 THEN name WHEN j = 1 THEN name || '__p' || (page + 1) ELSE name || '__p' || (page + 1) || '_' || j END AS final_name FROM d""")
 def dedupe_across_docs(spark, sf):
-    return L.dedupe_across_docs(spark_table(spark, sf, _DUP), size=256).select("form_id", "ord", "final_name")
+    return L.dedupe_across_docs(spark_table(spark, sf, _DUP)).select("form_id", "ord", "final_name")
 
 
 @family.query(f"""SELECT form_id, ord, name, k - 1 AS dup_index, c AS dup_count, CASE WHEN c > 1 THEN name || '#' || (k - 1) ELSE name END AS dup_key FROM (SELECT *, row_number() OVER (PARTITION BY form_id, name ORDER BY ord) AS k, count(*) OVER (PARTITION BY form_id, name) AS c FROM {duck(_PROP.replace("p_name AS proposed", "p_name AS name"))})""")
 def duplicate_index(spark, sf):
-    return L.dup_index(spark_table(spark, sf, _PROP.replace("p_name AS proposed", "p_name AS name")), size=256).select("form_id", "ord", "name", "dup_index", "dup_count", "dup_key")
+    return L.dup_index(spark_table(spark, sf, _PROP.replace("p_name AS proposed", "p_name AS name"))).select("form_id", "ord", "name", "dup_index", "dup_count", "dup_key")
 
 
 _CTX = "SELECT p_brand AS form_id, p_partkey AS ord, p_name AS public_label, CASE WHEN p_size % 4 = 0 THEN 'fecha_nacimiento' WHEN p_size % 4 = 1 THEN 'otra' END AS date_group, CASE WHEN p_size % 3 = 0 THEN 'sexo' WHEN p_size % 3 = 1 THEN 'zz' END AS group_name, CASE WHEN p_size % 5 = 0 THEN '' ELSE p_type END AS section_name FROM @part"
@@ -215,12 +215,12 @@ h AS (SELECT DISTINCT form_id, run, strip_accents(lower(section)) AS k FROM n WH
 e AS (SELECT x.form_id, x.ord, x.section, min(run) AS run FROM {duck(_EXTRA)} x LEFT JOIN h ON h.form_id = x.form_id AND (contains(k, x.section) OR contains(x.section, k)) GROUP BY ALL)
 SELECT form_id, origin, ord, section, row_number() OVER (PARTITION BY form_id ORDER BY run, z, ord) AS number FROM (SELECT form_id, 'pdf' AS origin, ord, section, run, 0 AS z FROM n UNION ALL SELECT form_id, 'matrix', ord, section, coalesce(run, 1125899906842624), 1 FROM e)""")
 def interleave_prefilled(spark, sf):
-    return L.interleave_prefilled(spark_table(spark, sf, _PDFROWS), spark_table(spark, sf, _EXTRA), size=256)
+    return L.interleave_prefilled(spark_table(spark, sf, _PDFROWS), spark_table(spark, sf, _EXTRA))
 
 
 @family.query("""SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS field_order FROM events""")
 def reading_order(spark, sf):
-    return L.reading_order(read(spark, sf, "events"), ["user_id", "event_type"], "event_id", size=1000).select("user_id", "event_id", "field_order")
+    return L.reading_order(read(spark, sf, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_id", "field_order")
 
 
 @family.query("""

@@ -118,7 +118,7 @@ WITH p AS (SELECT form_id, row_idx, {_g.format(0)} AS node, {_g.format(1)} AS st
 SELECT form_id, row_idx AS ord, coalesce(last_value(nullif(node, '') IGNORE NULLS) OVER (PARTITION BY form_id ORDER BY row_idx), '') AS node, step, section, node = '' AS is_instance FROM p""")
 def ficha_index(spark, sf):
     c = ficha(spark, sf).where("sheet LIKE 'Estructura%'")
-    return SH.read_ficha_index(c, size=4).select("form_id", "ord", "node", "step", "section", "is_instance")
+    return SH.read_ficha_index(c).select("form_id", "ord", "node", "step", "section", "is_instance")
 
 
 # Mapping sheets: 22 columns, one row per order, one sheet per status and priority.
