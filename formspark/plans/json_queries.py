@@ -224,8 +224,29 @@ def deep_formdef_fields(spark, sf):
 SAMPLES = f"""SELECT form_id, concat('a', p_size % 3, '.b[', p_size % 4, '].', CASE WHEN p_size % 2 = 0 THEN 'x' ELSE 'y[]' END, '.', lower(substring(data_type, 1, 1)), '[', ord % 3, '][', p_size % 2, ']') AS path, concat('<', ord, '>') AS value FROM ({MATRIX}) m"""
 
 
-@family.query()
+_ENDS = "array_to_string(list_reverse(list_transform({0}, lambda s: CASE s.kind WHEN 'k' THEN '}}' ELSE ']' END)), '')"
+_LABEL = """CASE {0}.kind WHEN 'k' THEN '"' || {0}.key || '":' ELSE repeat('null,', greatest({1}, 0)::INT) END"""
+_STEP = "struct_pack(kind := '{}', key := {}, at := {})"
+
+
+def _list(*steps: tuple[str, str, str]) -> str:
+    return "[" + ", ".join(_STEP.format(*s) for s in steps) + "]"
+
+
+_TREE = f"""WITH m AS (SELECT form_id, concat('<', ord, '>') AS value, list_concat(list_concat({_list(("k", "'a' || p_size % 3", "0"), ("k", "'b'", "0"), ("i", "''", "(p_size % 4)::INT"))},
+    CASE WHEN p_size % 2 = 0 THEN {_list(("k", "'x'", "0"))} ELSE {_list(("k", "'y'", "0"), ("i", "''", "0"))} END),
+    {_list(("k", "lower(substring(data_type, 1, 1))", "0"), ("i", "''", "(ord % 3)::INT"), ("i", "''", "(p_size % 2)::INT"))}) AS steps FROM {duck(MATRIX)}),
+r AS (SELECT form_id, steps, min(value) AS value FROM m GROUP BY ALL), p AS (SELECT *, lag(steps) OVER (PARTITION BY form_id ORDER BY steps) AS prev FROM r),
+q AS (SELECT *, CASE WHEN prev IS NULL THEN 0 ELSE len(list_filter(generate_series(1, least(len(steps), len(prev))), lambda i: steps[:i] = prev[:i])) END AS same FROM p),
+t AS (SELECT *, steps[same + 1] AS first, CASE WHEN prev IS NULL THEN steps[same + 1].at ELSE steps[same + 1].at - prev[same + 1].at - 1 END AS holes FROM q),
+x AS (SELECT form_id, 0 AS part, steps, CASE WHEN prev IS NULL THEN '{{' ELSE {_ENDS.format("prev[same + 2:]")} || ',' END || {_LABEL.format("first", "holes")}
+    || array_to_string(list_transform(steps[same + 2:], lambda d: CASE d.kind WHEN 'k' THEN '{{' ELSE '[' END || {_LABEL.format("d", "d.at")}), '') || '"' || value || '"' AS text FROM t
+  UNION ALL SELECT form_id, 1, steps, {_ENDS.format("steps")} FROM (SELECT form_id, max(steps) AS steps FROM r GROUP BY 1))
+SELECT form_id, part, '[' || array_to_string(list_transform(steps, lambda d: '{{"kind":"' || d.kind || '","key":"' || d.key || '","at":' || d.at || '}}'), ',') || ']' AS steps, text FROM x"""
+
+
+@family.query(_TREE)
 def sample_tree(spark, sf):
-    """rows only: the lines are checked to be JSON with the values at their paths in the tests"""
+    """the sample document of each form, line by line; the tests read the lines as JSON as well"""
     return J.sample_tree_lines(spark_table(spark, sf, SAMPLES)).select(
         "form_id", "part", F.to_json("steps").alias("steps"), "text")
