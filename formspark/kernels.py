@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 SLICE = 1 << 16
 
@@ -31,20 +32,29 @@ def last_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], c
     return df.groupBy(*keys).agg(picked).select(*keys, "_row.*")
 
 
-def _dealt(df: DataFrame, part: Sequence[str]) -> tuple[DataFrame, Column]:
-    """``df`` dealt by ``part``, and an aggregate that looks at every column.
+def _dealt(df: DataFrame, keys: Sequence[str], slice_by: Column) -> tuple[DataFrame, Column]:
+    """``df`` dealt by its key and slice, and an aggregate that looks at every column.
 
     Rows and slice totals are two branches over the same rows. The aggregate makes both need the same
     columns, so that Spark moves them once and reuses the exchange; without it the totals would read
-    and move their own narrow copy, and every scan on top of another would double what is below."""
-    plain = [c for c, kind in df.dtypes if "variant" not in kind and "map<" not in kind]
-    return df.repartition(*part), F.bit_xor(F.xxhash64(*plain)).alias("_seen")
+    and move their own narrow copy, and every scan on top of another would double what is below.
+    ``_slice`` is a struct of keys and slice: it is never NULL, so no branch gets a filter of its own,
+    and NULL keys are keys like any other."""
+    sliced = df.withColumn("_slice", F.struct(*keys, slice_by.alias("_at")))
+    plain = [c for c, kind in sliced.dtypes if "variant" not in kind and "map<" not in kind]
+    return sliced.repartition("_slice"), F.bit_xor(F.xxhash64(*plain)).alias("_seen")
 
 
 #: Holds for every row; it keeps the aggregate of ``_dealt`` alive.
 _SEEN = "_seen >= -9223372036854775807 OR _seen < 0"
 
 
+def _across(totals: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, WindowSpec]:
+    """slice totals with their keys, and the window over the slices of a key in order"""
+    named = totals.select("*", *[F.col(f"_slice.{k}").alias(k) for k in keys], F.col("_slice._at").alias("_slice_at"))
+    return named, Window.partitionBy(*keys).orderBy("_slice_at")
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -61,7 +71,7 @@ def ordered_scan(
 
     ``order`` lists ascending columns that give a total order inside a key (negate a
     number for descending); ``slice_by`` must never decrease along that order, e.g.
-    ``floor(ord / 65536)``, a day, or a struct of page and band. Keys and slices must not be NULL.
+    ``floor(ord / 65536)``, a day, or a struct of page and band.
 
     number    1-based row number
     previous  value of the column in the previous row (NULL on the first)
@@ -72,10 +82,9 @@ def ordered_scan(
     previous, running, carried = previous or {}, running or {}, carried or {}
     earlier = carried_before or {}
     carried_any = {**carried, **earlier}
-    part = [*keys, "_slice"]
-    sliced, seen = _dealt(df.withColumn("_slice", slice_by), part)
+    sliced, seen = _dealt(df, keys, slice_by)
     rank = F.struct(*order)
-    inside = Window.partitionBy(*part).orderBy(*order)
+    inside = Window.partitionBy("_slice").orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     past = inside.rowsBetween(Window.unboundedPreceding, -1)
 
@@ -83,10 +92,10 @@ def ordered_scan(
     totals += [F.max_by(c, rank).alias(f"_p_{k}") for k, c in previous.items()]
     totals += [F.sum(c).alias(f"_r_{k}") for k, c in running.items()]
     totals += [F.max_by(c, F.when(c.isNotNull(), rank)).alias(f"_c_{k}") for k, c in carried_any.items()]
-    across = Window.partitionBy(*keys).orderBy("_slice") if keys else Window.orderBy("_slice")
+    named, across = _across(sliced.groupBy("_slice").agg(*totals), keys)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sliced.groupBy(*part).agg(*totals).select(
-        *part, "_seen",
+    offsets = named.select(
+        "_slice", "_seen",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"),
         *[F.lag(f"_p_{k}").over(across).alias(f"_p_{k}") for k in previous],
         *[F.sum(f"_r_{k}").over(before).alias(f"_r_{k}") for k in running],
@@ -98,7 +107,7 @@ def ordered_scan(
                           *[F.sum(c).over(so_far).alias(f"_lr_{k}") for k, c in running.items()],
                           *[F.last(c, True).over(so_far).alias(f"_lc_{k}") for k, c in carried.items()],
                           *[F.last(c, True).over(past).alias(f"_lc_{k}") for k, c in earlier.items()])
-    joined = local.join(offsets, part).where(_SEEN)
+    joined = local.join(offsets, "_slice").where(_SEEN)
     out = []
     if number:
         out.append((F.col("_rn") + F.col("_n")).alias(number))
@@ -126,27 +135,27 @@ def islands(
     Rows are compared and counted inside their slice; only the first row of a slice meets
     the last row of the slice before, in the small table of slice totals.
     """
-    part = [*keys, "_slice"]
-    inside = Window.partitionBy(*part).orderBy(*order)
+    inside = Window.partitionBy("_slice").orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     begins = F.when(F.coalesce(starts, F.lit(False)), 1).otherwise(0)
-    sliced, seen = _dealt(df.withColumn("_slice", slice_by), part)
+    sliced, seen = _dealt(df, keys, slice_by)
     local = sliced.select(
         "*", F.row_number().over(inside).alias("_rn"), *[F.lag(c).over(inside).alias(k) for k, c in previous.items()])
     local = local.withColumn("_start", F.when(F.col("_rn") == 1, 0).otherwise(begins))
     local = local.withColumn("_runs", F.sum("_start").over(so_far))
 
-    across = Window.partitionBy(*keys).orderBy("_slice")
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-    totals = local.groupBy(*part).agg(
+    totals = local.groupBy("_slice").agg(
         seen, F.sum("_start").alias("_sum"), *[F.max_by(c, F.col("_rn")).alias(f"_last_{k}") for k, c in previous.items()],
         *[F.min_by(c, "_rn").alias(f"_now_{c}") for c in current])
-    firsts = totals.select(*part, "_seen", "_sum", F.row_number().over(across).alias("_sn"), *[F.col(f"_now_{c}").alias(c) for c in current if c not in part],
+    named, across = _across(totals, keys)
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    firsts = named.select("_slice", "_slice_at", *keys, "_seen", "_sum", F.row_number().over(across).alias("_sn"),
+                           *[F.col(f"_now_{c}").alias(c) for c in current if c not in keys],
                            *[F.lag(f"_last_{k}").over(across).alias(k) for k in previous])
     firsts = firsts.withColumn("_first", F.when(F.col("_sn") == 1, 1).otherwise(begins))
-    offsets = firsts.select(*part, "_seen", *[F.col(k).alias(f"_prior_{k}") for k in previous],
+    offsets = firsts.select("_slice", "_seen", *[F.col(k).alias(f"_prior_{k}") for k in previous],
                             (F.coalesce(F.sum(F.col("_sum") + F.col("_first")).over(before), F.lit(0)) + F.col("_first")).alias("_base"))
-    out = local.join(offsets, part).where(_SEEN)
+    out = local.join(offsets, "_slice").where(_SEEN)
     kept = [c for c in df.columns if c != name and c not in previous]
     return out.select(*kept, *[F.when(F.col("_rn") == 1, F.col(f"_prior_{k}")).otherwise(F.col(k)).alias(k) for k in previous],
                       (F.col("_base") + F.col("_runs")).alias(name))
