@@ -25,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         hooked = near.select(F.col("label").alias("node"), "least").union(near.select("node", "least")).groupBy("node").agg(F.min("least").alias("label"))
         hooked = materialise(hooked)
         up = hooked.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        jumped = materialise(hooked.join(up, "label").select("node", F.least("label", "top").alias("label")))
+        # dealt by node again: the join leaves all nodes of a large component together
+        jumped = materialise(hooked.join(up, "label").select("node", F.least("label", "top").alias("label")).repartition("node"))
         changed = jumped.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
         labels = jumped
         if not changed:
