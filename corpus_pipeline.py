@@ -22,14 +22,14 @@ from formspark.llm.decontaminate import decontaminate
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that the models know; texts they reject go."""
     model = langid.fit(langid.learnable(docs.select("doc_id", "text", "lang")))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     return langid.identify(rows, model).where("not rejected").select("row.*")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at its threshold or above."""
     model = quality.fit(docs, read(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     return quality.score(rows, model).where(F.col("score") >= quality.THRESHOLD).select("row.*")
 
 
@@ -40,14 +40,14 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item to speak of."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     return decontaminate(rows, read(spark, sf_dir, "benchmark")).where("not contaminated").select("row.*")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of what they decode to."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary).drop("text"), vocabulary)
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), vocabulary)
     return coded.select("doc_id", "lang", "source", bpe.n_tokens().alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formspark.llm.common import bounded_batches
+from formspark.llm.common import bounded_batches, give_back
 
 # The public pattern for texts up to U+02C1, whose letters, numbers and spaces are these.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ˁ", "0-9²³¹¼-¾", "\\t\\n\x0b\x0c\\r \x85\xa0"
@@ -46,8 +46,8 @@ ANY = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\P{{L}}{_X}]+| ?[^\P{{N}}{_X}
 
 NONE = np.int32(2**31 - 1)
 SHORT = 64          # bytes of the pieces that are merged many at a time
-MEMO = 150_000      # pieces a worker remembers
-PIECES = 100_000    # pieces that are in memory at a time
+MEMO = 80_000       # pieces a worker remembers, within a task
+PIECES = 30_000     # pieces that are in memory at a time
 
 
 def pieces(text: str) -> Iterator[str]:
@@ -284,6 +284,8 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
         own = codec(vocabulary)
         for texts in batches:
             yield pd.Series(own.encode(texts.tolist()), dtype=object)
+        own.memo.clear()  # workers outlive their task
+        give_back()
 
     return docs.withColumn(ids, packed(F.col(f"`{text}`")))
 
@@ -301,6 +303,23 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "d
     return docs.withColumn(decoded, unpacked(F.col(f"`{ids}`")))
 
 
+def round_trip(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass of one worker: adds ``ids`` and ``decoded``, as they would."""
+    bounded_batches(docs.sparkSession)
+
+    @F.pandas_udf("struct<ids: binary, decoded: binary>")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own, token = codec(vocabulary), tokens(vocabulary).__getitem__
+        for texts in batches:
+            rows = own.encode(texts.tolist())
+            yield pd.DataFrame({"ids": pd.Series(rows, dtype=object), "decoded": pd.Series([b"".join(map(token, np.frombuffer(row, "<u4").tolist())) for row in rows], dtype=object)})
+        own.memo.clear()
+        give_back()
+
+    out = docs.withColumn("__both", both(F.col(f"`{text}`")))
+    return out.withColumns({ids: F.col("__both.ids"), decoded: F.col("__both.decoded")}).drop("__both")
+
+
 def n_tokens(ids: str = "ids") -> Column:
     """Number of ids in a packed value."""
     return (F.octet_length(F.col(f"`{ids}`")) / 4).cast("long")

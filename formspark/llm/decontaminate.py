@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formspark.llm.common import bounded_batches
+from formspark.llm.common import bounded_batches, give_back
 
 WINDOW = 13
 SHARE = 20            # a document is contaminated if at least one word in SHARE is hit
@@ -122,6 +122,7 @@ def scan_block(texts: Column, items, key: str) -> Column:
         scanner = _SCANNERS[key]
         for batch in batches:
             yield pd.DataFrame([scanner.row(t) for t in batch], columns=["n_words", "items", "spans"])
+        give_back()
 
     return hits(texts)
 

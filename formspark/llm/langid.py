@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formspark.llm.common import bounded_batches, remainder
+from formspark.llm.common import bounded_batches, give_back, remainder
 from formspark.llm.sampling import bounded_sample
 
 ORDER = 4
@@ -151,6 +151,7 @@ def gram_counts(labelled: DataFrame) -> pd.DataFrame:
                     gram, first, n = np.unique(hashes(codes, order), return_index=True, return_counts=True)
                     yield pd.DataFrame({"lang": lang, "order": order, "gram": gram.view(np.int64), "context": before(codes, order - 1)[first].view(np.int64) if order > 1 else 0,
                                         "shorter": hashes(codes, order - 1)[first].view(np.int64), "n": n})
+        give_back()
 
     counted = labelled.mapInPandas(count, "lang string, order int, gram bigint, context bigint, shorter bigint, n bigint")
     return counted.groupBy("lang", "order", "gram", "context", "shorter").agg(F.sum("n").alias("n")).toPandas()
@@ -256,6 +257,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         own = held.value
         for texts in batches:
             yield pd.DataFrame([own.judge(t) for t in texts], columns=["lang_pred", "score", "cross_entropy", "rejected"])
+        give_back()
 
     out = docs.withColumn("__judged", judged(F.col(f"`{text}`")))
     return out.withColumns({n: F.col(f"__judged.{n}") for n in ("lang_pred", "score", "cross_entropy", "rejected")}).drop("__judged")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formspark.llm.common import bounded_batches, remainder
+from formspark.llm.common import bounded_batches, give_back, remainder
 from formspark.llm.sampling import bounded_sample
 
 BITS = 18
@@ -29,7 +29,7 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.01, 0.1
 SCALE = 30.0           # shares are multiplied by this, so that weights stay in the range the learner moves in
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 CHUNK = 1 << 20        # characters whose tokens are in memory at a time
-MEMO = 200_000
+MEMO = 100_000         # tokens a worker remembers, within a task
 MASK = np.int64((1 << BITS) - 1)
 
 
@@ -137,6 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple
             out = [(int(q), *shares(t)) for q, t in zip(rows["quality"], rows["text"], strict=True)]
             yield pd.DataFrame({"h": [zlib.crc32(b"".join((i.tobytes(), x.tobytes()))) for _, i, x in out], "quality": [q for q, _, _ in out],
                                 "index": [i.astype(np.int32).tobytes() for _, i, _ in out], "value": [x.astype(np.float32).tobytes() for _, _, x in out]})
+        TOKENS.clear()  # workers outlive their task
+        give_back()
 
     # the sample has a bound (two classes of per_label rows), so it may be broadcast
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("quality", "text")
@@ -174,5 +176,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
 
         for texts in batches:
             yield pd.Series([one(t) for t in texts], dtype="float64")
+        TOKENS.clear()
+        give_back()
 
     return docs.withColumn(out, scored(F.col(f"`{text}`")))

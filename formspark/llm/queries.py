@@ -56,8 +56,7 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of the bytes they decode to, for every document."""
-    ids = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY).drop("text")
-    return bpe.decode(ids, VOCABULARY).select(
+    return bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY).select(
         "doc_id", bpe.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formspark.llm.common import bounded_batches, materialise
+from formspark.llm.common import bounded_batches, give_back, materialise
 from formspark.llm.components import components
 
 RADIUS = 4
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([fingerprint(t) for t in texts], dtype="int64")
+        give_back()
 
     return docs.withColumn(out, of(F.col(f"`{text}`")))
 

@@ -156,3 +156,15 @@ class TestQueries:
             counts.append(docs.count())
         assert counts == sorted(counts, reverse=True) and counts[-1] > 100
         assert docs.where("ids_sha256 is null or decoded_sha256 is null").count() == 0
+
+    def test_pipeline_of_odd_documents(self, spark):
+        """nulls, repeated rows, clashing and oddly named columns, and no rows at all"""
+        schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, `a.b` string, row string"
+        rows = [(None, None, None, None, None, 1.0, "x", "y"), (1, "", "en", "s", 0, 1.0, "x", "y"), (2, "The river of the house and the street. " * 8, "en", "s", 1, None, None, "y")]
+        for docs in (spark.createDataFrame([*rows, rows[2]], schema), spark.createDataFrame([], schema)):
+            for name, stage in corpus_pipeline.STAGES:
+                out = stage(spark, docs, SF)
+                assert name == "tokens" or out.columns == docs.columns
+                out.write.parquet(path := f"{shared_folder(spark)}/{name}-{np.random.default_rng().integers(1 << 60)}")
+                docs = spark.read.parquet(path)
+            assert docs.count() <= 1

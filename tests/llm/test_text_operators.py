@@ -36,6 +36,7 @@ class TestBpe:
         rows = [(k, t, "kept") for k, t in enumerate(ODD)] + [(0, None, "kept")]
         df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string")  # clashes with the result
         out = bpe.decode(bpe.encode(df, VOCABULARY), VOCABULARY).withColumn("n", bpe.n_tokens()).collect()
+        assert sorted(map(str, bpe.round_trip(df, VOCABULARY).withColumn("n", bpe.n_tokens()).collect())) == sorted(map(str, out))
         assert len(out) == len(rows)
         for r in out:
             want = reference.encode_ordinary(r["text"] or "")
