@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +100,7 @@ def write_order(rows: DataFrame, ids: str, folder: str, key: int = 0, length: in
         part = TaskContext.get().partitionId()
         at = starts.get(part, 0)
         end = at + totals.get(part, 0)
+        squeeze = zstandard.ZstdCompressor(level=3).compress  # pieces travel compressed
         for batch in batches:
             index, place, pieces = [], [], []
             for value in batch.column(0).to_pylist():
@@ -106,7 +108,7 @@ def write_order(rows: DataFrame, ids: str, folder: str, key: int = 0, length: in
                 done = 0
                 while done < len(data):
                     take = min(length - at % length, len(data) - done)
-                    index.append(at // length), place.append(at % length), pieces.append(data[done:done + take])
+                    index.append(at // length), place.append(at % length), pieces.append(squeeze(data[done:done + take]))
                     at += take
                     done += take
             slots = permute(np.array(index, np.int64), count, key)
@@ -117,13 +119,14 @@ def write_order(rows: DataFrame, ids: str, folder: str, key: int = 0, length: in
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, parts = -1, []
         done: list[bytes] = []
+        plain = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for s, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if s != slot:
                     if parts:
                         done.append(b"".join(parts).ljust(length, bytes([PAD])))
                     slot, parts = s, []
-                parts.append(piece)
+                parts.append(plain(piece))
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], names=["record"])
                 done = []
