@@ -1,9 +1,9 @@
 """Main text of web pages by wrapper induction.
 
 One page of a host, the one of least hash, is its seed. Every page of the host is parsed and aligned
-with the seed by simple tree matching: two nodes match if their labels (tag and class) are equal, and
-an alignment of their children, in order, is worth the most matched nodes. Runs of equal siblings count
-as one node, as they do in lists and paragraphs. Spark then counts, for each node of a seed, on how
+with the seed by simple tree matching: two nodes match if their labels (tag, class, id) are equal, and
+an alignment of their children, in order, is worth the most matched nodes, equal texts counting more.
+Equal siblings are aligned one by one. Spark then counts, for each node of a seed, on how
 many pages it was met and on how many with the seed's own text. Nodes met with the same text throughout
 are the host's template; what stands in the other slots is content.
 
@@ -21,6 +21,8 @@ import json
 import re
 import uuid
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,6 +35,9 @@ from formspark.llm.html_tree import BLOCK, Node, tree
 
 CONSTANT = 0.9          # share of the pages that met a node, from which its text is template
 LEAST_PAGES = 3         # pages on which a node must be met to be judged
+SAME = 8                # what an equal text adds to the worth of a matched leaf
+CELLS = 40_000          # longer lists of siblings are cut at equal members before they are matched
+WINDOW = 200
 SEED_BYTES = 32 << 20   # seeds up to this size are broadcast, more are joined
 NEVER = frozenset("head title script style noscript template iframe object svg canvas math audio video map datalist".split())
 SKIPPED = frozenset("nav footer aside form button select option textarea input label dialog menu".split())
@@ -107,7 +112,7 @@ def plain(pieces: list[str]) -> str:
 
 
 class Shape:
-    """A node for alignment: a label, the hash of its text, its children; ``nodes`` are the elements or
+    """A node for alignment: a label, the hash of what is below it, its children; ``nodes`` are the elements or
     strings it stands for, ``inside`` whether an article or main element is above or here."""
 
     __slots__ = ("label", "text", "kids", "nodes", "inside", "number")
@@ -119,8 +124,10 @@ class Shape:
 def label_of(node: Node | str) -> str:
     if isinstance(node, str):
         return "#text"
-    named = node.attribute_values().get("class", "") if "class" in node.attributes else ""
-    return f"{node.tag}.{'.'.join(sorted(WORD.findall(named)))}" if named else node.tag
+    values = node.attribute_values() if "class" in node.attributes.lower() or "id" in node.attributes.lower() else {}
+    named = ".".join(sorted(WORD.findall(values.get("class", ""))))
+    own = "".join(WORD.findall(values.get("id", "")))
+    return f"{node.tag}{'.' + named if named else ''}{'#' + own if own else ''}"
 
 
 def is_inline(node: Node | str) -> bool:
@@ -128,24 +135,30 @@ def is_inline(node: Node | str) -> bool:
 
 
 def shape(node: Node, inside: bool = False) -> Shape:
-    """The shape of an element: runs of equal siblings and of inline content are one leaf."""
+    """The shape of an element: runs of inline content are one leaf; what holds no text is left out."""
     own = Shape(label_of(node), [node], inside or node.tag in CONTENT)
-    groups: list[tuple[str, list]] = []
+    runs: list[list] = []
     for kid in node.kids:
-        label = "#text" if is_inline(kid) else label_of(kid)
-        if label != "#text" and is_part(kid, own.inside):
-            continue
-        if groups and groups[-1][0] == label:
-            groups[-1][1].append(kid)
-        else:
-            groups.append((label, [kid]))
-    for label, kids in groups:
-        if label == "#text" or len(kids) > 1:
-            leaf = Shape(label if label == "#text" else f"{label}+", kids, own.inside)
-            leaf.text = zlib.crc32(block(leaf).encode("utf-8", "replace"))
-            own.kids.append(leaf)
+        if is_inline(kid):
+            if runs and runs[-1][0] == "#text":
+                runs[-1][1].append(kid)
+            else:
+                runs.append(["#text", [kid]])
+        elif not is_part(kid, own.inside):
+            runs.append(["", [kid]])
+    for label, kids in runs:
+        if label:
+            leaf = Shape(label, kids, own.inside)
+            said = block(leaf)
+            if said:
+                leaf.text = zlib.crc32(said.encode("utf-8", "replace"))
+                own.kids.append(leaf)
         else:
-            own.kids.append(shape(kids[0], own.inside))
+            below = shape(kids[0], own.inside)
+            if below.kids:
+                own.kids.append(below)
+    if own.kids:
+        own.text = zlib.crc32(repr([(k.label, k.text) for k in own.kids]).encode("utf-8", "replace"))
     return own
 
 
@@ -182,36 +195,93 @@ def seed_of(text: str) -> Shape:
     return own
 
 
-def matched(a: Shape, b: Shape, pairs: list[tuple[Shape, Shape]]) -> int:
-    """Simple tree matching: size of the largest match of two trees; its pairs are added to ``pairs``."""
+def equal(a: Shape, b: Shape) -> bool:
+    return a.text == b.text and a.label == b.label
+
+
+def between(a: list[Shape], b: list[Shape]) -> list[tuple[list[Shape], list[Shape]]]:
+    """Stretches of two lists too long for a whole table, cut at subtrees that are equal and single in both."""
+    one = Counter((k.label, k.text) for k in a)
+    other = Counter((k.label, k.text) for k in b)
+    at = {(k.label, k.text): j for j, k in enumerate(b)}
+    ends: list[int] = []
+    last: list[int] = []
+    spots, back = [(i, at[key]) for i, key in enumerate((k.label, k.text) for k in a) if one[key] == 1 and other[key] == 1], []
+    for n, (_, j) in enumerate(spots):  # the longest ascending row
+        k = bisect_left(ends, j)
+        back.append(last[k - 1] if k else -1)
+        ends[k:k + 1], last[k:k + 1] = [j], [n]
+    row, n = [], last[-1] if last else -1
+    while n >= 0:
+        row.append(spots[n])
+        n = back[n]
+    out, i, j = [], 0, 0
+    for x, y in [*row[::-1], (len(a), len(b))]:
+        out += [(a[i:x], b[j:y]), (a[x:x + 1], b[y:y + 1])]
+        i, j = x + 1, y + 1
+    # stretches that are still long meet in place order
+    return [piece for u, v in out for piece in ([(u, v)] if len(u) * len(v) <= CELLS else [(u[k:k + WINDOW], v[k:k + WINDOW]) for k in range(0, min(len(u), len(v)), WINDOW)])]
+
+
+def in_order(a: list[Shape], b: list[Shape], pairs: list[tuple[Shape, Shape]]) -> int:
+    """Worth of the best match, in order, of two lists of children; its pairs are added to ``pairs``."""
+    size, low, high = 0, 0, 0
+    while low < min(len(a), len(b)) and equal(a[low], b[low]):
+        size += worth(a[low], b[low], pairs)
+        low += 1
+    while high < min(len(a), len(b)) - low and equal(a[-1 - high], b[-1 - high]):
+        size += worth(a[-1 - high], b[-1 - high], pairs)
+        high += 1
+    a, b = a[low:len(a) - high], b[low:len(b) - high]
+    rows, columns = len(a), len(b)
+    if not rows or not columns:
+        return size
+    if rows * columns > CELLS:
+        return size + sum(in_order(u, v, pairs) for u, v in between(a, b))
+    below: dict[tuple[int, int], list] = {}
+    best = [[0] * (columns + 1) for _ in range(rows + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            top = max(best[i][j + 1], best[i + 1][j])
+            if x.label == y.label:
+                below[i, j] = []
+                top = max(top, best[i][j] + worth(x, y, below[i, j]))
+            best[i + 1][j + 1] = top
+    i, j, size = rows, columns, size + best[rows][columns]
+    while i and j:
+        if best[i][j] == best[i - 1][j]:
+            i -= 1
+        elif best[i][j] == best[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.extend(below[i, j])
+    return size
+
+
+def worth(a: Shape, b: Shape, pairs: list[tuple[Shape, Shape]]) -> int:
+    """Matched nodes of two trees, texts that are the same counting ``SAME`` more."""
     if a.label != b.label:
         return 0
-    rows, columns = len(a.kids), len(b.kids)
-    if rows and columns:
-        below = [[[] for _ in range(columns)] for _ in range(rows)]
-        worth = [[matched(x, y, below[i][j]) for j, y in enumerate(b.kids)] for i, x in enumerate(a.kids)]
-        best = [[0] * (columns + 1) for _ in range(rows + 1)]
-        for i in range(rows):
-            for j in range(columns):
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + worth[i][j])
-        i, j, size = rows, columns, best[rows][columns]
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.extend(below[i][j])
-    else:
-        size = 0
     pairs.append((a, b))
-    return size + 1
+    if not a.kids or not b.kids:
+        return 1 + SAME * (not a.kids and not b.kids and a.text == b.text)
+    return 1 + in_order(a.kids, b.kids, pairs)
+
+
+def matched(a: Shape, b: Shape, pairs: list[tuple[Shape, Shape]]) -> int:
+    """Simple tree matching: size of the best match of two trees; its pairs are added to ``pairs``.
+
+    Siblings with one label meet one by one; among equally labelled ones, those of the same text do.
+    """
+    before = len(pairs)
+    worth(a, b, pairs)
+    return len(pairs) - before
 
 
 def leaves(own: Shape, marked: bool) -> Iterator[Shape]:
     """Leaves with text, in document order; only those inside article or main if the page has one."""
-    if not own.kids and own.nodes and (own.label == "#text" or own.label.endswith("+")):
+    if not own.kids and own.nodes and own.label == "#text":
         if own.inside or not marked:
             yield own
     for kid in own.kids:
@@ -254,7 +324,7 @@ def walk(own: Shape) -> Iterator[Shape]:
 
 
 def is_article(own: Shape) -> bool:
-    return re.split("[.+]", own.label)[0] == "article"
+    return re.split("[.#]", own.label)[0] == "article"
 
 
 def narrow(page: Shape) -> None:

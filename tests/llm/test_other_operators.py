@@ -87,6 +87,19 @@ class TestMainText:
         out = wrapper.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
         assert {r["page_id"]: r["text"] for r in out} == {k: f"text {k} more {k}" for k in range(6)}
 
+    @pytest.mark.parametrize("page", ["<body><div id='top'>Our shop</div><div id='main'>text {k}</div><div id='foot'>All rights</div>", "<body><div>Our shop</div><div>text {k}</div><div>All rights</div>",
+                                      "<div><p>Our shop</p><p>text {k}</p>{more}<p>All rights</p></div>"])
+    def test_equal_siblings_are_judged_one_by_one(self, spark, page):
+        rows = [(k, "http://host.example/", page.format(k=k, more=f"<p>more {k}</p>" * (k % 3))) for k in range(9)]
+        out = wrapper.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+        assert {r["page_id"]: r["text"] for r in out} == {k: " ".join([f"text {k}", *[f"more {k}"] * ("{more}" in page) * (k % 3)]) for k in range(9)}
+
+    def test_long_lists_keep_their_anchors(self):
+        a, b = (wrapper.shape(wrapper.tree("".join(f"<p>{x} {k}</p>" for k in range(400)) + "<p>same</p>" + "".join(f"<p>{x} {k}</p>" for k in range(300)))) for x in "ab")
+        pairs = []
+        wrapper.matched(a, b, pairs)
+        assert len(pairs) == 1 + 2 * 701 and sum(x.text == y.text for x, y in pairs) == 2
+
     def test_matching(self):
         a, b = (wrapper.shape(wrapper.tree(h)) for h in ("<ul><li>1</ul><div><p>x</div><table><tr><td>y</table>", "<h2>new</h2><ul><li>1</ul><table><tr><td>z</table>"))
         pairs = []
