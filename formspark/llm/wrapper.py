@@ -7,9 +7,9 @@ Equal siblings are aligned one by one. Spark then counts, for each node of a see
 many pages it was met and on how many with the seed's own text. Nodes met with the same text throughout
 are the host's template; what stands in the other slots is content.
 
-HTML names many parts itself, and these names hold before the statistics: menus, headers, footers,
-sidebars, adverts, notices, forms and comments are never content, and inside an element that is marked
-as the article a text is content even if every page of the host repeats it.
+HTML names many parts itself: menus, headers, footers, sidebars, adverts, notices, forms and comments are
+no content, unless they wrap the page's article or most of its text. Inside an article names that content
+may bear too (notice, share, widget ...) are outvoted by a slot whose text varies from page to page.
 
 A page is parsed once; its blocks are written to the shared folder with the number of the seed's node
 they were aligned with, and the template is applied to them by a join on the host.
@@ -41,36 +41,76 @@ WINDOW = 200
 SEED_BYTES = 32 << 20   # seeds up to this size are broadcast, more are joined
 NEVER = frozenset("head title script style noscript template iframe object svg canvas math audio video map datalist".split())
 SKIPPED = frozenset("nav footer aside form button select option textarea input label dialog menu".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar status note form".split())
-PARTS = frozenset("nav navbar navigation menu submenu breadcrumb breadcrumbs header masthead topbar footer sidebar aside ad ads adv advert adverts advertisement advertising adsense banner promo promotion "
-                  "sponsor sponsored cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login social share sharing related "
-                  "recommended comment comments commentlist disqus reply replies respond pagination pager widget toolbar skip copyright hidden".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar".split())
+MAYBE_ROLES = frozenset("alert status note form".split())
+PARTS = frozenset("nav navbar navigation submenu breadcrumb breadcrumbs footer ad ads adv advert adverts advertisement advertising adsense promo sponsor sponsored cookie cookies gdpr related "
+                  "recommended comment comments commentlist disqus reply replies respond pagination pager".split())
+#: Names that content may bear as well: what a page says under them inside its article is judged by the counts.
+MAYBE = frozenset("menu header masthead topbar sidebar aside banner consent notice notices notification alert popup modal overlay newsletter subscribe subscription signup login social share sharing "
+                  "widget toolbar skip copyright hidden".split())
+PLACES = frozenset("site page main global primary secondary top bottom left right bar box block list links area wrapper container".split())
+STRONG, WEAK = 2, 1
+FREE, INSIDE, NAMED = 0, 1, 2
 CONTENT = frozenset(("article", "main"))
 WORD = re.compile(r"[A-Za-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def is_part(node: Node, inside: bool) -> bool:
-    """Whether HTML itself says that the node is no content, whatever it holds but an article of its own."""
-    if node.tag in NEVER:
-        return True
-    return named_part(node, inside) and not holds_article(node)
+class Page:
+    """What lies below each element: characters of text, and how many of them in an article or main element."""
+
+    def __init__(self, root: Node) -> None:
+        self.root, self.sizes = root, {}
+        order, todo = [], [root]
+        while todo:
+            node = todo.pop()
+            order.append(node)
+            todo.extend(k for k in node.kids if isinstance(k, Node) and k.tag not in NEVER)
+        for node in reversed(order):
+            said = [len(k.strip()) if isinstance(k, str) else self.sizes.get(id(k), (0, 0))[0] for k in node.kids]
+            total = sum(said)
+            marked = total if node.tag in CONTENT and not named(node, False) else sum(self.sizes.get(id(k), (0, 0))[1] for k in node.kids if isinstance(k, Node))
+            self.sizes[id(node)] = total, marked
+
+    def exempt(self, node: Node, inside: bool, name: int) -> bool:
+        """Whether a named element wraps what the page is about: most of its articles, or else most of its text."""
+        total, marked = self.sizes[id(node)]
+        all_said, all_marked = self.sizes[id(self.root)]
+        if all_marked:
+            return not inside and 0 < all_marked <= 2 * marked or inside and name == WEAK and 2 * total > all_marked
+        return name == WEAK and 2 * total > all_said
+
+
+def words_of(value: str) -> Iterator[set[str]]:
+    """The words of each class or id."""
+    for token in value.split():
+        yield {w.lower() for w in WORD.findall(CAMEL.sub(" ", token))}
 
 
-def named_part(node: Node, inside: bool) -> bool:
+def named(node: Node, inside: bool) -> int:
+    """Whether HTML itself names the node as no content: ``STRONG``, ``WEAK`` if content may bear the name, or 0.
+
+    A class or id counts as a whole: 'notice', 'cookie-notice' and 'site-footer' are names of parts,
+    'has-sidebar' and 'share-prices' are not.
+    """
     if node.tag in SKIPPED:
-        return True
+        return WEAK if node.tag == "form" else STRONG
     if node.tag == "header":  # an article's own header may hold its title
-        return not (inside and has_heading(node))
+        return 0 if inside and has_heading(node) else STRONG if inside else WEAK
     if not node.attributes or not node.attributes.strip() or node.tag in ("html", "body"):
-        return False
+        return 0
     values = node.attribute_values()
-    if "hidden" in values or values.get("aria-hidden") == "true" or values.get("role", "").lower() in ROLES or "display:none" in values.get("style", "").replace(" ", "").lower():
-        return True
+    role = values.get("role", "").lower()
+    if "hidden" in values or values.get("aria-hidden") == "true" or role in ROLES or "display:none" in values.get("style", "").replace(" ", "").lower():
+        return STRONG
     if node.tag in CONTENT:
-        return any(w.lower() in ("comment", "comments", "reply") for w in WORD.findall(values.get("class", "")))
-    parts = {w.lower() for w in WORD.findall(CAMEL.sub(" ", f"{values.get('class', '')} {values.get('id', '')}"))} & PARTS
-    return bool(parts) and not (parts <= {"header", "masthead"} and inside and has_heading(node))
+        return STRONG if any(w & {"comment", "comments", "reply"} for w in words_of(values.get("class", ""))) else 0
+    names = [w for w in words_of(f"{values.get('class', '')} {values.get('id', '')}") if w & (PARTS | MAYBE) and w <= PARTS | MAYBE | PLACES]
+    if any(w & PARTS for w in names):
+        return STRONG
+    if names and not (all(w <= {"header", "masthead"} | PLACES for w in names) and inside and has_heading(node)) or role in MAYBE_ROLES:
+        return WEAK
+    return 0
 
 
 def below(node: Node) -> Iterator[Node]:
@@ -85,24 +125,19 @@ def has_heading(node: Node) -> bool:
     return any(k.tag in ("h1", "h2", "h3") for k in below(node))
 
 
-def holds_article(node: Node) -> bool:
-    """Whether a whole main element, or an article with a title, is wrapped in the node."""
-    return any(k.tag == "main" or k.tag == "article" and any(x.tag == "h1" for x in below(k)) for k in below(node))
-
-
-def text_of(node: Node | str, inside: bool, out: list[str]) -> None:
-    """Text below a node without the parts that are no content; blocks are set apart by a space."""
+def text_of(node: Node | str, out: list[str]) -> None:
+    """Text of inline content; elements that are never text are left out, blocks are set apart by a space."""
     if isinstance(node, str):
         out.append(node)
         return
-    if is_part(node, inside):
+    if node.tag in NEVER:
         out.append(" ")
         return
     apart = node.tag in BLOCK
     if apart:
         out.append(" ")
     for kid in node.kids:
-        text_of(kid, inside, out)
+        text_of(kid, out)
     if apart:
         out.append(" ")
 
@@ -112,13 +147,14 @@ def plain(pieces: list[str]) -> str:
 
 
 class Shape:
-    """A node for alignment: a label, the hash of what is below it, its children; ``nodes`` are the elements or
-    strings it stands for, ``inside`` whether an article or main element is above or here."""
+    """A node for alignment: a label, the hash of what is below it, its children; ``said`` is a leaf's text,
+    ``inside`` whether an article or main element is above or here, ``name`` whether a name says that it is
+    no content."""
 
-    __slots__ = ("label", "text", "kids", "nodes", "inside", "number")
+    __slots__ = ("label", "text", "kids", "said", "inside", "name", "number")
 
-    def __init__(self, label: str, nodes: list, inside: bool) -> None:
-        self.label, self.nodes, self.inside, self.kids, self.text, self.number = label, nodes, inside, [], 0, -1
+    def __init__(self, label: str, inside: bool, name: int = 0) -> None:
+        self.label, self.inside, self.name, self.kids, self.said, self.text, self.number = label, inside, name, [], "", 0, -1
 
 
 def label_of(node: Node | str) -> str:
@@ -130,31 +166,38 @@ def label_of(node: Node | str) -> str:
     return f"{node.tag}{'.' + named if named else ''}{'#' + own if own else ''}"
 
 
-def is_inline(node: Node | str) -> bool:
-    return isinstance(node, str) or node.tag not in BLOCK and all(is_inline(k) for k in node.kids)
+def is_inline(node: Node | str, inside: bool) -> bool:
+    return isinstance(node, str) or node.tag in NEVER or node.tag not in BLOCK and not named(node, inside) and all(is_inline(k, inside) for k in node.kids)
 
 
-def shape(node: Node, inside: bool = False) -> Shape:
+def shape(node: Node, inside: bool = False, page: Page | None = None, name: int = 0) -> Shape:
     """The shape of an element: runs of inline content are one leaf; what holds no text is left out."""
-    own = Shape(label_of(node), [node], inside or node.tag in CONTENT)
+    page = page or Page(node)
+    own = Shape(label_of(node), inside or node.tag in CONTENT, name)
     runs: list[list] = []
     for kid in node.kids:
-        if is_inline(kid):
+        if is_inline(kid, own.inside):
             if runs and runs[-1][0] == "#text":
                 runs[-1][1].append(kid)
             else:
                 runs.append(["#text", [kid]])
-        elif not is_part(kid, own.inside):
+        else:
             runs.append(["", [kid]])
     for label, kids in runs:
         if label:
-            leaf = Shape(label, kids, own.inside)
-            said = block(leaf)
-            if said:
-                leaf.text = zlib.crc32(said.encode("utf-8", "replace"))
+            leaf = Shape(label, own.inside, name)
+            out: list[str] = []
+            for kid in kids:
+                text_of(kid, out)
+            leaf.said = plain(out)
+            if leaf.said:
+                leaf.text = zlib.crc32(leaf.said.encode("utf-8", "replace"))
                 own.kids.append(leaf)
-        else:
-            below = shape(kids[0], own.inside)
+        elif kids[0].tag not in NEVER:
+            is_part = max(name, named(kids[0], own.inside))
+            if is_part > name and page.exempt(kids[0], own.inside, is_part):
+                is_part = name
+            below = shape(kids[0], own.inside, page, is_part)
             if below.kids:
                 own.kids.append(below)
     if own.kids:
@@ -162,14 +205,6 @@ def shape(node: Node, inside: bool = False) -> Shape:
     return own
 
 
-def block(leaf: Shape) -> str:
-    """Text of a leaf."""
-    out: list[str] = []
-    for kid in leaf.nodes:
-        text_of(kid, leaf.inside, out)
-    return plain(out)
-
-
 def number(own: Shape, at: int = 0) -> int:
     """Number the nodes in document order."""
     own.number = at
@@ -179,12 +214,12 @@ def number(own: Shape, at: int = 0) -> int:
 
 
 def packed(own: Shape) -> list:
-    return [own.label, own.text, int(own.inside), [packed(k) for k in own.kids]]
+    return [own.label, own.text, [packed(k) for k in own.kids]]
 
 
 def unpacked(rows: list) -> Shape:
-    own = Shape(rows[0], [], bool(rows[2]))
-    own.text, own.kids = rows[1], [unpacked(k) for k in rows[3]]
+    own = Shape(rows[0], False)
+    own.text, own.kids = rows[1], [unpacked(k) for k in rows[2]]
     return own
 
 
@@ -280,20 +315,23 @@ def matched(a: Shape, b: Shape, pairs: list[tuple[Shape, Shape]]) -> int:
 
 
 def leaves(own: Shape, marked: bool) -> Iterator[Shape]:
-    """Leaves with text, in document order; only those inside article or main if the page has one."""
-    if not own.kids and own.nodes and own.label == "#text":
-        if own.inside or not marked:
-            yield own
+    """Leaves with text, in document order; only those inside article or main if the page has one. What has
+    a strong name is left out, and outside of an article what has a weak one."""
+    if own.said and (own.inside or not marked) and (not own.name or own.name == WEAK and own.inside):
+        yield own
     for kid in own.kids:
         yield from leaves(kid, marked)
 
 
 def has_content(own: Shape) -> bool:
-    return own.inside or any(has_content(k) for k in own.kids)
+    return any(x.inside and x.said and x.name < STRONG for x in walk(own))
 
 
 def read_page(text: str | None, seed: str | None) -> tuple[list, list]:
-    """Blocks (number of the seed's node or -1, text) and what was met: (node, with the seed's text)."""
+    """Blocks (number of the seed's node or -1, kind, text) and what was met: (node, kind, hash of its text).
+
+    The kind is ``FREE``, ``INSIDE`` an article, or ``NAMED`` inside one as if it were no content.
+    """
     if not text:
         return [], []
     page = shape(tree(text))
@@ -303,17 +341,17 @@ def read_page(text: str | None, seed: str | None) -> tuple[list, list]:
         matched(seed_of(seed), page, pairs)
     aligned = {id(b): a for a, b in pairs}
     blocks: list[list] = []
+    met: list[tuple[int, int, int, bool]] = []
     for leaf in leaves(page, has_content(page)):
         node = aligned.get(id(leaf))
-        # inside a marked article all text is content: its blocks need no node
-        at = -1 if node is None or leaf.inside else node.number
-        said = block(leaf)
-        if said:
-            if blocks and blocks[-1][0] == at:
-                blocks[-1][1] += f" {said}"
-            else:
-                blocks.append([at, said])
-    met = [(a.number, a.text == b.text) for a, b in pairs if not b.kids and not b.inside]
+        kind = NAMED if leaf.name else INSIDE if leaf.inside else FREE
+        at = -1 if node is None else node.number
+        if node is not None:
+            met.append((at, kind, leaf.text, node.text == leaf.text))
+        if blocks and blocks[-1][:2] == [at, kind] == [-1, kind]:
+            blocks[-1][2] += f" {leaf.said}"
+        else:
+            blocks.append([at, kind, leaf.said])
     return blocks, met
 
 
@@ -340,7 +378,7 @@ def narrow(page: Shape) -> None:
     if within:
         mine = {id(x) for x in within}
         marked = [x for x in walk(page) if x.inside]
-        size = {id(x): len(block(x)) for x in marked if not x.kids} if len(marked) > len(within) else {}
+        size = {id(x): len(x.said) for x in marked if x.said} if len(marked) > len(within) else {}
         if sum(size.values()) <= 2 * sum(n for x, n in size.items() if x in mine):
             for x in marked:
                 x.inside = id(x) in mine
@@ -349,7 +387,7 @@ def narrow(page: Shape) -> None:
 def induce(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> tuple[DataFrame, DataFrame]:
     """(read, template): every page as blocks with the seed's node they match, and each host's template nodes.
 
-    ``read`` has page_id, url, host and blocks (node, text); ``template`` host and nodes. ``read`` is
+    ``read`` has page_id, url, host and blocks (node, kind, text); ``template`` host, its constant nodes and the named nodes that vary. ``read`` is
     written to the shared folder. The host is the url's authority in lower case, empty if there is none.
     """
     spark = pages.sparkSession
@@ -371,23 +409,26 @@ def induce(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
     with_seed = named.join(F.broadcast(seeds) if small else seeds, "host", "left").select("page_id", "url", "host", "html", "seed")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string())]))
-        seen = pa.list_(pa.struct([("node", pa.int32()), ("same", pa.bool_())]))
+        kind = pa.list_(pa.struct([("node", pa.int32()), ("kind", pa.int8()), ("text", pa.string())]))
+        seen = pa.list_(pa.struct([("node", pa.int32()), ("kind", pa.int8()), ("said", pa.int64()), ("same", pa.bool_())]))
         for batch in batches:
             read = [read_page(h, s) for h, s in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array([[{"node": n, "text": t} for n, t in b] for b, _ in read], kind),
-                 pa.array([[{"node": n, "same": x} for n, x in m] for _, m in read], seen)], names=["page_id", "url", "host", "blocks", "met"])
+                [batch.column(0), batch.column(1), batch.column(2), pa.array([[{"node": n, "kind": k, "text": t} for n, k, t in b] for b, _ in read], kind),
+                 pa.array([[{"node": n, "kind": k, "said": t, "same": x} for n, k, t, x in m] for _, m in read], seen)], names=["page_id", "url", "host", "blocks", "met"])
 
     kind = pages.schema[page_id].dataType.simpleString()
     folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
-    schema = f"page_id {kind}, url string, host string, blocks array<struct<node: int, text: string>>, met array<struct<node: int, same: boolean>>"
+    schema = f"page_id {kind}, url string, host string, blocks array<struct<node: int, kind: tinyint, text: string>>, met array<struct<node: int, kind: tinyint, said: bigint, same: boolean>>"
     with_seed.mapInArrow(align, schema).write.option("compression", "zstd").parquet(folder)
     read = spark.read.parquet(folder)
-    counts = read.select("host", F.explode("met").alias("m")).groupBy("host", "m.node").agg(F.count("*").alias("pages"), F.count_if("m.same").alias("same"))
-    constant = (F.col("pages") >= LEAST_PAGES) & (F.col("same") >= CONSTANT * F.col("pages"))
+    # texts of a node, then nodes: a name is outvoted where nearly every page says something else
+    texts = read.select("host", F.explode("met").alias("m")).groupBy("host", "m.node", "m.kind", "m.said").agg(F.count("*").alias("pages"), F.count_if("m.same").alias("same"))
+    counts = texts.groupBy("host", "node", "kind").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"), F.count("*").alias("texts"))
+    constant = (F.col("kind") == FREE) & (F.col("same") >= CONSTANT * F.col("pages")) | (F.col("kind") == NAMED) & (F.col("texts") >= CONSTANT * F.col("pages"))
     # a host has at most as many template nodes as its seed has nodes
-    template = materialise(counts.where(constant).groupBy("host").agg(F.collect_list("node").alias("nodes")))
+    template = materialise(counts.where((F.col("pages") >= LEAST_PAGES) & constant).groupBy("host").agg(
+        F.collect_list(F.when(F.col("kind") != NAMED, F.col("node"))).alias("nodes"), F.collect_list(F.when(F.col("kind") == NAMED, F.col("node"))).alias("varied")))
     return read.drop("met"), template
 
 
@@ -400,8 +441,8 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     Markup may be broken or cut off at any place. Other columns are left out, whatever their names.
     """
     read, template = induce(pages, page_id, url, html)
-    small = (template.agg(F.sum(F.size("nodes") * 4 + F.length("host"))).first()[0] or 0) <= SEED_BYTES
+    small = (template.agg(F.sum(F.size("nodes") * 4 + F.size("varied") * 4 + F.length("host"))).first()[0] or 0) <= SEED_BYTES
     judged = read.join(F.broadcast(template) if small else template, "host", "left")
-    kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("nodes", b["node"]), F.lit(False)))
+    kept = F.filter("blocks", lambda b: F.when(b["kind"] == NAMED, F.coalesce(F.array_contains("varied", b["node"]), F.lit(False))).otherwise((b["kind"] == INSIDE) | ~F.coalesce(F.array_contains("nodes", b["node"]), F.lit(False))))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
     return judged.select(F.col("page_id").alias(page_id), F.col("url").alias(url), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

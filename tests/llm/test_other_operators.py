@@ -94,6 +94,20 @@ class TestMainText:
         out = wrapper.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
         assert {r["page_id"]: r["text"] for r in out} == {k: " ".join([f"text {k}", *[f"more {k}"] * ("{more}" in page) * (k % 3)]) for k in range(9)}
 
+    @pytest.mark.parametrize("page", ["<div class='layout has-sidebar'><article><h2>T {k}</h2><p>text {k}</p></article></div>", "<form id='aspnetForm'><div><h2>T {k}</h2><p>text {k}</p></div></form>", "<div class='content no-sidebar'><h2>T {k}</h2><p>text {k}</p></div>",
+                                      "<div class='sidebar'><article><h2>T {k}</h2><p>text {k}</p></article></div><p>menu", "<article><h2>T {k}</h2><section class='share-prices'>text {k}</section></article>",
+                                      "<article><h2>T {k}</h2><p class='notice'>text {k}</p><p class='share'>Share</p></article>"])
+    def test_names_do_not_cut_articles(self, spark, page):
+        rows = [(k, "http://host.example/", page.format(k=k)) for k in range(6)]
+        out = wrapper.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+        assert {r["page_id"]: r["text"] for r in out} == {k: f"T {k} text {k}" for k in range(6)}
+
+    def test_names_of_parts_hold(self, spark):
+        page = "<div class='cookie-notice'>no {k}</div><div class='site-footer'>no {k}</div><article><h1>T {k}</h1><div class='ad'>no {k}</div><div class='share'>no</div><section class='related'><article>no {k}</article></section><p>text and more text {k}</p></article>"
+        rows = [(k, "http://host.example/", page.format(k=k)) for k in range(6)]
+        out = wrapper.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+        assert {r["page_id"]: r["text"] for r in out} == {k: f"T {k} text and more text {k}" for k in range(6)}
+
     def test_long_lists_keep_their_anchors(self):
         a, b = (wrapper.shape(wrapper.tree("".join(f"<p>{x} {k}</p>" for k in range(400)) + "<p>same</p>" + "".join(f"<p>{x} {k}</p>" for k in range(300)))) for x in "ab")
         pairs = []
