@@ -4,12 +4,14 @@ One page of a host, the one of least hash, is its seed. Every page of the host i
 with the seed by simple tree matching: two nodes match if their labels (tag, class, id) are equal, and
 an alignment of their children, in order, is worth the most matched nodes, equal texts counting more.
 Equal siblings are aligned one by one. Spark then counts, for each node of a seed, on how
-many pages it was met and on how many with the seed's own text. Nodes met with the same text throughout
+many pages it was met and on how many with the seed's own text. Equal pages count
+once. Nodes met with the same text throughout
 are the host's template; what stands in the other slots is content.
 
 HTML names many parts itself: menus, headers, footers, sidebars, adverts, notices, forms and comments are
 no content, unless they wrap the page's article or most of its text. Inside an article names that content
-may bear too (notice, share, widget ...) are outvoted by a slot whose text varies from page to page.
+may bear too (notice, share, widget ...) are outvoted by a slot whose text varies from page to page. What
+an article holds needs more to be template: the same text on most pages of the host, copies not counted.
 
 A page is parsed once; its blocks are written to the shared folder with the number of the seed's node
 they were aligned with, and the template is applied to them by a join on the host.
@@ -17,6 +19,7 @@ they were aligned with, and the template is applied to them by a join on the hos
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import uuid
@@ -35,6 +38,9 @@ from formspark.llm.html_tree import BLOCK, Node, tree
 
 CONSTANT = 0.9          # share of the pages that met a node, from which its text is template
 LEAST_PAGES = 3         # pages on which a node must be met to be judged
+LEAST_INSIDE = 4        # pages unlike the seed on which a node inside an article must be met to be judged
+COMMON = 0.5            # share of all pages unlike the seed that must show the text of such a node
+COPY = 0.75             # a page is a copy of the seed if more than this share of its article is the same
 SAME = 8                # what an equal text adds to the worth of a matched leaf
 CELLS = 40_000          # longer lists of siblings are cut at equal members before they are matched
 WINDOW = 200
@@ -327,13 +333,15 @@ def has_content(own: Shape) -> bool:
     return any(x.inside and x.said and x.name < STRONG for x in walk(own))
 
 
-def read_page(text: str | None, seed: str | None) -> tuple[list, list]:
-    """Blocks (number of the seed's node or -1, kind, text) and what was met: (node, kind, hash of its text).
+def read_page(text: str | None, seed: str | None) -> tuple[list, list, int, bool]:
+    """(blocks, met, print, far): blocks are (number of the seed's node or -1, kind, text), ``met`` has a number
+    for each node met that holds node, hash of the text (of named ones), kind, and whether it is the seed's;
+    pages of one ``print`` are equal; ``far`` says that the article is not a copy of the seed's.
 
     The kind is ``FREE``, ``INSIDE`` an article, or ``NAMED`` inside one as if it were no content.
     """
     if not text:
-        return [], []
+        return [], [], 0, False
     page = shape(tree(text))
     narrow(page)
     pairs: list[tuple[Shape, Shape]] = []
@@ -341,18 +349,25 @@ def read_page(text: str | None, seed: str | None) -> tuple[list, list]:
         matched(seed_of(seed), page, pairs)
     aligned = {id(b): a for a, b in pairs}
     blocks: list[list] = []
-    met: list[tuple[int, int, int, bool]] = []
+    met: list[int] = []
+    size = [[0, 0], [0, 0]]
     for leaf in leaves(page, has_content(page)):
         node = aligned.get(id(leaf))
         kind = NAMED if leaf.name else INSIDE if leaf.inside else FREE
         at = -1 if node is None else node.number
+        same = node is not None and node.text == leaf.text
         if node is not None:
-            met.append((at, kind, leaf.text, node.text == leaf.text))
+            met.append(at << 35 | leaf.text * (kind == NAMED) << 3 | kind << 1 | same)
+        if kind == INSIDE:
+            for k in range(1 + same):
+                size[k][0] += 1
+                size[k][1] += len(leaf.said)
         if blocks and blocks[-1][:2] == [at, kind] == [-1, kind]:
             blocks[-1][2] += f" {leaf.said}"
         else:
             blocks.append([at, kind, leaf.said])
-    return blocks, met
+    whole = hashlib.blake2b(repr((blocks, met)).encode("utf-8", "replace"), digest_size=8).digest()
+    return blocks, met, int.from_bytes(whole, "big", signed=True), any(part <= COPY * all_ for all_, part in zip(*size, strict=True))
 
 
 def walk(own: Shape) -> Iterator[Shape]:
@@ -387,7 +402,8 @@ def narrow(page: Shape) -> None:
 def induce(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> tuple[DataFrame, DataFrame]:
     """(read, template): every page as blocks with the seed's node they match, and each host's template nodes.
 
-    ``read`` has page_id, url, host and blocks (node, kind, text); ``template`` host, its constant nodes and the named nodes that vary. ``read`` is
+    ``read`` has page_id, url, host and blocks (node, kind, text); ``template`` host, its constant nodes outside and
+    inside of articles, and the named nodes that vary. ``read`` is
     written to the shared folder. The host is the url's authority in lower case, empty if there is none.
     """
     spark = pages.sparkSession
@@ -410,26 +426,30 @@ def induce(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("node", pa.int32()), ("kind", pa.int8()), ("text", pa.string())]))
-        seen = pa.list_(pa.struct([("node", pa.int32()), ("kind", pa.int8()), ("said", pa.int64()), ("same", pa.bool_())]))
         for batch in batches:
             read = [read_page(h, s) for h, s in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array([[{"node": n, "kind": k, "text": t} for n, k, t in b] for b, _ in read], kind),
-                 pa.array([[{"node": n, "kind": k, "said": t, "same": x} for n, k, t, x in m] for _, m in read], seen)], names=["page_id", "url", "host", "blocks", "met"])
+                [batch.column(0), batch.column(1), batch.column(2), pa.array([[{"node": n, "kind": k, "text": t} for n, k, t in b] for b, *_ in read], kind),
+                 pa.array([x[1] for x in read], pa.list_(pa.int64())), pa.array([x[2] for x in read], pa.int64()), pa.array([x[3] for x in read], pa.bool_())], names=["page_id", "url", "host", "blocks", "met", "print", "far"])
 
     kind = pages.schema[page_id].dataType.simpleString()
     folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
-    schema = f"page_id {kind}, url string, host string, blocks array<struct<node: int, kind: tinyint, text: string>>, met array<struct<node: int, kind: tinyint, said: bigint, same: boolean>>"
+    schema = f"page_id {kind}, url string, host string, blocks array<struct<node: int, kind: tinyint, text: string>>, met array<bigint>, print bigint, far boolean"
     with_seed.mapInArrow(align, schema).write.option("compression", "zstd").parquet(folder)
     read = spark.read.parquet(folder)
+    pages = read.where("size(met) > 0").select("host", "print", "met", "far").dropDuplicates(["host", "print"])
     # texts of a node, then nodes: a name is outvoted where nearly every page says something else
-    texts = read.select("host", F.explode("met").alias("m")).groupBy("host", "m.node", "m.kind", "m.said").agg(F.count("*").alias("pages"), F.count_if("m.same").alias("same"))
+    one = pages.select("host", "far", F.explode("met").alias("m")).select(
+        "host", F.shiftright("m", 35).cast("int").alias("node"), F.shiftright("m", 1).bitwiseAND(3).cast("int").alias("kind"), F.shiftright("m", 3).bitwiseAND(0xFFFFFFFF).alias("said"), (F.col("m") % 2 == 1).alias("same"), "far")
+    texts = one.where((F.col("kind") != INSIDE) | F.col("far")).groupBy("host", "node", "kind", "said").agg(F.count("*").alias("pages"), F.count_if("same").alias("same"))
     counts = texts.groupBy("host", "node", "kind").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"), F.count("*").alias("texts"))
-    constant = (F.col("kind") == FREE) & (F.col("same") >= CONSTANT * F.col("pages")) | (F.col("kind") == NAMED) & (F.col("texts") >= CONSTANT * F.col("pages"))
+    counts = counts.join(pages.groupBy("host").agg(F.count_if("far").alias("all_far")), "host")
+    same = F.col("same") >= CONSTANT * F.col("pages")
+    constant = F.when(F.col("kind") == FREE, same).when(F.col("kind") == NAMED, F.col("texts") >= CONSTANT * F.col("pages")).otherwise(same & (F.col("pages") >= LEAST_INSIDE) & (F.col("same") >= COMMON * F.col("all_far")))
     # a host has at most as many template nodes as its seed has nodes
     template = materialise(counts.where((F.col("pages") >= LEAST_PAGES) & constant).groupBy("host").agg(
-        F.collect_list(F.when(F.col("kind") != NAMED, F.col("node"))).alias("nodes"), F.collect_list(F.when(F.col("kind") == NAMED, F.col("node"))).alias("varied")))
-    return read.drop("met"), template
+        *[F.collect_list(F.when(F.col("kind") == k, F.col("node"))).alias(name) for k, name in ((FREE, "nodes"), (INSIDE, "repeated"), (NAMED, "varied"))]))
+    return read.drop("met", "print", "far"), template
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -441,8 +461,8 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     Markup may be broken or cut off at any place. Other columns are left out, whatever their names.
     """
     read, template = induce(pages, page_id, url, html)
-    small = (template.agg(F.sum(F.size("nodes") * 4 + F.size("varied") * 4 + F.length("host"))).first()[0] or 0) <= SEED_BYTES
+    small = (template.agg(F.sum(F.size("nodes") * 4 + F.size("repeated") * 4 + F.size("varied") * 4 + F.length("host"))).first()[0] or 0) <= SEED_BYTES
     judged = read.join(F.broadcast(template) if small else template, "host", "left")
-    kept = F.filter("blocks", lambda b: F.when(b["kind"] == NAMED, F.coalesce(F.array_contains("varied", b["node"]), F.lit(False))).otherwise((b["kind"] == INSIDE) | ~F.coalesce(F.array_contains("nodes", b["node"]), F.lit(False))))
+    kept = F.filter("blocks", lambda b: F.coalesce(F.when(b["kind"] == FREE, ~F.array_contains("nodes", b["node"])).when(b["kind"] == INSIDE, ~F.array_contains("repeated", b["node"])).otherwise(F.array_contains("varied", b["node"])), b["kind"] != NAMED))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
     return judged.select(F.col("page_id").alias(page_id), F.col("url").alias(url), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

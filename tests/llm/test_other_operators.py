@@ -108,6 +108,19 @@ class TestMainText:
         out = wrapper.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
         assert {r["page_id"]: r["text"] for r in out} == {k: f"T {k} text and more text {k}" for k in range(6)}
 
+    @pytest.mark.parametrize("page", ["<article><h1>T {k}</h1><p>Read our letter</p><p>text {k}</p></article>", "<article><p>An advert line</p>{more}<p>text {k}</p><p>Read also</p></article>"])
+    def test_repeated_text_inside_articles(self, spark, page):
+        rows = [(k, "http://host.example/", page.format(k=k, more=f"<p>more {k}</p>" * (k % 3))) for k in range(10)]
+        out = wrapper.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+        assert {r["page_id"]: r["text"] for r in out} == {k: f"T {k} text {k}" if "{more}" not in page else " ".join([*[f"more {k}"] * (k % 3), f"text {k}"]) for k in range(10)}
+
+    def test_copies_are_no_template(self, spark):
+        article = "<article><h1>Title</h1>" + "".join(f"<p>Paragraph {k} of the text</p>" for k in range(8)) + "<p>last {n}</p></article>"
+        whole = "Title " + " ".join(f"Paragraph {k} of the text" for k in range(8))
+        rows = [(n, "http://host.example/", article.format(n=n)) for n in range(9)] + [(20 + n, "http://other.example/", "<div><p>one</p><p>two</p></div>") for n in range(5)]
+        out = wrapper.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+        assert {r["page_id"]: r["text"] for r in out} == {n: f"{whole} last {n}" for n in range(9)} | {20 + n: "one two" for n in range(5)}
+
     def test_long_lists_keep_their_anchors(self):
         a, b = (wrapper.shape(wrapper.tree("".join(f"<p>{x} {k}</p>" for k in range(400)) + "<p>same</p>" + "".join(f"<p>{x} {k}</p>" for k in range(300)))) for x in "ab")
         pairs = []
