@@ -1,7 +1,8 @@
 """Main text of web pages by wrapper induction.
 
-One page of a host, the one of least hash, is its seed. Every page of the host is parsed and aligned
-with the seed by simple tree matching: two nodes match if their labels (tag, class, id) are equal, and
+Pages of a host are of one layout if the frames that hold them are the same. Every layout of enough pages
+has a seed, a page of its commonest size that has text; pages of rare layouts take the best matching of the
+host's first seeds. Every page is parsed and aligned with its seed by simple tree matching: two nodes match if their labels (tag, class, id) are equal, and
 an alignment of their children, in order, is worth the most matched nodes, equal texts counting more.
 Equal siblings are aligned one by one. Spark then counts, for each node of a seed, on how
 many pages it was met and on how many with the seed's own text. Equal pages count
@@ -13,8 +14,8 @@ no content, unless they wrap the page's article or most of its text. Inside an a
 may bear too (notice, share, widget ...) are outvoted by a slot whose text varies from page to page. What
 an article holds needs more to be template: the same text on most pages of the host, copies not counted.
 
-A page is parsed once; its blocks are written to the shared folder with the number of the seed's node
-they were aligned with, and the template is applied to them by a join on the host.
+A page's blocks are written to the shared folder with the number of the seed's node they were aligned with,
+and the template is applied to them by a join on host and layout.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ import uuid
 import zlib
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from formspark.llm.common import bounded_batches, materialise, shared_folder
@@ -41,6 +42,7 @@ LEAST_PAGES = 3         # pages on which a node must be met to be judged
 LEAST_INSIDE = 4        # pages unlike the seed on which a node inside an article must be met to be judged
 COMMON = 0.5            # share of all pages unlike the seed that must show the text of such a node
 COPY = 0.75             # a page is a copy of the seed if more than this share of its article is the same
+FURTHER = 3             # seeds of a host that pages are aligned with whose own layout has none
 SAME = 8                # what an equal text adds to the worth of a matched leaf
 CELLS = 40_000          # longer lists of siblings are cut at equal members before they are matched
 WINDOW = 200
@@ -55,6 +57,7 @@ PARTS = frozenset("nav navbar navigation submenu breadcrumb breadcrumbs footer a
 MAYBE = frozenset("menu header masthead topbar sidebar aside banner consent notice notices notification alert popup modal overlay newsletter subscribe subscription signup login social share sharing "
                   "widget toolbar skip copyright hidden".split())
 PLACES = frozenset("site page main global primary secondary top bottom left right bar box block list links area wrapper container".split())
+FRAME = frozenset("div section article main header nav footer aside form table center".split())
 STRONG, WEAK = 2, 1
 FREE, INSIDE, NAMED = 0, 1, 2
 CONTENT = frozenset(("article", "main"))
@@ -166,6 +169,8 @@ class Shape:
 def label_of(node: Node | str) -> str:
     if isinstance(node, str):
         return "#text"
+    if node.tag in ("html", "body"):  # their classes name the page
+        return node.tag
     values = node.attribute_values() if "class" in node.attributes.lower() or "id" in node.attributes.lower() else {}
     named = ".".join(sorted(WORD.findall(values.get("class", ""))))
     own = "".join(WORD.findall(values.get("id", "")))
@@ -307,6 +312,8 @@ def worth(a: Shape, b: Shape, pairs: list[tuple[Shape, Shape]]) -> int:
     pairs.append((a, b))
     if not a.kids or not b.kids:
         return 1 + SAME * (not a.kids and not b.kids and a.text == b.text)
+    if len(a.kids) == len(b.kids) == 1:
+        return 1 + worth(a.kids[0], b.kids[0], pairs)
     return 1 + in_order(a.kids, b.kids, pairs)
 
 
@@ -333,20 +340,43 @@ def has_content(own: Shape) -> bool:
     return any(x.inside and x.said and x.name < STRONG for x in walk(own))
 
 
-def read_page(text: str | None, seed: str | None) -> tuple[list, list, int, bool]:
-    """(blocks, met, print, far): blocks are (number of the seed's node or -1, kind, text), ``met`` has a number
+def layout_of(page: Shape) -> int:
+    """A hash of the frames that hold the page, two deep and not within an article."""
+    frames = set()
+
+    def enter(own: Shape, path: str, depth: int) -> None:
+        for kid in own.kids:
+            tag = re.split("[.#]", kid.label)[0]
+            if tag in ("html", "body"):
+                enter(kid, path, depth)
+            elif tag in FRAME:
+                frames.add(here := f"{path}/{kid.label}")
+                if depth < 2 and not kid.inside:
+                    enter(kid, here, depth + 1)
+
+    enter(page, "", 1)
+    return zlib.crc32(" ".join(sorted(frames)).encode("utf-8", "replace"))
+
+
+def read_page(text: str | None, seeds: Callable[[Shape], list]) -> tuple[list, list, int, bool, int | None]:
+    """(blocks, met, print, far, layout): ``layout`` of the seed the page matches best, of those that ``seeds`` names; blocks are (number of the seed's node or -1, kind, text), ``met`` has a number
     for each node met that holds node, hash of the text (of named ones), kind, and whether it is the seed's;
     pages of one ``print`` are equal; ``far`` says that the article is not a copy of the seed's.
 
     The kind is ``FREE``, ``INSIDE`` an article, or ``NAMED`` inside one as if it were no content.
     """
     if not text:
-        return [], [], 0, False
+        return [], [], 0, False, None
     page = shape(tree(text))
+    offered = seeds(page)
     narrow(page)
     pairs: list[tuple[Shape, Shape]] = []
-    if seed:
-        matched(seed_of(seed), page, pairs)
+    which = None
+    for layout, seed in offered:
+        found: list[tuple[Shape, Shape]] = []
+        matched(seed_of(seed), page, found)
+        if len(found) > len(pairs):
+            pairs, which = found, layout
     aligned = {id(b): a for a, b in pairs}
     blocks: list[list] = []
     met: list[int] = []
@@ -367,7 +397,7 @@ def read_page(text: str | None, seed: str | None) -> tuple[list, list, int, bool
         else:
             blocks.append([at, kind, leaf.said])
     whole = hashlib.blake2b(repr((blocks, met)).encode("utf-8", "replace"), digest_size=8).digest()
-    return blocks, met, int.from_bytes(whole, "big", signed=True), any(part <= COPY * all_ for all_, part in zip(*size, strict=True))
+    return blocks, met, int.from_bytes(whole, "big", signed=True), any(part <= COPY * all_ for all_, part in zip(*size, strict=True)), which
 
 
 def walk(own: Shape) -> Iterator[Shape]:
@@ -400,9 +430,9 @@ def narrow(page: Shape) -> None:
 
 
 def induce(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> tuple[DataFrame, DataFrame]:
-    """(read, template): every page as blocks with the seed's node they match, and each host's template nodes.
+    """(read, template): every page as blocks with the seed's node they match, and each layout's template nodes.
 
-    ``read`` has page_id, url, host and blocks (node, kind, text); ``template`` host, its constant nodes outside and
+    ``read`` has page_id, url, host, layout of the seed and blocks (node, kind, text); ``template`` host, layout, its constant nodes outside and
     inside of articles, and the named nodes that vary. ``read`` is
     written to the shared folder. The host is the url's authority in lower case, empty if there is none.
     """
@@ -410,44 +440,74 @@ def induce(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
     bounded_batches(spark)
     host = F.regexp_extract(F.lower(F.coalesce(F.col(f"`{url}`"), F.lit(""))), r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", 1)
     named = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"), host.alias("host"))
-    place = F.xxhash64("host", "url", "page_id")
-    first = materialise(named.where("html is not null").groupBy("host").agg(F.min(place).alias("place")))
+    kind = pages.schema[page_id].dataType.simpleString()
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = [shape(tree(h or "")) for h in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([layout_of(x) for x in read], pa.int64()), pa.array([sum(1 for y in walk(x) if y.said) for x in read], pa.int64())], names=["page_id", "url", "html", "host", "layout", "leaves"])
+
+    laid = named.mapInArrow(lay_out, f"page_id {kind}, url string, html string, host string, layout bigint, leaves bigint").withColumn("place", F.xxhash64("host", "url", "page_id", "html"))
+    # a layout's seed is of its commonest size, the one of least hash
+    sized = laid.where("leaves > 0").groupBy("host", "layout", F.floor(F.log2("leaves")).alias("size")).agg(F.count("*").alias("pages"), F.min("place").alias("place"))
+    layouts = materialise(sized.groupBy("host", "layout").agg(F.sum("pages").alias("pages"), F.max(F.struct("pages", "size", "place"))["place"].alias("place")))
+    enough = layouts.where(F.col("pages") >= LEAST_PAGES).withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), "layout")))
+    alone = layouts.join(enough.select("host").distinct(), "host", "left_anti").groupBy("host").agg(F.max(F.struct("pages", "layout", "place")).alias("m")).select("host", "m.layout", "m.pages", "m.place", F.lit(1).alias("rank"))
+    first = materialise(enough.unionByName(alone).select("host", "layout", "place", "rank"))
     few = first.count() * 64 <= SEED_BYTES
-    chosen = named.where("html is not null").withColumn("place", place).join(F.broadcast(first) if few else first, ["host", "place"], "left_semi")
+    chosen = named.where("html is not null").withColumn("place", F.xxhash64("host", "url", "page_id", "html")).join(F.broadcast(first) if few else first, ["host", "place"])
 
     def skeleton(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seeds = [json.dumps(packed(shape(tree(h)))) for h in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seeds, pa.string())], names=["host", "seed"])
+            seeds = [json.dumps(packed(shape(tree(h)))) for h in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(seeds, pa.string())], names=["host", "layout", "rank", "seed"])
 
-    seeds = materialise(chosen.select("host", "html").mapInArrow(skeleton, "host string, seed string").groupBy("host").agg(F.min("seed").alias("seed")))
+    seeds = materialise(chosen.select("host", "layout", "rank", "html").mapInArrow(skeleton, "host string, layout bigint, rank int, seed string").groupBy("host", "layout", "rank").agg(F.min("seed").alias("seed")))
     small = (seeds.agg(F.sum(F.length("seed") + F.length("host"))).first()[0] or 0) <= SEED_BYTES
-    with_seed = named.join(F.broadcast(seeds) if small else seeds, "host", "left").select("page_id", "url", "host", "html", "seed")
+    own = seeds.select("host", "layout", "seed")
+    further = seeds.where(F.col("rank") <= FURTHER).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "layout", "seed"))).alias("further"))
+    if small:  # pages are parsed once, for their layout and for the match
+        held = spark.sparkContext.broadcast([{(r["host"], r["layout"]): r["seed"] for r in own.collect()}, {r["host"]: [(x["layout"], x["seed"]) for x in r["further"]] for r in further.collect()}])
+        with_seed = named.select("page_id", "url", "host", "html", F.lit(None).cast("array<struct<layout: bigint, seed: string>>").alias("seeds"))
+    else:
+        held = None
+        joined = laid.join(own, ["host", "layout"], "left").join(further, "host", "left")
+        with_seed = joined.select("page_id", "url", "host", "html", F.when(F.col("seed").isNotNull(), F.array(F.struct("layout", "seed"))).otherwise(F.transform("further", lambda x: F.struct(x["layout"].alias("layout"), x["seed"].alias("seed")))).alias("seeds"))
+
+    def offer(host: str, seeds: list | None) -> Callable[[Shape], list]:
+        def given(page: Shape) -> list:
+            if held is None:
+                return [(x["layout"], x["seed"]) for x in seeds or []]
+            layout = layout_of(page)
+            seed = held.value[0].get((host, layout))
+            return held.value[1].get(host, []) if seed is None else [(layout, seed)]
+        return given
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("node", pa.int32()), ("kind", pa.int8()), ("text", pa.string())]))
+        block = pa.list_(pa.struct([("node", pa.int32()), ("kind", pa.int8()), ("text", pa.string())]))
         for batch in batches:
-            read = [read_page(h, s) for h, s in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            hosts, html, seeds = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            read = [read_page(h, offer(host, s)) for host, h, s in zip(hosts, html, seeds, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array([[{"node": n, "kind": k, "text": t} for n, k, t in b] for b, *_ in read], kind),
-                 pa.array([x[1] for x in read], pa.list_(pa.int64())), pa.array([x[2] for x in read], pa.int64()), pa.array([x[3] for x in read], pa.bool_())], names=["page_id", "url", "host", "blocks", "met", "print", "far"])
+                [*batch.columns[:3], pa.array([x[4] for x in read], pa.int64()),
+                 pa.array([[{"node": n, "kind": k, "text": t} for n, k, t in x[0]] for x in read], block), pa.array([x[1] for x in read], pa.list_(pa.int64())),
+                 pa.array([x[2] for x in read], pa.int64()), pa.array([x[3] for x in read], pa.bool_())], names=["page_id", "url", "host", "layout", "blocks", "met", "print", "far"])
 
-    kind = pages.schema[page_id].dataType.simpleString()
     folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
-    schema = f"page_id {kind}, url string, host string, blocks array<struct<node: int, kind: tinyint, text: string>>, met array<bigint>, print bigint, far boolean"
+    schema = f"page_id {kind}, url string, host string, layout bigint, blocks array<struct<node: int, kind: tinyint, text: string>>, met array<bigint>, print bigint, far boolean"
     with_seed.mapInArrow(align, schema).write.option("compression", "zstd").parquet(folder)
     read = spark.read.parquet(folder)
-    pages = read.where("size(met) > 0").select("host", "print", "met", "far").dropDuplicates(["host", "print"])
+    pages = read.where("size(met) > 0").select("host", "layout", "print", "met", "far").dropDuplicates(["host", "layout", "print"])
     # texts of a node, then nodes: a name is outvoted where nearly every page says something else
-    one = pages.select("host", "far", F.explode("met").alias("m")).select(
-        "host", F.shiftright("m", 35).cast("int").alias("node"), F.shiftright("m", 1).bitwiseAND(3).cast("int").alias("kind"), F.shiftright("m", 3).bitwiseAND(0xFFFFFFFF).alias("said"), (F.col("m") % 2 == 1).alias("same"), "far")
-    texts = one.where((F.col("kind") != INSIDE) | F.col("far")).groupBy("host", "node", "kind", "said").agg(F.count("*").alias("pages"), F.count_if("same").alias("same"))
-    counts = texts.groupBy("host", "node", "kind").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"), F.count("*").alias("texts"))
-    counts = counts.join(pages.groupBy("host").agg(F.count_if("far").alias("all_far")), "host")
+    one = pages.select("host", "layout", "far", F.explode("met").alias("m")).select(
+        "host", "layout", F.shiftright("m", 35).cast("int").alias("node"), F.shiftright("m", 1).bitwiseAND(3).cast("int").alias("kind"), F.shiftright("m", 3).bitwiseAND(0xFFFFFFFF).alias("said"), (F.col("m") % 2 == 1).alias("same"), "far")
+    texts = one.where((F.col("kind") != INSIDE) | F.col("far")).groupBy("host", "layout", "node", "kind", "said").agg(F.count("*").alias("pages"), F.count_if("same").alias("same"))
+    counts = texts.groupBy("host", "layout", "node", "kind").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"), F.count("*").alias("texts"))
+    counts = counts.join(pages.groupBy("host", "layout").agg(F.count_if("far").alias("all_far")), ["host", "layout"])
     same = F.col("same") >= CONSTANT * F.col("pages")
     constant = F.when(F.col("kind") == FREE, same).when(F.col("kind") == NAMED, F.col("texts") >= CONSTANT * F.col("pages")).otherwise(same & (F.col("pages") >= LEAST_INSIDE) & (F.col("same") >= COMMON * F.col("all_far")))
-    # a host has at most as many template nodes as its seed has nodes
-    template = materialise(counts.where((F.col("pages") >= LEAST_PAGES) & constant).groupBy("host").agg(
+    # a layout has at most as many template nodes as its seed has nodes
+    template = materialise(counts.where((F.col("pages") >= LEAST_PAGES) & constant).groupBy("host", "layout").agg(
         *[F.collect_list(F.when(F.col("kind") == k, F.col("node"))).alias(name) for k, name in ((FREE, "nodes"), (INSIDE, "repeated"), (NAMED, "varied"))]))
     return read.drop("met", "print", "far"), template
 
@@ -462,7 +522,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     """
     read, template = induce(pages, page_id, url, html)
     small = (template.agg(F.sum(F.size("nodes") * 4 + F.size("repeated") * 4 + F.size("varied") * 4 + F.length("host"))).first()[0] or 0) <= SEED_BYTES
-    judged = read.join(F.broadcast(template) if small else template, "host", "left")
+    judged = read.join(F.broadcast(template) if small else template, ["host", "layout"], "left")
     kept = F.filter("blocks", lambda b: F.coalesce(F.when(b["kind"] == FREE, ~F.array_contains("nodes", b["node"])).when(b["kind"] == INSIDE, ~F.array_contains("repeated", b["node"])).otherwise(F.array_contains("varied", b["node"])), b["kind"] != NAMED))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
     return judged.select(F.col("page_id").alias(page_id), F.col("url").alias(url), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -121,6 +121,17 @@ class TestMainText:
         out = wrapper.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
         assert {r["page_id"]: r["text"] for r in out} == {n: f"{whole} last {n}" for n in range(9)} | {20 + n: "one two" for n in range(5)}
 
+    @pytest.mark.parametrize("most", [wrapper.SEED_BYTES, 0])
+    def test_each_layout_has_a_seed(self, spark, monkeypatch, most):
+        monkeypatch.setattr(wrapper, "SEED_BYTES", most)
+        shop = "<html><body class='page-{w}'><div class='top'>Our shop</div><div class='c'><p>text {k}</p></div><div class='f'>All rights</div></body></html>"
+        blog = "<div id='wrap'><div class='menu-line'>Our blog</div><div class='post'><p>entry {k}</p></div><div class='end'>Some rights</div></div>"
+        rows = [(k, f"http://host.example/{k}", (shop if k < 24 else blog).format(k=k, w=chr(97 + k % 26))) for k in range(36)]
+        rows += [(k, f"http://host.example/{k}", h) for k, h in enumerate(["", "<", "<html>", "<html><body>Error", "<div></div>", "<script>"] * 6, 100)]
+        out = {r["page_id"]: r["text"] for r in wrapper.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+        assert {k: t for k, t in out.items() if k < 100} == {k: f"text {k}" if k < 24 else f"entry {k}" for k in range(36)}
+        assert len(out) == len(rows)
+
     def test_long_lists_keep_their_anchors(self):
         a, b = (wrapper.shape(wrapper.tree("".join(f"<p>{x} {k}</p>" for k in range(400)) + "<p>same</p>" + "".join(f"<p>{x} {k}</p>" for k in range(300)))) for x in "ab")
         pairs = []
