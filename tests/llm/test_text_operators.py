@@ -299,6 +299,20 @@ class TestMaskedLm:
             assert r["n_words"] == len(ids) and r["log_likelihood"] == pytest.approx(total, abs=1e-3)
             assert (r["per_word"] is None) == (not ids)
 
+    def test_words_of_a_bucket_have_their_share(self, spark):
+        common = [f"w{k}" for k in range(127)] * 9
+        rare = next([a, b, c] for a in ["rarea"] for b in (f"b{k}" for k in range(9999)) for c in (f"c{k}" for k in range(9999)) if len({zlib.crc32(x.encode()) % 128 for x in (a, b, c)}) == 1)
+        texts = [" ".join(common), f"{rare[0]} {rare[0]}\u2003w1", rare[1], rare[0], rare[1].upper(), "w1", None, rare[1]]
+        docs = spark.createDataFrame(list(enumerate([*texts, rare[0]])), SCHEMA)
+        model = masked_lm.train(docs)
+        # the two words of one bucket have the same context where each stands alone
+        out = {r["text"]: r for r in masked_lm.score(spark.createDataFrame(list(enumerate([rare[0], rare[1], rare[2], rare[1]])), SCHEMA), model).collect()}
+        assert out[rare[0]]["log_likelihood"] - out[rare[1]]["log_likelihood"] == pytest.approx(np.log(4 / 3))
+        assert out[rare[1]]["log_likelihood"] - out[rare[2]]["log_likelihood"] == pytest.approx(np.log(3))
+        inside = masked_lm.score(docs, masked_lm.Model(model.frequent, model.weights)).orderBy("doc_id").collect()
+        whole = masked_lm.score(docs, model).orderBy("doc_id").collect()
+        assert [b["log_likelihood"] - a["log_likelihood"] for a, b in zip(inside, whole)] == pytest.approx([0, 2 * np.log(4 / 8), np.log(3 / 8), np.log(4 / 8), np.log(3 / 8), 0, 0, np.log(3 / 8), np.log(4 / 8)])
+
     def test_empty_table(self, spark):
         none = spark.createDataFrame([], SCHEMA)
         assert masked_lm.score(none, masked_lm.train(none)).count() == 0
