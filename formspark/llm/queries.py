@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from formspark.llm import audio, bpe, langid, masked_lm, preferences, quality, shards, simhash, wrapper
+from formspark.llm import audio, bpe, filter_audit, langid, masked_lm, preferences, quality, shards, simhash, wrapper
 from formspark.llm.common import read, remainder, shared_folder
 from formspark.llm.decontaminate import decontaminate
 
@@ -98,7 +98,12 @@ def op10_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.unionByName(links.withColumn("kind", F.lit("link")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pseudo_likelihood, op2_training_order, op3_quality, op4_preferences, op5_main_text, op6_byte_bpe, op7_language, op8_decontaminate, op9_simhash, op10_chroma)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every order of five filters removes at every step, for each language."""
+    return filter_audit.audit_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pseudo_likelihood, op2_training_order, op3_quality, op4_preferences, op5_main_text, op6_byte_bpe, op7_language, op8_decontaminate, op9_simhash, op10_chroma, op11_filter_audit)}
 ORACLE_SQL: dict[str, str] = {
     "op4_preferences": """
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
@@ -120,4 +125,22 @@ SELECT conv_id AS pair_id, part,
   coalesce(string_agg((r_at + length(role) + 5) || '-' || (r_at + length(piece)), ',' ORDER BY turn, role, text) FILTER (WHERE NOT common AND r AND role = 'assistant'), '') AS rejected_mask,
   count(*) FILTER (WHERE common)::INTEGER AS prompt_turns
 FROM w GROUP BY conv_id, part""",
+    "op11_filter_audit": """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  len(words) < 100 AS a, 100 * len(list_distinct(words)) < 80 * len(words) AS b,
+  100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS c,
+  regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e FROM d LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, a, b, c, d, e, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+k AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+o AS (SELECT p.k || q.k || r.k || s.k || t.k AS filter_order FROM k p, k q, k r, k s, k t
+  WHERE p.k NOT IN (q.k, r.k, s.k, t.k) AND q.k NOT IN (r.k, s.k, t.k) AND r.k NOT IN (s.k, t.k) AND s.k <> t.k),
+s AS (SELECT filter_order, unnest(range(1, 6))::INTEGER AS step FROM o),
+x AS (SELECT m.*, s.filter_order, s.step, substr(s.filter_order, s.step, 1) AS letter, list_transform(string_split(s.filter_order, ''), lambda z: CASE z WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END) AS fails FROM m, s),
+y AS (SELECT *, coalesce(list_position(fails, true), 6) AS gone, fails[step] AS here, len(list_filter(fails, lambda z: z)) = 1 AS alone FROM x),
+z AS (SELECT part, filter_order, step, letter, sum(CASE WHEN gone > step THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN gone = step THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN here AND gone < step THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN here AND alone THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN gone = step THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN gone = step THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM y GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM z""",
 }
