@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from formspark.llm import audio, bpe, filter_audit, langid, masked_lm, preferences, quality, shards, simhash, wrapper
+from formspark.llm import audio, bpe, filter_audit, langid, masked_lm, preferences, quality, resampling, shards, simhash, wrapper
 from formspark.llm.common import read, remainder, shared_folder
 from formspark.llm.decontaminate import decontaminate
 
@@ -103,7 +103,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pseudo_likelihood, op2_training_order, op3_quality, op4_preferences, op5_main_text, op6_byte_bpe, op7_language, op8_decontaminate, op9_simhash, op10_chroma, op11_filter_audit)}
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and score of every document towards the benchmark's words, and the rank of the best twentieth."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = resampling.resample(docs, read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pseudo_likelihood, op2_training_order, op3_quality, op4_preferences, op5_main_text, op6_byte_bpe, op7_language, op8_decontaminate, op9_simhash, op10_chroma, op11_filter_audit, op13_importance_resampling)}
 ORACLE_SQL: dict[str, str] = {
     "op4_preferences": """
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
