@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from formspark.llm import audio, bpe, filter_audit, langid, masked_lm, preferences, quality, resampling, shards, simhash, wrapper
+from formspark.llm import audio, bpe, filter_audit, langid, masked_lm, minhash, preferences, quality, resampling, shards, simhash, wrapper
 from formspark.llm.common import read, remainder, shared_folder
 from formspark.llm.decontaminate import decontaminate
 
@@ -103,6 +103,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of shingles of every document and the smallest document linked to it."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight and score of every document towards the benchmark's words, and the rank of the best twentieth."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -110,7 +115,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pseudo_likelihood, op2_training_order, op3_quality, op4_preferences, op5_main_text, op6_byte_bpe, op7_language, op8_decontaminate, op9_simhash, op10_chroma, op11_filter_audit, op13_importance_resampling)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pseudo_likelihood, op2_training_order, op3_quality, op4_preferences, op5_main_text, op6_byte_bpe, op7_language, op8_decontaminate, op9_simhash, op10_chroma, op11_filter_audit, op12_minhash, op13_importance_resampling)}
 ORACLE_SQL: dict[str, str] = {
     "op4_preferences": """
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
@@ -150,4 +155,14 @@ z AS (SELECT part, filter_order, step, letter, sum(CASE WHEN gone > step THEN n
   sum(CASE WHEN here AND gone < step THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN here AND alone THEN n ELSE 0 END)::BIGINT AS unique_fails,
   sum(CASE WHEN gone = step THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN gone = step THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM y GROUP BY ALL)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM z""",
+    "op12_minhash": """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+  ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS shingles FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+l AS MATERIALIZED (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r(doc_id, there) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.v FROM r JOIN l ON l.u = r.there),
+c AS (SELECT doc_id, min(there) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, len(shingles)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)""",
 }
