@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from formspark.session import cut_lineage
+
 SLICE = 1 << 16
 
 
@@ -228,3 +230,24 @@ def suffixes(path: Column, at_least: int = 2) -> Column:
     size = F.size(parts)
     return F.when(size >= at_least, F.transform(F.sequence(F.lit(at_least), size), lambda n: F.struct(
         n.alias("n"), F.array_join(F.slice(parts, size - n + 1, n), ".").alias("text"))))
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, label) for every end of an edge (u, v: bigint); the label is the least node that is joined to it.
+
+    Labels move to the least label next to a node and then to that label's own label, so rounds grow
+    as the logarithm of a chain's length. Each round is materialised; only a flag reaches the driver.
+    """
+    both = cut_lineage(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = cut_lineage(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("label")))
+    while True:
+        seen = both.join(labels.select(F.col("node").alias("v"), F.col("label").alias("seen")), "v").groupBy(F.col("u").alias("node")).agg(F.min("seen").alias("seen"))
+        near = cut_lineage(labels.join(seen, "node").select("node", "label", F.least("label", "seen").alias("least")))
+        # a node's former label hears of the better one too
+        heard = near.select("node", "least").unionByName(near.select(F.col("label").alias("node"), "least")).groupBy("node").agg(F.min("least").alias("label"))
+        heard = cut_lineage(heard)
+        jumped = cut_lineage(heard.join(heard.select(F.col("node").alias("label"), F.col("label").alias("top")), "label").select("node", F.least("label", "top").alias("label")))
+        changed = jumped.join(labels.withColumnRenamed("label", "old"), "node").where(F.col("label") != F.col("old")).limit(1).count()
+        labels = jumped
+        if not changed:
+            return labels

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FAMILIES = ["text_queries", "classify_queries", "json_queries", "rule_queries", "join_queries", "group_queries", "layout_queries", "score_queries", "assemble_queries"]
+FAMILIES = ["text_queries", "classify_queries", "json_queries", "rule_queries", "join_queries", "group_queries", "layout_queries", "score_queries", "assemble_queries", "assign_queries"]
 
 
 class Family:
