@@ -11,8 +11,9 @@ collisions are confirmed on their full sets.
 
 Not all pairs of a list are formed. First each set meets one leader of each of its lists, which grows with
 the postings and not with their square; links found give components. Then only pairs of different
-components are left to meet, the few outside a list's largest component with all of the list; a list
-within one component is done. So a large group of near copies costs its own size and what stays apart.
+components are left to meet, the few outside a list's largest component with all of the list, block
+by block in arrays; a list within one component is done. So a large group of near copies costs its own
+size and what stays apart.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ SHINGLE = 4
 COORDINATES = 64
 MATCHES = 32          # collisions that a pair of signatures must have
 PERCENT = 80          # similarity of a link, in hundredths
+LOW_BITS = 40         # bits of a posting that tell it from others as rare
+LARGEST = (1 << 22) - 1   # lists of so many sets and more count as equally long
+BLOCK = 512           # nodes outside a list's largest component that go together
+STRIP = 32            # of which so many are compared at a time
 CHUNK = 1 << 18       # shingles whose values under all orders are in memory at a time
 MEMO = 200_000        # words a worker remembers, within a task
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -128,12 +133,20 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 def live_lists(sets: DataFrame) -> DataFrame:
     """(node, n_shingles, live) of (node, n_shingles, posts): the postings that other sets share, rarest first,
-    of those sets that have enough of them to match any other."""
-    posts = sets.select("node", F.explode("posts").alias("post"))
-    shared = posts.groupBy("post").agg(F.count("*").alias("n")).where("n > 1")
-    live = posts.join(shared, "post").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "post"))).alias("live"))
-    live = live.where(F.size("live") >= MATCHES).select("node", F.col("live.post").alias("live"))
-    return live.join(sets.select("node", "n_shingles"), "node")
+    of those sets that have enough of them to match any other. A posting's number is led by how many
+    sets share it, so that numbers compare as rarity does; the coordinate stays in the low bits.
+
+    Two sets with enough matches share one of any ``COORDINATES - MATCHES + 1`` coordinates: sets that
+    share none of the first so many are left out before the rest of their postings is looked at."""
+    def shared(posts: DataFrame) -> DataFrame:
+        return posts.groupBy("post").agg(F.count("*").alias("n")).where("n > 1")
+
+    some = sets.select("node", F.explode(F.slice("posts", 1, COORDINATES - MATCHES + 1)).alias("post"))
+    able = materialise(some.join(shared(some), "post", "left_semi").select("node").distinct())
+    posts = sets.join(able, "node", "left_semi").select("node", F.explode("posts").alias("post"))
+    number = F.shiftleft(F.least("n", F.lit(LARGEST)), LOW_BITS).bitwiseOR(F.col("post").bitwiseAND(F.lit((1 << LOW_BITS) - 1)))
+    live = posts.join(shared(posts), "post").groupBy("node").agg(F.sort_array(F.collect_list(number)).alias("live"))
+    return live.where(F.size("live") >= MATCHES).join(sets.select("node", "n_shingles"), "node")
 
 
 def of_nodes(sets: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -177,18 +190,113 @@ def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     lists = materialise(prefix.join(sizes, "post").select("post", "node", "leader"))
     hashes = materialise(of_nodes(sets, docs, lists.select("node").distinct()))
     found = materialise(confirmed(lists.select(F.col("node").alias("u"), F.col("leader").alias("v")), live, hashes))
+    return found.union(across(lists, live, components(found), hashes))
+
 
-    labels = components(found)
+def across(lists: DataFrame, live: DataFrame, labels: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(u, v): links between nodes of a list that are in different components.
+
+    The nodes outside a list's largest component, in blocks, meet all nodes of the list. A pair is
+    looked at in the rarest list that both are in, and leads on if it has enough collisions. What
+    leads on in a block is one row of pairs; their sets are fetched once a block and compared there.
+    """
     known = materialise(lists.select("post", "node").join(labels, "node", "left").select("post", "node", F.coalesce("label", "node").alias("label")))
     parts = known.groupBy("post", "label").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("post").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    rows = known.join(largest, "post")
-    others = rows.where("label <> main").select("post", F.col("node").alias("u"), F.col("label").alias("u_label"))
-    # a pair outside the largest component meets once, from its smaller node
-    pairs = others.join(rows.select("post", F.col("node").alias("v"), F.col("label").alias("v_label"), "main"), "post").where(
-        (F.col("u_label") != F.col("v_label")) & ((F.col("v_label") == F.col("main")) | (F.col("u") < F.col("v"))))
-    more = confirmed(pairs.select("u", "v"), live, hashes)
-    return found.union(more)
+    largest = parts.groupBy("post").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    largest = materialise(largest.select("post", "main", F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks")))
+    rows = known.join(largest, "post").join(live, "node").withColumn("is_main", F.col("label") == F.col("main"))
+    own = F.when(~F.col("is_main"), F.array(F.struct(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"))))
+    all_blocks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(1).alias("side")))
+    dealt = rows.select("post", F.explode(F.concat(F.coalesce(own, F.array().cast("array<struct<block: int, side: int>>")), all_blocks)).alias("at"), "node", "label", "is_main", "n_shingles", "live")
+    dealt = dealt.select("post", "at.block", "at.side", "node", "label", "is_main", "n_shingles", "live").repartition("post", "block").sortWithinPartitions("post", "block", "side")
+    met = dealt.mapInArrow(_meet, "us array<bigint>, vs array<bigint>, u_labels array<bigint>, v_labels array<bigint>")
+    met = materialise(met.withColumn("cell", F.monotonically_increasing_id()))
+
+    wanted = met.select("cell", F.explode(F.array_distinct(F.concat("us", "vs"))).alias("node")).join(hashes, "node")
+    none = F.lit(None).cast("array<bigint>")
+    both = met.select("cell", F.lit(1).alias("side"), F.lit(0).cast("bigint").alias("node"), none.alias("hashes"), "us", "vs", "u_labels", "v_labels").unionByName(
+        wanted.select("cell", F.lit(0).alias("side"), "node", "hashes", *[none.alias(c) for c in ("us", "vs", "u_labels", "v_labels")]))
+    return both.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_compare, "u bigint, v bigint")
+
+
+def _runs(*columns: np.ndarray) -> list[int]:
+    """Where rows begin that differ from the one before in any column, and the end."""
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return [0, *np.flatnonzero(new).tolist(), len(new)]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with enough collisions, of the rows of a block (side 0) and the rows of its list (side 1), which follow."""
+    held: list[tuple[np.ndarray, ...]] = []
+    cell = None
+    for batch in batches:
+        post, block, side, node, label, is_main, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+        listed = batch.column(7)
+        flat = listed.flatten().to_numpy(zero_copy_only=False)
+        keys = np.zeros((len(post), COORDINATES), np.int64)
+        keys[np.repeat(np.arange(len(post)), listed.value_lengths().to_numpy(zero_copy_only=False)), flat & (COORDINATES - 1)] = flat
+        cuts = _runs(post, block, side) if len(post) else [0]
+        out: list[list[np.ndarray]] = []
+        for at, stop in zip(cuts, cuts[1:], strict=False):
+            rows = slice(at, stop)
+            if cell != (post[at], block[at]):
+                cell, held = (post[at], block[at]), []
+            if side[at] == 0:
+                held.append((node[rows], label[rows], n[rows], keys[rows]))
+                continue
+            for own in held:
+                for j in range(at, stop, BLOCK):
+                    seen = slice(j, min(j + BLOCK, stop))
+                    found: list[list[np.ndarray]] = []
+                    for k in range(0, len(own[0]), STRIP):
+                        us, ul, un, uk = (x[k:k + STRIP] for x in own)
+                        same = (uk[:, None, :] == keys[seen][None]) & (uk != 0)[:, None, :]
+                        hit = same.sum(axis=2) >= MATCHES
+                        hit &= ~(same & (uk < post[at])[:, None, :]).any(axis=2)  # both are in a rarer list
+                        hit &= (ul[:, None] != label[seen][None]) & (is_main[seen][None] | (us[:, None] < node[seen][None]))
+                        low, high = np.minimum(un[:, None], n[seen][None]), np.maximum(un[:, None], n[seen][None])
+                        a, b = np.nonzero(hit & (100 * low >= PERCENT * high))
+                        if len(a):
+                            found.append([us[a], node[seen][b], ul[a], label[seen][b]])
+                    if found:
+                        out.append([np.concatenate(x) for x in zip(*found, strict=True)])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.list_(pa.int64())) for c in range(4)], names=["us", "vs", "u_labels", "v_labels"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links among the pairs of a cell (side 1), whose sets came before; one is enough between two components."""
+    cell, sets = None, {}
+    for batch in batches:
+        u_out: list[int] = []
+        v_out: list[int] = []
+        columns = [batch.column(k) for k in range(8)]
+        for k in range(batch.num_rows):
+            if columns[0][k].as_py() != cell:
+                cell, sets = columns[0][k].as_py(), {}
+            if columns[1][k].as_py() == 0:
+                sets[columns[2][k].as_py()] = frozenset(columns[3][k].values.to_numpy(zero_copy_only=False).tolist())
+                continue
+            joined: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while x in joined:  # noqa: B023 - used at once
+                    x = joined[x]  # noqa: B023
+                return x
+
+            for u, v, a, b in zip(*(columns[c][k].as_py() for c in (4, 5, 6, 7)), strict=True):
+                a, b = top(a), top(b)
+                if a == b:
+                    continue
+                common = len(sets[u] & sets[v])
+                if 100 * common >= PERCENT * (len(sets[u]) + len(sets[v]) - common):
+                    joined[a] = b
+                    u_out.append(u)
+                    v_out.append(v)
+        if u_out:
+            yield pa.RecordBatch.from_arrays([pa.array(u_out, pa.int64()), pa.array(v_out, pa.int64())], names=["u", "v"])
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
