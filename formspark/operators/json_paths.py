@@ -28,16 +28,27 @@ def read_json_lenient(c: Column | str) -> Column:
     return F.coalesce(_parse(c), _parse(replace(c, r",(\s*[}\]])", "$1")))
 
 
-def nesting(c: Column) -> Column:
-    """how deeply brackets nest in a JSON text, at least; those inside strings do not count"""
-    plain = replace(replace(replace(c, r"\\.", ""), '"[^"]*"', ""), r"[^\[\]{}]+", "")
+def nesting(brackets: Column) -> Column:
+    """how deeply a text of nothing but brackets nests"""
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def step(s: Column, x: Column) -> Column:
         now = s["now"] + F.when(x.isin("[", "{"), 1).when(x.isin("]", "}"), -1).otherwise(0)
         return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
 
-    return F.aggregate(F.split(plain, ""), start, step, lambda s: s["most"])
+    return F.aggregate(F.split(brackets, ""), start, step, lambda s: s["most"])
+
+
+def deepest(docs: DataFrame, body: str) -> int:
+    """How many levels the documents have, at least: what is left of a text without its strings and scalars
+    is its brackets, and documents of one shape leave the same ones, so few are looked at in full. Lists
+    of scalars and of empty containers leave one pair, however long they are."""
+    brackets = replace(F.col(body), r'"(?:[^"\\]++|\\.)*+"|[^\[\]{}"]++', "")
+    for _ in range(2):
+        brackets = replace(brackets, r"(?:\[\]){2,}+", "[]")
+        brackets = replace(brackets, r"(?:\{\}){2,}+", "{}")
+    shapes = docs.select(brackets.alias("_brackets")).distinct()
+    return shapes.agg(F.max(nesting(F.col("_brackets")))).first()[0] or 0
 
 
 def json_nodes(docs: DataFrame, ids: Sequence[str], body: str, first_only: bool = False) -> DataFrame:
@@ -49,7 +60,7 @@ def json_nodes(docs: DataFrame, ids: Sequence[str], body: str, first_only: bool
     from there, again until none is left. ``ord`` is the position trail, so comparing it gives
     document order. With ``first_only`` an array contributes its first element only.
     """
-    left = docs.agg(F.max(nesting(F.col(body)))).first()[0] or 0
+    left = deepest(docs, body)
     shut = docs.select(*ids, F.array().cast("array<int>").alias("_ord"), F.lit("").alias("_path"), read_json_lenient(body).alias("_value"))
     out = None
     while True:
