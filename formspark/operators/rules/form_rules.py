@@ -9,9 +9,8 @@ from formspark import constants as K
 from formspark.functions import paths as P
 from formspark.functions import text as T
 from formspark.functions.classify import word
-from formspark.kernels import last_by
 from formspark.operators.json_paths import condition_ids, conditions_of, parse_concat
-from formspark.operators.rules.registry import Model, finding, hit, hits, register, register_row
+from formspark.operators.rules.registry import Keyed, Model, each, hit, hits, no_records, record, register_keyed, register_row
 
 E = T.text_or_empty
 
@@ -37,19 +36,6 @@ def id_matches_source() -> Column:
     return hit((E("source_name") != "") & ~good, F.concat(F.lit("field_"), base))
 
 
-@register("R02")
-def duplicate_id(m: Model) -> DataFrame:
-    return finding(m.own.groupBy("form_id", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "R02", subject=F.col("n"))
-
-
-@register("R03")
-def broken_condition(m: Model) -> DataFrame:
-    refs = F.concat(condition_ids(F.col("condition_visibility")), condition_ids(F.col("condition_required")))
-    rows = m.own.select("form_id", "ord", "id", F.explode(refs).alias("ref")).where(
-        (E("ref") != "") & (F.col("ref") != "field_NEVER_EXISTS"))
-    return finding(rows.join(m.ids(), ["form_id", "ref"], "left_anti"), "R03", subject=F.col("ref"))
-
-
 @register_row("R04")
 def output_mismatch() -> Column:
     return hit(~F.col("salida_json").eqNullSafe(F.col("json_output_path")), F.coalesce("json_output_path", F.lit("ninguna")))
@@ -87,27 +73,6 @@ def unused_checked_value() -> Column:
     return hit(F.col("native_type").isin("Checkbox", "RadioGroup") & (F.col("checked_pdf_value") != "X"), F.col("checked_pdf_value"))
 
 
-@register("R10")
-def compared_by_label(m: Model) -> DataFrame:
-    """prefilled choices compared by a label while their stored value is never compared"""
-    options = F.from_json("options", "array<struct<label:string,jsonValue:string>>")
-    origin = m.fields.where(E("prefill_key") != "").select("form_id", "id", "ord", F.posexplode(options).alias("pos", "o")).where(
-        (E("o.label") != "") & (E("o.jsonValue") != "") & (F.col("o.label") != F.col("o.jsonValue")))
-    # a label listed twice keeps its last stored value
-    origin = origin.groupBy("form_id", "id", F.col("o.label").alias("label")).agg(F.max_by(F.col("o.jsonValue"), F.struct("ord", "pos")).alias("stored"))
-    c = parse_concat(F.col("concat"))
-    conds = F.concat(*[F.transform(conditions_of(F.col(n)), lambda x: F.struct(
-        x.fieldId.alias("id"), x.operator.alias("op"), x.value.alias("value"))) for n in ("condition_visibility", "condition_required")])
-    parts = F.coalesce(F.transform(c.parts, lambda p: F.struct(
-        p.condition.fieldId.alias("id"), p.condition.op.alias("op"), p.condition["values"].alias("value"))),
-        F.array().cast("array<struct<id:string,op:string,value:string>>"))
-    compared = m.fields.select("form_id", F.explode(F.concat(conds, parts)).alias("c")).where(
-        (F.col("c.op") == "equals") & (E("c.value") != "")).select("form_id", "c.id", F.col("c.value").alias("text")).distinct()
-    by_label = origin.join(compared.withColumnRenamed("text", "label"), ["form_id", "id", "label"], "left_semi")
-    only = by_label.join(compared.withColumnRenamed("text", "stored"), ["form_id", "id", "stored"], "left_anti")
-    return finding(only, "R10", subject=F.concat("label", F.lit(" / "), "stored"))
-
-
 @register_row("R11")
 def phantom_person() -> Column:
     index = F.regexp_extract(F.coalesce(_effective(), F.lit("")), r"personas\[(\d+)\]", 1)
@@ -122,21 +87,6 @@ def path_writers(m: Model) -> DataFrame:
         F.col("path").isNotNull())
 
 
-@register("R12")
-def shared_path(m: Model) -> DataFrame:
-    """a path several fields write, unless they are options with a value of their own"""
-    writers = path_writers(m)
-    option = F.col("type").isin("radio", "checkbox") & (E("json_value") != "")
-    # two partial aggregates instead of a distinct inside one: the hot path stays split
-    by_value = writers.groupBy("form_id", "path", "json_value").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(option).alias("opts"))
-    shared = by_value.groupBy("form_id", "path").agg(
-        F.sum("n").alias("n"), F.sum("opts").alias("opts"), F.count_if(F.col("opts") > 0).alias("values_"))
-    shared = shared.where((F.col("n") > 1) & ((F.col("opts") < F.col("n")) | (F.col("values_") < F.col("n"))))
-    return finding(writers.join(shared.select("form_id", "path", "n"), ["form_id", "path"]), "R12", "field_id",
-                   F.col("n"), F.col("path"))
-
-
 @register_row("R13")
 def hidden_without_value() -> Column:
     return hit((E("source_name") != "") & (E("type") != "signature") & F.col("concat").isNull() & (E("prefill_key") == "")
@@ -184,47 +134,12 @@ def foreign_parent() -> Column:
     return hits(F.filter(F.array("parent_id", "grandparent_id"), lambda p: (E(p) != "") & (block(F.col("id")) != block(p))))
 
 
-@register("R19")
-def date_cut(m: Model) -> DataFrame:
-    parts = F.explode(parse_concat(F.col("concat")).parts).alias("p")
-    cuts = m.fields.withColumn("part", P.date_part_of_id("id")).where(F.col("part").isNotNull() & F.col("concat").isNotNull())
-    cuts = cuts.select("form_id", "id", "part", parts).where(F.col("p.kind") == "field").select(
-        "form_id", "id", "part", F.col("p.fieldId").alias("source_id"), F.explode("p.transforms").alias("t")).where(
-        F.col("t.kind") == "substring")
-    sources = last_by(m.own, ["form_id", "id"], ["ord"], ["type", "pdf_date_format", "date_format"]).where(
-        F.col("type") == "date").select("form_id", F.col("id").alias("source_id"),
-                                        F.coalesce("pdf_date_format", "date_format", F.lit("DD/MM/YYYY")).alias("fmt"))
-    check = P.date_slice_check(F.col("part"), F.col("fmt"), F.col("t.start"), F.col("t.end"))
-    bad = cuts.join(sources, ["form_id", "source_id"]).withColumn("check", check).where(~F.col("check.ok"))
-    return finding(bad, "R19", subject=F.concat(F.col("check.got"), F.lit(" / "), F.col("check.expected")))
-
-
 @register_row("R20")
 def unlocked_full_name() -> Column:
     return hit(E("json_output_path").rlike(r"\.nombreCompleto$") & F.col("concat").isNotNull()
                & (~F.coalesce("read_only", F.lit(False)) | (E("prefill_key") != "")))
 
 
-@register("R21")
-def broken_radio_group(m: Model) -> DataFrame:
-    rows = m.fields.select("form_id", "id", F.explode(F.from_json("radio_fields", "array<string>")).alias("ref"))
-    return finding(rows.join(m.ids(), ["form_id", "ref"], "left_anti"), "R21", subject=F.col("ref"))
-
-
-@register("R22")
-def no_signature(m: Model) -> DataFrame:
-    forms = m.fields.groupBy("form_id").agg(F.bool_or(E("type") == "signature").alias("signed"))
-    return finding(forms.where(~F.col("signed")), "R22", None)
-
-
-@register("R23")
-def declaration_not_last(m: Model) -> DataFrame:
-    title = F.coalesce("section_title", "section_id")
-    decl = title.rlike("(?i)declaracion")
-    order = m.fields.groupBy("form_id").agg(F.min(F.when(decl, F.col("section_ord"))).alias("decl"), F.max("section_ord").alias("last"))
-    return finding(order.where(F.col("decl") < F.col("last")), "R23", None, F.col("decl"))
-
-
 @register_row("R24")
 def incomplete_person_group() -> Column:
     """an "or" condition that names some codes of a person group but not all"""
@@ -250,7 +165,148 @@ def unused_sources(m: Model) -> DataFrame:
     return m.widgets.where(E("name") != "").join(used, ["form_id", "name"], "left_anti")
 
 
-@register("R25")
-def unused_pdf_names(m: Model) -> DataFrame:
-    n = unused_sources(m).groupBy("form_id").agg(F.count(F.lit(1)).alias("n"))
-    return finding(n, "R25", None, F.col("n"))
+# ---- rules about keys ------------------------------------------------------------------------
+
+def _apart() -> Column:
+    """fields outside repeaters, whose ids others may name"""
+    return F.col("in_repeater").isNull()
+
+
+def _ids() -> list[Column]:
+    fmt = F.coalesce("pdf_date_format", "date_format", F.lit("DD/MM/YYYY"))
+    return [record("id", F.col("id"), when=_apart(), ord=F.col("ord"), a=F.col("type"), b=fmt)]
+
+
+def _unknown() -> Column:
+    return F.coalesce("n_own", F.lit(0)) == 0
+
+
+def duplicate_id() -> list[Column]:
+    return _ids()
+
+
+register_keyed(Keyed("R02", duplicate_id, space="id", judge=lambda: F.col("n_own") > 1, field=lambda: F.col("key"), subject=lambda: F.col("n_own")))
+
+
+def broken_condition() -> list[Column]:
+    return _ids()
+
+
+def _condition_refs() -> list[Column]:
+    refs = F.concat(condition_ids(F.col("condition_visibility")), condition_ids(F.col("condition_required")))
+    named = F.filter(refs, lambda r: (E(r) != "") & (r != "field_NEVER_EXISTS"))
+    return [F.when(_apart(), each(named, lambda r: record("id", r, "R03", field_id=F.col("id"), subject=r))).otherwise(no_records())]
+
+
+register_keyed(Keyed("R03", broken_condition, _condition_refs, decide=_unknown))
+
+_BETWEEN = "\x01"
+
+
+def compared_by_label() -> list[Column]:
+    """prefilled choices by label, with their stored value, and the values that conditions compare"""
+    def pair(a: Column, b: Column) -> Column:
+        return F.concat(a, F.lit(_BETWEEN), b)
+
+    options = F.transform(F.from_json("options", "array<struct<label:string,jsonValue:string>>"), lambda o, i: F.struct(o["label"].alias("label"), o["jsonValue"].alias("stored"), i.alias("at")))
+    named = F.filter(options, lambda o: (E(o["label"]) != "") & (E(o["stored"]) != "") & (o["label"] != o["stored"]))
+    # a label listed twice keeps its last stored value
+    origins = each(named, lambda o: record("compared", pair(F.col("id"), o["label"]), ord=F.col("ord"), num=o["at"], field_id=F.col("id"), subject=o["label"], a=o["stored"]))
+    conds = F.concat(*[F.transform(conditions_of(F.col(n)), lambda x: F.struct(x.fieldId.alias("id"), x.operator.alias("op"), x.value.alias("value")))
+                       for n in ("condition_visibility", "condition_required")])
+    parts = F.coalesce(F.transform(parse_concat(F.col("concat")).parts, lambda p: F.struct(
+        p.condition.fieldId.alias("id"), p.condition.op.alias("op"), p.condition["values"].alias("value"))), F.array().cast("array<struct<id:string,op:string,value:string>>"))
+    equal = F.filter(F.concat(conds, parts), lambda c: (c["op"] == "equals") & (E(c["value"]) != "") & c["id"].isNotNull())
+    return [F.when(E("prefill_key") != "", origins).otherwise(no_records()), each(equal, lambda c: record("compared", pair(c["id"], c["value"]), use=True))]
+
+
+def only_by_label(known: DataFrame) -> DataFrame:
+    """choices compared by their label whose stored value is never compared"""
+    pairs = known.where(F.col("space") == "compared")
+    by_label = pairs.where((F.col("n_own") > 0) & (F.col("n_use") > 0)).select("form_id", F.col("owner").alias("field_id"), F.col("about").alias("label"), F.col("last_a").alias("stored"))
+    by_label = by_label.withColumn("key", F.concat("field_id", F.lit(_BETWEEN), "stored"))
+    only = by_label.join(pairs.where(F.col("n_use") > 0).select("form_id", "key"), ["form_id", "key"], "left_anti")
+    none = F.lit(None).cast("string")
+    return only.select("form_id", F.lit("R10").alias("rule"), "field_id", F.concat("label", F.lit(" / "), "stored").alias("subject"), none.alias("path"))
+
+
+register_keyed(Keyed("R10", compared_by_label), only_by_label)
+
+
+def _written() -> Column:
+    return P.output_path(F.col("exclude"), F.col("json_output_path"), F.col("salida_json"))
+
+
+def shared_path() -> list[Column]:
+    """paths by the values that are written to them"""
+    option = F.col("type").isin("radio", "checkbox") & (E("json_value") != "")
+    return [record("path", _written(), when=_apart() & _written().isNotNull(), sub=F.col("json_value"), flag=F.coalesce(option, F.lit(False)))]
+
+
+def _writers() -> list[Column]:
+    return [record("path", _written(), "R12", when=_apart() & _written().isNotNull(), field_id=F.col("id"), path=_written())]
+
+
+# a path several fields write, unless they are options with a value of their own
+register_keyed(Keyed("R12", shared_path, _writers, decide=lambda: (F.col("n_own") > 1) & ((F.col("n_flag") < F.col("n_own")) | (F.col("n_sub") < F.col("n_own"))), subject=lambda: F.col("n_own")))
+
+
+def date_cut() -> list[Column]:
+    return _ids()
+
+
+def _cuts() -> list[Column]:
+    part = P.date_part_of_id("id")
+    cuts = F.flatten(F.transform(F.filter(parse_concat(F.col("concat")).parts, lambda p: p["kind"] == "field"), lambda p: F.transform(
+        F.filter(p["transforms"], lambda t: t["kind"] == "substring"), lambda t: F.struct(p["fieldId"].alias("source"), t["start"].alias("start"), t["end"].alias("end")))))
+    return [F.when(part.isNotNull(), each(cuts, lambda c: record("id", c["source"], "R19", field_id=F.col("id"), a=part, num=c["start"], ord=c["end"]))).otherwise(no_records())]
+
+
+def _cut() -> Column:
+    return P.date_slice_check(F.col("a"), F.col("last_b"), F.col("num"), F.col("ord").cast("int"))
+
+
+register_keyed(Keyed("R19", date_cut, _cuts, decide=lambda: (F.col("last_a") == "date") & ~_cut().ok, subject=lambda: F.concat(_cut().got, F.lit(" / "), _cut().expected)))
+
+
+def broken_radio_group() -> list[Column]:
+    return _ids()
+
+
+def _siblings() -> list[Column]:
+    return [each(F.from_json("radio_fields", "array<string>"), lambda r: record("id", r, "R21", field_id=F.col("id"), subject=r))]
+
+
+register_keyed(Keyed("R21", broken_radio_group, _siblings, decide=_unknown))
+
+
+def no_signature() -> list[Column]:
+    return [record("signature", F.lit(""), flag=E("type") == "signature")]
+
+
+register_keyed(Keyed("R22", no_signature, space="signature", judge=lambda: F.col("n_flag") == 0))
+
+
+def declaration_not_last() -> list[Column]:
+    decl = F.coalesce("section_title", "section_id").rlike("(?i)declaracion")
+    return [record("declaration", F.lit(""), flag=F.coalesce(decl, F.lit(False)), num=F.col("section_ord"))]
+
+
+register_keyed(Keyed("R23", declaration_not_last, space="declaration", judge=lambda: F.col("low") < F.col("high"), subject=lambda: F.col("low")))
+
+
+def unused_pdf_names() -> list[Column]:
+    return [record("name", F.col("source_name"), when=E("source_name") != "", use=True)]
+
+
+def _widget_names() -> list[Column]:
+    return [record("name", F.col("name"), when=E("name") != "")]
+
+
+def unused_by_form(known: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("string")
+    names = known.where((F.col("space") == "name") & (F.col("n_own") > 0) & (F.col("n_use") == 0))
+    return names.groupBy("form_id").agg(F.sum("n_own").cast("string").alias("subject")).select("form_id", F.lit("R25").alias("rule"), none.alias("field_id"), "subject", none.alias("path"))
+
+
+register_keyed(Keyed("R25", unused_pdf_names, widget_keys=_widget_names), unused_by_form)

@@ -112,6 +112,21 @@ def ordered_findings(spark, sf):
     return finding_order(run_rules(model(spark, sf), only=["R02", "R13", "R14"], more={"X01": over}))
 
 
+# Rows that rules cannot read: texts cut off or of another shape, lists that are none.
+_HOSTILE = {"concat": """CASE WHEN ord % 7 = 0 THEN '{"parts":5}' WHEN ord % 7 = 1 THEN '[1' ELSE concat END""", "options": """CASE WHEN ord % 5 = 0 THEN '{"a":1}' ELSE options END""",
+            "radio_fields": "CASE WHEN ord % 11 = 0 THEN '7' ELSE radio_fields END", "condition_visibility": """CASE WHEN ord % 13 = 0 THEN '{"conditions":7}' WHEN ord % 13 = 1 THEN 'oops' ELSE condition_visibility END"""}
+_LOST = {"ord % 7 < 2": ("concat", "'R08', 'R10', 'R19'"), "ord % 5 = 0": ("options", "'R10'"), "ord % 11 = 0": ("radio_fields", "'R21'"), "ord % 13 = 0": ("condition_visibility", "'R03', 'R10', 'R24'")}
+
+
+@family.query(" UNION ALL ".join(f"SELECT form_id, 'R00' AS rule, id AS field_id, r || ': unreadable {c}' AS subject FROM {FF}, unnest([{rules}]) t(r) WHERE {when}" for when, (c, rules) in _LOST.items())
+              + f" UNION ALL SELECT form_id, rule, field_id, subject FROM ({SQL['R02']})")
+def unreadable_rows(spark, sf):
+    """the audit goes on beside rows that some of its rules cannot read"""
+    m = stored_model(spark, sf)
+    hostile = Model(m.fields.withColumns({c: F.expr(x) for c, x in _HOSTILE.items()}), m.widgets)
+    return run_rules(hostile).where(F.col("rule").isin("R00", "R02")).select("form_id", "rule", "field_id", "subject")
+
+
 _P = f"(SELECT *, coalesce(nullif(salida_json, ''), nullif(json_output_path, '')) AS main FROM {FF})"
 _OUT = f"""(SELECT form_id, ord, main AS path, id AS field_id, false AS secondary, type, json_value FROM {_P} WHERE main IS NOT NULL AND NOT exclude
   UNION ALL SELECT form_id, ord, secondary_path, id, true, type, json_value FROM {_P} WHERE secondary_path <> '' AND NOT exclude

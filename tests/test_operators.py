@@ -324,3 +324,30 @@ def test_files_are_listed_and_written_by_form(spark, tmp_path):
     assert S.catalog_view(items).columns == ["Catálogo", "Código", "Label"]
     names = spark.createDataFrame([("f", "a", "a"), ("f", "b", "c")], "form_id string, name string, new_name string")
     assert rows(S.rename_view(names), "old_name", "state") == [("a", "sin cambio"), ("b", "renombrado")]
+
+
+def test_every_rule_survives_rows_it_cannot_read(spark):
+    """bad JSON, other shapes and missing ids give R00 for the row and the rule; other rows are judged"""
+    from formspark.operators.rules import registry
+    from formspark.plans import rule_queries
+
+    m = rule_queries.stored_model(spark, "/root/testdata/sf0.001")
+    good = m.fields.limit(40)
+    for column in sorted({c for columns in registry.READS.values() for c in columns}):
+        values = [None] if column == "id" else ["[1", "7", '{"conditions":7,"parts":{"a":1}}', '"x"']
+        for value in values if column == "concat" else values[-2:]:
+            broken = good.withColumn(column, F.lit(value).cast("string"))
+            rows = run_rules(Model(broken, m.widgets), sorted(registry.READS)).where("rule = 'R00'")
+            got = {r["subject"] for r in rows.select("subject").distinct().collect()}
+            told = {f"{rule}: unreadable {column}" for rule, columns in registry.READS.items() if column in columns}
+            # a text is no condition at all, which is not a fault
+            assert got >= (set() if column.startswith("condition_") and value == '"x"' else told), (column, value)
+
+
+def test_rules_about_keys_share_their_passes(spark):
+    """all rules about keys together scan the fields three times at most, whatever rules there are"""
+    from formspark.plans import rule_queries
+
+    m = rule_queries.model(spark, "/root/testdata/sf0.001")
+    plan = run_rules(m)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") + plan.count("LogicalRDD [") <= 9
