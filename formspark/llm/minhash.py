@@ -36,6 +36,8 @@ MATCHES = 32          # collisions that a pair of signatures must have
 PERCENT = 80          # similarity of a link, in hundredths
 LOW_BITS = 40         # bits of a posting that tell it from others as rare
 LARGEST = (1 << 22) - 1   # lists of so many sets and more count as equally long
+LEADERS = 8           # orders in which lists choose their leaders: a set meets some leaders, not one a list
+FILTER_BITS = 1 << 25 # bits of the filter that keeps texts of other nodes where they are: 4 MB, whatever the tables
 BLOCK = 512           # nodes outside a list's largest component that go together
 STRIP = 32            # of which so many are compared at a time
 CHUNK = 1 << 18       # shingles whose values under all orders are in memory at a time
@@ -149,10 +151,21 @@ def live_lists(sets: DataFrame) -> DataFrame:
     return live.where(F.size("live") >= MATCHES).join(sets.select("node", "n_shingles"), "node")
 
 
+def maybe_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``__key`` is no ``key`` of ``wanted``, by a bitmap of fixed size."""
+    bits = wanted.select(F.pmod("key", F.lit(FILTER_BITS)).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
+    at = F.pmod("__key", F.lit(FILTER_BITS))
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("__bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("__bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bits), "__bucket")
+    return met.where(F.getbit(byte, (place % 8).cast("int")) == 1).drop("__bucket", "__bits")
+
+
 def of_nodes(sets: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, hashes): full sets of ``nodes``, made again from the texts they came from."""
     wanted = sets.join(nodes, "node", "left_semi").select("node", F.col("set").alias("own"), F.col("first").alias("__id"), "key")
-    rows = docs.withColumn("__key", F.xxhash64("text"))
+    rows = maybe_in(docs.withColumn("__key", F.xxhash64("text")), wanted)
     texts = rows.join(wanted, (F.col("__key") == F.col("key")) & F.col("id").eqNullSafe(F.col("__id"))).select("node", "own", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +199,7 @@ def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     """(u, v): links between nodes that join the same components as all links."""
     live = materialise(live_lists(sets))
     prefix = live.select("node", F.explode(F.slice("live", F.lit(1), F.size("live") - (MATCHES - 1))).alias("post"))
-    sizes = prefix.groupBy("post").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "post")).alias("leader")).where("n > 1")
+    sizes = prefix.groupBy("post").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.col("post") % LEADERS)).alias("leader")).where("n > 1")
     lists = materialise(prefix.join(sizes, "post").select("post", "node", "leader"))
     hashes = materialise(of_nodes(sets, docs, lists.select("node").distinct()))
     found = materialise(confirmed(lists.select(F.col("node").alias("u"), F.col("leader").alias("v")), live, hashes))
