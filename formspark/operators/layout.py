@@ -71,60 +71,62 @@ def merge_adjacent(items: DataFrame, keys: Sequence[str] = ("form_id",), ytol: f
 
 # ---- labels ----------------------------------------------------------------------------------
 
+def _cells(way: str, size: tuple[float, float], xs: tuple[Column, Column], ys: tuple[Column, Column]) -> Column:
+    """the cells of a grid that a rectangle covers"""
+    across, down = (F.sequence(F.floor(lo / n), F.floor(hi / n)) for (lo, hi), n in zip((xs, ys), size, strict=True))
+    return F.flatten(F.transform(across, lambda cx: F.transform(down, lambda cy: F.struct(F.lit(way).alias("way"), cx.alias("cx"), cy.alias("cy")))))
+
+
+#: Reach of a label to the left of a widget and above it, and cells of about that size.
+LEFT_REACH, ABOVE_REACH, SHIFT, SLACK = 200, 80, 30, 4
+LEFT_CELL, ABOVE_CELL = (200, 25), (60, 80)
+
+
+def _nearest_widgets(widgets: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(cols, w_ord, left_of, above_of): where the nearest other widget begins that stands to the left of a
+    widget on its line, and where the nearest one above it ends. A text beyond either is hidden."""
+    x, y, top = F.col("wx"), F.col("wy"), F.col("wy") + F.col("wheight")
+    line = F.col("wheight") + SLACK
+    probe = widgets.withColumn("at", F.explode(F.concat(_cells("left", LEFT_CELL, (x - LEFT_REACH, x), (y - line, y + line)),
+                                                        _cells("above", ABOVE_CELL, (x - SHIFT, x + SHIFT), (top, top + ABOVE_REACH)))))
+    others = widgets.select(*cols, F.col("w_ord").alias("o_ord"), *[F.col(f"w{c}").alias(f"o{c}") for c in ("x", "y", "width", "height")])
+    others = others.withColumn("at", F.explode(F.concat(*[_cells(way, size, (F.col("ox"), F.col("ox")), (F.col("oy"), F.col("oy"))) for way, size in (("left", LEFT_CELL), ("above", ABOVE_CELL))])))
+    beside = (F.col("at.way") == "left") & (F.abs(F.col("oy") - y) <= line) & (F.col("ox") + F.col("owidth") <= x)
+    over = (F.col("at.way") == "above") & (F.col("oy") > top) & (F.abs(F.col("ox") - x) < SHIFT)
+    met = probe.join(others, [*cols, "at"]).where((F.col("o_ord") != F.col("w_ord")) & (beside | over))
+    return met.groupBy(*cols, "w_ord").agg(F.max(F.when(beside, F.col("ox"))).alias("left_of"), F.min(F.when(over, F.col("oy") + F.col("oheight"))).alias("above_of"))
+
+
 def detect_labels(widgets: DataFrame, texts: DataFrame, keys: Sequence[str] = ("form_id",)) -> DataFrame:
-    """Best text next to a widget: to its left on its line, or above it.
-
-    Bounded range join: widget and text meet by an equi-join on (page, height cell, way, width
-    cell). On the way "left" a text has the cell of its end and a widget the two that are within
-    200 of its start; on the way "above" both have the cells they cover, so that those that overlap
-    or start close share one. A pair that meets in several cells counts once, as the best text is
-    a minimum. Texts hidden behind another widget are taken out by a join with the widgets of
-    their cells.
+    """Best text next to a widget: to its left on its line, or above it, with no other widget between.
+
+    Range joins on cells: a text to the left is in the cell of its end, one above in the cells that it
+    covers, and a widget looks into the cells of its reach. What hides texts is a number a widget on
+    each side, where the nearest other one stands, so it is found once a widget and not once a text.
+    A text that is met in several cells counts once, as the best one is a minimum.
     """
-    cell, wide = 100, 200
-
-    def ways(left: tuple[Column, Column], above: tuple[Column, Column]) -> Column:
-        def cells(way: str, ends: tuple[Column, Column]) -> Column:
-            return F.transform(F.sequence(F.floor(ends[0] / wide), F.floor(ends[1] / wide)), lambda c: F.struct(F.lit(way).alias("way"), c.alias("cx")))
-        return F.explode(F.concat(cells("left", left), cells("above", above)))
-
-    cols = list(keys)
-    w = widgets.select(*cols, "page", F.col("ord").alias("w_ord"), *[F.col(c).alias(f"w{c}") for c in ("x", "y", "width", "height")])
-    t = texts.where(~T.is_section_header("str")).select(*cols, "page", F.col("ord").alias("t_ord"), "str", *[F.col(c).alias(f"t{c}") for c in ("x", "y", "width")])
-    # the text's vertical reach: as high as the widget is tall at most, plus 80 above it
-    wh = F.struct(F.floor(F.col("wy") / cell).alias("lo"), F.floor((F.col("wy") + F.col("wheight") + 80) / cell).alias("hi"))
-    probe = w.withColumn("_r", wh).withColumn("cy", F.explode(F.sequence(F.floor((F.col("wy") - 4 - F.col("wheight") / 2) / cell), F.col("_r.hi")))).drop("_r")
-    end, far = F.col("tx") + F.col("twidth"), F.col("wx") + F.col("wwidth")
-    probe = probe.withColumn("at", ways((F.col("wx") - wide, F.col("wx")), (F.col("wx"), F.greatest(far, F.col("wx")))))
-    texts_cell = t.withColumn("cy", F.floor(F.col("ty") / cell)).withColumn("at", ways((end, end), (F.col("tx") - 30, F.greatest(end, F.col("tx")) + 30)))
-    pairs = probe.join(texts_cell, [*cols, "page", "cy", "at"]).drop("at")
-    left = F.col("wx") - (F.col("tx") + F.col("twidth"))
-    ydiff = F.abs(F.col("ty") - F.col("wy"))
-    top = F.col("wy") + F.col("wheight")
-    above = F.col("ty") - top
-    overlap = F.least(F.col("tx") + F.col("twidth"), F.col("wx") + F.col("wwidth")) - F.greatest("tx", "wx")
-    is_left = (left > 0) & (left < 200) & (ydiff < 4 + F.col("wheight") * 0.5)
-    is_above = (above > -2) & (above < 80) & ((F.abs(F.col("tx") - F.col("wx")) < 30) | (overlap > 0))
-    side = F.when(is_left, F.lit("left")).when(is_above, F.lit("above"))
-    cand = pairs.withColumn("side", side).where(F.col("side").isNotNull()).withColumn(
-        "dist", F.when(F.col("side") == "left", left).otherwise(F.greatest(F.lit(0.0), above)))
-    # widgets that stand between a candidate text and its widget
-    o = widgets.select(*cols, "page", F.col("ord").alias("o_ord"), *[F.col(c).alias(f"o{c}") for c in ("x", "y", "width", "height")]).withColumn(
-        "oy_cell", F.floor(F.col("oy") / cell))
-    reach = F.sequence(F.floor((F.col("wy") - F.col("wheight") - 4) / cell), F.floor((top + 80) / cell))
-    spread = cand.select(*cols, "page", "w_ord", "t_ord", "side", "tx", "ty", "twidth", "wx", "wy", "wheight", F.explode(reach).alias("oy_cell"))
-    hidden = spread.join(o, [*cols, "page", "oy_cell"]).where(F.col("o_ord") != F.col("w_ord"))
-    behind = (F.abs(F.col("oy") - F.col("wy")) <= F.col("wheight") + 4) & (F.col("ox") >= F.col("tx") + F.col("twidth")) & (F.col("ox") + F.col("owidth") <= F.col("wx"))
-    between = (F.col("oy") > F.col("wy") + F.col("wheight")) & (F.col("oy") + F.col("oheight") < F.col("ty")) & (F.abs(F.col("ox") - F.col("wx")) < 30)
-    blocked = hidden.where(F.when(F.col("side") == "left", behind).otherwise(between)).select(*cols, "page", "w_ord", "t_ord").distinct()
-    free = cand.join(blocked, [*cols, "page", "w_ord", "t_ord"], "left_anti")
-    text = T.trim("str")
-    score = (F.lit(100.0) - F.col("dist") * F.when(F.col("side") == "left", 0.4).otherwise(0.6) + F.when(F.col("side") == "left", 10).otherwise(0)
-             + F.when(text.endswith(":"), 15).otherwise(0) - F.when(F.length(text) <= 2, 20).otherwise(0) + F.when(F.length(text).between(3, 40), 5).otherwise(0))
-    best = free.withColumn("score", score).groupBy(*cols, F.col("w_ord").alias("ord")).agg(
-        F.min_by(text, F.struct(-F.col("score"), F.col("t_ord"))).alias("label"))
-    best = best.withColumn("label", F.nullif(T.trim(T.replace(F.col("label"), ":$", "")), F.lit("")))
-    return widgets.join(best, [*cols, "ord"], "left")
+    cols = [*keys, "page"]
+    w = widgets.select(*cols, F.col("ord").alias("w_ord"), *[F.col(c).alias(f"w{c}") for c in ("x", "y", "width", "height")])
+    w = w.join(_nearest_widgets(w, cols), [*cols, "w_ord"], "left")
+    x, y, top, far = F.col("wx"), F.col("wy"), F.col("wy") + F.col("wheight"), F.col("wx") + F.col("wwidth")
+    line = SLACK + F.col("wheight") * 0.5
+    probe = w.withColumn("at", F.explode(F.concat(_cells("left", LEFT_CELL, (x - LEFT_REACH, x), (y - line, y + line)),
+                                                  _cells("above", ABOVE_CELL, (x, F.greatest(far, x)), (top - 2, top + ABOVE_REACH)))))
+    t = texts.where(~T.is_section_header("str")).select(*cols, F.col("ord").alias("t_ord"), T.trim("str").alias("text"), *[F.col(c).alias(f"t{c}") for c in ("x", "y", "width")])
+    start, end, ty = F.col("tx"), F.col("tx") + F.col("twidth"), F.col("ty")
+    bonus = F.when(F.col("text").endswith(":"), 15).otherwise(0) - F.when(F.length("text") <= 2, 20).otherwise(0) + F.when(F.length("text").between(3, 40), 5).otherwise(0)
+    t = t.withColumn("bonus", bonus).withColumn("at", F.explode(F.concat(
+        _cells("left", LEFT_CELL, (end, end), (ty, ty)), _cells("above", ABOVE_CELL, (start - SHIFT, F.greatest(end, start) + SHIFT), (ty, ty)))))
+    gap, above = x - end, ty - top
+    is_left = (gap > 0) & (gap < LEFT_REACH) & (F.abs(ty - y) < line)
+    is_above = (above > -2) & (above < ABOVE_REACH) & ((F.abs(start - x) < SHIFT) | (F.least(end, far) - F.greatest(start, x) > 0))
+    free_left = (F.col("at.way") == "left") & is_left & F.coalesce(F.col("left_of") < end, F.lit(True))
+    free_above = (F.col("at.way") == "above") & is_above & ~is_left & F.coalesce(F.col("above_of") >= ty, F.lit(True))
+    score = F.lit(100.0) - F.when(is_left, gap * 0.4).otherwise(F.greatest(F.lit(0.0), above) * 0.6) + F.when(is_left, 10).otherwise(0) + F.col("bonus")
+    found = probe.join(t, [*cols, "at"]).where(free_left | free_above)
+    best = found.groupBy(*keys, F.col("w_ord").alias("ord")).agg(F.min(F.struct((-score).alias("s"), "t_ord", "text")).alias("b"))
+    best = best.select(*keys, "ord", F.nullif(T.trim(T.replace(F.col("b.text"), ":$", "")), F.lit("")).alias("label"))
+    return widgets.join(best, [*keys, "ord"], "left")
 
 
 # ---- sections --------------------------------------------------------------------------------
