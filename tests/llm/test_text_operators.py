@@ -299,19 +299,39 @@ class TestMaskedLm:
             assert r["n_words"] == len(ids) and r["log_likelihood"] == pytest.approx(total, abs=1e-3)
             assert (r["per_word"] is None) == (not ids)
 
-    def test_words_of_a_bucket_have_their_share(self, spark):
+    def test_spelling_sums_to_one_in_a_class(self):
+        """over words of one and two characters, and what goes on from there"""
+        pairs = np.zeros((masked_lm.SYMBOLS, masked_lm.SYMBOLS), np.int64)
+        end = masked_lm.SYMBOLS - 1
+        for word, n in (("ab", 5), ("abba", 2), ("\u6f22b", 3), ("b", 1)):
+            last = end
+            for s in masked_lm.symbols(word):
+                pairs[last, s] += n
+                last = s
+        spelling = masked_lm.Spelling(pairs, ["own"])
+        chain = np.exp(spelling.chain)
+        assert chain.sum(axis=1) == pytest.approx(1) and chain[end, end] == 0
+        begins = chain[end][:, None] * chain  # every pair of first symbols, the end among the second ones
+        for k in range(0, masked_lm.SIZE - masked_lm.FREQUENT - 1, 17):
+            assert begins[:-1][masked_lm._CLASSES[:-1] == k].sum() == pytest.approx(np.exp(spelling.classes[k]))
+        a, b = ord("a"), ord("b")
+        assert spelling.log_p("ab") == pytest.approx(np.log(chain[end, a] * chain[a, b] * chain[b, end]) - spelling.classes[masked_lm._CLASSES[a, b]])
+        assert spelling.log_p("own") == 0.0 and spelling.log_p("\u6f22") < spelling.log_p("b")
+
+    def test_rare_words_are_spelled(self, spark):
         common = [f"w{k}" for k in range(127)] * 9
-        rare = next([a, b, c] for a in ["rarea"] for b in (f"b{k}" for k in range(9999)) for c in (f"c{k}" for k in range(9999)) if len({zlib.crc32(x.encode()) % 128 for x in (a, b, c)}) == 1)
-        texts = [" ".join(common), f"{rare[0]} {rare[0]}\u2003w1", rare[1], rare[0], rare[1].upper(), "w1", None, rare[1]]
-        docs = spark.createDataFrame(list(enumerate([*texts, rare[0]])), SCHEMA)
+        texts = [" ".join(common), "rarely rarer rarest", "w1 rarely\u2003rarely", None, "w1"]
+        docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
         model = masked_lm.train(docs)
-        # the two words of one bucket have the same context where each stands alone
-        out = {r["text"]: r for r in masked_lm.score(spark.createDataFrame(list(enumerate([rare[0], rare[1], rare[2], rare[1]])), SCHEMA), model).collect()}
-        assert out[rare[0]]["log_likelihood"] - out[rare[1]]["log_likelihood"] == pytest.approx(np.log(4 / 3))
-        assert out[rare[1]]["log_likelihood"] - out[rare[2]]["log_likelihood"] == pytest.approx(np.log(3))
+        spelling = masked_lm.Spelling(model.pairs, model.frequent)
+        want = {"rarely": 3, "rarer": 1, "rarest": 1}
+        assert model.pairs[ord("y"), masked_lm.SYMBOLS - 1] == want["rarely"] and model.pairs[masked_lm.SYMBOLS - 1, ord("r")] == sum(want.values())
         inside = masked_lm.score(docs, masked_lm.Model(model.frequent, model.weights)).orderBy("doc_id").collect()
         whole = masked_lm.score(docs, model).orderBy("doc_id").collect()
-        assert [b["log_likelihood"] - a["log_likelihood"] for a, b in zip(inside, whole)] == pytest.approx([0, 2 * np.log(4 / 8), np.log(3 / 8), np.log(4 / 8), np.log(3 / 8), 0, 0, np.log(3 / 8), np.log(4 / 8)])
+        spelled = [sum(spelling.log_p(w) for w in (t or "").split()) for t in texts]
+        assert [b["log_likelihood"] - a["log_likelihood"] for a, b in zip(inside, whole)] == pytest.approx(spelled)
+        odd = masked_lm.score(spark.createDataFrame([(1, "rarely"), (2, "rxqzjw")], SCHEMA), model).orderBy("doc_id").collect()
+        assert odd[0]["log_likelihood"] > odd[1]["log_likelihood"] + 5
 
     def test_empty_table(self, spark):
         none = spark.createDataFrame([], SCHEMA)
