@@ -351,12 +351,13 @@ def dedupe_across_docs(rows: DataFrame, keys: Sequence[str] = ("form_id",), size
     rx = r"^(.*__p\d+)(?:_(\d+))?$"
     taken = keep.select(*keys, F.regexp_extract("name", rx, 1).alias("_base"),
                         F.coalesce(F.nullif(F.regexp_extract("name", rx, 2), F.lit("")).try_cast("int"), F.lit(1)).alias("t")).where(F.col("_base") != "")
-    # names a form already carries by chance under a made base: a handful, gathered per base
-    gaps = taken.groupBy(*keys, "_base").agg(F.sort_array(F.collect_set("t")).alias("_taken"))
-    out = numbered.join(gaps, [*keys, "_base"], "left")
-    none = F.array().cast("array<int>")
-    # the k-th free number: shift k up once for every taken number at or below it
-    free = F.aggregate(F.coalesce("_taken", none), F.col("_k").cast("int"), lambda k, t: F.when(t <= k, k + 1).otherwise(k))
+    # the j-th taken number t has t - j free ones below it: the k-th free number lies above all taken ones
+    # with fewer than k below them, and is k and as many as those
+    base = [*keys, "_base"]
+    ranked = ordered_scan(taken.distinct(), base, [F.col("t")], F.floor(F.col("t") / size), number="_j")
+    marks = ranked.select(*base, (F.col("t") - F.col("_j")).alias("_k"), "_j")
+    out = carry_above(numbered, marks, base, "_k", F.floor(F.col("_k") / size), {"_above": F.col("_j")}, ties=["_j"])
+    free = F.col("_k") + F.coalesce("_above", F.lit(0))
     final = F.when(free == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("_"), free))
     cols = [*rows.columns, "final_name"]
     return keep.select(*cols).unionByName(out.withColumn("final_name", final).select(*cols))

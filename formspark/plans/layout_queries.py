@@ -190,6 +190,20 @@ def dedupe_across_docs(spark, sf):
     return L.dedupe_across_docs(spark_table(spark, sf, _DUP)).select("form_id", "ord", "final_name")
 
 
+# Some fields are named like the names that are made for others.
+_TAKEN = "SELECT p_brand AS form_id, p_partkey AS ord, p_size % 3 AS page, CASE WHEN p_size % 4 = 0 THEN concat(split_part(p_name, ' ', 2), '__p', p_size % 3 + 1, CASE WHEN p_size % 8 = 0 THEN '' ELSE concat('_', 2 + p_size % 9) END) ELSE split_part(p_name, ' ', 2) END AS name FROM @part"
+
+
+@family.query(f"""
+WITH c AS (SELECT *, row_number() OVER (PARTITION BY form_id, name ORDER BY ord) AS k FROM {duck(_TAKEN)}), f AS (SELECT DISTINCT form_id, name FROM c),
+t AS (SELECT form_id, regexp_extract(name, '^(.*__p\\d+)(?:_(\\d+))?$', 1) AS base, list(DISTINCT coalesce(nullif(regexp_extract(name, '^(.*__p\\d+)(?:_(\\d+))?$', 2), '')::INT, 1)) AS taken FROM f GROUP BY ALL),
+d AS (SELECT *, name || '__p' || (page + 1) AS base, row_number() OVER (PARTITION BY form_id, name, page ORDER BY ord) AS j FROM c WHERE k > 1),
+n AS (SELECT d.*, list_filter(range(1, j + coalesce(len(taken), 0) + 1), lambda x: taken IS NULL OR NOT list_contains(taken, x))[j] AS free FROM d LEFT JOIN t USING (form_id, base))
+SELECT form_id, ord, name AS final_name FROM c WHERE k = 1 UNION ALL SELECT form_id, ord, CASE WHEN free = 1 THEN base ELSE base || '_' || free END FROM n""")
+def dedupe_taken_names(spark, sf):
+    return L.dedupe_across_docs(spark_table(spark, sf, _TAKEN)).select("form_id", "ord", "final_name")
+
+
 @family.query(f"""SELECT form_id, ord, name, k - 1 AS dup_index, c AS dup_count, CASE WHEN c > 1 THEN name || '#' || (k - 1) ELSE name END AS dup_key FROM (SELECT *, row_number() OVER (PARTITION BY form_id, name ORDER BY ord) AS k, count(*) OVER (PARTITION BY form_id, name) AS c FROM {duck(_PROP.replace("p_name AS proposed", "p_name AS name"))})""")
 def duplicate_index(spark, sf):
     return L.dup_index(spark_table(spark, sf, _PROP.replace("p_name AS proposed", "p_name AS name"))).select("form_id", "ord", "name", "dup_index", "dup_count", "dup_key")

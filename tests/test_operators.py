@@ -351,3 +351,14 @@ def test_rules_about_keys_share_their_passes(spark):
     m = rule_queries.model(spark, "/root/testdata/sf0.001")
     plan = run_rules(m)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") + plan.count("LogicalRDD [") <= 9
+
+
+def test_free_numbers_between_many_taken_ones(spark):
+    """every odd number of a base is a field's own name: the k-th free one is 2k, without a list of the taken ones"""
+    from formspark.operators import layout
+
+    own = spark.range(3000).select(F.lit("f").alias("form_id"), (10 + F.col("id")).alias("ord"), F.lit(0).alias("page"),
+                                   F.when(F.col("id") == 0, F.lit("a__p1")).otherwise(F.concat(F.lit("a__p1_"), 2 * F.col("id") + 1)).alias("name"))
+    twins = spark.range(1001).select(F.lit("f").alias("form_id"), (10000 + F.col("id")).alias("ord"), F.lit(0).alias("page"), F.lit("a").alias("name"))
+    out = layout.dedupe_across_docs(own.unionByName(twins), size=64).where("name = 'a'").orderBy("ord").collect()
+    assert [r["final_name"] for r in out] == ["a", *(f"a__p1_{2 * k}" for k in range(1, 1001))]
