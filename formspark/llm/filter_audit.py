@@ -140,6 +140,7 @@ def audit_documents(docs: DataFrame, labels: DataFrame, part: str = "lang", doc_
     rows = rows.select("part", "id", F.unhex(F.sha2("text", 256)).alias("digest"), *[c.alias(k) for k, c in flags.items()])
     marks = labels.groupBy(F.col("doc_id").alias("id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     rows = materialise(rows.join(marks, "id", "left"))
-    copies = rows.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # a table of its own, so that the join deals both sides and Spark can split the rows of a text that many have
+    copies = materialise(rows.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     rows = rows.join(copies, "digest", "left")
     return audit(rows, "part", {**{k: F.col(k) for k in flags}, "E": F.col("id") > F.col("first")}, F.col("good") == 1, F.col("toxic") == 1)
