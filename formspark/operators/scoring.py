@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from formspark import constants as K
 from formspark.functions import text as T
+from formspark.session import cut_lineage
 from formspark.functions.classify import half_up
 
 
@@ -156,16 +157,49 @@ def top_files(files: DataFrame, k: int = 5) -> DataFrame:
     return top.withColumn("bar", F.greatest(F.lit(3), F.least(F.lit(100), "share")))
 
 
+def affinity_candidates(excels: DataFrame, pdfs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(words of every spreadsheet and PDF that may be each other's best, pairs): (project, excel, own, pdf, pdf_ord).
+
+    A spreadsheet's words are looked up by rarity among the PDFs of its project. Its rarest one says how
+    many shared words are there to be had; further words lead to more PDFs only while all words that are
+    left could still make up as many. Of the commonest word no list is needed at all: a PDF that shares
+    nothing else counts that word alone, and of those the first one is the best.
+    """
+    spread = excels.select("project", F.col("file").alias("excel"), F.explode(T.name_words("file")).alias("word"))
+    counted = spread.groupBy("project", "excel", "word").agg(F.count(F.lit(1)).alias("n"))
+    names = cut_lineage(pdfs.select("project", F.col("file").alias("pdf"), F.col("file_ord").alias("pdf_ord"), F.array_distinct(T.name_words("file")).alias("words")).distinct())
+    lists = names.select("project", "pdf", "pdf_ord", F.explode("words").alias("word"))
+    often = lists.groupBy("project", "word").agg(F.count(F.lit(1)).alias("often"), F.min(F.struct("pdf_ord", "pdf")).alias("first"))
+    own = counted.join(often, ["project", "word"]).groupBy("project", "excel").agg(F.array_sort(F.collect_list(F.struct("often", "word", "n", "first"))).alias("own"))
+    own = cut_lineage(own)
+    last, rarer = F.element_at("own", -1), F.slice("own", F.lit(1), F.size("own") - 1)
+    alone = own.select("project", "excel", last["first"]["pdf_ord"].alias("pdf_ord"), last["first"]["pdf"].alias("pdf"))
+
+    def met(words: DataFrame) -> DataFrame:
+        return words.join(lists, ["project", "word"]).select("project", "excel", "pdf_ord", "pdf").distinct()
+
+    rarest = own.where(F.size("own") > 1).select("project", "excel", F.col("own")[0]["word"].alias("word"))
+    first = cut_lineage(met(rarest).unionByName(alone).distinct())
+    known = _affinities(first, own, names).groupBy("project", "excel").agg(F.max("affinity").alias("known"))
+    # a word and those after it, by rarity: what a PDF without the words before may share at most
+    left = F.transform(rarer, lambda w, i: F.struct(w["word"].alias("word"), F.aggregate(F.slice("own", i + 1, F.size("own")), F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("most")))
+    further = own.join(known, ["project", "excel"]).select("project", "excel", "known", F.explode(F.slice(left, F.lit(2), F.size("own"))).alias("w")).where(F.col("w.most") >= F.col("known"))
+    return own, first.unionByName(met(further.select("project", "excel", "w.word"))).distinct()
+
+
+def _affinities(pairs: DataFrame, own: DataFrame, names: DataFrame) -> DataFrame:
+    shared = F.aggregate(F.filter("own", lambda w: F.array_contains("words", w["word"])), F.lit(0).cast("long"), lambda n, w: n + w["n"])
+    return pairs.join(own, ["project", "excel"]).join(names, ["project", "pdf", "pdf_ord"]).withColumn("affinity", shared)
+
+
 def name_affinity_best(excels: DataFrame, pdfs: DataFrame) -> DataFrame:
-    """PDF of a spreadsheet: the most words shared by their file names, the first PDF on ties
+    """PDF of a spreadsheet: the most words shared by their file names, the first PDF on ties.
 
-    Both sides are exploded to words and meet by (project, word); a repeated word of the
-    spreadsheet's name counts each time, one of the PDF's name once.
+    A repeated word of the spreadsheet's name counts each time, one of the PDF's name once.
     """
-    left = excels.select("project", F.col("file").alias("excel"), F.explode(T.name_words("file")).alias("word"))
-    left = left.groupBy("project", "excel", "word").agg(F.count(F.lit(1)).alias("n"))
-    right = pdfs.select("project", F.col("file").alias("pdf"), F.col("file_ord").alias("pdf_ord"), F.explode(F.array_distinct(T.name_words("file"))).alias("word"))
-    hits = left.join(right, ["project", "word"]).groupBy("project", "excel", "pdf", "pdf_ord").agg(F.sum("n").alias("affinity"))
+    own, pairs = affinity_candidates(excels, pdfs)
+    names = pdfs.select("project", F.col("file").alias("pdf"), F.col("file_ord").alias("pdf_ord"), F.array_distinct(T.name_words("file")).alias("words")).distinct()
+    hits = _affinities(pairs, own, names)
     return hits.groupBy("project", "excel").agg(F.max_by(F.struct("pdf", "affinity"), F.struct("affinity", -F.col("pdf_ord"))).alias("b")).select(
         "project", "excel", "b.pdf", "b.affinity")
 

@@ -362,3 +362,29 @@ def test_free_numbers_between_many_taken_ones(spark):
     twins = spark.range(1001).select(F.lit("f").alias("form_id"), (10000 + F.col("id")).alias("ord"), F.lit(0).alias("page"), F.lit("a").alias("name"))
     out = layout.dedupe_across_docs(own.unionByName(twins), size=64).where("name = 'a'").orderBy("ord").collect()
     assert [r["final_name"] for r in out] == ["a", *(f"a__p1_{2 * k}" for k in range(1, 1001))]
+
+
+def test_a_word_in_all_names_adds_no_pairs(spark):
+    """best PDF by shared words: same as all pairs, and linear in files that all share a word"""
+    import random
+
+    from formspark.functions import text as T
+    from formspark.operators import scoring
+
+    rng = random.Random(3)
+    words = ["vida", "hogar", "autos", "salud", "viaje", "banca", "todos", "todos"]
+    excels = [("p", f"{' '.join(rng.choices(words, k=rng.randint(1, 4)))} {k if k % 3 else ''}.xlsx") for k in range(40)]
+    pdfs = [("p", f"{' '.join(rng.choices(words, k=rng.randint(1, 4)))} {k}x.pdf", k) for k in range(30)]
+    e, p = spark.createDataFrame(excels, "project string, file string"), spark.createDataFrame(pdfs, "project string, file string, file_ord int")
+    got = {r["excel"]: (r["pdf"], r["affinity"]) for r in scoring.name_affinity_best(e, p).collect()}
+    named = {r["file"]: r["w"] for r in e.select("file").union(p.select("file")).select("file", T.name_words("file").alias("w")).collect()}
+    want = {}
+    for _, x in excels:
+        scores = [(sum(w in named[f] for w in named[x]), -k, f) for _, f, k in pdfs]
+        if max(scores)[0]:
+            want[x] = (max(scores)[2], max(scores)[0] * sum(y == x for _, y in excels))
+    assert got == want
+    many = spark.range(300)
+    e = many.select(F.lit("p").alias("project"), F.concat(F.lit("todos tema"), "id", F.lit(".xlsx")).alias("file"))
+    p = many.select(F.lit("p").alias("project"), F.concat(F.lit("todos tema"), "id", F.lit(".pdf")).alias("file"), F.col("id").alias("file_ord"))
+    assert scoring.affinity_candidates(e, p)[1].count() <= 600
