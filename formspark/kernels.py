@@ -34,7 +34,7 @@ def last_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], c
     return df.groupBy(*keys).agg(picked).select(*keys, "_row.*")
 
 
-def _dealt(df: DataFrame, keys: Sequence[str], slice_by: Column) -> tuple[DataFrame, Column]:
+def _dealt(df: DataFrame, keys: Sequence[str], slice_by: Column | None, order: Sequence[Column] = ()) -> tuple[DataFrame, Column]:
     """``df`` dealt by its key and slice, and an aggregate that looks at every column.
 
     Rows and slice totals are two branches over the same rows. The aggregate makes both need the same
@@ -42,11 +42,21 @@ def _dealt(df: DataFrame, keys: Sequence[str], slice_by: Column) -> tuple[DataFr
     and move their own narrow copy, and every scan on top of another would double what is below.
     ``_slice`` is a struct of keys and slice: it is never NULL, so no branch gets a filter of its own,
     and NULL keys are keys like any other."""
-    sliced = df.withColumn("_slice", F.struct(*keys, slice_by.alias("_at")))
+    if slice_by is None:
+        df, slice_by = _ranged(df, keys, order), F.col("_range")
+    sliced = df.withColumn("_slice", F.struct(*keys, slice_by.alias("_at"))).drop("_range")
     plain = [c for c, kind in sliced.dtypes if "variant" not in kind and "map<" not in kind]
     return sliced.repartition("_slice"), F.bit_xor(F.xxhash64(*plain)).alias("_seen")
 
 
+def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``df`` with ``_range``, the number of the range of (keys, order) that a row falls into. Spark draws the
+    bounds from a sample, so ranges hold about as many rows each, however the order values lie, and a
+    key has no more slices than there are ranges. The rows are written down: bounds drawn again would differ."""
+    # rows of equal order go to one range; ranges follow the order inside a key and between keys
+    return cut_lineage(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id()))
+
+
 #: Holds for every row; it keeps the aggregate of ``_dealt`` alive.
 _SEEN = "_seen >= -9223372036854775807 OR _seen < 0"
 
@@ -61,7 +71,7 @@ def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    slice_by: Column,
+    slice_by: Column | None,
     *,
     number: str | None = None,
     previous: dict[str, Column] | None = None,
@@ -73,7 +83,9 @@ def ordered_scan(
 
     ``order`` lists ascending columns that give a total order inside a key (negate a
     number for descending); ``slice_by`` must never decrease along that order, e.g.
-    ``floor(ord / 65536)``, a day, or a struct of page and band.
+    ``floor(ord / 65536)``, a day, or a struct of page and band. Where values lie far apart (hashes,
+    timestamps), so that such slices would hold a row each, None cuts the order into ranges of
+    about as many rows, at the price of a sample and of writing the rows down.
 
     number    1-based row number
     previous  value of the column in the previous row (NULL on the first)
@@ -84,7 +96,7 @@ def ordered_scan(
     previous, running, carried = previous or {}, running or {}, carried or {}
     earlier = carried_before or {}
     carried_any = {**carried, **earlier}
-    sliced, seen = _dealt(df, keys, slice_by)
+    sliced, seen = _dealt(df, keys, slice_by, order)
     rank = F.struct(*order)
     inside = Window.partitionBy("_slice").orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -124,7 +136,7 @@ def islands(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    slice_by: Column,
+    slice_by: Column | None,
     previous: dict[str, Column],
     starts: Column,
     current: Sequence[str],
@@ -140,7 +152,7 @@ def islands(
     inside = Window.partitionBy("_slice").orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     begins = F.when(F.coalesce(starts, F.lit(False)), 1).otherwise(0)
-    sliced, seen = _dealt(df, keys, slice_by)
+    sliced, seen = _dealt(df, keys, slice_by, order)
     local = sliced.select(
         "*", F.row_number().over(inside).alias("_rn"), *[F.lag(c).over(inside).alias(k) for k, c in previous.items()])
     local = local.withColumn("_start", F.when(F.col("_rn") == 1, 0).otherwise(begins))

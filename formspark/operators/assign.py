@@ -133,10 +133,11 @@ def greedy(takers: DataFrame, reach: DataFrame, pool: DataFrame, stages: Sequenc
         shared = pool.join(large, scope, "left_semi").select(F.xxhash64(*scope, F.lit("class"), "class").alias("u"), F.xxhash64(*scope, F.lit("unit"), "unit").alias("v"))
         parts = connected(edges.unionByName(shared)).select(F.col("node").alias("profile"), F.col("label").alias("part"))
         able = able.join(parts, "profile", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+        # ids may lie far apart: ranges of about as many takers each
+        numbered = ordered_scan(able.drop("profile"), [*scope, "part"], [F.col("ord")], None, number="n")
+        numbered = cut_lineage(numbered.withColumn("block", F.floor((F.col("n") - 1) / block)).drop("n"))
     else:
-        able = able.withColumn("part", F.lit(0).cast("long"))
-    numbered = ordered_scan(able.drop("profile"), [*scope, "part"], [F.col("ord")], F.floor(F.col("ord") / SLICE), number="n")
-    numbered = cut_lineage(numbered.withColumn("block", F.floor((F.col("n") - 1) / block)).drop("n"))
+        numbered = able.drop("profile").withColumns({"part": F.lit(0).cast("long"), "block": F.lit(0).cast("long")})
     last = numbered.agg(F.max("block")).first()[0]
 
     results = None

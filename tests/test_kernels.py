@@ -123,3 +123,24 @@ def test_one_key_with_sparse_order(spark):
     rows = sorted((r["ord"], r["v"]) for r in df.collect())
     assert out == [(o, i + 1, sum(v for _, v in rows[:i + 1])) for i, (o, _) in enumerate(rows)]
     assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sparse_orders_are_cut_into_ranges(spark):
+    """one key with hashed order values: slices by value would hold a row each, ranges do not"""
+    from formspark import kernels
+
+    rows = spark.range(5000).select(F.lit("k").alias("key"), F.xxhash64("id").alias("at"), F.col("id").alias("v")).unionByName(
+        spark.createDataFrame([("a", 5, 1), ("a", -7, 2), (None, 3, 9)], "key string, at bigint, v bigint"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would join ranges as small as these
+    try:
+        dealt, _ = kernels._dealt(rows, ["key"], None, [F.col("at")])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in dealt.groupBy("_slice").count().collect()]
+    assert len(sizes) <= 4 + 2 and max(sizes) < 3000  # at most a slice for each range, and two for where keys meet
+    got = kernels.ordered_scan(rows, ["key"], [F.col("at")], None, number="n", running={"total": F.col("v")}, previous={"before": F.col("v")}).collect()
+    for key in ("k", "a", None):
+        mine = sorted((r for r in got if r["key"] == key), key=lambda r: r["at"])
+        assert [r["n"] for r in mine] == list(range(1, len(mine) + 1))
+        assert [r["before"] for r in mine] == [None, *[r["v"] for r in mine[:-1]]]
+        assert mine[-1]["total"] == sum(r["v"] for r in mine)
