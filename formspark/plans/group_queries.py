@@ -129,6 +129,18 @@ def entity_repeaters(spark, sf):
     return G.entity_repeaters(g.withColumn("entity", G.C.entity_of(F.col("group_name"))))
 
 
+# Members whose names do not follow the slots of their entity, and items that are missing.
+_SLOTS = """SELECT p_brand AS form_id, CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN 'benefDep' ELSE 'dep' END AS entity, concat(CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN 'benefDep' ELSE 'dep' END, 'Campo', p_partkey % 4) AS group_name,
+  concat(CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN 'benefDep' ELSE 'dep' END, 'Campo', CASE WHEN p_size % 11 = 0 THEN 9 ELSE p_partkey % 4 END, CASE WHEN p_size % 7 = 0 THEN '' ELSE concat('[', p_size % 6 * 2, ']') END) AS source_name FROM @part WHERE p_size % 3 > 0 OR p_partkey % 2 = 0"""
+
+
+@family.query(f"""
+WITH m AS (SELECT *, nullif(regexp_extract(source_name, '\\[(\\d+)\\]$', 1), '')::INT AS i FROM {duck(_SLOTS)} WHERE entity <> ''), b AS (SELECT *, coalesce(group_name || '[' || i || ']' = source_name, false) AS good FROM m)
+SELECT form_id, entity, count(DISTINCT group_name) AS subfields, coalesce(max(i), -1) AS max_index, count(*) FILTER (NOT good) AS extra, bool_and(good) AS ok, entity || '{{sub}}[{{i0}}]' AS pattern FROM b GROUP BY form_id, entity""")
+def entity_slots(spark, sf):
+    return G.entity_repeaters(spark_table(spark, sf, _SLOTS))
+
+
 _RADIO = "SELECT o_orderpriority AS form_id, o_orderkey AS ord, concat('f', o_orderkey) AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'text' ELSE 'radio' END AS type, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat('a', o_custkey % 500, '/b/', o_orderkey) WHEN 2 THEN concat('/x', o_custkey) ELSE concat('y', o_orderkey) END AS source_name, concat(' Label ', o_custkey % 800) AS label FROM @orders"
 
 

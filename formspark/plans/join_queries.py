@@ -273,6 +273,26 @@ def resolve_names(spark, sf):
     return J.resolve_name(named(spark, sf), rows(spark, sf)).select("form_id", "ord", "new_name", "source", "confidence")
 
 
+# Positions that a reference knows, near some of the widgets.
+_KNOWN_AT = f"SELECT form_id, ord, page, x + 3 AS x, y - 2 AS y, concat('pos_', ord % 30) AS source_name FROM ({_NAMED}) n WHERE ord % 3 = 0"
+_BY_PLACE = family.sql["resolve_names"]
+for _old, _new in (("\n  WHEN lk <> ''", "\n  WHEN pos IS NOT NULL THEN pos WHEN lk <> ''"), ("'excel-field-name' WHEN lk", "'excel-field-name' WHEN pos IS NOT NULL THEN 'reference-json' WHEN lk"),
+                   ("ELSE CASE WHEN lk", "ELSE CASE WHEN pos IS NOT NULL THEN 85 WHEN lk"), ("AS confidence FROM x", "AS confidence FROM x LEFT JOIN pp USING (form_id, ord)"),
+                   ("\nSELECT form_id, ord, CASE WHEN how", f""",
+pp AS (SELECT n.form_id, n.ord, arg_min(k.source_name, k.ord) AS pos FROM {duck(_NAMED)} n JOIN {duck(_KNOWN_AT)} k ON n.form_id = k.form_id AND n.page = k.page
+  AND abs(floor(n.x + 0.5) - floor(k.x + 0.5)) <= 8 AND abs(floor(n.y + 0.5) - floor(k.y + 0.5)) <= 8 GROUP BY ALL)
+SELECT form_id, ord, CASE WHEN how""")):
+    assert _old in _BY_PLACE
+    _BY_PLACE = _BY_PLACE.replace(_old, _new)
+
+
+@family.query(_BY_PLACE)
+def resolve_names_by_position(spark, sf):
+    """with what a reference knows about positions"""
+    found = J.resolve_name(named(spark, sf), rows(spark, sf), spark_table(spark, sf, _KNOWN_AT))
+    return found.select("form_id", "ord", "new_name", "source", "confidence")
+
+
 _PAIRS = "SELECT form_id, ord, acro_actual AS actual, acro_proposed AS proposed FROM (" + ROWS + ") r"
 _WNAMES = "SELECT p_brand AS form_id, p_partkey AS ord, concat('W', p_partkey % 53) AS name FROM @part"
 
