@@ -71,10 +71,13 @@ def merge_adjacent(items: DataFrame, keys: Sequence[str] = ("form_id",), ytol: f
 
 # ---- labels ----------------------------------------------------------------------------------
 
-def _cells(way: str, size: tuple[float, float], xs: tuple[Column, Column], ys: tuple[Column, Column]) -> Column:
-    """the cells of a grid that a rectangle covers"""
-    across, down = (F.sequence(F.floor(lo / n), F.floor(hi / n)) for (lo, hi), n in zip((xs, ys), size, strict=True))
-    return F.flatten(F.transform(across, lambda cx: F.transform(down, lambda cy: F.struct(F.lit(way).alias("way"), cx.alias("cx"), cy.alias("cy")))))
+def _cells(rows: DataFrame, ways: dict[str, tuple[tuple[float, float], tuple[Column, Column], tuple[Column, Column]]]) -> DataFrame:
+    """a row for each cell of a grid that a rectangle covers: (way, cx, cy). ``ways`` has the size of the cells and
+    the rectangle's reach across and down for each way of looking"""
+    spans = [F.struct(F.lit(way).alias("way"), *[F.floor(end / size[axis]).alias(name) for axis, reach, names in ((0, xs, ("_x0", "_x1")), (1, ys, ("_y0", "_y1"))) for end, name in zip(reach, names, strict=True)])
+             for way, (size, xs, ys) in ways.items()]
+    spread = rows.select("*", F.inline(F.array(*spans)))
+    return spread.select("*", F.explode(F.sequence("_x0", "_x1")).alias("cx")).select("*", F.explode(F.sequence("_y0", "_y1")).alias("cy")).drop("_x0", "_x1", "_y0", "_y1")
 
 
 #: Reach of a label to the left of a widget and above it, and cells of about that size.
@@ -87,13 +90,12 @@ def _nearest_widgets(widgets: DataFrame, cols: Sequence[str]) -> DataFrame:
     widget on its line, and where the nearest one above it ends. A text beyond either is hidden."""
     x, y, top = F.col("wx"), F.col("wy"), F.col("wy") + F.col("wheight")
     line = F.col("wheight") + SLACK
-    probe = widgets.withColumn("at", F.explode(F.concat(_cells("left", LEFT_CELL, (x - LEFT_REACH, x), (y - line, y + line)),
-                                                        _cells("above", ABOVE_CELL, (x - SHIFT, x + SHIFT), (top, top + ABOVE_REACH)))))
+    probe = _cells(widgets, {"left": (LEFT_CELL, (x - LEFT_REACH, x), (y - line, y + line)), "above": (ABOVE_CELL, (x - SHIFT, x + SHIFT), (top, top + ABOVE_REACH))})
     others = widgets.select(*cols, F.col("w_ord").alias("o_ord"), *[F.col(f"w{c}").alias(f"o{c}") for c in ("x", "y", "width", "height")])
-    others = others.withColumn("at", F.explode(F.concat(*[_cells(way, size, (F.col("ox"), F.col("ox")), (F.col("oy"), F.col("oy"))) for way, size in (("left", LEFT_CELL), ("above", ABOVE_CELL))])))
-    beside = (F.col("at.way") == "left") & (F.abs(F.col("oy") - y) <= line) & (F.col("ox") + F.col("owidth") <= x)
-    over = (F.col("at.way") == "above") & (F.col("oy") > top) & (F.abs(F.col("ox") - x) < SHIFT)
-    met = probe.join(others, [*cols, "at"]).where((F.col("o_ord") != F.col("w_ord")) & (beside | over))
+    others = _cells(others, {way: (size, (F.col("ox"), F.col("ox")), (F.col("oy"), F.col("oy"))) for way, size in (("left", LEFT_CELL), ("above", ABOVE_CELL))})
+    beside = (F.col("way") == "left") & (F.abs(F.col("oy") - y) <= line) & (F.col("ox") + F.col("owidth") <= x)
+    over = (F.col("way") == "above") & (F.col("oy") > top) & (F.abs(F.col("ox") - x) < SHIFT)
+    met = probe.join(others, [*cols, "way", "cx", "cy"]).where((F.col("o_ord") != F.col("w_ord")) & (beside | over))
     return met.groupBy(*cols, "w_ord").agg(F.max(F.when(beside, F.col("ox"))).alias("left_of"), F.min(F.when(over, F.col("oy") + F.col("oheight"))).alias("above_of"))
 
 
@@ -110,20 +112,18 @@ def detect_labels(widgets: DataFrame, texts: DataFrame, keys: Sequence[str] = ("
     w = w.join(_nearest_widgets(w, cols), [*cols, "w_ord"], "left")
     x, y, top, far = F.col("wx"), F.col("wy"), F.col("wy") + F.col("wheight"), F.col("wx") + F.col("wwidth")
     line = SLACK + F.col("wheight") * 0.5
-    probe = w.withColumn("at", F.explode(F.concat(_cells("left", LEFT_CELL, (x - LEFT_REACH, x), (y - line, y + line)),
-                                                  _cells("above", ABOVE_CELL, (x, F.greatest(far, x)), (top - 2, top + ABOVE_REACH)))))
+    probe = _cells(w, {"left": (LEFT_CELL, (x - LEFT_REACH, x), (y - line, y + line)), "above": (ABOVE_CELL, (x, F.greatest(far, x)), (top - 2, top + ABOVE_REACH))})
     t = texts.where(~T.is_section_header("str")).select(*cols, F.col("ord").alias("t_ord"), T.trim("str").alias("text"), *[F.col(c).alias(f"t{c}") for c in ("x", "y", "width")])
     start, end, ty = F.col("tx"), F.col("tx") + F.col("twidth"), F.col("ty")
     bonus = F.when(F.col("text").endswith(":"), 15).otherwise(0) - F.when(F.length("text") <= 2, 20).otherwise(0) + F.when(F.length("text").between(3, 40), 5).otherwise(0)
-    t = t.withColumn("bonus", bonus).withColumn("at", F.explode(F.concat(
-        _cells("left", LEFT_CELL, (end, end), (ty, ty)), _cells("above", ABOVE_CELL, (start - SHIFT, F.greatest(end, start) + SHIFT), (ty, ty)))))
+    t = _cells(t.withColumn("bonus", bonus), {"left": (LEFT_CELL, (end, end), (ty, ty)), "above": (ABOVE_CELL, (start - SHIFT, F.greatest(end, start) + SHIFT), (ty, ty))})
     gap, above = x - end, ty - top
     is_left = (gap > 0) & (gap < LEFT_REACH) & (F.abs(ty - y) < line)
     is_above = (above > -2) & (above < ABOVE_REACH) & ((F.abs(start - x) < SHIFT) | (F.least(end, far) - F.greatest(start, x) > 0))
-    free_left = (F.col("at.way") == "left") & is_left & F.coalesce(F.col("left_of") < end, F.lit(True))
-    free_above = (F.col("at.way") == "above") & is_above & ~is_left & F.coalesce(F.col("above_of") >= ty, F.lit(True))
+    free_left = (F.col("way") == "left") & is_left & F.coalesce(F.col("left_of") < end, F.lit(True))
+    free_above = (F.col("way") == "above") & is_above & ~is_left & F.coalesce(F.col("above_of") >= ty, F.lit(True))
     score = F.lit(100.0) - F.when(is_left, gap * 0.4).otherwise(F.greatest(F.lit(0.0), above) * 0.6) + F.when(is_left, 10).otherwise(0) + F.col("bonus")
-    found = probe.join(t, [*cols, "at"]).where(free_left | free_above)
+    found = probe.join(t, [*cols, "way", "cx", "cy"]).where(free_left | free_above)
     best = found.groupBy(*keys, F.col("w_ord").alias("ord")).agg(F.min(F.struct((-score).alias("s"), "t_ord", "text")).alias("b"))
     best = best.select(*keys, "ord", F.nullif(T.trim(T.replace(F.col("b.text"), ":$", "")), F.lit("")).alias("label"))
     return widgets.join(best, [*keys, "ord"], "left")
