@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from formspark.functions.text import edit_similarity, fold_upper
 from formspark.kernels import first_by
+from formspark.session import cut_lineage
 
 _PAD = "\x01"
 
@@ -125,27 +126,36 @@ def typo_keys(names: DataFrame, known: DataFrame, scope: Sequence[str] = ()) ->
     return near.unionByName(same).groupBy(*scope, "name").agg(F.min("key").alias("suggestion"))
 
 
-def containing_pairs(left: DataFrame, right: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Pairs (left_key, right_key) of distinct texts where one contains the other.
+def _parts(size: Column) -> Column:
+    """hashes of the distinct parts of ``key`` that are ``size`` long"""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("key") - size + 1), lambda i: F.xxhash64(F.substring("key", i, size))))
+
+
+def containment_candidates(left: DataFrame, right: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """(scope, side, short, long): pairs that share the rarest long part of the shorter text; ``side`` is the side of the longer one,
+    0 left and 1 right.
 
-    The shorter text occurs in the longer one with all of its bigrams, so it probes with its
-    rarest bigram only (a text of one letter with that letter).
+    A text probes with parts of one length, the greatest power of two that fits. They are longer than half of
+    it, so that the first and the last of them cover all of it: whatever beginning or end many texts share,
+    some part holds what tells this one apart, and the rarest part is the only one it is joined on. The other
+    side shows its parts of the lengths that are asked for, as hashes of fixed size.
     """
-    lefts, rights = (df.select(*scope, "key").where(F.col("key") != "").distinct() for df in (left, right))
-
-    def pieces(df: DataFrame, size: int) -> DataFrame:
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("key") - (size - 1)), lambda i: F.substring("key", i, F.lit(size))))
-        return df.where(F.length("key") >= size).select(*scope, "key", F.explode(grams).alias("gram"))
-
-    def inside(short: DataFrame, long: DataFrame) -> DataFrame:
-        spread = pieces(long, 2).unionByName(pieces(long, 1).join(short.where(F.length("key") == 1).select(*scope, F.col("key").alias("gram")).distinct(),
-                                                                 [*scope, "gram"], "left_semi"))
-        frequency = spread.groupBy(*scope, "gram").agg(F.count(F.lit(1)).alias("n"))
-        own = pieces(short, 2).unionByName(short.where(F.length("key") == 1).withColumn("gram", F.col("key")))
-        probe = own.join(frequency, [*scope, "gram"], "left").groupBy(*scope, "key").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-        met = probe.withColumnRenamed("key", "short").join(spread.withColumnRenamed("key", "long"), [*scope, "gram"])
-        return met.where(F.col("long").contains(F.col("short"))).select(*scope, "short", "long")
-
-    a = inside(lefts, rights).select(*scope, F.col("short").alias("left_key"), F.col("long").alias("right_key"))
-    b = inside(rights, lefts).select(*scope, F.col("long").alias("left_key"), F.col("short").alias("right_key"))
-    return a.unionByName(b).distinct()
+    both = left.select(*scope, F.lit(0).alias("side"), "key").unionByName(right.select(*scope, F.lit(1).alias("side"), "key"))
+    texts = cut_lineage(both.where(F.col("key") != "").distinct().withColumn("size", F.expr("shiftleft(1, length(bin(length(key))) - 1)")))
+    at = [*scope, "side"]
+    other = (1 - F.col("side")).alias("side")
+    wanted = texts.groupBy(*scope, other).agg(F.collect_set("size").alias("sizes"))  # powers of two: a handful
+    shown = texts.drop("size").join(wanted, at).select(*at, "key", F.explode("sizes").alias("size")).where(F.length("key") >= F.col("size")).select(
+        *at, F.col("key").alias("long"), F.explode(_parts(F.col("size"))).alias("part"))
+    frequency = shown.groupBy(*at, "part").agg(F.count(F.lit(1)).alias("n"))
+    own = texts.select(*scope, other, F.col("key").alias("short"), F.explode(_parts(F.col("size"))).alias("part"))
+    probe = own.join(frequency, [*at, "part"], "left").groupBy(*at, "short").agg(F.min_by("part", F.struct(F.coalesce("n", F.lit(0)), "part")).alias("part"))
+    return probe.join(shown, [*at, "part"]).select(*at, "short", "long")
+
+
+def containing_pairs(left: DataFrame, right: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Pairs (left_key, right_key) of distinct texts where one contains the other: both directions in one join."""
+    met = containment_candidates(left, right, scope).where(F.col("long").contains(F.col("short")))
+    on_left = F.col("side") == 0
+    return met.select(*scope, F.when(on_left, F.col("long")).otherwise(F.col("short")).alias("left_key"),
+                      F.when(on_left, F.col("short")).otherwise(F.col("long")).alias("right_key")).distinct()

@@ -390,12 +390,12 @@ def interleave_prefilled(rows: DataFrame, extra: DataFrame, keys: Sequence[str]
 
     rows, extra: form_id, ord, section. Gives (form_id, origin, ord, section, number).
     """
-    runs = islands(rows, keys, [F.col("ord")], F.floor(F.col("ord") / size), {"_prev": E("section")}, F.col("_prev") != E("section"), ["section"], name="run").drop("_prev")
+    runs = cut_lineage(islands(rows, keys, [F.col("ord")], F.floor(F.col("ord") / size), {"_prev": E("section")}, F.col("_prev") != E("section"), ["section"], name="run").drop("_prev"))
     heads = runs.groupBy(*keys, "run").agg(F.min_by("section", "ord").alias("_sec")).withColumn("_n", T.norm_compact("_sec"))
     firsts = heads.where(F.col("_n") != "").groupBy(*keys, "_n").agg(F.min("run").alias("run"))
     wanted = extra.select(*keys, T.norm_compact("section").alias("key"))
     pairs = containing_pairs(wanted, firsts.withColumnRenamed("_n", "key"), keys)
-    hit = pairs.select(*keys, F.col("left_key").alias("_e"), F.col("right_key").alias("_n")).join(firsts, [*keys, "_n"]).groupBy(*keys, "_e").agg(F.min("run").alias("run"))
+    hit = cut_lineage(pairs.select(*keys, F.col("left_key").alias("_e"), F.col("right_key").alias("_n")).join(firsts, [*keys, "_n"]).groupBy(*keys, "_e").agg(F.min("run").alias("run")))
     placed = extra.withColumn("_e", T.norm_compact("section")).join(hit, [*keys, "_e"], "left").drop("_e")
     last = F.lit(1 << 60)
     both = runs.select(*keys, F.lit("pdf").alias("origin"), "ord", "section", F.col("run").cast("long").alias("run"), F.lit(0).alias("_x")).unionByName(

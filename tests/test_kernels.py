@@ -115,6 +115,19 @@ def test_containing_pairs_against_brute_force(spark):
     assert {(r.left_key, r.right_key) for r in got.collect()} == {(x, y) for x in a for y in b if x in y or y in x}
 
 
+def test_texts_that_share_beginnings_and_ends_meet_few_others(spark):
+    """sections that begin alike, end alike or both: candidates grow with the texts, not with their square"""
+    def of(n, low):
+        texts = [f"{a}{i:05d}{b}" for i in range(low, low + n) for a, b in (("datos generales de la persona asegurada ", ""), ("", " de la persona asegurada"), ("alta ", " de una persona"))]
+        return spark.createDataFrame([("f", x) for x in texts], "k string, key string")
+    counts = [fuzzy.containment_candidates(of(n, 0), of(n, n // 2), ["k"]).count() for n in (200, 800)]
+    assert counts[1] <= 4.2 * counts[0] and counts[1] <= 4 * 2400
+    left = spark.createDataFrame([("f", x) for x in ("\U0001F600\U0001F601\U0001F602", "\U0001F601", "á", None, "")], "k string, key string")
+    right = spark.createDataFrame([("f", "\U0001F601\U0001F602"), ("g", "á"), (None, "á")], "k string, key string")
+    got = {(r.left_key, r.right_key) for r in fuzzy.containing_pairs(left, right, ["k"]).collect()}
+    assert got == {("\U0001F600\U0001F601\U0001F602", "\U0001F601\U0001F602"), ("\U0001F601", "\U0001F601\U0001F602")}
+
+
 def test_one_key_with_sparse_order(spark):
     """every row is a slice of its own, in one key; rows are moved once for rows and totals"""
     df = spark.range(500).select(F.when(F.col("id") < 0, "b").alias("k"), ((F.col("id") * 7919) % 1000003).alias("ord"), (F.col("id") % 5).alias("v"))
