@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from formspark import constants as K
@@ -13,7 +15,10 @@ from formspark.plans.layout_queries import _ASSIGN as ASSIGN
 from formspark.plans.layout_queries import DATE_GROUPS, page_fields, texts
 from formspark.plans.registry import Family
 from formspark.plans.tables import CELLS, WIDGETS, duck, read, spark_table, stored
+from formspark.session import remove_folder, shared_folder
 from formspark.sources import sheets as SH
+from formspark.sources.files import write_documents
+from formspark.sources.json_lines import read_document_lines, read_json_lines
 
 family = Family()
 
@@ -84,6 +89,27 @@ def form_documents(spark, sf):
     return A.document_lines(m.select("form_id").distinct(), sec, fld, opt, ',"validationRules":[],"prefillMappings":[],"version":1')
 
 
+def _nodes(rows: str, base: str, leaves: dict[str, str], array: str) -> str:
+    """SQL: an object at ``base`` for each row, its leaves and its last member, a list"""
+    paths = [base, *[f"{base}.{k}" for k in leaves], *([f"{base}.{array}"] if array else [])]
+    kinds = ["object", *["leaf"] * len(leaves), *(["array"] if array else [])]
+    values = ["NULL", *[f"CAST({v} AS VARCHAR)" for v in leaves.values()], *(["NULL"] if array else [])]
+    return f"SELECT form_id, unnest({paths}) AS path, unnest({kinds}) AS kind, unnest([{', '.join(values)}]) AS value FROM {rows}"
+
+
+@family.query(f"""SELECT form_id, unnest(['sections', 'validationRules', 'prefillMappings', 'version']) AS path, unnest(['array', 'array', 'array', 'leaf']) AS kind, unnest([NULL, NULL, NULL, '1']) AS value FROM (SELECT DISTINCT form_id FROM {_SEC})
+UNION ALL {_nodes(_ORDERED, 'sections[]', {"id": "section_id", "title": "title", "conditionalVisibility": "condition", "order": "section_order"}, 'fields')}
+UNION ALL {_nodes(_FIELDS, 'sections[].fields[]', {"id": "id", "type": "type", "label": "label", "required": "required", "prefillKey": "prefill_key"}, 'options')}
+UNION ALL {_nodes(f"(SELECT form_id, k FROM {_FIELDS}, generate_series(1, 31) t(k) WHERE id LIKE '%@_dia' ESCAPE '@')", 'sections[].fields[].options[]', {"value": "k", "label": "k"}, '')}""")
+def written_documents(spark, sf):
+    """Form documents written as lines and read back by lines: their nodes"""
+    path = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    write_documents(form_documents(spark, sf), path, A.LINE_KEY)
+    _, nodes = read_json_lines(read_document_lines(spark, path))
+    remove_folder(spark, path)  # what the nodes are made of is checkpointed
+    return nodes.select("form_id", "path", "kind", "value")
+
+
 _WID = "SELECT concat(c_mktsegment, '-', o_orderstatus) AS form_id, o_orderkey AS ord, CASE o_orderkey % 4 WHEN 0 THEN concat('w.', o_orderkey) WHEN 1 THEN concat('otro', o_orderkey) ELSE concat('W', o_orderkey) END AS name, CASE WHEN o_orderkey % 8 = 1 THEN 'Button' ELSE 'Text' END AS type FROM @orders JOIN @customer ON o_custkey = c_custkey"
 
 

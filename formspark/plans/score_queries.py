@@ -10,6 +10,7 @@ from formspark.plans.join_queries import slug
 from formspark.plans.registry import Family
 from formspark.plans.tables import CELLS, duck, read, spark_table, stored
 from formspark.sources import files as FS
+from formspark.sources import json_lines as JL
 from formspark.sources import sheets as SH
 
 family = Family()
@@ -206,6 +207,32 @@ def lines_as_json(spark, sf):
     return SH.read_lines_as_json(both).select("form_id", "body", "valid")
 
 
+# a sheet per nation with a line per customer, one that breaks off per supplier, and plain text per conversation
+_SHEETJSON = """SELECT concat('n', n_nationkey) AS form_id, 0 AS row_idx, concat('{"pais":"', n_name, '","clientes":[null') AS line FROM @nation
+UNION ALL SELECT concat('n', c_nationkey), CAST(c_custkey + 1 AS INT), concat(', {"id": ', c_custkey, ', "activo":true,"alias":["x:', c_custkey, '",[ ]]}') FROM @customer
+UNION ALL SELECT concat('n', n_nationkey), 2000000000, ']}' FROM @nation
+UNION ALL SELECT concat('s', s_suppkey), 0, '{"a":[1' FROM @supplier
+UNION ALL SELECT concat('c', conv_id), CAST(turn AS INT), concat(coalesce(role, ''), ' x') FROM @conversations"""
+
+
+def _sheet_json(spark, sf):
+    return JL.read_json_lines(spark_table(spark, sf, _SHEETJSON).withColumns({"file": F.lit("f"), "sheet": F.lit("s")}))
+
+
+@family.query(f"""SELECT concat('n', n_nationkey) AS form_id, 0 AS row_idx, unnest(['pais', 'clientes', 'clientes[]']) AS path, unnest(['leaf', 'array', 'leaf']) AS kind, unnest([n_name, NULL, NULL]) AS value FROM nation
+UNION ALL SELECT concat('n', c_nationkey), CAST(c_custkey + 1 AS INT), unnest(['clientes[]', 'clientes[].id', 'clientes[].activo', 'clientes[].alias', 'clientes[].alias[]', 'clientes[].alias[]']),
+  unnest(['object', 'leaf', 'leaf', 'array', 'leaf', 'array']), unnest([NULL, CAST(c_custkey AS VARCHAR), 'true', NULL, concat('x:', c_custkey), NULL]) FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation)""")
+def json_sheet_nodes(spark, sf):
+    """JSON sheets read by lines: the nodes of those that hold a document"""
+    return _sheet_json(spark, sf)[1].select("form_id", "row_idx", "path", "kind", "value")
+
+
+@family.query(f"""SELECT form_id, left(form_id, 1) = 'n' AS valid, CASE WHEN left(form_id, 1) = 'c' THEN min(row_idx) END AS fault_row FROM {duck(_SHEETJSON)} GROUP BY 1""")
+def json_sheet_faults(spark, sf):
+    """JSON sheets read by lines: whether they hold a document, and the first row out of place"""
+    return _sheet_json(spark, sf)[0].select("form_id", "valid", "fault_row")
+
+
 @family.query(f"""SELECT 'Campos' AS sheet, form_id, file, c.row_idx, h.value AS header, trim(c.value) AS value FROM {_ROW0} c JOIN (SELECT DISTINCT col_idx, value FROM {_ROW0} WHERE row_idx = 0) h USING (col_idx) WHERE c.row_idx > 0 AND sheet = 'Campos' AND trim(c.value) <> ''""")
 def canonical_rows(spark, sf):
     fields, _ = SH.read_canonical(_row0(spark, sf))

@@ -44,6 +44,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a job wrote into the shared folder and no longer needs."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and forget how it was made."""
     context = df.sparkSession.sparkContext
