@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from formspark.operators import groups as G
+from formspark.operators import single_view as SV
 from formspark.plans.join_queries import nw, slug
 from formspark.plans.registry import Family
 from formspark.plans.tables import FORM_FIELDS, MATRIX, duck, read, spark_table
@@ -78,6 +79,44 @@ def collapse_by_route(spark, sf):
     return G.collapse_by_route(spark_table(spark, sf, _ROUTES))
 
 
+# rows of a ficha with all of their texts
+_FICHA = """SELECT o_orderpriority AS form_id, o_orderstatus AS sheet, o_orderkey AS ord, CASE WHEN o_orderkey % 31 = 0 THEN 'json' ELSE concat('Paso ', o_custkey % 4) END AS step, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE concat('S', o_custkey % 7) END AS section,
+  concat('L', o_orderkey) AS label, concat('pdf', o_custkey) AS pdf_name, 'Combo' AS ficha_type, 'select' AS type, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE concat('v', o_custkey) END AS value,
+  CASE WHEN o_orderkey % 17 = 0 THEN 'No aplica  formulario' WHEN o_orderkey % 4 = 0 THEN '' ELSE concat('rule', o_custkey % 6) END AS rule, CASE WHEN o_orderkey % 13 = 0 THEN 'Web' ELSE 'Si' END AS required,
+  CASE o_orderkey % 5 WHEN 0 THEN 'Disabled' WHEN 1 THEN 'No aplica' WHEN 2 THEN 'Dato Prellenado' ELSE NULL END AS visualization, '' AS notes, 'D1' AS forms,
+  CASE WHEN o_custkey % 9 = 0 THEN '' ELSE concat('p.r', o_custkey % 400) END AS route, CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE concat('p.r', o_custkey % 400, ', q') END AS routes, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE concat('s', o_custkey % 8) END AS source_name FROM @orders"""
+_FICHA_FIELDS = f"""(WITH f AS (SELECT form_id, sheet, route, min(ord) AS ord, count(*) AS n_rows, coalesce(string_agg(nullif(value, ''), ' | ' ORDER BY ord), '') AS options, list(rule ORDER BY ord) FILTER (rule <> '') AS rl, list(source_name ORDER BY ord) FILTER (source_name <> '') AS sl
+  FROM {duck(_FICHA)} GROUP BY form_id, sheet, route, CASE WHEN route = '' THEN ord END)
+SELECT f.*, coalesce(list_aggregate(list_transform(list_filter(rl, lambda x, i: list_position(rl, x) = i), lambda x: x), 'string_agg', ' | '), '') AS rules, coalesce(list_aggregate(list_filter(sl, lambda x, i: list_position(sl, x) = i), 'string_agg', ' | '), '') AS source_names,
+  r.step, r.section, r.label, r.pdf_name, r.required, r.visualization, r.routes, r.step = 'json' AS j, r.required = 'Web' AS w, coalesce(r.visualization = 'No aplica', false) AS h, coalesce(r.visualization = 'Disabled', false) AS ro, coalesce(r.visualization = 'Dato Prellenado', false) AS pf, r.rule LIKE 'No aplica%' AS e, f.route = '' AS lb
+  FROM f JOIN {duck(_FICHA)} r USING (form_id, ord))"""
+
+
+def _ficha_fields(spark, sf):
+    return SV.ficha_fields(spark_table(spark, sf, _FICHA))
+
+
+@family.query(f"""SELECT form_id, row_number() OVER (PARTITION BY form_id ORDER BY ord) AS "#", sheet AS "Hoja", step AS "Paso", coalesce(section, '') AS "Sección", label AS "Label (ficha)", pdf_name AS "Nombre en PDF", 'Combo' AS "Tipo (ficha)", 'select' AS "Tipo (form-def)",
+  options AS "Opciones", rules AS "Regla", required AS "Obligatorio", coalesce(visualization, '') AS "Visualización", '' AS "Observaciones", 'D1' AS "Formulario", coalesce(routes, '') AS "Ruta JSON", source_names AS "sourceName",
+  CASE WHEN e THEN 'excluido' WHEN lb THEN 'label' WHEN j THEN 'soloJSON' WHEN w THEN 'soloWeb' WHEN h THEN 'oculto' WHEN ro THEN 'readOnly' ELSE 'normal' END AS "Destino", 'sin-cruzar' AS "Estado", '' AS "Motivo" FROM {_FICHA_FIELDS}""")
+def single_view(spark, sf):
+    """all 19 columns of a ficha's view"""
+    return SV.single_view(_ficha_fields(spark, sf))
+
+
+@family.query(f"""WITH s AS (SELECT DISTINCT o_orderpriority AS form_id, o_orderstatus AS sheet FROM orders UNION ALL SELECT DISTINCT o_orderpriority, 'vacía' FROM orders),
+c AS (SELECT form_id, count(DISTINCT sheet) AS k, coalesce(sum(n_rows) FILTER (route <> ''), 0) AS fr, count(*) AS n, count(*) FILTER (j) AS j, count(*) FILTER (h) AS h, count(*) FILTER (ro) AS ro, count(*) FILTER (pf) AS pf, count(*) FILTER (e) AS e, count(*) FILTER (lb) AS lb, count(*) FILTER (source_names <> '') AS sn FROM {_FICHA_FIELDS} GROUP BY 1)
+SELECT form_id, unnest(range(0, 11))::INTEGER AS line, unnest(['hojas', 'hojasConCampos', 'filasConRuta', 'campos', 'soloJSON', 'ocultos', 'readOnly', 'prefill', 'excluidos', 'labels', 'conSourceName']) AS metric,
+  unnest(list_transform([sh::BIGINT, k, fr::BIGINT, n, j, h, ro, pf, e, lb, sn], lambda x: CAST(x AS VARCHAR))) AS value FROM c JOIN (SELECT form_id, count(*) AS sh FROM s GROUP BY 1) USING (form_id)
+UNION ALL SELECT DISTINCT o_orderpriority, 11, concat('typo', o_custkey % 5), concat('ejemplo: tipo', o_custkey % 5) FROM orders""")
+def single_view_summary(spark, sf):
+    """counts of a ficha and its typos, as lines"""
+    o = read(spark, sf, "orders").withColumnsRenamed({"o_orderpriority": "form_id", "o_orderstatus": "sheet"})
+    sheets = o.select("form_id", "sheet").unionByName(o.select("form_id", F.lit("vacía").alias("sheet")))
+    k = F.col("o_custkey") % 5
+    return SV.view_summary(_ficha_fields(spark, sf), sheets, o.select("form_id", F.concat(F.lit("typo"), k).alias("name"), F.concat(F.lit("tipo"), k).alias("suggestion")))
+
+
 @family.query(f"""
 WITH o AS (SELECT form_id, ord, field_label, CASE WHEN regexp_matches(value, '^A\\d+ - ') THEN regexp_extract(value, '^(A\\d+)', 1) ELSE value END AS code, regexp_replace(value, '^A\\d+ - ', '') AS label FROM {duck(_CHOICE)} WHERE value <> '' AND field_label <> '')
 SELECT form_id, field_label, min(ord) AS ord, arg_min(code, ord) AS code, arg_min(label, ord) AS label FROM o GROUP BY form_id, field_label, lower(code || '|' || label)""")
