@@ -75,6 +75,8 @@ class Order:
 def write_order(rows: DataFrame, ids: str, folder: str, key: int = 0, length: int = LENGTH, shard_records: int = SHARD_RECORDS) -> Order:
     """Write the ids of ``rows`` (a binary column of one-byte ids) in training order below ``folder``.
 
+    Ids are 0 to 253: 254 and 255 are the pad and the end mark, and a row that holds one is an error.
+
     ``rows`` must give the same partitions with the same rows each time it is read, as tables of files
     do; a partition whose total has changed is an error, never a silent shift. Null and empty ids add
     their end mark alone; repeated rows are written as often as they come; the last sequence is filled
@@ -104,6 +106,8 @@ def write_order(rows: DataFrame, ids: str, folder: str, key: int = 0, length: in
         for batch in batches:
             index, place, pieces = [], [], []
             for value in batch.column(0).to_pylist():
+                if value and (END in value or PAD in value):
+                    raise ValueError(f"ids {PAD} and {END} are kept for pads and end marks")
                 data = (value or b"") + bytes([END])
                 done = 0
                 while done < len(data):
@@ -142,7 +146,7 @@ def write_order(rows: DataFrame, ids: str, folder: str, key: int = 0, length: in
 
 def read_order(spark: SparkSession, order: Order, start: int = 0, stop: int | None = None) -> DataFrame:
     """(slot, shard, place, sequence, record) of the slots from ``start`` to before ``stop``, in shards
-    as they lie; only the shards that hold such slots are read. ``sequence`` is the number in the
+    as they lie; only the files of the shards that hold such slots are opened. ``sequence`` is the number in the
     stream, ``record`` the ids. To resume, pass the first slot that was not yet read."""
     stop = order.sequences if stop is None else min(stop, order.sequences)
 
@@ -150,10 +154,13 @@ def read_order(spark: SparkSession, order: Order, start: int = 0, stop: int | No
     def number(slots: pd.Series) -> pd.Series:
         return pd.Series(permute(slots.to_numpy(np.int64), order.sequences, order.key, back=True))
 
+    start = max(start, 0)
     if start >= stop:
         return spark.createDataFrame([], "slot bigint, shard int, place bigint, sequence bigint, record binary")
     first, last = start // order.shard_records, (stop - 1) // order.shard_records
-    files = spark.read.format("binaryFile").load(order.folder)
+    whole = start == 0 and stop == order.sequences
+    named = order.folder if whole else f"{order.folder}/part-{{{','.join(f'{n:05d}' for n in range(first, last + 1))}}}-*"
+    files = spark.read.format("binaryFile").load(named)
     shard = F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"^part-(\d+)", 1).cast("int")
     held = files.select(shard.alias("shard"), "content").where(F.col("shard").between(first, last))
     places = F.sequence(F.lit(0).cast("long"), (F.length("content") / order.stride).cast("long") - 1)

@@ -1,5 +1,7 @@
 """Shards, preferences, main text, audio, the queries and the pipeline on small tables."""
 
+import time
+
 import duckdb
 import numpy as np
 import pytest
@@ -35,6 +37,18 @@ class TestShards:
         half = order.sequences // 2
         rest = shards.read_order(spark, order, half).collect()
         assert {(r["slot"], bytes(r["record"])) for r in rest} == {(r["slot"], bytes(r["record"])) for r in out if r["slot"] >= half}
+        some = shards.read_order(spark, order, 5, 9)  # slots 5 to 8 lie in the shards 1 and 2
+        assert sorted(f.rsplit("/", 1)[1][:10] for f in some.inputFiles()) == ["part-00001", "part-00002"]
+        assert sorted(r["slot"] for r in some.collect()) == [5, 6, 7, 8]
+
+    def test_reserved_ids_and_changed_partitions_are_errors(self, spark):
+        folder = f"{shared_folder(spark)}/bad-{np.random.default_rng().integers(1 << 60)}"
+        for value in (b"a\xfeb", b"\xff"):
+            with pytest.raises(Exception, match="kept for pads"):
+                shards.write_order(spark.createDataFrame([(value,)], "ids binary"), "ids", folder)
+        changing = F.udf(lambda: "y" * (time.time_ns() % 100_003), "string").asNondeterministic()
+        with pytest.raises(Exception, match="has changed"):
+            shards.write_order(spark.range(3).select(changing().alias("ids")), "ids", folder)
 
     def test_empty_table(self, spark):
         order = shards.write_order(spark.createDataFrame([], "text string"), "text", f"{shared_folder(spark)}/none")
