@@ -8,6 +8,7 @@ from formspark import constants as K
 from formspark.operators import scoring as S
 from formspark.plans.join_queries import slug
 from formspark.plans.registry import Family
+from formspark.plans.tables import _CELL_COLUMNS as CELL_HEADS
 from formspark.plans.tables import CELLS, duck, read, spark_table, stored
 from formspark.sources import files as FS
 from formspark.sources import json_lines as JL
@@ -50,6 +51,29 @@ def header_by_density(spark, sf):
     return SH.header_by_density(cells(spark, sf))
 
 
+# a sheet per customer: a heading of 3 to 10 names at row 0 to 11 with turned columns, a full one three rows below, and a line of data
+_NAMED = " ".join(f"WHEN {i} THEN '{head}'" for i, (head, _) in enumerate(CELL_HEADS) if i)
+_FIRST = CELL_HEADS[0][0]
+_OWN = "concat('n', c_nationkey) AS form_id, 'f.xlsx' AS file, concat('h', c_custkey) AS sheet"
+_MOVED = f"""SELECT {_OWN}, CAST(c_custkey % 12 AS INT) AS row_idx, CAST((c + c_custkey) % 10 AS INT) AS col_idx, CASE c WHEN 0 THEN CASE WHEN c_custkey % 5 = 0 THEN 'Nada' ELSE '{_FIRST}' END {_NAMED} END AS value FROM @customer, @each(0, 9) r(c) WHERE c < 3 + c_custkey % 8
+UNION ALL SELECT {_OWN}, CAST(c_custkey % 12 + 3 AS INT), CAST(c AS INT), CASE c WHEN 0 THEN '{_FIRST}' {_NAMED} END FROM @customer, @each(0, 9) r(c)
+UNION ALL SELECT {_OWN}, 40, 0, c_name FROM @customer"""
+
+
+@family.query(f"""WITH s AS (SELECT {_OWN}, c_custkey AS k, c_custkey % 12 AS a, c_custkey % 12 + 3 AS b, 3 + c_custkey % 8 AS m FROM customer),
+w AS (SELECT *, CASE WHEN a < 10 AND m >= 4 AND k % 5 <> 0 THEN 'a' WHEN b < 10 THEN 'b' ELSE 'none' END AS w FROM s)
+SELECT form_id, file, sheet, CASE w WHEN 'a' THEN a ELSE b END::INT AS header_row, {_HEADROLES}[c + 1] AS role, CASE w WHEN 'a' THEN (c + k) % 10 ELSE c END::INT AS col_idx FROM w, generate_series(0, 9) r(c) WHERE w = 'b' OR (w = 'a' AND c < m)
+UNION ALL SELECT form_id, file, sheet, 0, unnest({K.MATRIX_FALLBACK}), unnest(range(0, {len(K.MATRIX_FALLBACK)}))::INT FROM w WHERE w = 'none'""")
+def detect_header_moved(spark, sf):
+    """headings at different rows, in other columns, too short ones, ones too far down"""
+    return SH.detect_header(spark_table(spark, sf, _MOVED), fallback=K.MATRIX_FALLBACK)
+
+
+@family.query(f"""SELECT {_OWN}, CASE WHEN a < 8 AND (m = 10 OR b >= 8) THEN a WHEN b < 8 THEN b ELSE 0 END::INT AS header_row FROM (SELECT *, c_custkey % 12 AS a, c_custkey % 12 + 3 AS b, 3 + c_custkey % 8 AS m FROM customer)""")
+def header_by_density_moved(spark, sf):
+    return SH.header_by_density(spark_table(spark, sf, _MOVED))
+
+
 _ROW0 = f"(SELECT form_id, file, sheet, sheet_ord, row_idx - 1 AS row_idx, col_idx, value FROM {C} WHERE row_idx > 0)"
 
 
