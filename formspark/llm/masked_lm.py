@@ -3,8 +3,8 @@
 Tokens are the lower-cased words between white space. The vocabulary is counted over the whole corpus:
 the most frequent words have numbers of their own, the others share classes by how they begin. A window
 network predicts a token from the ``SIDE`` tokens before and after it: embeddings, one hidden layer, a
-softmax over the vocabulary. It is trained in numpy where the data is: every document gives one position
-in ``MASK`` to the training, each task trains a copy on its partition from the same start, and copies are
+softmax over the vocabulary. It is trained in numpy where the data is: every position of every document
+is predicted in the training, each task trains a copy on its partition from the same start, and copies are
 averaged by the tokens they saw, in two steps, round by round. What is counted, trained on and sent
 grows with the corpus.
 
@@ -35,9 +35,8 @@ FREQUENT = 127
 SIDE = 3
 WIDTH = 16          # embedding
 HIDDEN = 32
-MASK = 16
 ROUNDS = 1
-BATCH = 512         # positions of a training step
+BATCH = 1024        # places of a training step, the ends of texts included
 STEP = 0.05
 BLOCK = 1024        # positions that are scored at a time
 CHUNK = 1 << 20     # characters of a text that are cut into words at a time
@@ -192,6 +191,16 @@ def laid_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), starts
 
 
+def logits_of(a: np.ndarray, w: Weights) -> np.ndarray:
+    """The classes' logits by rows of the hidden layer and a one, small enough for their exponentials: where
+    they could be too large, each row is moved by its greatest."""
+    layer = np.vstack([w["outer"], w["outer_bias"]])
+    logits = a @ layer
+    if np.abs(layer).sum(axis=0).max() > 60:  # the hidden layer is within one
+        logits -= logits.max(axis=1, keepdims=True)
+    return logits
+
+
 class Trainer:
     """One copy of the network, moved by AdaGrad steps."""
 
@@ -199,20 +208,49 @@ class Trainer:
         self.w = {k: v.copy() for k, v in weights.items()}
         self.seen = {k: np.full_like(v, 1e-3) for k, v in self.w.items()}
 
-    def step(self, around: np.ndarray, target: np.ndarray) -> None:
-        w, n = self.w, len(target)
-        x = w["embed"][around].reshape(n, -1)
-        a = np.tanh(x @ w["inner"] + w["inner_bias"])
-        logits = a @ w["outer"] + w["outer_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), target] -= 1
-        p /= n
-        back = (p @ w["outer"].T) * (1 - a * a)
-        embed = np.zeros_like(w["embed"])
-        np.add.at(embed, around.ravel(), (back @ w["inner"].T).reshape(-1, WIDTH))
-        for name, g in (("outer", a.T @ p), ("outer_bias", p.sum(axis=0)), ("inner", x.T @ back), ("inner_bias", back.sum(axis=0)), ("embed", embed)):
+    def step(self, tokens: np.ndarray) -> None:
+        """Predict every token between the first and the last ``SIDE``; the ends of texts are no targets.
+
+        The hidden layer's input is a sum of rows of tables, so its gradient is summed by token first:
+        one order of the tokens serves all places of the window."""
+        w, n = self.w, len(tokens) - 2 * SIDE
+        target = tokens[SIDE:SIDE + n]
+        real = np.flatnonzero(target)
+        if not len(real):
+            return
+        parts = w["inner"].reshape(2 * SIDE, WIDTH, HIDDEN)
+        a = np.ones((n, HIDDEN + 1), np.float32)  # and a one for the bias
+        hidden = np.repeat(w["inner_bias"][None, :], n, axis=0)
+        for part, k in zip(parts, CONTEXT, strict=True):
+            hidden += np.take(w["embed"] @ part, tokens[SIDE + k:SIDE + k + n], axis=0)
+        a[:, :-1] = np.tanh(hidden, out=hidden)
+        p = logits_of(a, w)
+        np.exp(p, out=p)
+        outer_t = np.ascontiguousarray(w["outer"].T)
+        back = p @ np.column_stack([outer_t, np.ones(SIZE, np.float32)])  # sums of rows are the last column
+        scale = (target > 0).astype(np.float32) / len(real)
+        over = scale / back[:, -1]
+        back = (back[:, :-1] * over[:, None] - np.take(outer_t, target, axis=0) * scale[:, None]) * (1 - hidden * hidden)
+        # what tokens add to sums at each place of the window and as targets, in the order of tokens
+        order = np.argsort(tokens, kind="stable")
+        ranked = tokens[order]
+        begins = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        met = ranked[begins]
+        padded = np.zeros((len(tokens) + 2 * SIDE, HIDDEN), np.float32)  # no position is beyond the row's ends
+        padded[2 * SIDE:2 * SIDE + n] = back
+        # a token is at place k of the position k before it: those around it are side by side, the last place first
+        around = np.lib.stride_tricks.as_strided(padded, (len(tokens), (2 * SIDE + 1) * HIDDEN), (HIDDEN * 4, 4), writeable=False)
+        sums = np.zeros((SIZE, 2 * SIDE + 1, HIDDEN), np.float32)
+        sums[met] = np.add.reduceat(around[order], begins, axis=0).reshape(-1, 2 * SIDE + 1, HIDDEN)
+        sums = np.ascontiguousarray(sums[:, [SIDE - k for k in CONTEXT]].transpose(1, 0, 2))
+        padded[2 * SIDE:2 * SIDE + n] = hidden * scale[:, None]
+        own = np.zeros((SIZE, HIDDEN), np.float32)
+        own[met] = np.add.reduceat(padded[order + SIDE], begins, axis=0)
+        outer = (a * over[:, None]).T @ p
+        outer_bias = outer[-1] - np.bincount(target[real], minlength=SIZE).astype(np.float32) / len(real)
+        inner = (w["embed"].T @ sums).reshape(w["inner"].shape)
+        embed = (sums @ parts.transpose(0, 2, 1)).sum(axis=0)
+        for name, g in (("outer", outer[:-1] - own.T), ("outer_bias", outer_bias), ("inner", inner), ("inner_bias", back.sum(axis=0)), ("embed", embed)):
             self.seen[name] += g * g
             w[name] -= STEP * g / np.sqrt(self.seen[name])
 
@@ -237,17 +275,15 @@ class Model:
         w = self.weights
         for at in range(0, n, BLOCK):
             m = min(BLOCK, n - at)
-            a = np.repeat(w["inner_bias"][None, :], m, axis=0)
+            a = np.ones((m, HIDDEN + 1), np.float32)
+            hidden = np.repeat(w["inner_bias"][None, :], m, axis=0)
             for table, k in zip(tables, CONTEXT, strict=True):
-                a += table[tokens[at + SIDE + k:at + SIDE + k + m]]
-            np.tanh(a, out=a)
-            logits = a @ w["outer"]
-            logits += w["outer_bias"]
+                hidden += np.take(table, tokens[at + SIDE + k:at + SIDE + k + m], axis=0)
+            a[:, :-1] = np.tanh(hidden, out=hidden)
+            logits = logits_of(a, w)
             target = logits[np.arange(m), tokens[at + SIDE:at + SIDE + m]]
-            top = logits.max(axis=1)
-            logits -= top[:, None]
             np.exp(logits, out=logits)
-            out[at:at + m] = target - top - np.log(logits.sum(axis=1))
+            out[at:at + m] = target - np.log(logits @ np.ones(SIZE, np.float32))
         return out
 
 
@@ -296,30 +332,19 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
     frequent = frequent_words(counts)
     model, pairs = Model(frequent, start()), symbol_pairs(counts, frequent)
     texts = docs.select(F.col(f"`{text}`").alias("text")).where("text is not null")
-    for k in range(rounds):
+    for _ in range(rounds):
         held = spark.sparkContext.broadcast(model)
 
-        def learn(batches: Iterator[pa.RecordBatch], k: int = k, held=held) -> Iterator[pa.RecordBatch]:
+        def learn(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             own = held.value
             words, trainer, seen = Vocabulary(own.frequent), Trainer(own.weights), 0
-            near, target, rest = [], [], 0
             for batch in batches:
                 rows = batch.column(0).to_pylist()
                 for at in range(0, len(rows), 64):
                     tokens, _ = laid_out(words.numbers(rows[at:at + 64])[0])
-                    spots = np.flatnonzero(tokens)
-                    spots = spots[(spots * 2654435761 + (spots >> 4) * 40503 + k * 7 >> 7) % MASK == 0]
-                    near.append(tokens[spots[:, None] + np.array(CONTEXT)]), target.append(tokens[spots])
-                    seen += len(spots)
-                    rest += len(spots)
-                    while rest >= BATCH:
-                        a, t = np.concatenate(near), np.concatenate(target)
-                        for s in range(0, rest - BATCH + 1, BATCH):
-                            trainer.step(a[s:s + BATCH], t[s:s + BATCH])
-                        done = rest // BATCH * BATCH
-                        near, target, rest = [a[done:]], [t[done:]], rest - done
-            if rest:
-                trainer.step(np.concatenate(near), np.concatenate(target))
+                    for first in range(0, len(tokens) - 2 * SIDE, BATCH):
+                        trainer.step(tokens[first:first + BATCH + 2 * SIDE])
+                    seen += int(np.count_nonzero(tokens))
             if seen:
                 group = TaskContext.get().partitionId() % GROUPS
                 yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([seen], pa.int64()), pa.array([(flat(trainer.w).astype(np.float64) * seen).tobytes()], pa.binary())], names=["part", "seen", "sums"])

@@ -299,6 +299,37 @@ class TestMaskedLm:
             assert r["n_words"] == len(ids) and r["log_likelihood"] == pytest.approx(total, abs=1e-3)
             assert (r["per_word"] is None) == (not ids)
 
+    def test_every_position_is_trained_on(self, spark):
+        """one step over all positions, by the plain formula"""
+        texts = ["a", None, "b a c d a b", "", "the of a " * 40]
+        docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).coalesce(1)
+        model = masked_lm.train(docs)
+        w, words = masked_lm.start(), masked_lm.Vocabulary(model.frequent)
+        tokens, _ = masked_lm.laid_out(words.numbers([t for t in texts if t is not None])[0])
+        spots = np.flatnonzero(tokens)
+        assert len(spots) == sum(len((t or "").split()) for t in texts)
+        around, target, n = tokens[spots[:, None] + np.array(masked_lm.CONTEXT)], tokens[spots], len(spots)
+        x = w["embed"][around].reshape(n, -1)
+        a = np.tanh(x @ w["inner"] + w["inner_bias"])
+        p = np.exp(a @ w["outer"] + w["outer_bias"])
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(n), target] -= 1
+        p /= n
+        back = (p @ w["outer"].T) * (1 - a * a)
+        embed = np.zeros_like(w["embed"])
+        np.add.at(embed, around.ravel(), (back @ w["inner"].T).reshape(-1, masked_lm.WIDTH))
+        for name, g in (("outer", a.T @ p), ("outer_bias", p.sum(axis=0)), ("inner", x.T @ back), ("inner_bias", back.sum(axis=0)), ("embed", embed)):
+            assert model.weights[name] == pytest.approx(w[name] - masked_lm.STEP * g / np.sqrt(1e-3 + g * g), abs=1e-6)
+
+    def test_large_logits(self):
+        """a model whose logits have no exponentials scores and trains all the same"""
+        trainer = masked_lm.Trainer({k: v * 400 for k, v in masked_lm.start().items()})
+        tokens = np.array([0, 0, 0, 1, 2, 3, 2, 1, 0, 0, 0], np.int16)
+        for _ in range(3):
+            trainer.step(tokens)
+            model = masked_lm.Model([], trainer.w)
+            assert np.isfinite(model.log_p(tokens, model.tables())).all() and all(np.isfinite(v).all() for v in trainer.w.values())
+
     def test_spelling_sums_to_one_in_a_class(self):
         """over words of one and two characters, and what goes on from there"""
         pairs = np.zeros((masked_lm.SYMBOLS, masked_lm.SYMBOLS), np.int64)
