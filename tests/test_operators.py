@@ -388,3 +388,25 @@ def test_a_word_in_all_names_adds_no_pairs(spark):
     e = many.select(F.lit("p").alias("project"), F.concat(F.lit("todos tema"), "id", F.lit(".xlsx")).alias("file"))
     p = many.select(F.lit("p").alias("project"), F.concat(F.lit("todos tema"), "id", F.lit(".pdf")).alias("file"), F.col("id").alias("file_ord"))
     assert scoring.affinity_candidates(e, p)[1].count() <= 600
+
+
+def planned_broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+class TestNothingPassesTheDriver:
+    """Rows that are exploded from a small file are many: no side of these joins is broadcast by the file's size."""
+
+    FIELDS = [("f", 1, "edad_1", "Edad"), ("f", 2, "nombre", "zz")]
+    ROWS = [("f", 7, "edad", "Edad:", "edad", "d.edad", ""), ("f", 8, "x", "otro nombre", "otro", "d.otro", "")]
+
+    def tables(self, spark, tmp_path):
+        spark.createDataFrame(self.FIELDS, "form_id string, ord bigint, source_name string, label string").write.parquet(f"{tmp_path}/f")
+        spark.createDataFrame(self.ROWS, "form_id string, ord bigint, pdf_field_name string, pdf_label string, field_label string, json_name string, catalog_direct string").write.parquet(f"{tmp_path}/r")
+        return spark.read.parquet(f"{tmp_path}/f"), spark.read.parquet(f"{tmp_path}/r")
+
+    def test_cascade_match(self, spark, tmp_path):
+        from formspark.operators import joins
+        out = joins.cascade_match(*self.tables(spark, tmp_path))
+        assert planned_broadcasts(out) == 0
+        assert {(r["ord"], r["row_ord"], r["confidence"]) for r in out.collect()} == {(1, 7, 95), (2, None, None)}
