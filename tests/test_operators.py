@@ -410,3 +410,11 @@ class TestNothingPassesTheDriver:
         out = joins.cascade_match(*self.tables(spark, tmp_path))
         assert planned_broadcasts(out) == 0
         assert {(r["ord"], r["row_ord"], r["confidence"]) for r in out.collect()} == {(1, 7, 95), (2, None, None)}
+
+    def test_similar_pairs(self, spark, tmp_path):
+        from formspark.operators import fuzzy
+        spark.createDataFrame([("telefono",), ("zz",)], "key string").write.parquet(f"{tmp_path}/left")
+        spark.createDataFrame([("telefonos",), ("otro",)], "key string").write.parquet(f"{tmp_path}/right")
+        pairs = fuzzy.similar_pairs(spark.read.parquet(f"{tmp_path}/left"), spark.read.parquet(f"{tmp_path}/right"), [], 0.7)
+        assert planned_broadcasts(pairs) == 0
+        assert [(r["left_key"], r["right_key"]) for r in pairs.collect()] == [("telefono", "telefonos")]
