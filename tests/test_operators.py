@@ -411,6 +411,12 @@ class TestNothingPassesTheDriver:
         assert planned_broadcasts(out) == 0
         assert {(r["ord"], r["row_ord"], r["confidence"]) for r in out.collect()} == {(1, 7, 95), (2, None, None)}
 
+    def test_match_fields(self, spark, tmp_path):
+        from formspark.operators import joins
+        out = joins.match_fields(*self.tables(spark, tmp_path))
+        assert planned_broadcasts(out) == 0
+        assert {(r["ord"], r["row_ord"], r["confidence"]) for r in out.collect()} == {(1, 7, 95), (2, 8, 55)}
+
     def test_similar_pairs(self, spark, tmp_path):
         from formspark.operators import fuzzy
         spark.createDataFrame([("telefono",), ("zz",)], "key string").write.parquet(f"{tmp_path}/left")
