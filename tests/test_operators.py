@@ -424,3 +424,18 @@ class TestNothingPassesTheDriver:
         pairs = fuzzy.similar_pairs(spark.read.parquet(f"{tmp_path}/left"), spark.read.parquet(f"{tmp_path}/right"), [], 0.7)
         assert planned_broadcasts(pairs) == 0
         assert [(r["left_key"], r["right_key"]) for r in pairs.collect()] == [("telefono", "telefonos")]
+
+
+def test_labels_over_the_edges_of_tiles(spark):
+    """a widget is looked at in few tiles, and meets texts and other widgets on either side of their edges"""
+    from formspark.operators import layout
+    grid = [("f", 1, 100 * i + j, 37.0 * i, 23.0 * j, 25.0, 10.0) for i in range(30) for j in range(30)]
+    schema = "form_id string, page int, ord int, x double, y double, width double, height double"
+    w = spark.createDataFrame(grid, schema)
+    x, top = F.col("x"), F.col("y") + F.col("height")
+    assert layout._tiles(w, (x - 200, x + 30), (F.col("y") - 14, top + 80)).count() <= 2.2 * len(grid)
+    widgets = spark.createDataFrame([("f", 1, 1, 1005.0, 165.0, 25.0, 10.0), ("f", 1, 2, 500.0, 150.0, 25.0, 10.0), ("f", 1, 3, 5.0, 400.0, 25.0, 10.0), ("f", 1, 4, -30.0, 400.0, 25.0, 10.0)], schema)
+    texts = spark.createDataFrame([("f", 1, 1, "izquierda", 900.0, 158.0, 60.0), ("f", 1, 2, "arriba", 480.0, 230.0, 30.0), ("f", 1, 3, "oculto", -90.0, 400.0, 30.0)],
+                                  "form_id string, page int, ord int, str string, x double, y double, width double")
+    found = {r["ord"]: r["label"] for r in layout.detect_labels(widgets, texts).collect()}
+    assert found == {1: "izquierda", 2: "arriba", 3: None, 4: "oculto"}
