@@ -439,3 +439,17 @@ def test_labels_over_the_edges_of_tiles(spark):
                                   "form_id string, page int, ord int, str string, x double, y double, width double")
     found = {r["ord"]: r["label"] for r in layout.detect_labels(widgets, texts).collect()}
     assert found == {1: "izquierda", 2: "arriba", 3: None, 4: "oculto"}
+
+
+def test_equal_names_are_counted_in_the_scan_that_numbers_them(spark):
+    """one exchange of the rows: no count is joined to them; rows without a name are left out as before"""
+    from formspark.operators import layout
+    rows = spark.createDataFrame([("f", 1, "a", "text"), ("f", 2, "a", "box"), ("f", 70000, "b", "box"), ("f", 140000, "b", "box"), ("f", 5, "c", "box"), ("f", 6, None, "box"), (None, 7, "a", "box")],
+                                 "form_id string, ord int, proposed string, type string")
+    out = layout.resolve_collisions(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") + plan.count("ShuffledHashJoin") <= 1
+    assert {r["ord"]: r["final_name"] for r in out.collect()} == {1: "a_texto", 2: "a", 70000: "b", 140000: "b_2", 5: "c"}
+    placed = rows.select("form_id", "ord", F.col("proposed").alias("new_name"), F.lit(1).alias("page"), (F.col("ord") * -1.0).alias("y"))
+    got = {r["ord"]: (r["final_name"], r["warning"]) for r in layout.suffix_by_row(placed).collect()}
+    assert got == {1: ("a_1", "collision-resolved"), 2: ("a_1", "collision-resolved"), 70000: ("b_1", "collision-resolved"), 140000: ("b_2", "collision-resolved"), 5: ("c", None)}
