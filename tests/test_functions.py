@@ -1,5 +1,7 @@
 """Text, type, rule, path and naming cases with their expected values."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +53,34 @@ def test_similarity(one, a, b, edit, dice):
     assert one(T.dice_bigrams("a", "b"), a=a, b=b) == pytest.approx(dice)
 
 
+def test_characters_outside_a_class(one):
+    assert T.outside("a-z0-9", "_") == r"[\x{0}-\x{2F}\x{3A}-\x{5E}\x{60}-\x{60}\x{7B}-\x{10FFFF}]"
+    odd = "\x00 Ab_c\u00a0-9\ufeff\U0001f600z ñ\t_ .\u2003- x_"
+    assert one(T.replace(F.col("x"), T.outside("A-Za-z", "ñ_"), ""), x=odd) == "Ab_czñ_x_"
+    assert one(T.norm_compact("x"), x=odd) == "abc 9 z n x"
+    assert one(T.slugify("x"), x=odd) == "ab_c_9_z_n_x"
+    assert one(T.sanitize_name("x"), x=odd) == "ab_c_9_z_n_x"
+    assert one(T.name_loose("x"), x=" á_b.- .c\u2003d") == "abcd"
+    assert one(T.camel_to_snake("x", "acronym"), x="datos.ABTest_é_x") == "datos_ab_test_x"
+
+
+@pytest.mark.parametrize("text,section,context", [
+    ("DATOS DEL AÑO", True, True), ("DATOS DEL AñO", False, False), ("AB CD EFG", False, True), ("ABCDEFGHIJ", True, True), ("ABCD 12345", False, False),
+    ("ABCDEF 1234", False, True), ("ABCDE F 123456", False, False), ("A B C D E F", True, True), (None, None, None)])
+def test_texts_in_capitals(one, text, section, context):
+    assert one(T.is_section_header(F.col("x").cast("string")), x=text) is section
+    assert one(T.is_context_heading(F.col("x").cast("string")), x=text) is context
+
+
+def test_text_patterns_negate_no_class_of_three_parts(spark):
+    """such a class is ten times as slow as one that is written as what it holds"""
+    made = [T.norm_compact("x"), T.slugify("x"), T.sanitize_name("x"), T.looks_like_heading("x"), T.is_section_header("x"), T.is_context_heading("x"),
+            T.camel_to_snake("x", "border"), T.camel_to_snake("x", "acronym")]
+    plan = spark.range(1).select(F.col("id").cast("string").alias("x")).select(*made)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan
+    assert not [p for p in re.findall(r"\[\^([^\]]*)\]", plan) if p != "a-z0-9"]
+
+
 def test_vocabulary(one):
     assert one(T.spell_fix("x"), x="Informacion de la poliza") == "Información de la póliza"
     assert one(T.spell_fix("x"), x="Diaé") == "Díaé"
