@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from formspark.functions import paths as P
 from formspark.functions.text import replace, text_or_empty, trim
 from formspark.constants import SECTION_LEVELS
-from formspark.kernels import ancestors, ordered_scan, suffixes
+from formspark.kernels import ancestors, ordered_scan, spread, suffixes
 from formspark.session import cut_lineage
 
 LEVELS = 8  # levels that one chain opens
@@ -348,7 +348,7 @@ def flatten_formdef(defs: DataFrame, ids: Sequence[str], body: str) -> DataFrame
     parsed = F.from_json(F.col(body), schema)
     sections = F.coalesce(parsed.sections, parsed.data.jsonDefinition.sections, parsed.jsonDefinition.sections)
     entries = _entries(F.col("_sections"), F.array().cast("array<int>"), F.array().cast("array<string>"), F.lit(False), SECTION_LEVELS)
-    fields = defs.select(*ids, sections.alias("_sections")).select(*ids, F.explode(entries).alias("_e")).select(*ids, "_e.*")
+    fields = spread(defs.select(*ids, body)).select(*ids, sections.alias("_sections")).select(*ids, F.explode(entries).alias("_e")).select(*ids, "_e.*")
     none = F.lit(None).cast("string")
     own = F.array(F.struct(F.col("ord").alias("ord"), F.col("section_path").alias("section_path"), none.alias("in_repeater"),
                            (F.col("hid") | F.coalesce("f.hidden", F.lit(False))).alias("hidden_effective"), F.col("f.id").alias("id"), F.col("f.label").alias("label"), F.col("f.type").alias("type"),
