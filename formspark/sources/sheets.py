@@ -17,6 +17,7 @@ from formspark import constants as K
 from formspark.functions import classify as C
 from formspark.functions import text as T
 from formspark.kernels import SLICE, ordered_scan
+from formspark.session import cut_lineage
 
 E = T.text_or_empty
 FILE = ["form_id", "file"]
@@ -58,10 +59,13 @@ def detect_header(cells: DataFrame, synonyms: dict[str, list[str]] | None = None
     0 holds the fallback roles by position.
     """
     synonyms = synonyms or K.MATRIX_ROLES
-    top = filled(cells.where(F.col("row_idx") < max_rows)).select(*SHEET, "row_idx", "col_idx", _roles(F.lower("value"), synonyms).alias("roles"))
-    top = top.where(F.size("roles") > 0)
+    top = filled(cells.where(F.col("row_idx") < max_rows)).select(*SHEET, "row_idx", "col_idx", "value")
+    # comparing a text with all synonyms is the work: it is done where the cells of a row are met, not where they are
+    # read (a filter on roles would be moved there)
+    top = top.repartition(*SHEET, "row_idx").select(*SHEET, "row_idx", "col_idx", _roles(F.lower("value"), synonyms).alias("roles"))
     # one row's header cells: as many as a sheet has named columns
-    rows = top.groupBy(*SHEET, "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "roles"))).alias("cells"))
+    named = F.when(F.size("roles") > 0, F.struct("col_idx", "roles"))
+    rows = top.groupBy(*SHEET, "row_idx").agg(F.array_sort(F.collect_list(named)).alias("cells")).where(F.size("cells") > 0)
     start = F.array().cast("array<struct<role:string,col_idx:int>>")
 
     def take(acc: Column, cell: Column) -> Column:
@@ -74,6 +78,8 @@ def detect_header(cells: DataFrame, synonyms: dict[str, list[str]] | None = None
     if must_have:
         enough = enough & F.exists("picks", lambda p: p.role == must_have)
     header = picked.where(enough).groupBy(*SHEET).agg(F.min_by(F.struct("row_idx", "picks"), "row_idx").alias("_h"))
+    if fallback is not None:
+        header = cut_lineage(header)  # read for what is found and for what is not: a row for each sheet
     found = header.select(*SHEET, F.col("_h.row_idx").alias("header_row"), F.explode("_h.picks").alias("_p")).select(*SHEET, "header_row", "_p.role", "_p.col_idx")
     if fallback is None:
         return found
@@ -204,7 +210,9 @@ def read_rename_pairs(cells: DataFrame, changed_only: bool = False) -> DataFrame
 def detect_layout(cells: DataFrame) -> DataFrame:
     """layout of each file: new (its own sheet), canonical (two sheets), flexible (label and
     section headers in row 0 of the first sheet), else mapping22"""
-    names = cells.groupBy(*FILE).agg(F.bool_or(F.col("sheet") == "Campos del formulario").alias("_new"), F.bool_or(F.col("sheet") == "Campos").alias("_a"),
+    # texts in the buffers of an aggregate make Spark sort its rows: the few sheets are told from the cells first
+    sheets = cells.select(*SHEET, "sheet_ord").distinct()
+    names = sheets.groupBy(*FILE).agg(F.bool_or(F.col("sheet") == "Campos del formulario").alias("_new"), F.bool_or(F.col("sheet") == "Campos").alias("_a"),
                                      F.bool_or(F.col("sheet") == "Opciones").alias("_b"), F.min_by("sheet", "sheet_ord").alias("sheet"))
     first = cells.join(names.select(*FILE, "sheet"), SHEET, "left_semi")
     flex = header_by_pattern(first, K.FLEX_HEADERS).groupBy(*FILE).agg(

@@ -1,6 +1,7 @@
 """Small cases of the operators with exact expected rows."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from formspark.operators import json_paths as P
 from formspark.operators import layout as L
 from formspark.operators.rules import Model, run_rules
 from formspark.plans.tables import FORM_FIELDS, spark_table
+from formspark.sources import sheets
 
 SF = "/root/testdata/sf0.001"
 
@@ -453,3 +455,41 @@ def test_equal_names_are_counted_in_the_scan_that_numbers_them(spark):
     placed = rows.select("form_id", "ord", F.col("proposed").alias("new_name"), F.lit(1).alias("page"), (F.col("ord") * -1.0).alias("y"))
     got = {r["ord"]: (r["final_name"], r["warning"]) for r in layout.suffix_by_row(placed).collect()}
     assert got == {1: ("a_1", "collision-resolved"), 2: ("a_1", "collision-resolved"), 70000: ("b_1", "collision-resolved"), 140000: ("b_2", "collision-resolved"), 5: ("c", None)}
+
+
+# ---- work that is spread, and not done twice ---------------------------------------------------
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _sheet(spark, rows):
+    return spark.createDataFrame([("f", "a.xlsx", sheet, at, row, col, value) for sheet, at, row, col, value in rows],
+                                 "form_id string, file string, sheet string, sheet_ord int, row_idx int, col_idx int, value string")
+
+
+def test_definitions_of_one_file_are_read_by_many_tasks(spark):
+    body = '{"sections":[{"id":"s","title":"T","fields":[{"id":"a","type":"text"},{"id":"b"}]}]}'
+    defs = spark.range(20).select("id", F.lit(body).alias("body")).coalesce(1)
+    fields = P.flatten_formdef(defs, ["id"], "body")
+    assert fields.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert fields.count() == 40
+
+
+def test_header_cells_are_compared_after_they_are_moved(spark):
+    cells = _sheet(spark, [("S", 0, 1, 0, "Nombre del campo en formulario"), ("S", 0, 1, 1, "Tipo de dato"), ("S", 0, 1, 2, "Regla de negocio"), ("S", 0, 1, 3, "Obligatorio"),
+                           ("S", 0, 0, 0, "Matriz"), ("T", 1, 0, 0, "nada")])
+    found = sheets.detect_header(cells)
+    above, below = _plan(found).split("RepartitionByExpression", 1)
+    assert "contains" in above.lower() and "contains" not in below.lower()
+    assert {(r.sheet, r.header_row, r.role) for r in found.collect()} == {("S", 1, r) for r in ("field_label", "data_type", "rule", "required")}
+    lost = sheets.detect_header(cells, fallback=["step", "section"]).where("sheet = 'T'").collect()
+    assert sorted((r.role, r.header_row, r.col_idx) for r in lost) == [("section", 0, 1), ("step", 0, 0)]
+    assert sheets.detect_header(cells.where("sheet = 'T'"), min_roles=0, must_have=None).count() == 0
+
+
+def test_layout_tells_sheets_before_it_aggregates_their_names(spark):
+    cells = _sheet(spark, [("Campos", 0, 0, 0, "x"), ("Campos", 0, 1, 0, "x"), ("Opciones", 1, 0, 0, "y"), (None, 2, 0, 0, "y")])
+    found = sheets.detect_layout(cells)
+    assert re.search(r"Aggregate \[form_id#\d+, file#\d+, sheet#\d+, sheet_ord#\d+\]", _plan(found))
+    assert [r.layout for r in found.collect()] == ["canonical"]
