@@ -171,9 +171,14 @@ def read_positional(cells: DataFrame, roles: DataFrame | None = None) -> DataFra
 def read_mapping22(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, warnings) of the 22 column mapping; rows need their current widget name. The
     options column is JSON; what cannot be parsed gives a warning."""
-    rows = _positional(cells, K.MAPPING_COLUMNS).where(F.col("acro_actual") != "")
+    def named(cells: DataFrame) -> DataFrame:
+        return _positional(cells, K.MAPPING_COLUMNS).where(F.col("acro_actual") != "")
+
+    rows = named(cells)
     bad = (F.col("options_raw") != "") & F.try_parse_json("options_raw").isNull()
-    warnings = rows.where(bad).select(*SHEET, (F.col("row_idx") + 1).alias("row"), F.col("acro_actual").alias("field"), F.lit("invalid_options_json").alias("type"))
+    # a warning is made of two columns: their cells alone are put together for it, not the 22 of a row once more
+    told = [K.MAPPING_COLUMNS.index(c) for c in ("acro_actual", "options_raw")]
+    warnings = named(cells.where(F.col("col_idx").isin(told))).where(bad).select(*SHEET, (F.col("row_idx") + 1).alias("row"), F.col("acro_actual").alias("field"), F.lit("invalid_options_json").alias("type"))
     typed = rows.withColumns({
         "page": F.col("page").try_cast("int"), "max_length": F.nullif(F.col("max_length").try_cast("int"), F.lit(0)),
         "prefilled": C.yes_no("prefilled", "mapping"), "required": C.yes_no("required", "mapping"), "format": F.lower("format"),

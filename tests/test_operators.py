@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from formspark import constants as K
 from formspark.operators import assemble as A
 from formspark.operators import groups as G
 from formspark.operators import joins as J
@@ -493,3 +494,13 @@ def test_layout_tells_sheets_before_it_aggregates_their_names(spark):
     found = sheets.detect_layout(cells)
     assert re.search(r"Aggregate \[form_id#\d+, file#\d+, sheet#\d+, sheet_ord#\d+\]", _plan(found))
     assert [r.layout for r in found.collect()] == ["canonical"]
+
+
+def test_mapping_warnings_read_two_columns(spark):
+    at = {c: K.MAPPING_COLUMNS.index(c) for c in ("acro_actual", "options_raw", "format")}
+    cells = _sheet(spark, [("M", 0, row, at[c], value) for row, c, value in [
+        (1, "acro_actual", "a"), (1, "options_raw", "{oops"), (1, "format", "X"), (2, "acro_actual", "b"), (2, "options_raw", "[]"), (3, "options_raw", "{oops"), (4, "acro_actual", " "), (4, "options_raw", "{"), (5, "acro_actual", "c")]])
+    found, warnings = sheets.read_mapping22(cells)
+    assert rows(warnings, "row", "field", "type") == [(2, "a", "invalid_options_json")]
+    assert rows(found, "row_idx", "acro_actual", "format") == [(1, "a", "x"), (2, "b", ""), (5, "c", "")]
+    assert re.search(r"col_idx#\d+ IN \(|col_idx#\d+ = \d+ OR|col_idx#\d+ = \d+\) OR", _plan(warnings))
