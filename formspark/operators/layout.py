@@ -137,18 +137,32 @@ def _first(n: Column, entries: list[tuple[str, Column]]) -> Column:
     return out
 
 
+def _plain(text: Column) -> Column:
+    return T.strip_accents(F.lower(T.trim(text)))
+
+
+def _heading(plain: Column) -> Column:
+    return _first(plain, [("|".join(words), F.struct(F.lit(prefix).alias("prefix"), F.lit(name).alias("name"), F.lit(repeat).alias("repeatable")))
+                          for words, prefix, name, repeat in K.HEADINGS])
+
+
+def _subheading(bare: Column) -> Column:
+    return _first(bare, [("^(.* )?(" + "|".join(words) + ")$|^(" + "|".join(words) + ") ", F.struct(F.lit(prefix).alias("prefix"), F.lit(group).alias("group")))
+                         for words, prefix, group in K.SUBHEADINGS])
+
+
+def _bare(plain: Column) -> Column:
+    return T.trim(T.replace(plain, "[:.]+$", ""))
+
+
 def match_heading(text: Column) -> Column:
     """the first known heading a text contains: (prefix, name, repeatable)"""
-    entries = [("|".join(words), F.struct(F.lit(prefix).alias("prefix"), F.lit(name).alias("name"), F.lit(repeat).alias("repeatable")))
-               for words, prefix, name, repeat in K.HEADINGS]
-    return T.let(T.strip_accents(F.lower(T.trim(text))), lambda n: _first(n, entries))
+    return T.let(_plain(text), _heading)
 
 
 def match_subheading(text: Column) -> Column:
     """the first known subheading a text is, begins or ends with: (prefix, group)"""
-    entries = [("^(.* )?(" + "|".join(words) + ")$|^(" + "|".join(words) + ") ", F.struct(F.lit(prefix).alias("prefix"), F.lit(group).alias("group")))
-               for words, prefix, group in K.SUBHEADINGS]
-    return T.let(T.trim(T.replace(T.strip_accents(F.lower(T.trim(text))), "[:.]+$", "")), lambda n: _first(n, entries))
+    return T.let(_bare(_plain(text)), _subheading)
 
 
 def detect_sections(texts: DataFrame, widgets: DataFrame, keys: Sequence[str] = ("form_id",)) -> tuple[DataFrame, DataFrame]:
@@ -156,13 +170,15 @@ def detect_sections(texts: DataFrame, widgets: DataFrame, keys: Sequence[str] =
     check boxes is a subheading as well."""
     cols = [*keys, "page", "ord", "str", "x", "y"]
     text = T.trim("str")
-    # every text is looked at once; the few that may be headings are kept and read from there on
-    def entry(m: Column) -> Column:
-        known = F.when(m.h.isNotNull() & (m.n >= 4), F.lit("heading")).when((m.n <= 40) & m.s.isNotNull(), F.lit("known")).when((m.n <= 40) & m.colon, F.lit("asked"))
-        return T.let(known, lambda k: F.when(k.isNotNull(), F.struct(k.alias("_kind"), m.h.alias("_h"), m.s.alias("_s"))))
-
-    seen = F.struct(match_heading(F.col("str")).alias("h"), match_subheading(F.col("str")).alias("s"), F.length(text).alias("n"), text.endswith(":").alias("colon"))
-    rows = texts.where(text != "").select(*cols, F.explode(F.array_compact(F.array(T.let(seen, entry)))).alias("_e")).select(*cols, "_e.*")
+    # every text is looked at once; the few that may be headings are kept and read from there on. Most hold no
+    # word of any heading and ask for nothing: one pattern leaves them out before the others are tried.
+    words = "|".join(chain.from_iterable(entry[0] for entry in (*K.HEADINGS, *K.SUBHEADINGS)))
+    able = _plain(F.col("str")).rlike(words) | text.endswith(":")
+    rows = texts.where((text != "") & able).select(*cols, F.length(text).alias("_n"), text.endswith(":").alias("_colon"), _plain(F.col("str")).alias("_plain"))
+    rows = rows.select("*", _bare(F.col("_plain")).alias("_bare")).select("*", _heading(F.col("_plain")).alias("_h"), _subheading(F.col("_bare")).alias("_s"))
+    kind = (F.when(F.col("_h").isNotNull() & (F.col("_n") >= 4), F.lit("heading")).when((F.col("_n") <= 40) & F.col("_s").isNotNull(), F.lit("known"))
+            .when((F.col("_n") <= 40) & F.col("_colon"), F.lit("asked")))
+    rows = rows.select(*cols, kind.alias("_kind"), "_h", "_s")
     rows = cut_lineage(rows)
     number = F.when(F.col("_h.repeatable"), C.extract(text, r"(\d+)").try_cast("int"))
     headings = rows.where("_kind = 'heading'").select(*cols, "_h.prefix", "_h.name", "_h.repeatable", number.alias("number"))

@@ -504,3 +504,17 @@ def test_mapping_warnings_read_two_columns(spark):
     assert rows(warnings, "row", "field", "type") == [(2, "a", "invalid_options_json")]
     assert rows(found, "row_idx", "acro_actual", "format") == [(1, "a", "x"), (2, "b", ""), (5, "c", "")]
     assert re.search(r"col_idx#\d+ IN \(|col_idx#\d+ = \d+ OR|col_idx#\d+ = \d+\) OR", _plan(warnings))
+
+
+def test_texts_without_a_word_of_a_heading_are_left_out_first(spark, monkeypatch):
+    tried = []
+    match = L._heading
+    monkeypatch.setattr(L, "_heading", lambda c: tried.append(1) or F.when(c.contains("texto"), F.raise_error(F.lit("a plain text was tried"))).otherwise(match(c)))
+    strs = ["Texto 1", "", None, "Texto 2 ", "PÓLIZA", "Beneficiario 3", "En calidad de.", "tipo de identificación", "Sexo", "Marque 5:", "x sexo", "sexo y edad", "no"]
+    t = spark.createDataFrame([("f", i, 1, 0.0, 10.0 * i, s) for i, s in enumerate(strs)], "form_id string, ord int, page int, x double, y double, str string")
+    w = spark.createDataFrame([("f", i, 1, 10.0 * i, 70.0, 5.0, "checkbox") for i in range(2)], "form_id string, ord int, page int, x double, y double, height double, type string")
+    headings, subs = L.detect_sections(t, w)
+    assert tried and rows(headings, "ord", "prefix", "number") == [(4, "poliza_", None), (5, "beneficiario_", 3)]
+    assert rows(subs, "ord", "prefix", "group_name", "source") == [
+        (6, "calidad_", "calidad", "whitelist"), (7, "tipo_id_", "tipo_identificacion", "whitelist"), (8, "sexo_", "sexo", "whitelist"), (9, "", "marque_5", "fallback"),
+        (10, "sexo_", "sexo", "whitelist"), (11, "sexo_", "sexo", "whitelist")]
