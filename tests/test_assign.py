@@ -107,3 +107,23 @@ def test_connected(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (7, 3), (200, 200)]
     got = {r["node"]: r["label"] for r in connected(spark.createDataFrame(chain, "u bigint, v bigint")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 200: 200}
+
+
+def test_copies_are_linked_once(spark, monkeypatch):
+    """takers that differ in keys that reach nothing, and copies of a label, add no links between parts"""
+    seen = []
+    monkeypatch.setattr(assign, "connected", lambda edges, real=assign.connected: seen.append(edges.count()) or real(edges))
+    widgets = spark.range(200).select(F.lit("f").alias("form_id"), F.col("id").alias("ord"), F.concat(F.lit("w"), "id").alias("name"), F.lit("Nombre").alias("label"), F.lit("").alias("section"))
+    rows = spark.range(150).select(F.lit("f").alias("form_id"), F.col("id").alias("ord"), F.lit("Nombre").alias("field_label"), F.lit("nada").alias("pdf_label"), F.lit("").alias("json_name"))
+    got = {r["ord"]: r["row_ord"] for r in assign.match_in_section(widgets, rows, block=40).collect()}
+    assert got == {k: k if k < 150 else None for k in range(200)}
+    assert seen and seen[0] < 10
+
+
+def test_blocks_read_on_past_what_is_taken(spark):
+    """units that earlier blocks took through another class are passed over, and counted out"""
+    rng = random.Random(3)
+    widgets = spark.createDataFrame([("f", k, f"w{rng.randint(0, 60)}", rng.choice(["Nombre", "Nombre de pila", "Edad", "pila"]), rng.choice(["Firma del tomador", ""])) for k in range(150)], "form_id string, ord bigint, name string, label string, section string")
+    rows = spark.createDataFrame([("f", k, rng.choice(["Nombre", "Nombre de pila", "Edad"]), f"w{rng.randint(0, 60)}", rng.choice(["a.tomador", "b"])) for k in range(120)], "form_id string, ord bigint, field_label string, pdf_label string, json_name string")
+    want = sorted(assign.match_in_section(widgets, rows).select("ord", "row_ord", "source").collect())
+    assert sorted(assign.match_in_section(widgets, rows, block=16).select("ord", "row_ord", "source").collect(), key=str) == sorted(want, key=str)
