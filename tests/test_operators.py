@@ -518,3 +518,12 @@ def test_texts_without_a_word_of_a_heading_are_left_out_first(spark, monkeypatch
     assert rows(subs, "ord", "prefix", "group_name", "source") == [
         (6, "calidad_", "calidad", "whitelist"), (7, "tipo_id_", "tipo_identificacion", "whitelist"), (8, "sexo_", "sexo", "whitelist"), (9, "", "marque_5", "fallback"),
         (10, "sexo_", "sexo", "whitelist"), (11, "sexo_", "sexo", "whitelist")]
+
+
+def test_near_points_are_listed_in_few_cells(spark):
+    """a position is listed where its reach goes, not in nine cells, and is found across the edge of a cell"""
+    grid = spark.sql("SELECT CAST(a.id - 32 AS INT) AS px, CAST(b.id - 32 AS INT) AS py FROM range(64) a, range(64) b")
+    assert grid.select(F.avg(F.size(J._cells_in_reach("px", "py", 8)))).first()[0] < 2.5
+    widgets = spark.createDataFrame([("f", k, 1, x, y) for k, (x, y) in enumerate([(31.0, 31.0), (-1.0, 0.0), (40.0, 31.0), (23.0, 40.0), (None, 1.0)])], "form_id string, ord int, page int, x double, y double")
+    known = spark.createDataFrame([("f", 0, 1, 32.0, 32.0, "a"), ("f", 1, 1, -9.0, 8.0, "b"), ("f", 2, 1, 33.0, 31.0, "c")], "form_id string, ord int, page int, x double, y double, source_name string")
+    assert {r["ord"]: r["source_name"] for r in J.near_point_join(widgets, known).collect()} == {0: "a", 1: "b", 2: "a", 3: None, 4: None}
