@@ -63,6 +63,14 @@ def test_ranked_join_keeps_first_hit_and_never_multiplies(spark):
     assert {r.ord: r.r for r in last.collect()} == {1: 2, 2: 2, 3: None}
 
 
+def test_ranked_join_ends_a_round_at_its_first_hit(spark):
+    left = spark.createDataFrame([("f", 1, "x", "y"), ("f", 2, "q", "y"), ("f", 3, "x", "q")], "form_id string, ord int, a string, b string")
+    right = spark.createDataFrame([("f", 1, "y"), ("f", 3, "x")], "form_id string, r int, n string")
+    tries = [(1, "n", F.col("a")), (2, "n", F.col("b")), (11, "n", F.col("b"))]
+    got = ranked_join(left, ["ord"], tries, right, [("n", F.col("n"))], ["r"], ["r"], ["form_id"], rounds=[[1, 2], [11]], passing=[2, 11])
+    assert sorted((r.ord, r.match_rank, r.r) for r in got.collect()) == [(1, 11, 1), (2, 2, 1), (3, None, None)]
+
+
 def test_path_pieces(one):
     assert one(ancestors(F.col("x")), x="a.b[0].c") == ["a", "a.b", "a.b[0]"]
     assert [(s["n"], s["text"]) for s in one(suffixes(F.col("x")), x="a.b.c")] == [(2, "b.c"), (3, "a.b.c")]

@@ -168,6 +168,17 @@ def test_cascade_prefers_stronger_lookups(spark):
     assert rows(got, "ord", "row_ord", "confidence", "source") == [(1, 1, 95, "pdf-field-name-base"), (2, 2, 70, "json-leaf"), (3, 2, 90, "pdf-label")]
 
 
+def test_cascade_tries_all_nine_lookups(spark, monkeypatch):
+    r = spark.createDataFrame([("f", 1, "", "Apellido", "", ""), ("f", 2, "", "", "Materno", "")],
+                              "form_id string, ord int, pdf_field_name string, pdf_label string, field_label string, json_name string")
+    f = spark.createDataFrame([("f", 1, "primer_apellido", "zzz"), ("f", 2, "segundo_materno_3", "zzz"), ("f", 3, "apellido", "zzz")], "form_id string, ord int, source_name string, label string")
+    assert [(c, name) for name, c, _ in J.CASCADE[-2:]] == [(65, "last-segment-pdf"), (60, "last-segment-form")]
+    # below the gate they are no matches
+    assert rows(J.cascade_match(f, r), "ord", "row_ord", "source") == [(1, None, None), (2, None, None), (3, 1, "snake-to-pdf")]
+    monkeypatch.setattr(J, "CASCADE_GATE", 60)
+    assert rows(J.cascade_match(f, r), "ord", "row_ord", "confidence", "source") == [(1, 1, 65, "last-segment-pdf"), (2, 2, 60, "last-segment-form"), (3, 1, 75, "snake-to-pdf")]
+
+
 def test_word_match(spark):
     r = spark.createDataFrame([("f", 1, "", "fecha de la poliza madre", "", "")], "form_id string, ord int, pdf_field_name string, pdf_label string, field_label string, json_name string")
     f = spark.createDataFrame([("f", 1, "poliza_fecha", ""), ("f", 2, "poliza_hija", "")], "form_id string, ord int, source_name string, label string")
