@@ -1,11 +1,13 @@
 """The kernels against plain windows and brute force, with slices of every size."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from formspark import session
 from formspark.functions.text import edit_similarity
 from formspark.kernels import ancestors, carry_above, islands, ordered_scan, ranked_join, suffixes
 from formspark.operators import fuzzy
@@ -71,6 +73,34 @@ def test_ranked_join_ends_a_round_at_its_first_hit(spark):
     assert sorted((r.ord, r.match_rank, r.r) for r in got.collect()) == [(1, 11, 1), (2, 2, 1), (3, None, None)]
 
 
+def test_scan_within_slices_of_another(spark):
+    """rows exploded from dealt rows are scanned where they are, by a further key"""
+    df = spark.range(40).selectExpr("if(id % 4 = 0, NULL, 'k') AS k", "id", "array(id % 3, id % 5) AS parts")
+    first = ordered_scan(df, ["k"], [F.col("id")], F.floor(F.col("id") / 7), running={"sofar": F.lit(1)}, room=2)
+    exploded = first.select("k", "id", "sofar", "_slice", F.posexplode("parts").alias("at", "part"))
+    got = ordered_scan(exploded, ["k", "part"], [F.col("id"), F.col("at")], None, number="n", previous={"p": F.col("id")}, carried_before={"c": F.col("at")}, within="part", room=2).collect()
+    seen, count = {}, {}
+    for r in sorted(got, key=lambda r: (r.id, r.at)):
+        count.setdefault(r.k, set()).add(r.id)
+        n, p, c = seen.get((r.k, r.part), (0, None, None))
+        assert (r.sofar, r.n, r.p, r.c) == (len(count[r.k]), n + 1, p, c)
+        seen[r.k, r.part] = n + 1, r.id, r.at
+    assert len(got) == 80
+
+
+def test_what_is_written_down_leaves_no_shuffles(spark):
+    def files():
+        found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+    before = files()
+    kept = session.cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition("count"))
+    deadline = time.time() + 20
+    while files() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not files() - before
+    assert kept.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
 def test_path_pieces(one):
     assert one(ancestors(F.col("x")), x="a.b[0].c") == ["a", "a.b", "a.b[0]"]
     assert [(s["n"], s["text"]) for s in one(suffixes(F.col("x")), x="a.b.c")] == [(2, "b.c"), (3, "a.b.c")]
