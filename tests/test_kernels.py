@@ -101,6 +101,25 @@ def test_what_is_written_down_leaves_no_shuffles(spark):
     assert kept.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
 
 
+@pytest.mark.parametrize("scope", [[], ["k"]])
+def test_texts_with_shared_beginnings_meet_by_what_follows(spark, monkeypatch, scope):
+    rng = random.Random(3)
+    names = [f"{head}{rng.randint(0, 10 ** rng.randint(2, 5)):0{w}d}" for head, w in (("Supplier#", 9), ("Customer#", 9), ("Custodio#", 8), ("Supl", 5)) for _ in range(25)]
+    names += ["".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(20)]
+    rows = [(rng.choice("xy") if scope else "x", n) for n in names]
+    t = spark.createDataFrame(rows, "k string, key string")
+    left, right = t.where("key NOT LIKE 'Custom%'"), t
+    monkeypatch.setattr(fuzzy, "SHARED", 4)
+    assert not fuzzy._exits(left.distinct(), right.distinct(), scope, 0.65).isEmpty()
+    for strict in (False, True):
+        got = fuzzy.similar_pairs(left, right, scope, 0.65, strict).select(*scope, "left_key", "right_key").collect()
+        a, b = ({r[2 - len(r):] if scope else r[1:] for r in df} for df in ([tuple(r) for r in left.collect()], [tuple(r) for r in right.collect()]))
+        all_pairs = [(*x, y[-1]) for x in a for y in b if x[:-1] == y[:-1]]
+        plain = spark.createDataFrame([(i, p[-2], p[-1]) for i, p in enumerate(all_pairs)], "i int, l string, r string").withColumn("s", edit_similarity(F.col("l"), F.col("r")))
+        want = {all_pairs[r.i] for r in plain.where("s > 0.65" if strict else "s >= 0.65").collect()}
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_path_pieces(one):
     assert one(ancestors(F.col("x")), x="a.b[0].c") == ["a", "a.b", "a.b[0]"]
     assert [(s["n"], s["text"]) for s in one(suffixes(F.col("x")), x="a.b.c")] == [(2, "b.c"), (3, "a.b.c")]
