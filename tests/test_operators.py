@@ -538,3 +538,13 @@ def test_near_points_are_listed_in_few_cells(spark):
     widgets = spark.createDataFrame([("f", k, 1, x, y) for k, (x, y) in enumerate([(31.0, 31.0), (-1.0, 0.0), (40.0, 31.0), (23.0, 40.0), (None, 1.0)])], "form_id string, ord int, page int, x double, y double")
     known = spark.createDataFrame([("f", 0, 1, 32.0, 32.0, "a"), ("f", 1, 1, -9.0, 8.0, "b"), ("f", 2, 1, 33.0, 31.0, "c")], "form_id string, ord int, page int, x double, y double, source_name string")
     assert {r["ord"]: r["source_name"] for r in J.near_point_join(widgets, known).collect()} == {0: "a", 1: "b", 2: "a", 3: None, 4: None}
+
+
+def test_merged_pieces_forget_how_heights_were_folded(spark):
+    """the shuffles that fold heights into lines are dropped before the pieces are moved"""
+    t = spark.createDataFrame([("f", 1, 1, 0.0, 10.0, 5.0, 8.0, "a"), ("f", 2, 1, 6.0, 11.0, 5.0, 8.0, "b"), ("f", 3, 1, 6.0, 30.0, 5.0, 8.0, "c")],
+                              "form_id string, ord int, page int, x double, y double, width double, height double, str string")
+    merged = layout.merge_adjacent(t)
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert "_chain" not in plan and "_tops" not in plan
+    assert sorted(r["str"] for r in merged.collect()) == ["a b", "c"]
