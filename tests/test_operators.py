@@ -544,7 +544,7 @@ def test_merged_pieces_forget_how_heights_were_folded(spark):
     """the shuffles that fold heights into lines are dropped before the pieces are moved"""
     t = spark.createDataFrame([("f", 1, 1, 0.0, 10.0, 5.0, 8.0, "a"), ("f", 2, 1, 6.0, 11.0, 5.0, 8.0, "b"), ("f", 3, 1, 6.0, 30.0, 5.0, 8.0, "c")],
                               "form_id string, ord int, page int, x double, y double, width double, height double, str string")
-    merged = layout.merge_adjacent(t)
+    merged = L.merge_adjacent(t)
     plan = merged._jdf.queryExecution().optimizedPlan().toString()
     assert "_chain" not in plan and "_tops" not in plan
     assert sorted(r["str"] for r in merged.collect()) == ["a b", "c"]
